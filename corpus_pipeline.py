@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simplark.llm import exact_dedup, language_id, simhash
-from simplark.llm.common import new_folder
+from simplark.llm import decontaminate, exact_dedup, language_id, sentencepiece, simhash
+from simplark.llm.common import new_folder, table
+from simplark.llm.queries import tokenizer
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +22,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one(docs)
 
 
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents with ids, n_ids, decoded and round_trip."""
+    return sentencepiece.encode(docs, tokenizer("piece_bpe_32k.model"))
+
+
 STAGES = [
     ("language_id", identify),
     ("exact_dedup", drop_copies),
     ("simhash_dedup", drop_near_copies),
+    ("decontaminate", drop_leaks),
+    ("sentencepiece", encode),
 ]
 
 #: Language ID, SimHash and the encoder have no SQL form; tests hold the stages against brute force.

@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -67,6 +68,11 @@ def strings(column: pa.Array) -> list[str | None]:
         return [None if x is None else x.decode("utf-8", "replace") for x in raw]
 
 
+def extended(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of ``df`` followed by the columns of ``ddl``."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def bounded(sizes: list[int], most: int):
     """Slices over consecutive rows whose sizes add up to ``most`` or to one row."""
     start, total = 0, 0
