@@ -185,8 +185,8 @@ def document_hits(docs: DataFrame, hashes: np.ndarray, widths: list[int], key: s
 def one_to_one(pairs):
     """Whether (item value, document value) pairs map both ways without contradiction."""
     distinct = F.array_distinct(pairs)
-    sizes = [F.size(F.array_distinct(F.transform(distinct, lambda p, f=f: p[f]))) for f in ("item_slots", "doc_slots")]
-    return (F.size(distinct) == sizes[0]) & (F.size(distinct) == sizes[1])
+    of_item, of_doc = (F.size(F.array_distinct(distinct.getField(f))) for f in ("item_slots", "doc_slots"))
+    return (F.size(distinct) == of_item) & (F.size(distinct) == of_doc)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
