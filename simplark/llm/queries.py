@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplark.llm import decontaminate, exact_dedup, language_id, sentencepiece, simhash
-from simplark.llm.common import fold, table
+from simplark.llm import decontaminate, exact_dedup, language_id, sentencepiece, sharding, simhash, toxicity, warc
+from simplark.llm.common import fold, new_folder, table
 
 
 def tokenizer(name: str) -> str:
@@ -23,6 +23,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(docs, tokenizer("piece_bpe_32k.model"), keep=["doc_id"])
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
+    return toxicity.predict(docs.select("doc_id", held_out, "text"), model, ["doc_id", "held_out"])
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -31,6 +42,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=16, law="bytes", map_path=new_folder(spark, "slot-map"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -44,13 +59,31 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_warc": op2_warc,
+    "op3_toxicity": op3_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+        ), b AS (
+            SELECT page_id, payload, octet_length(encode(payload)) AS payload_bytes,
+                list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                    ((('0x' || substr(hex || '0', (5 * i) // 4 + 1, 2))::INT >> (3 - (5 * i) % 4)) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+                min(page_id) OVER (PARTITION BY payload) AS first_id
+            FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+        FROM b
+    """,
     "op5_exact_dedup": """
         WITH n AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
