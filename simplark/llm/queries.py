@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplark.llm import decontaminate, exact_dedup, language_id, sentencepiece, sharding, simhash, toxicity, warc
+from simplark.llm import decontaminate, exact_dedup, language_id, sentencepiece, sharding, simhash, token_ids, toxicity, warc
 from simplark.llm.common import fold, new_folder, table
 
 
@@ -42,6 +42,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.round_trip(table(spark, sf_dir, "documents"), new_folder(spark, "token-ids"), tokenizer("byte_bpe_50k.json"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16, law="bytes", map_path=new_folder(spark, "slot-map"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_token_ids": op7_token_ids,
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_language_id": op10_language_id,
