@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplark.llm import decontaminate, exact_dedup, language_id, sentencepiece, sharding, simhash, token_ids, toxicity, warc
+from simplark.llm import decontaminate, exact_dedup, language_id, lm_score, sentencepiece, sharding, simhash, token_ids, toxicity, warc
 from simplark.llm.common import fold, new_folder, table
 
 
@@ -34,6 +34,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs.select("doc_id", held_out, "text"), model, ["doc_id", "held_out"])
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 1, F.lit(False))
+    return lm_score.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 1, held_out)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
+    "op4_lm_score": op4_lm_score,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_ids": op7_token_ids,
