@@ -43,6 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that a checked broadcast may have; they are keys of at most some 50 bytes.
+BROADCAST_ROWS = 300_000
+
+
+def checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` materialised, and marked for broadcast if it has at most ``most`` rows; else joins shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
     """Bound what one Arrow batch holds, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from simplark.llm.common import cut, extended, small_batches, strings
+from simplark.llm.common import checked, cut, extended, small_batches, strings
 
 WINDOW = 8
 LITERALS = 5
@@ -230,4 +230,4 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """The documents without a contaminated doc_id, all columns as they are; those with a null doc_id stay."""
     bad = contaminated(docs, items, key, text, coverage=coverage).select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(bad, F.col(f"`{key}`") == F.col("__d"), "left_anti")
+    return docs.join(checked(bad), F.col(f"`{key}`") == F.col("__d"), "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simplark.llm.common import cut, lower_ascii, small_batches
+from simplark.llm.common import checked, cut, lower_ascii, small_batches
 
 QUOTIENT_BITS = 14
 
@@ -129,7 +129,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     norm = lower_ascii(F.col(text))
     shaped = docs.select(F.col(key).alias("doc_id"), norm.alias("norm"))
     keyed = cut(shaped.select("doc_id", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha"), F.monotonically_increasing_id().alias("row")))
-    repeated = merge_filters(build_filters(keyed)).where("n > 1").select("fp")
+    repeated = checked(merge_filters(build_filters(keyed)).where("n > 1").select("fp"))
     # The grouping compares whole texts; its partial step leaves one row of a group in each partition.
     verified = (
         shaped.select(F.xxhash64("norm").alias("fp"), "norm")
@@ -176,8 +176,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     again = grouped.where(is_kept).groupBy("doc_id", "sha").count().where("count > 1").select(F.col("doc_id").alias("__d"), F.col("sha").alias("__s"))
     marked = docs.withColumn("__sha", F.unhex(F.sha2(lower_ascii(F.col(text)), 256)))
     same = F.col(f"`{key}`").eqNullSafe(F.col("__d")) & (F.col("__sha") == F.col("__s"))
-    some = cut(again)
-    left = marked.join(dropped, same, "left_anti")
+    some = checked(again)
+    left = marked.join(checked(dropped), same, "left_anti")
     once = left.join(some, same, "left_semi").groupBy(key, "__sha").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__one"))
     out = left.join(some, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.unionByName(once.select(*[F.col(f"__one.`{c}`").alias(c) for c in docs.columns]))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from simplark.llm.common import cut, small_batches
+from simplark.llm.common import checked, cut, small_batches
 from simplark.llm.components import components
 
 DISTANCE = 4
@@ -251,4 +251,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", distance:
     """
     groups = simhash_groups(docs, key, text, distance)
     dropped = groups.groupBy("doc_id").agg(F.min(F.col("component_id") < F.col("doc_id")).alias("gone")).where("gone").select(F.col("doc_id").alias("__d"))
-    return docs.join(dropped, F.col(f"`{key}`") == F.col("__d"), "left_anti")
+    return docs.join(checked(dropped), F.col(f"`{key}`") == F.col("__d"), "left_anti")
