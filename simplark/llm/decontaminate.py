@@ -46,7 +46,7 @@ UNITS = frozenset(
 )
 NUMBER, NAME, UNIT, WORD = range(4)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-MEMO = 500_000
+MEMO = 150_000
 
 
 class Tokens(dict):

@@ -31,7 +31,7 @@ from simplark.llm.common import extended, small_batches, strings
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-MEMO = 800_000
+MEMO = 300_000
 LONG = 48
 CACHE_BITS = 20
 
