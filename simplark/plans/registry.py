@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from simplark.plans import core_queries
+
+FAMILIES = (core_queries,)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for f in FAMILIES for name, q in f.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for f in FAMILIES for name, sql in f.ORACLE_SQL.items()}
