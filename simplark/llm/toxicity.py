@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     rate = {y: min(1.0, rows_per_class / n) for y, n in totals.items()}
     share = F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])
     sample = known.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < share * 1_000_000)
-    joined = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(sample, "k")
+    joined = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "k")  # at most about 2 * rows_per_class rows
 
     def extract(batches):
         for batch in batches:
