@@ -83,6 +83,28 @@ def extended(df: DataFrame, ddl: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+class Memo:
+    """What words were encoded to, for the words met lately: two generations of at most ``most`` each.
+
+    When the younger one is full it becomes the older one; words that are met again move back.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def covering(self, words: set[str], make) -> dict[str, bytes]:
+        """A dictionary that has all ``words``; ``make`` gives those that weren't met."""
+        missing = words.difference(self.now)
+        if len(self.now) + len(missing) > self.most:
+            self.old, self.now, missing = self.now, {}, words
+        again = missing.intersection(self.old)
+        self.now.update((w, self.old[w]) for w in again)
+        self.now.update(make(list(missing.difference(again))))
+        return self.now
+
+
 def bounded(sizes: list[int], most: int):
     """Slices over consecutive rows whose sizes add up to ``most`` or to one row."""
     start, total = 0, 0

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplark.llm.common import extended, small_batches, strings
+from simplark.llm.common import Memo, extended, small_batches, strings
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-MEMO = 300_000
+MEMO = 200_000
 LONG = 48
 CACHE_BITS = 20
 
@@ -81,7 +81,7 @@ class PieceModel:
 
 
 class Encoder:
-    """Encodes and decodes with a model; keeps the ids of units it has met, up to ``MEMO`` of them."""
+    """Encodes and decodes with a model; keeps the ids of units it has met lately."""
 
     def __init__(self, model: PieceModel):
         self.m = model
@@ -103,7 +103,7 @@ class Encoder:
         self.score = np.append(model.scores, lowest - 10)  # the last is a character without a piece
         n = self.loose
         self.units = re.compile(f"{SPACE}?[^{SPACE}{n}]+|{SPACE}+(?={SPACE}[^{SPACE}{n}])|{SPACE}+" + (f"|{n}+" if n else "") if model.bpe else f"{SPACE}*[^{SPACE}{n}]+|{SPACE}+" + (f"|{n}+" if n else ""))
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO)
         self.raw = [self._bytes(i) for i in range(self.size)]
 
     # -- BPE: which pieces can stand side by side
@@ -276,24 +276,20 @@ class Encoder:
         """The ids of each text."""
         prefix = SPACE if self.m.dummy_prefix else ""
         cut = [self.units.findall(prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = list({u for us in cut for u in us}.difference(self.memo))
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list({u for us in cut for u in us})
-        runs = [u for u in new if self.m.bpe and len(u) > 1 and not u.strip(SPACE)]
-        for u in runs:
-            self.memo[u] = np.array(self._spaces(len(u)), np.int32).tobytes()
-        skip = set(runs)
-        self.memo.update(self.encode_units([u for u in new if u not in skip]))
-        memo, out = self.memo, []
+        memo, out = self.memo.covering(set().union(*cut), self._make), []
         for us, text in zip(cut, texts, strict=True):
             if self.m.bpe and text and (SPACE * 2 in text or "  " in text or (prefix and text[0] in (" ", SPACE))):
-                out.append(np.frombuffer(b"".join(self._with_runs(us)), np.int32))
+                out.append(np.frombuffer(b"".join(self._with_runs(us, memo)), np.int32))
             else:
-                out.append(np.frombuffer(b"".join([memo[u] for u in us]), np.int32))
+                out.append(np.frombuffer(b"".join(map(memo.__getitem__, us)), np.int32))
         return out
 
-    def _with_runs(self, units: list[str]):
+    def _make(self, units: list[str]):
+        runs = {u for u in units if self.m.bpe and len(u) > 1 and not u.strip(SPACE)}
+        yield from ((u, np.array(self._spaces(len(u)), np.int32).tobytes()) for u in runs)
+        yield from self.encode_units([u for u in units if u not in runs]).items()
+
+    def _with_runs(self, units: list[str], memo: dict[str, bytes]):
         """A space that its word leaves alone joins the run before it."""
         lone = np.array([self.by_text.get(SPACE, -1)], np.int32).tobytes()
         run = 0
@@ -301,7 +297,7 @@ class Encoder:
             if not u.strip(SPACE):
                 run = len(u)
                 continue
-            ids = self.memo[u]
+            ids = memo[u]
             if run:
                 joins = u[0] == SPACE and ids[:4] == lone
                 yield np.array(self._spaces(run + joins), np.int32).tobytes()
