@@ -83,4 +83,4 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
         f *= c * d
         if abs(c * d - 1) < 1e-14:
             break
-    return front * f
+    return front * (f - 1)
