@@ -4,7 +4,7 @@ Texts become templates: numbers, names (capitalised words) and units (after a nu
 typed slots. Windows of ``WINDOW`` template tokens of the documents are hash-joined with those of
 the benchmark items. A match maps the item's slot values to the document's; along one alignment
 of an item and a document that mapping must be one to one, else it isn't the same question with
-other values. What remains is measured by the share of the item's windows that the document has.
+other values. What remains is measured by the share of the item's usable windows that the document has.
 
 A second template of each text keeps names as words, so that a copy in another case is found too.
 Windows with fewer than ``LITERALS`` ordinary words say too little and aren't used; items shorter
@@ -120,9 +120,11 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
             for item, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
                 starts, ids, words, forms = templates([text or ""])
                 width = min(WINDOW, len(ids))
-                total = len(ids) - width + 1 if width >= LITERALS else 0
-                for as_names, (h, slot) in zip((True, False), forms, strict=True):
-                    hashes, ok = window_hashes(h, slot, width) if total else (np.zeros(0), np.zeros(0, bool))
+                if width < LITERALS:
+                    continue
+                made = [window_hashes(h, slot, width) for h, slot in forms]
+                total = int((made[0][1] | made[1][1]).sum())
+                for as_names, (_, slot), (hashes, ok) in zip((True, False), forms, made, strict=True):
                     for p in np.flatnonzero(ok).tolist():
                         values = [words[i] for i in ids[p : p + width][slot[p : p + width]].tolist()]
                         rows.append((item, width, as_names, int(hashes[p : p + 1].view(np.int64)[0]), p, values, total))

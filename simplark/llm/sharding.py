@@ -42,7 +42,7 @@ def grown_map(current: list[int], shards: int) -> list[int]:
 
 
 def rebalanced_map(current: list[int], sizes: list[int], shards: int) -> list[int]:
-    """The map after moving slots, one at a time, from the fullest to the emptiest shard while that helps; then by exchanging two."""
+    """The map after moving slots, one at a time, from the fullest shard that can be helped to the emptiest, while any can."""
     out, loads, held = list(current), [0] * shards, [set() for _ in range(shards)]
     for slot, shard in enumerate(out):
         loads[shard] += sizes[slot]
@@ -56,24 +56,30 @@ def rebalanced_map(current: list[int], sizes: list[int], shards: int) -> list[in
         held[to].add(slot)
         loads[to] += sizes[slot]
 
-    for _ in range(4 * len(out)):
-        full, empty = max(range(shards), key=loads.__getitem__), min(range(shards), key=loads.__getitem__)
+    def improved(full: int, empty: int) -> bool:
+        """Bring two shards closer, by moving one slot or else by exchanging two."""
         gap = loads[full] - loads[empty]
         best = min(held[full], key=lambda s: (abs(gap - 2 * sizes[s]), s), default=None)
         if best is not None and abs(gap - 2 * sizes[best]) < gap:
             move(best, empty)
-            continue
-        some = sorted(held[empty], key=sizes.__getitem__)
+            return True
         gain, pair = 0, None
         for a in held[full]:
-            for b in some:
+            for b in held[empty]:
                 left = abs(gap - 2 * (sizes[a] - sizes[b]))
-                if gap - left > gain:
+                if (gap - left, -a, -b) > (gain, 0, 0) and gap - left > 0:
                     gain, pair = gap - left, (a, b)
         if pair is None:
-            break
+            return False
         move(pair[0], empty)
         move(pair[1], full)
+        return True
+
+    for _ in range(4 * len(out)):
+        order = sorted(range(shards), key=lambda s: (-loads[s], s))
+        # A shard that one huge slot fills can't be helped; then the next one is tried.
+        if not any(loads[full] - loads[order[-1]] > 1 and improved(full, order[-1]) for full in order[:-1]):
+            break
     return out
 
 

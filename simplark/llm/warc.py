@@ -101,7 +101,7 @@ class Package:
         tail_at = max(0, self.size - 65557)
         tail = self.read(tail_at, self.size - tail_at)
         at = tail.rfind(b"PK\x05\x06")
-        while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):  # it may stand in the comment too
+        while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):  # it may stand in the comment too
             at = tail.rfind(b"PK\x05\x06", 0, at)
         if at < 0:
             raise ValueError("no end of central directory")
