@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -53,7 +55,7 @@ def checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> None:
     """Bound what one Arrow batch holds, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
@@ -83,6 +85,27 @@ def extended(df: DataFrame, ddl: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+_HELD: dict[object, object] = {}
+
+
+def held_by_worker(key: object, make):
+    """What ``make`` gives, kept in this Python worker for later tasks with the same key.
+
+    Only one thing is kept: a worker serves one operator after another, and what the last one
+    remembered goes back to the system.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # other C libraries have no such call
+            pass
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class Memo:
     """What words were encoded to, for the words met lately: two generations of at most ``most`` each.
 

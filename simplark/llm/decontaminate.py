@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from simplark.llm.common import checked, cut, extended, small_batches, strings
+from simplark.llm.common import checked, cut, extended, held_by_worker, small_batches, strings
 
 WINDOW = 8
 LITERALS = 5
@@ -72,29 +72,27 @@ class Tokens(dict):
         return k
 
 
-_TOKENS = Tokens()
-
-
 def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[tuple[np.ndarray, np.ndarray]]]:
     """(document starts, token numbers, their texts, [(template hashes, is a slot)] with names as slots and as words)."""
-    global _TOKENS
-    if len(_TOKENS) > MEMO:
-        _TOKENS = Tokens()
+    known: Tokens = held_by_worker("decontaminate", Tokens)
+    if len(known) > MEMO:
+        known.__init__()
+        known.clear()
     found = [TOKEN.findall(t) for t in texts]
     starts = np.concatenate(([0], np.cumsum([len(x) for x in found])))
-    get = _TOKENS.__getitem__
+    get = known.__getitem__
     ids = np.fromiter((get(w) for ws in found for w in ws), np.int64, starts[-1])
-    kind = _TOKENS.kind[ids]
+    kind = known.kind[ids]
     number = kind == NUMBER
     unit = np.zeros(len(ids), bool)
     if len(ids):
-        unit[1:] = _TOKENS.unit[ids[1:]] & number[:-1]
+        unit[1:] = known.unit[ids[1:]] & number[:-1]
         unit[starts[:-1][starts[:-1] < len(ids)]] = False
-    low = _TOKENS.hash[ids]
+    low = known.hash[ids]
     fixed = np.where(number, np.uint64(1), np.where(unit, np.uint64(2), low))
     slot = number | unit
     name = (kind == NAME) & ~unit
-    return starts, ids, _TOKENS.texts, [(np.where(name, np.uint64(3), fixed), slot | name), (fixed, slot)]
+    return starts, ids, known.texts, [(np.where(name, np.uint64(3), fixed), slot | name), (fixed, slot)]
 
 
 def window_hashes(h: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

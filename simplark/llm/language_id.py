@@ -20,25 +20,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simplark.llm.common import bounded, fold, small_batches, strings
+from simplark.llm.common import bounded, fold, held_by_worker, small_batches, strings
 
 ORDERS = (1, 2, 3)
 BITS = 16
 UNDETERMINED = "und"
-_LETTERS: np.ndarray | None = None
 
 
 def letters() -> np.ndarray:
     """For each code point its lower-case letter, or a space."""
-    global _LETTERS
-    if _LETTERS is None:
-        table = np.full(0x110000, 32, np.uint32)
-        for c in range(0x110000):
-            if (x := chr(c)).isalpha():
-                low = x.lower()
-                table[c] = ord(low) if len(low) == 1 else c
-        _LETTERS = table
-    return _LETTERS
+    table = np.full(0x110000, 32, np.uint32)
+    for c in range(0x110000):
+        if (x := chr(c)).isalpha():
+            low = x.lower()
+            table[c] = ord(low) if len(low) == 1 else c
+    return table
 
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -47,7 +43,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     Every run of other characters is one space, and a space begins and ends each document.
     An n-gram that would leave its document has the bucket 2**BITS, whose weights are zero.
     """
-    codes = letters()[np.frombuffer(("".join(f" {x} " for x in texts)).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    codes = held_by_worker("letters", letters)[np.frombuffer(("".join(f" {x} " for x in texts)).encode("utf-32-le", "surrogatepass"), np.uint32)]
     lengths = np.array([len(x) + 2 for x in texts])
     ends = np.cumsum(lengths)
     firsts = ends - lengths
@@ -84,7 +80,7 @@ class LanguageModel:
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         labels, scores = [], []
-        for part in bounded([len(x or "") for x in texts], 1 << 20):
+        for part in bounded([len(x or "") for x in texts], 1 << 19):
             found, sure = self._block([x or "" for x in texts[part]])
             labels += found
             scores += sure
@@ -144,7 +140,7 @@ def train(
                 by.setdefault(l, []).append(t)
             for l, texts in by.items():
                 total = sums.setdefault(l, np.zeros((1 << BITS) + 1, np.int64))
-                for part in bounded([len(x) for x in texts], 1 << 20):
+                for part in bounded([len(x) for x in texts], 1 << 19):
                     for h in ngrams(texts[part])[1]:
                         total += np.bincount(h, minlength=(1 << BITS) + 1)
         for l, total in sums.items():

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplark.llm.common import Memo, extended, small_batches, strings
+from simplark.llm.common import Memo, extended, held_by_worker, small_batches, strings
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -322,15 +322,9 @@ class Encoder:
         return raw.decode("utf-8", "replace")
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoder_of(held) -> Encoder:
-    """One encoder for each model and Python worker, so that its memo lasts over tasks."""
-    if held.id not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[held.id] = Encoder(held.value)
-    return _ENCODERS[held.id]
+    """One encoder for each Python worker, so that its memo lasts over tasks."""
+    return held_by_worker(("sentencepiece", held.id), lambda: Encoder(held.value))
 
 
 class _Held:
@@ -350,7 +344,7 @@ def encode(docs: DataFrame, model_path: str, keep: list[str] | None = None, text
     round_trip says whether decoding gives back the text (null: the empty text).
     """
     spark = docs.sparkSession
-    small_batches(spark, rows=4000)
+    small_batches(spark, rows=1000)
     held = _Held(spark, PieceModel(model_path))
     keep = docs.columns if keep is None else keep
     new = ["ids", "n_ids", "decoded", "round_trip"]

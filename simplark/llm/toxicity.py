@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from simplark.llm.common import bounded, extended, small_batches, strings
+from simplark.llm.common import bounded, extended, held_by_worker, small_batches, strings
 
 BITS = 18
 WORD = re.compile(r"[^\W_]+")
 STEP = np.uint64(0x9E3779B97F4A7C15)
-MEMO = 500_000
+MEMO = 200_000
 
 
 class Words(dict):
@@ -37,16 +37,14 @@ class Words(dict):
         return h
 
 
-_WORDS = Words()
-
-
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of all features of the texts, repeats included."""
-    if len(_WORDS) > MEMO:
-        _WORDS.clear()
+    known: Words = held_by_worker("toxicity", Words)
+    if len(known) > MEMO:
+        known.clear()
     found = [WORD.findall(t.lower()) for t in texts]
     counts = np.array([len(x) for x in found], np.int64)
-    get = _WORDS.__getitem__
+    get = known.__getitem__
     h = np.fromiter((get(w) for ws in found for w in ws), np.uint64, counts.sum())
     doc = np.repeat(np.arange(len(texts)), counts)
     out = [(doc, h)]
