@@ -155,7 +155,7 @@ LF = "lgamma({} + 1)"
 ORACLE_SQL = {
     "p1_truncate": f"WITH {I.CELLS} SELECT cell_id, round(vec[1], 6) AS x0, round(vec[2], 6) AS x1, round(vec[3], 6) AS x2 FROM cells",
     "p20_softmax": f"""WITH {I.CELLS}, v AS (SELECT cell_id, i - 1 AS i, vec[i] AS x FROM cells, range(1, 6) t(i)), m AS (SELECT cell_id, max(x) AS top, sum(exp(x)) AS s, sum(greatest(x, 0)) AS b FROM v GROUP BY 1)
-        SELECT cell_id, round(exp(top) / s, 6) AS softmax_max, 1.0 AS softmax_sum, round(greatest(top, 0) / (b + 1e-8), 6) AS bary_max,
+        SELECT cell_id, round(exp(top) / s, 6) AS softmax_max, 1.0::DOUBLE AS softmax_sum, round(greatest(top, 0) / (b + 1e-8), 6) AS bary_max,
         CAST((SELECT min(i) FROM v WHERE v.cell_id = m.cell_id AND v.x = top) AS INT) AS top FROM m""",
     "a2_distances": f"""WITH {A_SQL} SELECT cell_id, {D6}, CAST(arg_min(archetype_idx, (distance, archetype_idx)) AS INT) AS nearest_archetype, round(min(distance), 6) AS nearest_distance,
         round(avg(distance), 6) AS mean_distance, round(stddev_pop(distance), 6) AS std_distance FROM dist GROUP BY cell_id""",

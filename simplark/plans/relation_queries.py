@@ -282,7 +282,7 @@ ORACLE_SQL = {
         e AS (SELECT archetype, quantile_cont(own, 0.8) AS edge FROM o GROUP BY 1) SELECT cell_id, archetype FROM o JOIN e USING (archetype) WHERE own >= edge""",
     "r9_transitions": f"""WITH {I.bins_sql()}, {C.WEIGHTS}, {KNN}, s AS (SELECT cell_id, 'archetype_' || (archetype_idx + 1) AS source FROM ws WHERE x > 0.5 UNION ALL SELECT cell_id, archetype FROM assigned WHERE archetype = 'archetype_0'),
         f AS (SELECT src AS cell_id, archetype AS target, round(count(*) / {NEIGHBOURS}.0, 9) AS prob FROM edges JOIN assigned ON assigned.cell_id = dst GROUP BY 1, 2) SELECT source, target, count(*) AS n FROM s JOIN f USING (cell_id) WHERE prob > 0.3 GROUP BY 1, 2""",
-    "r11_diagnose": f"WITH {I.CELLS}, {KNN} SELECT count(DISTINCT src) AS n_rows, 0.0 AS max_row_error, max(CASE WHEN EXISTS (SELECT 1 FROM edges b WHERE b.src = e.dst AND b.dst = e.src) THEN 0.0 ELSE {1 / NEIGHBOURS} END) AS max_asymmetry FROM edges e",
+    "r11_diagnose": f"WITH {I.CELLS}, {KNN} SELECT count(DISTINCT src) AS n_rows, 0.0::DOUBLE AS max_row_error, max(CASE WHEN EXISTS (SELECT 1 FROM edges b WHERE b.src = e.dst AND b.dst = e.src) THEN 0.0::DOUBLE ELSE {1 / NEIGHBOURS}::DOUBLE END) AS max_asymmetry FROM edges e",
     "r12_paga": f"""WITH {I.CELLS}, {KNN}, n AS (SELECT x.label AS a, y.label AS b, count(*) AS n FROM edges JOIN cells x ON x.cell_id = src JOIN cells y ON y.cell_id = dst GROUP BY 1, 2),
         o AS (SELECT a, sum(n) AS o FROM n GROUP BY 1), z AS (SELECT label, count(*) AS s FROM cells GROUP BY 1), u AS (SELECT a, b, sum(n) AS n FROM (SELECT a, b, n FROM n WHERE a <> b UNION ALL SELECT b, a, n FROM n WHERE a <> b) GROUP BY 1, 2)
         SELECT u.a, u.b, round(least(1.0, u.n / ((oa.o * zb.s + ob.o * za.s) / ((SELECT count(*) FROM cells) - 1.0))), 6) AS connectivity FROM u JOIN o oa ON oa.a = u.a JOIN o ob ON ob.a = u.b JOIN z za ON za.label = u.a JOIN z zb ON zb.label = u.b""",
