@@ -292,7 +292,3 @@ def lineage_drivers(values: DataFrame, fates: DataFrame, lineage: str, n_genes:
     """The features that correlate most with the fate of a lineage."""
     target = fates.where(F.col("lineage") == lineage).select("cell_id", F.col("prob").alias("y"))
     return spearman(values, target).withColumn("lineage", F.lit(lineage)).orderBy(F.desc("correlation"), "feature").limit(n_genes)
-
-
-def in_bands(value: Column, bands: Sequence[float]) -> Column:
-    return F.array_position(F.transform(F.lit(list(bands)), lambda e: value <= e), True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -42,10 +43,31 @@ def variable_features(values: DataFrame, n_cells: int, top: int = 2000) -> DataF
     return s.withColumn("dispersion", F.col("var") / F.col("mean")).orderBy(F.desc("dispersion"), "feature").limit(top)
 
 
-def gram(values: DataFrame) -> DataFrame:
-    """f, g, s: sums of products of two features over cells, from the pairs that occur in a cell."""
-    other = values.select("cell_id", F.col("feature").alias("g"), F.col("value").alias("y"))
-    return values.select("cell_id", F.col("feature").alias("f"), F.col("value").alias("x")).join(other, "cell_id").groupBy("f", "g").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+def gram(values: DataFrame, names: list[str]) -> np.ndarray:
+    """Sums of products of features over cells.
+
+    Each task adds up dense products of its cells' rows, 512 cells at a time; what is shuffled is a
+    row of the matrix for each feature and task.
+    """
+    at = {f: i for i, f in enumerate(names)}
+    cells = values.groupBy("cell_id").agg(F.collect_list("feature").alias("f"), F.collect_list("value").alias("x"))
+
+    def add(batches):
+        total = np.zeros((len(names), len(names)))
+        for pdf in batches:
+            for i in range(0, len(pdf), 512):
+                part = pdf.iloc[i : i + 512]
+                rows = np.zeros((len(part), len(names)))
+                for k, (fs, xs) in enumerate(zip(part["f"], part["x"], strict=True)):
+                    rows[k, [at[f] for f in fs]] = xs
+                total += rows.T @ rows
+        yield pd.DataFrame({"i": range(len(names)), "row": list(total)})
+
+    parts = cells.mapInPandas(add, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x"))
+    out = np.zeros((len(names), len(names)))
+    for r in parts.groupBy("i", "j").agg(F.sum("x").alias("x")).where("x <> 0").toLocalIterator():
+        out[r.i, r.j] = r.x
+    return out
 
 
 def lsi(values: DataFrame, n_components: int = 50, drop_first: bool = True, most_features: int = 4000) -> DataFrame:
@@ -59,9 +81,7 @@ def lsi(values: DataFrame, n_components: int = 50, drop_first: bool = True, most
     if len(names) > most_features:
         raise ValueError(f"more than {most_features} features: choose variable ones first")
     at = {f: i for i, f in enumerate(names)}
-    m = np.zeros((len(names), len(names)))
-    for r in gram(t).collect():
-        m[at[r.f], at[r.g]] = r.s
+    m = gram(t, names)
     k = max(1, min(n_components, len(names) - 2))
     _, vectors = np.linalg.eigh(m)
     v = vectors[:, ::-1][:, :k]

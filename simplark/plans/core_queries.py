@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplark.functions import special
 from simplark.functions import vectors as V
 from simplark.operators import archetypes as A
 from simplark.operators import stats as S

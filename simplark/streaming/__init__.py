@@ -1 +1 @@
-
+"""None of the operators is a stream; the package stands for what later rounds may add."""
