@@ -7,8 +7,12 @@ of an item and a document that mapping must be one to one, else it isn't the sam
 other values. What remains is measured by the share of the item's usable windows that the document has.
 
 A second template of each text keeps names as words, so that a copy in another case is found too.
-Windows with fewer than ``LITERALS`` ordinary words say too little and aren't used; items shorter
-than a window are matched as a whole if they have ``LITERALS`` ordinary words.
+Each of the two forms is measured against its own usable windows, and the larger share counts: a copy
+with other names can't match windows that only names as words make usable. Windows with fewer than
+``SEED`` ordinary words say too little and aren't used; an alignment needs ``LITERALS`` of them in all
+its windows. Items shorter than a window are matched as a whole if they have ``LITERALS`` ordinary words.
+Beside the share, an excerpt is enough: ``RUN`` tokens in a row of one alignment, ``RUN_WORDS`` of
+them ordinary words.
 
 Documents drop windows that no item has before anything is shuffled: the items' window hashes are
 broadcast in blocks of at most ``BLOCK`` hashes (8 bytes each), with one pass over the documents
@@ -34,8 +38,11 @@ from xxhash import xxh64_intdigest
 from simplark.llm.common import checked, cut, extended, held_by_worker, small_batches, strings
 
 WINDOW = 8
+SEED = 2
 LITERALS = 5
 COVERAGE = 0.5
+RUN = 14
+RUN_WORDS = 8
 BLOCK = 4_000_000
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+")
 #: Unit words that are slots after a number.
@@ -103,14 +110,17 @@ def window_hashes(h: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarr
         out = (out ^ h[k : k + n]) * STEP
         out ^= out >> np.uint64(31)
     words = np.concatenate(([0], np.cumsum(~slot)))
-    return out, words[width:][:n] - words[:n] >= LITERALS
+    return out, words[width:][:n] - words[:n] >= (SEED if width == WINDOW else LITERALS)
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, width, as_names, hash, item_pos, item_slots, n_windows) of every window of every item."""
+    """(item_id, width, as_names, hash, item_pos, item_slots, item_words, n_windows) of every usable window of every item.
+
+    ``item_words`` are the places of its ordinary words, ``n_windows`` is how many windows the item has in this form.
+    """
     small_batches(items.sparkSession)
     shaped = items.select(F.col(key).alias("item_id"), F.col(text).alias("t"))
-    schema = extended(shaped.select("item_id"), "width int, as_names boolean, hash long, item_pos int, item_slots array<string>, n_windows int")
+    schema = extended(shaped.select("item_id"), "width int, as_names boolean, hash long, item_pos int, item_slots array<string>, item_words array<int>, n_windows int")
 
     def run(batches):
         for batch in batches:
@@ -120,12 +130,14 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
                 width = min(WINDOW, len(ids))
                 if width < LITERALS:
                     continue
-                made = [window_hashes(h, slot, width) for h, slot in forms]
-                total = int((made[0][1] | made[1][1]).sum())
-                for as_names, (_, slot), (hashes, ok) in zip((True, False), forms, made, strict=True):
+                for as_names, (h, slot) in zip((True, False), forms, strict=True):
+                    hashes, ok = window_hashes(h, slot, width)
+                    if (~slot).sum() < LITERALS:  # no alignment can have enough
+                        continue
                     for p in np.flatnonzero(ok).tolist():
                         values = [words[i] for i in ids[p : p + width][slot[p : p + width]].tolist()]
-                        rows.append((item, width, as_names, int(hashes[p : p + 1].view(np.int64)[0]), p, values, total))
+                        plain = (p + np.flatnonzero(~slot[p : p + width])).tolist()
+                        rows.append((item, width, as_names, int(hashes[p : p + 1].view(np.int64)[0]), p, values, plain, int(ok.sum())))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=to_arrow(schema))
 
     return shaped.mapInArrow(run, schema)
@@ -161,7 +173,6 @@ def document_hits(docs: DataFrame, hashes: np.ndarray, widths: list[int], key: s
             starts, ids, words, forms = templates([x or "" for x in strings(batch.column(1))])
             rows = []
             for width in widths:
-                seen = None
                 for as_names, (h, slot) in zip((True, False), forms, strict=True):
                     hashes, ok = window_hashes(h, slot, width)
                     at = among(hashes)
@@ -169,10 +180,6 @@ def document_hits(docs: DataFrame, hashes: np.ndarray, widths: list[int], key: s
                     owner = np.searchsorted(starts, at, side="right") - 1
                     inside = at + width <= starts[owner + 1]
                     at, owner = at[inside], owner[inside]
-                    if seen is not None:  # found with names as slots already
-                        new = ~np.isin(at, seen)
-                        at, owner = at[new], owner[new]
-                    seen = at
                     for p, o, x in zip(at.tolist(), owner.tolist(), hashes[at].view(np.int64).tolist(), strict=True):
                         values = [words[i] for i in ids[p : p + width][slot[p : p + width]].tolist()]
                         rows.append((keys[o], width, as_names, x, p - int(starts[o]), values))
@@ -182,15 +189,49 @@ def document_hits(docs: DataFrame, hashes: np.ndarray, widths: list[int], key: s
     return shaped.mapInArrow(run, schema)
 
 
-def one_to_one(pairs):
-    """Whether (item value, document value) pairs map both ways without contradiction."""
-    distinct = F.array_distinct(pairs)
-    of_item, of_doc = (F.size(F.array_distinct(distinct.getField(f))) for f in ("item_slots", "doc_slots"))
-    return (F.size(distinct) == of_item) & (F.size(distinct) == of_doc)
+def consistent(windows: list[dict]) -> list[dict]:
+    """The windows of one alignment, or none if their (item value, document value) pairs don't map both ways without contradiction."""
+    pairs = {pair for w in windows for pair in zip(w["item_slots"], w["doc_slots"], strict=True)}
+    return windows if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) else []
+
+
+def evidence(windows: list[dict]) -> tuple[list[int], bool, bool]:
+    """(places of the matched windows, whether there is an excerpt of RUN tokens, whether no value differs) of one alignment."""
+    windows = sorted(consistent(windows), key=lambda w: w["item_pos"])
+    runs: list[list] = []  # [first token, token after the last, ordinary words]
+    for w in windows:
+        at, end = w["item_pos"], w["item_pos"] + w["width"]
+        if not runs or at > runs[-1][1]:
+            runs.append([at, end, set()])
+        runs[-1][1] = max(end, runs[-1][1])
+        runs[-1][2].update(w["item_words"])
+    if sum(len(x) for _, _, x in runs) < LITERALS:
+        return [], False, True
+    excerpt = any(end - at >= RUN and len(x) >= RUN_WORDS for at, end, x in runs)
+    return sorted({w["item_pos"] for w in windows}), excerpt, all(w["item_slots"] == w["doc_slots"] for w in windows)
+
+
+def alignments(found: DataFrame) -> DataFrame:
+    """(doc_id, item_id, as_names, places, excerpt, verbatim) of each alignment; its windows are as many as the item's at most."""
+    shift = (F.col("doc_pos") - F.col("item_pos")).alias("shift")
+    windows = F.collect_set(F.struct("width", "item_pos", "item_slots", "doc_slots", "item_words")).alias("windows")
+    grouped = found.where(F.size("item_slots") == F.size("doc_slots")).groupBy("doc_id", "item_id", "as_names", shift).agg(windows).drop("shift")
+    schema = extended(grouped.drop("windows"), "places array<int>, excerpt boolean, verbatim boolean")
+
+    def run(batches):
+        for batch in batches:
+            made = [evidence(x) for x in batch.column(3).to_pylist()]
+            places, excerpt, verbatim = zip(*made, strict=True) if made else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.list_(pa.int32())), pa.array(excerpt, pa.bool_()), pa.array(verbatim, pa.bool_())], schema.names)
+
+    return grouped.mapInArrow(run, schema).where(F.size("places") > 0)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, item_id, coverage, n_windows, verbatim of each document with at least ``coverage`` of an item's windows."""
+    """doc_id, item_id, coverage, n_windows, verbatim of each document with at least ``coverage`` of an item's windows, or an excerpt of it.
+
+    Coverage and windows are those of the form that matches more. An excerpt's coverage may be below ``coverage``.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     windows = cut(item_windows(items, item_key, item_text))
@@ -203,27 +244,22 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         some = blocks.where((F.xxhash64("hash") % passes + passes) % passes == k).select("hash").toPandas()["hash"].to_numpy(np.int64)
         if len(some):
             hits.append(document_hits(docs, np.sort(some.view(np.uint64)), widths, key, text))
-    sizes = windows.groupBy("item_id").agg(F.max("n_windows").alias("of"))
+    sizes = windows.groupBy("item_id", "as_names").agg(F.max("n_windows").alias("of"))
     if not hits:
         hits.append(document_hits(docs.limit(0), np.zeros(1, np.uint64), [], key, text))
     found = reduce(DataFrame.unionByName, hits).join(windows.drop("n_windows"), ["width", "as_names", "hash"])
-    pairs = F.arrays_zip("item_slots", "doc_slots")
-    aligned = (
-        found.where(F.size("item_slots") == F.size("doc_slots"))
-        .groupBy("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
-        .agg(
-            F.collect_set("item_pos").alias("places"),
-            F.flatten(F.collect_set(pairs)).alias("pairs"),
-            F.min(F.col("item_slots") == F.col("doc_slots")).alias("verbatim"),
-        )
-        .where(one_to_one(F.col("pairs")))
+    by_form = (
+        alignments(found)
+        .groupBy("doc_id", "item_id", "as_names")
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.max("excerpt").alias("excerpt"), F.min("verbatim").alias("verbatim"))
+        .join(sizes, ["item_id", "as_names"])
+        .withColumn("best", F.struct((F.col("n_windows") / F.col("of")).alias("coverage"), "n_windows"))
     )
     return (
-        aligned.groupBy("doc_id", "item_id")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.min("verbatim").alias("verbatim"))
-        .join(sizes, "item_id")
-        .select("doc_id", "item_id", (F.col("n_windows") / F.col("of")).alias("coverage"), "n_windows", "verbatim")
-        .where(F.col("coverage") >= coverage)
+        by_form.groupBy("doc_id", "item_id")
+        .agg(F.max("best").alias("best"), F.max("excerpt").alias("excerpt"), F.min("verbatim").alias("verbatim"))
+        .where((F.col("best.coverage") >= coverage) | F.col("excerpt"))
+        .select("doc_id", "item_id", "best.coverage", "best.n_windows", "verbatim")
     )
 
 

@@ -180,6 +180,22 @@ def test_inconsistent_slots_are_refused(spark):
     assert out == {0}
 
 
+def test_renamed_and_renumbered_questions_and_excerpts(spark):
+    apples = "John has 12 apples. Mary has 15 apples. Bill has 7 apples. Who has the most apples?"
+    walks = "Maria walks 4 miles on Monday and 6 miles on Tuesday. Peter walks 3 miles each day. How many miles does Maria walk more than Peter?"
+    excerpted = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    other_apples = "Tom has 4 apples. Eve has 19 apples. Zoe has 8 apples. Who has the most apples?"
+    other_walks = "Clara walks 9 miles on Friday and 2 miles on Sunday. Hugo walks 5 miles each day. How many miles does Clara walk more than Hugo?"
+    part = " ".join(excerpted.split()[20:34])
+    weak = "Tom has 4 apples. Eve has 19 apples on the table."  # the only common windows have four ordinary words
+    short = " ".join(excerpted.split()[20:30])
+    items = [(1, apples), (2, walks), (3, excerpted)]
+    out = {(r.doc_id, r.item_id): r for r in leaks(spark, [f"see {other_apples} end", f"see {other_walks} end", f"before {part} after", weak, short], items).collect()}
+    assert set(out) == {(0, 1), (1, 2), (2, 3)}
+    assert out[0, 1].coverage == 1 and out[1, 2].coverage == 1 and out[2, 3].coverage < 0.5
+    assert not out[0, 1].verbatim and out[2, 3].verbatim
+
+
 def test_decontamination_stage(spark):
     docs = spark.createDataFrame([(1, f"x {ITEM}", "a"), (2, "clean", "b"), (2, "clean", "b"), (None, "clean", "c")], "doc_id long, text string, __d string")
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
