@@ -3,8 +3,9 @@
 Texts become templates: numbers, names (capitalised words) and units (after a number) turn into
 typed slots. Windows of ``WINDOW`` template tokens of the documents are hash-joined with those of
 the benchmark items. A match maps the item's slot values to the document's; along one alignment
-of an item and a document that mapping must be one to one, else it isn't the same question with
-other values. What remains is measured by the share of the item's usable windows that the document has.
+of an item and a document each item value must map to one document value of its slot type (two
+may share one). Windows with a value that maps to several are dropped, unless they have the
+item's own values word for word. What remains is measured by the share of the item's usable windows that the document has.
 
 A second template of each text keeps names as words, so that a copy in another case is found too.
 Each of the two forms is measured against its own usable windows, and the larger share counts: a copy
@@ -102,6 +103,11 @@ def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list
     return starts, ids, known.texts, [(np.where(name, np.uint64(3), fixed), slot | name), (fixed, slot)]
 
 
+def slot_values(words: list[str], ids: np.ndarray, h: np.ndarray, slot: np.ndarray) -> list[str]:
+    """The values of a window's slots, each behind its type (1 number, 2 unit, 3 name)."""
+    return [f"{kind}:{words[i]}" for i, kind in zip(ids[slot].tolist(), h[slot].tolist(), strict=True)]
+
+
 def window_hashes(h: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each window by its first token, and whether it has enough ordinary words."""
     n = max(0, len(h) - width + 1)
@@ -135,7 +141,7 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
                     if (~slot).sum() < LITERALS:  # no alignment can have enough
                         continue
                     for p in np.flatnonzero(ok).tolist():
-                        values = [words[i] for i in ids[p : p + width][slot[p : p + width]].tolist()]
+                        values = slot_values(words, ids[p : p + width], h[p : p + width], slot[p : p + width])
                         plain = (p + np.flatnonzero(~slot[p : p + width])).tolist()
                         rows.append((item, width, as_names, int(hashes[p : p + 1].view(np.int64)[0]), p, values, plain, int(ok.sum())))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=to_arrow(schema))
@@ -181,7 +187,7 @@ def document_hits(docs: DataFrame, hashes: np.ndarray, widths: list[int], key: s
                     inside = at + width <= starts[owner + 1]
                     at, owner = at[inside], owner[inside]
                     for p, o, x in zip(at.tolist(), owner.tolist(), hashes[at].view(np.int64).tolist(), strict=True):
-                        values = [words[i] for i in ids[p : p + width][slot[p : p + width]].tolist()]
+                        values = slot_values(words, ids[p : p + width], h[p : p + width], slot[p : p + width])
                         rows.append((keys[o], width, as_names, x, p - int(starts[o]), values))
             for i in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[i : i + 20_000]], schema=arrow)
@@ -190,9 +196,12 @@ def document_hits(docs: DataFrame, hashes: np.ndarray, widths: list[int], key: s
 
 
 def consistent(windows: list[dict]) -> list[dict]:
-    """The windows of one alignment, or none if their (item value, document value) pairs don't map both ways without contradiction."""
-    pairs = {pair for w in windows for pair in zip(w["item_slots"], w["doc_slots"], strict=True)}
-    return windows if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) else []
+    """The windows of one alignment without those whose item values map to several document values, unless all their values are the item's."""
+    values: dict[str, set[str]] = {}
+    for w in windows:
+        for a, b in zip(w["item_slots"], w["doc_slots"], strict=True):
+            values.setdefault(a, set()).add(b)
+    return [w for w in windows if w["item_slots"] == w["doc_slots"] or all(len(values[a]) == 1 for a in w["item_slots"])]
 
 
 def evidence(windows: list[dict]) -> tuple[list[int], bool, bool]:

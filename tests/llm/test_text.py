@@ -196,6 +196,20 @@ def test_renamed_and_renumbered_questions_and_excerpts(spark):
     assert not out[0, 1].verbatim and out[2, 3].verbatim
 
 
+def test_equal_draws_and_single_edits_are_found(spark):
+    cards = "John buys 3 red cards and 4 blue cards in the shop and asks how much he pays for all cards together"
+    equal = cards.replace("John", "Tom").replace("3", "5").replace("4", "5")
+    birds = "Today Anna counts birds near the old mill by the river and writes each kind down in a thick book before she walks home to tell Anna about them"
+    edited = birds.replace("tell Anna", "tell Maria")
+    miles = "Miles walks 4 miles to the small shop at the corner and then back to the house where Miles lives"
+    kept = miles.replace("Miles", "Peter").replace("4 miles", "9 km")  # a name and a unit that are written alike
+    out = {(r.doc_id, r.item_id): r for r in leaks(spark, [equal, edited, kept], [(1, cards), (2, birds), (3, miles)]).collect()}
+    assert set(out) == {(0, 1), (1, 2), (2, 3)}
+    assert out[0, 1].coverage == 1 and out[2, 3].coverage == 1
+    windows = [{"item_slots": a, "doc_slots": b} for a, b in ((["3:anna"], ["3:anna"]), (["3:anna"], ["3:maria"]), (["1:3", "1:4"], ["1:5", "1:5"]))]
+    assert decontaminate.consistent(windows) == [windows[0], windows[2]]
+
+
 def test_decontamination_stage(spark):
     docs = spark.createDataFrame([(1, f"x {ITEM}", "a"), (2, "clean", "b"), (2, "clean", "b"), (None, "clean", "c")], "doc_id long, text string, __d string")
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
