@@ -185,33 +185,63 @@ def diagnose_transitions(transitions: DataFrame) -> DataFrame:
     return sums.crossJoin(gap)
 
 
-def fate_probabilities(transitions: DataFrame, terminal: DataFrame, rounds: int = 200, tolerance: float = 1e-6, every: int = 10, dense_edges: int = 100_000) -> DataFrame:
+def fate_probabilities(transitions: DataFrame, terminal: DataFrame, rounds: int = 20_000, tolerance: float = 1e-6, every: int = 10, dense_edges: int = 100_000, growth: int = 100, least: int = 1_000_000) -> DataFrame:
     """cell_id, lineage, prob: the chance that a walk from the cell is absorbed by a lineage's terminal cells.
 
-    Graphs of up to ``dense_edges`` edges are solved at once, (I - Q) F = R. Larger ones go
-    F <- Q F + R by join and aggregation, materialised every few rounds, until no entry moves by
-    ``tolerance``. Terminal cells have their own lineage with certainty.
+    Graphs of up to ``dense_edges`` edges are solved at once, (I - Q) F = R. Larger ones are solved by
+    joins: the chain is squared as long as that makes at most ``growth`` rows an edge (or ``least``
+    rows), then F <- P F runs over those longer steps. Cells from which no terminal can be reached take
+    walks up as well, so each cell's chances add up to one in the end; what a sum lacks bounds the error
+    of its cell, and the loop ends when no cell lacks ``tolerance``. It raises if ``rounds`` don't get there.
+    Terminal cells have their own lineage with certainty.
     """
     few = transitions.limit(dense_edges + 1).toPandas()
     if len(few) <= dense_edges:
         return solved_fates(transitions.sparkSession, few, terminal.toPandas())
-    fixed = terminal.select("cell_id", F.col("archetype").alias("lineage"), F.lit(1.0).alias("prob"))
-    inner = transitions.join(terminal.select(F.col("cell_id").alias("src")), "src", "left_anti")
-    now = fixed.checkpoint()
+    ends = terminal.select("cell_id")
+    chain = stepping(transitions, ends)
+    most = max(growth * chain.count(), least)
+    now = terminal.select("cell_id", F.col("archetype").alias("lineage"), F.lit(1.0).alias("prob")).checkpoint()
+    # Cells that lead to a terminal: the others keep what comes to them.
+    live, n = ends.distinct().checkpoint(), -1
+    while n != (n := live.count()):
+        more = chain.join(live.withColumnRenamed("cell_id", "dst"), "dst", "left_semi").select(F.col("src").alias("cell_id"))
+        live = live.unionByName(more).distinct().checkpoint()
+    cells = transitions.select(F.col("src").alias("cell_id")).unionByName(transitions.select(F.col("dst").alias("cell_id"))).distinct()
+    dead = cells.join(live, "cell_id", "left_anti").checkpoint()
+    chain = stepping(chain, dead)
+    now = now.unionByName(dead.select("cell_id", F.lit(None).cast("string").alias("lineage"), F.lit(1.0).alias("prob"))).checkpoint()
+    cells = cells.unionByName(ends).distinct().checkpoint()
+    squaring = True
     for i in range(1, rounds + 1):
-        step = inner.join(now.withColumnRenamed("cell_id", "dst"), "dst").groupBy(F.col("src").alias("cell_id"), "lineage").agg(F.sum(F.col("p") * F.col("prob")).alias("prob"))
-        new = step.unionByName(fixed)
-        if i % every == 0:
-            new = new.checkpoint()
-            moved = new.join(now.withColumnRenamed("prob", "old"), ["cell_id", "lineage"], "left").agg(F.max(F.abs(F.col("prob") - F.coalesce("old", F.lit(0.0))))).first()[0]
-            if moved is None or moved < tolerance:
-                return new
-        now = new
-    return now
-
-
-def solved_fates(spark, edges: pd.DataFrame, ends: pd.DataFrame, most: int = 4000) -> DataFrame:
-    """The fates of a small graph, by sweeps over its edges (more than ``most`` cells) or a dense solution."""
+        if squaring:
+            out = chain.groupBy(F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+            squaring = chain.join(out, "dst").agg(F.sum("n")).first()[0] <= most
+        if squaring:
+            second = chain.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("p").alias("q"))
+            chain = chain.join(second, "dst").groupBy("src", F.col("end").alias("dst")).agg(F.sum(F.col("p") * F.col("q")).alias("p")).checkpoint()
+        now = chain.join(now.withColumnRenamed("cell_id", "dst"), "dst").groupBy(F.col("src").alias("cell_id"), "lineage").agg(F.sum(F.col("p") * F.col("prob")).alias("prob"))
+        if squaring or i % every == 0 or i == rounds:
+            now = now.checkpoint()
+            sums = now.groupBy("cell_id").agg(F.sum("prob").alias("s"))
+            lacks = cells.join(sums, "cell_id", "left").agg(F.max(1 - F.coalesce("s", F.lit(0.0)))).first()[0]
+            if lacks < tolerance:
+                return now.where(F.col("lineage").isNotNull())
+    raise RuntimeError(f"fates after {rounds} rounds: a cell lacks {lacks:.3g} of its probability")
+
+
+def stepping(transitions: DataFrame, ends: DataFrame) -> DataFrame:
+    """src, dst, p of the chain that stays where it is in the cells ``ends``."""
+    stay = ends.distinct().select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(1.0).alias("p"))
+    return transitions.select("src", "dst", "p").join(stay.select("src"), "src", "left_anti").unionByName(stay).checkpoint()
+
+
+def solved_fates(spark, edges: pd.DataFrame, ends: pd.DataFrame, most: int = 4000, sweeps: int = 1_000_000) -> DataFrame:
+    """The fates of a small graph, by sweeps over its edges (more than ``most`` cells) or a dense solution.
+
+    Cells from which no terminal can be reached have no fate. What a cell's fates and its chance to come
+    to such cells lack to one bounds the error of a sweep; ``sweeps`` of them that lack more raise.
+    """
     lineages = sorted(ends["archetype"].unique())
     cells = np.unique(np.concatenate((edges["src"], edges["dst"], ends["cell_id"])))
     at, n = {c: i for i, c in enumerate(cells.tolist())}, len(cells)
@@ -219,20 +249,25 @@ def solved_fates(spark, edges: pd.DataFrame, ends: pd.DataFrame, most: int = 400
     stays = np.array([at[c] for c in ends["cell_id"]], int)
     fate[stays, [lineages.index(x) for x in ends["archetype"]]] = 1
     src, dst, p = edges["src"].map(at).to_numpy(int), edges["dst"].map(at).to_numpy(int), edges["p"].to_numpy(float)
-    walks = ~np.isin(src, stays)
+    live, seen = np.zeros(n, bool), -1
+    live[stays] = True
+    while seen != (seen := int(live.sum())):
+        live[src[live[dst]]] = True
+    walks = ~np.isin(src, stays) & live[src]
     src, dst, p = src[walks], dst[walks], p[walks]
     if n <= most:
         m = np.eye(n)
         np.add.at(m, (src, dst), -p)
-        fate = np.linalg.lstsq(m, fate, rcond=None)[0] if np.linalg.matrix_rank(m) < n else np.linalg.solve(m, fate)
+        fate = np.linalg.solve(m, fate)
     else:
+        fate = np.column_stack((fate, ~live))
         moving = np.unique(src)
-        for _ in range(2000):
-            new = np.stack([np.bincount(src, p * fate[dst, k], n) for k in range(len(lineages))], axis=1)
-            change = np.abs(new[moving] - fate[moving]).max(initial=0)
-            fate[moving] = new[moving]
-            if change < 1e-9:
+        for i in range(sweeps):
+            fate[moving] = np.stack([np.bincount(src, p * fate[dst, k], n) for k in range(fate.shape[1])], axis=1)[moving]
+            if i % 10 == 0 and (lacks := (1 - fate.sum(axis=1)).max()) < 1e-9:
                 break
+        else:
+            raise RuntimeError(f"fates after {sweeps} sweeps: a cell lacks {lacks:.3g} of its probability")
     rows = [(int(c), l, float(max(0.0, fate[i, k]))) for i, c in enumerate(cells.tolist()) for k, l in enumerate(lineages) if fate[i, k] > 1e-12]
     return spark.createDataFrame(rows, "cell_id long, lineage string, prob double")
 

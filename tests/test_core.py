@@ -337,3 +337,23 @@ def test_entry_without_the_llm_folders(spark):
     import __spark_entry__ as e
 
     assert "t2_gene_associations" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_fates_of_a_slow_walk_are_whole_on_every_path(spark):
+    n = 30  # a path with a terminal cell at each end, and two cells that only lead to each other
+    steps = [(i, j, 0.5) for i in range(1, n - 1) for j in (i - 1, i + 1)] + [(0, 1, 1.0), (n - 1, n - 2, 1.0), (100, 101, 1.0), (101, 100, 1.0), (50, 100, 0.5), (50, 15, 0.5)]
+    transitions = spark.createDataFrame(steps, "src long, dst long, p double").checkpoint()
+    terminal = spark.createDataFrame([(0, "a"), (n - 1, "b")], "cell_id long, archetype string")
+    ends = terminal.toPandas()
+    want = {i: i / (n - 1) for i in range(n)} | {50: 15 / (n - 1) / 2}
+    paths = {"dense": G.solved_fates(spark, transitions.toPandas(), ends), "sweeps": G.solved_fates(spark, transitions.toPandas(), ends, most=0), "joins": G.fate_probabilities(transitions, terminal, dense_edges=0)}
+    for name, fates in paths.items():
+        rows = {(r.cell_id, r.lineage): r.prob for r in fates.collect()}
+        assert all(abs(rows.get((i, "b"), 0.0) - x) < 1e-5 for i, x in want.items()), name
+        assert abs(rows[50, "a"] + rows[50, "b"] - 0.5) < 1e-5 and not any(c in (100, 101) for c, _ in rows), name
+    stepwise = G.fate_probabilities(transitions, terminal, dense_edges=0, growth=0, least=200, tolerance=0.4)  # the loop after the squarings
+    assert stepwise.groupBy("cell_id").agg({"prob": "sum"}).where("cell_id < 50").count() == n
+    with pytest.raises(RuntimeError):
+        G.fate_probabilities(transitions, terminal, rounds=2, dense_edges=0)
+    with pytest.raises(RuntimeError):
+        G.solved_fates(spark, transitions.toPandas(), ends, most=0, sweeps=20)
