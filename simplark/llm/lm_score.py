@@ -9,8 +9,8 @@ adaptive map of what such sums were worth. Total bits are the text's cost.
 
 Training is online and distributed: a task walks through its documents in batches of chunks, predicts
 chunks with what it has counted so far, moves the gated weights along the error, adapts the map, and
-only then counts the batch. Counts take in every byte of every training document; the weights and
-the map, which are few numbers, move on every ``STRIDE``-th chunk. Spark adds up the tasks' tables
+only then counts the batch. Counts, weights and the map take in every byte of every training
+document; only before a task has counted anything, weights and map have nothing to move by. Spark adds up the tasks' tables
 and averages their weights by the bits they saw; the result has a fixed size (a few MB) and is
 broadcast, and scoring leaves it as it is, so a document's score depends on nothing beside it.
 
@@ -45,7 +45,6 @@ ORDERS = ((2, 18), (3, 20), (5, 22), (0, 22))
 INPUTS = len(ORDERS)
 GATES = 64
 CHUNK = 1 << 14
-STRIDE = 4
 #: Chunks that are counted together at most; a task's first ones are counted in smaller batches.
 BATCH = 128
 SCALE = 16
@@ -204,13 +203,14 @@ class Learner:
         self.map = np.zeros(2 * 257 * BUCKETS, np.int64)
         self.weights = np.full((GATES, INPUTS), 0.35, np.float32)
         self.seen = self.chunks = 0
+        self.counted = False
 
     def learn(self, texts: list[bytes]) -> None:
-        """Move weights and map on every STRIDE-th chunk by what is counted so far, then count the texts."""
+        """Move weights and map by what is counted so far, then count the texts."""
         keys, waiting = [[] for _ in ORDERS], 0
         for symbols, owner in chunks(texts):
             hashed = contexts(symbols)
-            if self.chunks % STRIDE == 0:
+            if self.counted:
                 place, node, depth, bit, _ = self.code.walk(symbols, owner)
                 spread = node * np.uint32(0x85EBCA77)
                 self.adapt(node, depth, bit, [slots(h.take(place), spread, bits) for h, (_, bits) in zip(hashed, ORDERS, strict=True)])
@@ -231,6 +231,7 @@ class Learner:
         for table, held, (_, bits) in zip(self.tables, keys, ORDERS, strict=True):
             self.add(table, np.concatenate(held), bits)
             held.clear()
+        self.counted = True
 
     def add(self, table: np.ndarray, x: np.ndarray, bits: int) -> None:
         """Count each distinct context and symbol once, at the bits of its path, with its number."""

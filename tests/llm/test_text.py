@@ -327,3 +327,15 @@ def test_lm_without_training_documents(spark):
     out = lm_score.score(docs, F.lit(False), F.lit(True)).collect()
     assert len(out) == 5 and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in out)
     assert lm_score.score(docs.limit(0), F.lit(True), F.lit(False)).count() == 0
+
+
+def test_mixing_adapts_on_every_chunk_but_the_empty_first(monkeypatch):
+    code = lm_score.Code(*lm_score.huffman(np.ones(257, np.int64)))
+    learner, seen = lm_score.Learner(code), []
+    adapt = learner.adapt
+    monkeypatch.setattr(learner, "adapt", lambda *a: (seen.append(len(a[2])), adapt(*a)))
+    r = random.Random(3)
+    for _ in range(6):
+        learner.learn([bytes(r.choices(b"abcdefgh ", k=2 * lm_score.CHUNK))])
+    first = learner.map.sum()
+    assert learner.chunks == 12 and len(seen) == 10 and first == sum(seen)
