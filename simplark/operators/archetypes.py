@@ -138,7 +138,7 @@ def assign_to_centroids(cells: DataFrame, centres: Sequence[tuple[str, Sequence[
         d = F.when(F.col("assigned").isNull(), V.distance(F.col("vec"), V.literal(centre)))
         with_d = state.withColumn("d", d)
         edge = with_d.where("d is not null").select("d").orderBy("d").limit(size).agg(F.max("d").alias("edge"))
-        state = with_d.crossJoin(F.broadcast(edge)).withColumn("assigned", F.when(F.col("d") <= F.col("edge"), F.lit(level)).otherwise(F.col("assigned"))).select("cell_id", "vec", "assigned")
+        state = with_d.crossJoin(F.broadcast(edge)).withColumn("assigned", F.when(F.col("d") <= F.col("edge"), F.lit(level)).otherwise(F.col("assigned"))).select("cell_id", "vec", "assigned").checkpoint()  # else each level doubles the plan
     rest = cells.join(valid.select("cell_id"), "cell_id", "left_anti").select("cell_id", F.lit(UNASSIGNED).alias("assigned")) if label else None
     out = state.select("cell_id", F.coalesce("assigned", F.lit(UNASSIGNED)).alias("assigned"))
     return out.unionByName(rest) if rest is not None else out

@@ -74,7 +74,7 @@ def r2_label_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r2_nhood_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.neighbourhood_enrichment(edges(spark, sf_dir), I.cells(spark, sf_dir), 200, label="label")
+    return G.neighbourhood_enrichment(edges(spark, sf_dir), I.cells(spark, sf_dir), label="label")
 
 
 def plane(spark: SparkSession, sf_dir: str) -> DataFrame:

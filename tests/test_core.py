@@ -18,6 +18,7 @@ from simplark.operators import preprocess as R
 from simplark.operators import search as X
 from simplark.operators import shape as H
 from simplark.operators import stats as S
+from simplark.plans import core_queries
 from simplark.sources import tables
 
 
@@ -357,3 +358,10 @@ def test_fates_of_a_slow_walk_are_whole_on_every_path(spark):
         G.fate_probabilities(transitions, terminal, rounds=2, dense_edges=0)
     with pytest.raises(RuntimeError):
         G.solved_fates(spark, transitions.toPandas(), ends, most=0, sweeps=20)
+
+
+def test_all_levels_take_cells(spark, tmp_path):
+    rows = [(i, [float(i % 10), float(i // 10) / 100], i % 10) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    out = {r.assigned for r in core_queries.a6_assign_to_centroids(spark, f"file://{tmp_path}").collect()}
+    assert {"0", "1", "2", "3", "4", "5"} <= out
