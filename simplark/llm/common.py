@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,13 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where neither the setting nor the context has one (tests, a local session) a
-    temporary folder is taken.
+    Only a local session, whose executors are the driver, may lack it and gets a temporary folder;
+    elsewhere that is an error, as what one machine keeps is lost with it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='simplark-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -61,6 +64,54 @@ def small_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> Non
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def small(batches, text: int, rows: int = 500, size: int = 4 << 20):
+    """The batches in parts of at most ``rows`` rows and ``size`` bytes of the column ``text``, or of one row.
+
+    Spark bounds a batch by 64 MB and a row; what is made of texts is larger than they are.
+    """
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        for part in bounded(lengths, size, rows):
+            yield batch.slice(part.start, part.stop - part.start)
+
+
+def fresh(name: str, *taken: list[str]) -> str:
+    """``name``, with underscores after it as long as a column has that name (in any case)."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def named(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without(docs: DataFrame, key: str, dropped: DataFrame, column: str) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` isn't in the ``column`` of ``dropped``; null keys stay. Any column names do."""
+    gone = fresh("gone", docs.columns)
+    return docs.join(checked(dropped.select(F.col(column).alias(gone)).distinct()), named(key) == F.col(gone), "left_anti")
+
+
+#: Rows of one key that a join may deal to one task; keys with more are few enough to broadcast.
+HOT_ROWS = 100_000
+
+
+def join_keys(rows: DataFrame, found: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``found``, which has each key once and in ``n`` how many of the rows have it; n leaves.
+
+    Few keys are broadcast. Of more, those with over ``HOT_ROWS`` rows are, so none of them meets in a
+    task; they are at most the rows over ``HOT_ROWS``.
+    """
+    found = cut(found)
+    if found.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(found.drop(n)), keys, how)
+    hot = F.broadcast(found.where(F.col(n) > HOT_ROWS).drop(n))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(found.where(F.col(n) <= HOT_ROWS).drop(n), keys, how)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def fold(key: Column, folds: int) -> Column:
     """The fold of a row: crc32 of the key as text, modulo ``folds`` (null for a null key)."""
     return F.crc32(key.cast("string").cast("binary")) % folds
@@ -128,11 +179,11 @@ class Memo:
         return self.now
 
 
-def bounded(sizes: list[int], most: int):
-    """Slices over consecutive rows whose sizes add up to ``most`` or to one row."""
+def bounded(sizes: list[int], most: int, rows: int = 1 << 30):
+    """Slices over at most ``rows`` consecutive rows whose sizes add up to ``most``, or over one row."""
     start, total = 0, 0
     for i, n in enumerate(sizes):
-        if i > start and total + n > most:
+        if i > start and (total + n > most or i - start >= rows):
             yield slice(start, i)
             start, total = i, 0
         total += n

@@ -9,7 +9,8 @@ confirms is a duplicate.
 
 Texts are equal when identical after lower-casing A-Z; null counts as the empty text. Of equal
 texts the row with the largest doc_id stays (a null doc_id is the smallest). Of repeated rows with
-that doc_id exactly one stays. An empty table gives an empty result.
+that doc_id exactly one stays. Texts may be as long as a row may be. Other columns may have any
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simplark.llm.common import checked, cut, lower_ascii, small_batches
+from simplark.llm.common import checked, cut, fresh, join_keys, lower_ascii, named
 
 QUOTIENT_BITS = 14
 
@@ -125,9 +126,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     rows: doc_id, fp, sha, row (a number for each row), keep_id, keep_row, group_size.
     duplicates: fp, sha, keep_id.
     """
-    small_batches(docs.sparkSession)
-    norm = lower_ascii(F.col(text))
-    shaped = docs.select(F.col(key).alias("doc_id"), norm.alias("norm"))
+    shaped = docs.select(named(key).alias("doc_id"), lower_ascii(named(text)).alias("norm"))
     keyed = cut(shaped.select("doc_id", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha"), F.monotonically_increasing_id().alias("row")))
     repeated = checked(merge_filters(build_filters(keyed)).where("n > 1").select("fp"))
     # The grouping compares whole texts; its partial step leaves one row of a group in each partition.
@@ -141,12 +140,13 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     )
     best = F.max(F.struct("doc_id", "row")).alias("best")
     groups = cut(
-        keyed.groupBy("fp", "sha")
+        keyed.join(repeated, "fp", "left_semi")
+        .groupBy("fp", "sha")
         .agg(best, F.count(F.lit(1)).alias("group_size"))
         .join(verified, ["fp", "sha"], "left_semi")
-        .select("fp", "sha", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+        .select("fp", "sha", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size", F.col("group_size").alias("n"))
     )
-    rows = keyed.join(groups, ["fp", "sha"], "left")
+    rows = join_keys(keyed, groups, ["fp", "sha"], "n", "left")
     return rows, groups.select("fp", "sha", "keep_id")
 
 
@@ -172,12 +172,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     rows, _ = exact_groups(docs, key, text)
     grouped = rows.where("group_size is not null")
     is_kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    dropped = grouped.where(~is_kept).select(F.col("doc_id").alias("__d"), F.col("sha").alias("__s")).distinct()
-    again = grouped.where(is_kept).groupBy("doc_id", "sha").count().where("count > 1").select(F.col("doc_id").alias("__d"), F.col("sha").alias("__s"))
-    marked = docs.withColumn("__sha", F.unhex(F.sha2(lower_ascii(F.col(text)), 256)))
-    same = F.col(f"`{key}`").eqNullSafe(F.col("__d")) & (F.col("__sha") == F.col("__s"))
+    sha, d, s, one = (fresh(x, docs.columns) for x in ("sha_of_text", "dropped_id", "dropped_sha", "one_row"))
+    pair = [F.col("doc_id").alias(d), F.col("sha").alias(s)]
+    dropped = grouped.where(~is_kept).select(*pair).distinct()
+    again = grouped.where(is_kept).groupBy("doc_id", "sha").count().where("count > 1").select(*pair)
+    marked = docs.withColumn(sha, F.unhex(F.sha2(lower_ascii(named(text)), 256)))
+    same = named(key).eqNullSafe(F.col(d)) & (F.col(sha) == F.col(s))
     some = checked(again)
     left = marked.join(checked(dropped), same, "left_anti")
-    once = left.join(some, same, "left_semi").groupBy(key, "__sha").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__one"))
-    out = left.join(some, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return out.unionByName(once.select(*[F.col(f"__one.`{c}`").alias(c) for c in docs.columns]))
+    columns = [named(c) for c in docs.columns]
+    once = left.join(some, same, "left_semi").groupBy(named(key), sha).agg(F.first(F.struct(*columns)).alias(one))
+    return left.join(some, same, "left_anti").select(*columns).union(once.select(f"{one}.*"))

@@ -7,8 +7,9 @@ occur, for many documents at once.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; with no
 labelled row at all every text is ``und``; ties go to the language that sorts first;
-repeated rows are each predicted; a null doc_id has no fold, so it is neither held out nor
-learned from.
+repeated rows are each predicted, and each learned from; a null doc_id has no fold, so it is
+neither held out nor learned from. Texts count whole, however long. ``predict`` takes any names of
+kept columns but those it adds; ``keep_identified`` takes any.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simplark.llm.common import bounded, fold, held_by_worker, small_batches, strings
+from simplark.llm.common import bounded, extended, fold, fresh, held_by_worker, named, small, strings
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -120,10 +121,7 @@ def train(
     are more, a share of them is taken by the hash of the key. The driver holds a row of
     2**BITS counts for each language, and more than ``most_languages`` are refused.
     """
-    small_batches(docs.sparkSession)
-    labelled = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")
-    )
+    labelled = docs.where(learn & named(lang).isNotNull() & named(text).isNotNull()).select(named(key).alias("k"), named(lang).alias("l"), named(text).alias("t"))
     totals = {r.l: r.n for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
     if len(totals) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
@@ -134,7 +132,7 @@ def train(
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small(batches, 1):
             by: dict[str, list[str]] = {}
             for l, t in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
                 by.setdefault(l, []).append(t)
@@ -167,13 +165,13 @@ def train(
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of each document, with lang_pred and score."""
     spark = docs.sparkSession
-    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
-    out = docs.select(*keep, F.col(text).alias("__text"))
-    schema = out.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    kept = [named(c) for c in keep]
+    out = docs.select(*kept, named(text).alias(fresh("text", keep)))
+    schema = extended(docs.select(*kept), "lang_pred string, score double")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, len(keep)):
             labels, scores = held.value.score(strings(batch.column(batch.num_columns - 1)))
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], schema.names)
@@ -183,13 +181,11 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.0, text: str = "text") -> DataFrame:
     """The documents with a determined language of at least ``min_score``, all columns as they are."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    held = spark.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, at):
             labels, scores = held.value.score(strings(batch.column(at)))
             yield batch.filter(pa.array([l != UNDETERMINED and s >= min_score for l, s in zip(labels, scores, strict=True)], pa.bool_()))
 

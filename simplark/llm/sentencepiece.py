@@ -13,7 +13,9 @@ the tests compare with. Characters without a piece become byte pieces, or the un
 
 Defined cases: null and empty texts have no ids and decode to the empty text; runs of spaces,
 lines and other characters outside the vocabulary survive a round trip where the model has byte
-pieces; a text is never cut short. Only models without a normalisation table are taken.
+pieces; a text is never cut short, however long; repeated rows are each encoded; paths that tie
+take the shorter last piece. A column that has the name of a new one gets ``_in`` after it, and
+underscores as long as that is taken too. Only models without a normalisation table are taken.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplark.llm.common import Memo, extended, held_by_worker, small_batches, strings
+from simplark.llm.common import Memo, extended, fresh, held_by_worker, named, small, strings
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -344,17 +346,19 @@ def encode(docs: DataFrame, model_path: str, keep: list[str] | None = None, text
     round_trip says whether decoding gives back the text (null: the empty text).
     """
     spark = docs.sparkSession
-    small_batches(spark, rows=1000)
     held = _Held(spark, PieceModel(model_path))
     keep = docs.columns if keep is None else keep
     new = ["ids", "n_ids", "decoded", "round_trip"]
-    names = [f"{c}_in" if c in new else c for c in keep]
-    out = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").alias("__text"))
-    schema = extended(out.drop("__text"), "ids array<int>, n_ids long, decoded string, round_trip boolean")
+    names: list[str] = []
+    for c in keep:
+        names.append(fresh(f"{c}_in", keep, new, names) if c.lower() in new else c)
+    kept = docs.select(*[named(c).alias(n) for c, n in zip(keep, names, strict=True)])
+    out = docs.select(*[named(c).alias(n) for c, n in zip(keep, names, strict=True)], named(text).alias(fresh("text", names)))
+    schema = extended(kept, "ids array<int>, n_ids long, decoded string, round_trip boolean")
 
     def run(batches):
         encoder = encoder_of(held)
-        for batch in batches:
+        for batch in small(batches, len(names), rows=1000):
             texts = strings(batch.column(batch.num_columns - 1))
             ids = encoder.encode(texts)
             counts = np.array([len(x) for x in ids], np.int64)
@@ -368,8 +372,9 @@ def encode(docs: DataFrame, model_path: str, keep: list[str] | None = None, text
 
 
 def decode(docs: DataFrame, model_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """The documents with the text of their ids (null: null)."""
+    """The documents with the text of their ids (null: null); a column ``name`` that they have gives way."""
     spark = docs.sparkSession
+    docs = docs.drop(name)
     held = _Held(spark, PieceModel(model_path))
     schema = extended(docs, f"{name} string")
     at = docs.columns.index(ids)

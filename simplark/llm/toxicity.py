@@ -8,7 +8,10 @@ are broadcast to score whole texts.
 
 Defined cases: null and empty texts get the score of the intercept alone; without labelled rows, or
 with one class only, the intercept is what the labels say and no word counts; several labels of a
-document are each learned; labels of unknown documents are ignored.
+document are each learned, as are rows that repeat a document, and each row is scored; labels of
+unknown documents are ignored. A score of one half is toxic. Texts count whole, however long; the
+task that learns holds at most ``most_features`` features. Kept columns may have any names but score
+and predicted.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from simplark.llm.common import bounded, extended, held_by_worker, small_batches, strings
+from simplark.llm.common import bounded, checked, cut, extended, fresh, held_by_worker, named, small, strings
 
 BITS = 18
 WORD = re.compile(r"[^\W_]+")
@@ -96,14 +99,18 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_class: int = 8_000, epochs: int = 8) -> ToxicityModel:
+def train(
+    docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_class: int = 8_000, epochs: int = 8,
+    most_features: int = 32_000_000,
+) -> ToxicityModel:
     """Learn from labelled documents whose key satisfies ``learn``.
 
     ``rows_per_class`` bounds the rows that are read of each class: of more, a share is taken by
-    the hash of the key, and the intercept is corrected for it.
+    the hash of the key, and the intercept is corrected for it. ``most_features`` bounds the features
+    of the sample (4 bytes each); where texts are so long that there are more, a smaller share of
+    both classes is learned from.
     """
-    small_batches(docs.sparkSession)
-    known = labels.where(learn & F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    known = labels.where(learn & named(label).isin(0, 1)).select(named(key).alias("k"), named(label).cast("int").alias("y"))
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         odds = (totals.get(1, 0) + 0.5) / (totals.get(0, 0) + 0.5)
@@ -111,10 +118,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     rate = {y: min(1.0, rows_per_class / n) for y, n in totals.items()}
     share = F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])
     sample = known.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < share * 1_000_000)
-    joined = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "k")  # at most about 2 * rows_per_class rows
+    # About 2 * rows_per_class rows, but a document's labels stay together, so that is checked.
+    joined = docs.select(named(key).alias("k"), F.coalesce(named(text), F.lit("")).alias("t")).join(checked(sample), "k")
 
     def extract(batches):
-        for batch in batches:
+        for batch in small(batches, 0):
             texts = strings(batch.column(0))
             for part in bounded([len(x) for x in texts], 1 << 21):
                 doc, bucket = features(texts[part])
@@ -124,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([lists, *(c.slice(part.start, len(lists)) for c in batch.columns[1:])], ["buckets", "y", "o"])
 
     def learn_all(batches):
-        seen = [(np.append(at, 1 << BITS), y) for batch in batches for at, y in zip((x.values.to_numpy() for x in batch.column(0)), batch.column(1).to_pylist(), strict=True)]
+        seen = [(np.append(at, np.int32(1 << BITS)), y) for batch in batches for at, y in zip((x.values.to_numpy() for x in batch.column(0)), batch.column(1).to_pylist(), strict=True)]
         model = Ftrl()
         for _ in range(epochs):
             for at, y in seen:
@@ -133,7 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at])], ["bucket", "w"])
 
-    examples = joined.select("t", "y", F.xxhash64("k", F.lit(1)).alias("o")).mapInArrow(extract, "buckets array<int>, y int, o long")
+    examples = cut(joined.select("t", "y", F.xxhash64("k", F.lit(1)).alias("o")).mapInArrow(extract, "buckets array<int>, y int, o long"))
+    total = examples.agg(F.sum(F.size("buckets"))).first()[0] or 0
+    if total > most_features:
+        examples = examples.where(F.pmod(F.xxhash64("o", F.lit(2)), F.lit(1_000_000)) < most_features / total * 1_000_000)
     rows = examples.repartition(1).sortWithinPartitions("o").mapInArrow(learn_all, "bucket int, w double").toPandas()
     weights = np.zeros((1 << BITS) + 1)
     weights[rows["bucket"].to_numpy()] = rows["w"].to_numpy()
@@ -142,14 +153,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
 
 def predict(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep``, score and predicted of each document."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    held = spark.sparkContext.broadcast(model)
-    out = docs.select(*keep, F.col(text).alias("__text"))
-    schema = extended(out.drop("__text"), "score double, predicted int")
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [named(c) for c in keep]
+    out = docs.select(*kept, named(text).alias(fresh("text", keep)))
+    schema = extended(docs.select(*kept), "score double, predicted int")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, len(keep)):
             score = held.value.score(strings(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], schema.names)
 
