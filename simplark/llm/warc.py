@@ -2,8 +2,9 @@
 
 A package is a ZIP file that stores (without compression) a WARC file of gzip records and an index
 with the offset and length of each record. Reading parses the central directory, ZIP64 included,
-finds the stored members, and cuts each record out of the package by its range; nothing is
-extracted.
+finds the stored members, and reads each record by its range, from the file itself where pyarrow has
+a file system for its path; where only Spark's readers can open it, ranges are cut from what they
+read. Nothing is extracted.
 
 Packages are written by Spark's own file sink, one to a file, so that they land in any store that
 Spark writes to and a lost executor's attempt is discarded with its task. That sink ends a file
@@ -12,7 +13,8 @@ with a line feed, which is here the one byte of the ZIP comment.
 Of records with equal payloads of at least ``least`` bytes, that with the smallest page_id is the
 response and the others are revisits of it. Defined cases: a null payload is empty, a null url is
 left out; rows that share the smallest page_id of a payload are all responses, as are all rows of
-a payload without any page_id; an empty table gives no package and no rows.
+a payload without any page_id; repeated rows each have a record; payloads are kept whole, however
+long; other columns may have any names and aren't read; an empty table gives no package and no rows.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplark.llm.common import cut, small_batches
+from simplark.llm.common import cut, named, small
 
 PACKAGE_BYTES = 8 << 20
 BROADCAST_ROWS = 1_000_000
@@ -90,6 +93,7 @@ class Package:
 
     def __init__(self, read: Callable[[int, int], bytes], size: int):
         self.read, self.size = read, size
+        self.begins: dict[str, int] = {}
         self.members = {m.name: m for m in self._directory()}
 
     @classmethod
@@ -136,12 +140,14 @@ class Package:
 
     def data_at(self, member: Member) -> int:
         """Where the bytes of a stored member begin."""
-        if member.method:
-            raise ValueError(f"{member.name} isn't stored")
-        head = self.read(member.header, 30)
-        if head[:4] != b"PK\x03\x04":
-            raise ValueError(f"no local header of {member.name}")
-        return member.header + 30 + sum(struct.unpack_from("<HH", head, 26))
+        if member.name not in self.begins:
+            if member.method:
+                raise ValueError(f"{member.name} isn't stored")
+            head = self.read(member.header, 30)
+            if head[:4] != b"PK\x03\x04":
+                raise ValueError(f"no local header of {member.name}")
+            self.begins[member.name] = member.header + 30 + sum(struct.unpack_from("<HH", head, 26))
+        return self.begins[member.name]
 
     def index(self) -> Iterator[dict]:
         """The entries of all stored indexes, with the archive's name under filename."""
@@ -178,9 +184,8 @@ def build_package(records: list[tuple[str, bytes]]) -> bytes:
 
 def write_packages(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0, package_bytes: int = PACKAGE_BYTES, level: int = 6) -> None:
     """Write a record for each page into packages under ``path``."""
-    small_batches(pages.sparkSession)
-    payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"), F.unhex(F.sha1(payload)).alias("sha"), F.octet_length(payload).alias("size"))
+    payload = F.coalesce(named(html), F.lit("")).cast("binary")
+    rows = pages.select(named(key).alias("page_id"), named(url).cast("string").alias("url"), payload.alias("payload"), F.unhex(F.sha1(payload)).alias("sha"), F.octet_length(payload).alias("size"))
     firsts = cut(rows.where(F.col("size") >= least).groupBy("sha", "size").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     if firsts.count() <= BROADCAST_ROWS:  # 36 bytes each
         firsts = F.broadcast(firsts)
@@ -188,7 +193,7 @@ def write_packages(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
+        for batch in small(batches, 2):
             for page, link, body, sha, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 revisit = first is not None and first != page
                 record = build_record(page, link, body, base32_digest(sha), first, revisit)
@@ -201,7 +206,7 @@ def write_packages(pages: DataFrame, path: str, key: str = "page_id", url: str =
             yield pa.RecordBatch.from_arrays([pa.array([build_package(held)[:-1]], pa.binary())], ["blob"])
 
     blobs = joined.mapInArrow(run, "blob binary")
-    blobs.select(F.col("blob").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+    blobs.select(F.col("blob").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").option("compression", "none").text(path)
 
 
 RECORDS = {
@@ -211,6 +216,20 @@ RECORDS = {
 ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system of a path as Spark writes it, and the path there."""
+    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
+def ranged(path: str) -> bool:
+    """Whether ranges of the files under a path can be read."""
+    try:
+        system, inner = opened(path)
+        return system.get_file_info(inner).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
 def read_packages(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """A row for each record of the packages under ``path``; a revisit's payload is null.
 
@@ -219,8 +238,7 @@ def read_packages(spark: SparkSession, path: str, payloads: bool = True) -> Data
     names = [n for n in RECORDS if payloads or n != "payload"]
     arrow = pa.schema([(n, ARROW[RECORDS[n]]) for n in names])
 
-    def rows(name: str, raw: bytes):
-        package = Package.of(raw)
+    def rows(name: str, package: Package):
         for entry in package.index():
             record = package.record(entry["filename"], entry["offset"], entry["length"])
             head, at = parse_head(record)
@@ -236,19 +254,30 @@ def read_packages(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 "refers_to": page_of(head.get("warc-refers-to")), "payload": body, "package": name, "record_offset": entry["offset"], "record_length": entry["length"],
             }
 
-    def run(batches):
+    def table(name: str, package: Package):
+        found, size = [], 0
+        for row in rows(name, package):
+            found.append({k: row[k] for k in names})
+            size += len(row["payload"] or b"") if payloads else 0
+            if len(found) == 500 or size > 4 << 20:
+                yield pa.RecordBatch.from_pylist(found, schema=arrow)
+                found, size = [], 0
+        yield pa.RecordBatch.from_pylist(found, schema=arrow)
+
+    def run_ranges(batches):
+        for batch in batches:
+            for name, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, inner = opened(name)
+                with system.open_input_file(inner) as f:
+                    yield from table(name, Package(lambda at, n, f=f: f.read_at(n, at), size))
+
+    def run_whole(batches):
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = []
-                for row in rows(name, raw.as_buffer()):
-                    found.append({k: row[k] for k in names})
-                    if len(found) == 500:
-                        yield pa.RecordBatch.from_pylist(found, schema=arrow)
-                        found = []
-                yield pa.RecordBatch.from_pylist(found, schema=arrow)
+                yield from table(name, Package.of(raw.as_buffer()))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    small_batches(spark, rows=4)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files, run = (files.select("path", "length"), run_ranges) if ranged(path) else (files.select("path", "content"), run_whole)
     return files.mapInArrow(run, ", ".join(f"{n} {RECORDS[n]}" for n in names))
 
 
