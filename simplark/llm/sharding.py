@@ -13,15 +13,20 @@ the records of the shard's earlier slots, so no window spans more than one virtu
 
 Defined cases: a null text has no bytes (size 1) and the checksum of the empty text; a null doc_id
 is placed by its text alone; repeated rows get places of their own, in no particular order among
-themselves; an empty table gives no rows.
+themselves; an empty table gives no rows. Equal texts under different doc_ids aren't kept in one
+shard: both laws are about the records, and a group of copies as large as a third of all rows would
+break them. Other columns may have any names; none is read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from simplark.llm.common import cut
+from simplark.llm.common import cut, named, new_folder
 
 SLOTS = 4096
 
@@ -43,36 +48,38 @@ def grown_map(current: list[int], shards: int) -> list[int]:
 
 def rebalanced_map(current: list[int], sizes: list[int], shards: int) -> list[int]:
     """The map after moving slots, one at a time, from the fullest shard that can be helped to the emptiest, while any can."""
-    out, loads, held = list(current), [0] * shards, [set() for _ in range(shards)]
+    out, loads, held = list(current), [0] * shards, [[] for _ in range(shards)]  # (size, slot) in order
     for slot, shard in enumerate(out):
         loads[shard] += sizes[slot]
         if sizes[slot]:
-            held[shard].add(slot)
+            insort(held[shard], (sizes[slot], slot))
 
     def move(slot: int, to: int) -> None:
-        held[out[slot]].discard(slot)
+        entry = (sizes[slot], slot)
+        held[out[slot]].remove(entry)
         loads[out[slot]] -= sizes[slot]
         out[slot] = to
-        held[to].add(slot)
+        insort(held[to], entry)
         loads[to] += sizes[slot]
 
+    def nearest(entries: list[tuple[int, int]], size: float) -> list[tuple[int, int]]:
+        """The entries around a size, at most one on either side."""
+        k = bisect_left(entries, (size, -1))
+        return entries[max(0, k - 1) : k + 1]
+
     def improved(full: int, empty: int) -> bool:
         """Bring two shards closer, by moving one slot or else by exchanging two."""
         gap = loads[full] - loads[empty]
-        best = min(held[full], key=lambda s: (abs(gap - 2 * sizes[s]), s), default=None)
-        if best is not None and abs(gap - 2 * sizes[best]) < gap:
-            move(best, empty)
+        best = min(nearest(held[full], gap / 2), key=lambda e: (abs(gap - 2 * e[0]), e[1]), default=None)
+        if best is not None and abs(gap - 2 * best[0]) < gap:
+            move(best[1], empty)
             return True
-        gain, pair = 0, None
-        for a in held[full]:
-            for b in held[empty]:
-                left = abs(gap - 2 * (sizes[a] - sizes[b]))
-                if (gap - left, -a, -b) > (gain, 0, 0) and gap - left > 0:
-                    gain, pair = gap - left, (a, b)
-        if pair is None:
+        pairs = ((abs(gap - 2 * (a[0] - b[0])), a[1], b[1]) for a in held[full] for b in nearest(held[empty], a[0] - gap / 2))
+        left, a, b = min(pairs, default=(gap, 0, 0))
+        if left >= gap:
             return False
-        move(pair[0], empty)
-        move(pair[1], full)
+        move(a, empty)
+        move(b, full)
         return True
 
     for _ in range(4 * len(out)):
@@ -88,6 +95,15 @@ def save_map(spark: SparkSession, path: str, version: int, current: list[int]) -
     at_slot(spark.range(len(current)).withColumnRenamed("id", "slot"), F.col("slot"), current, "shard").write.parquet(f"{path}/version={version}")
 
 
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The highest version under ``path``, -1 where there is none."""
+    try:
+        found = spark.read.option("basePath", path).parquet(path).select("version").distinct().agg(F.max("version")).first()[0]
+    except AnalysisException:  # no such folder
+        return -1
+    return -1 if found is None else int(found)
+
+
 def load_map(spark: SparkSession, path: str, version: int) -> list[int]:
     return [r.shard for r in spark.read.parquet(f"{path}/version={version}").orderBy("slot").collect()]
 
@@ -98,8 +114,8 @@ def at_slot(df: DataFrame, slot: Column, values: list[int], name: str) -> DataFr
 
 def records(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and virtual_slot of every record."""
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    shaped = docs.select(F.col(key).alias("doc_id"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"))
+    raw = F.coalesce(named(text), F.lit("")).cast("binary")
+    shaped = docs.select(named(key).alias("doc_id"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"))
     by_id = F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("doc_id"))
     return shaped.withColumn("virtual_slot", F.pmod(by_id, F.lit(slots)).cast("int"))
 
@@ -107,19 +123,29 @@ def records(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int
 def shard(docs: DataFrame, shards: int = 16, law: str = "bytes", map_path: str | None = None, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (the place in the shard), grown_shard, virtual_slot of every record.
 
-    ``map_path`` gets the versions of the map: 0, and 1 after rebalancing (``bytes``) or growing (``key``).
+    ``map_path`` is where the versions of the map are. The latest one there, or else version 0, which is
+    written first, is rebalanced (``bytes``) or grown (``key``), and the result is written as the next
+    version, unless nothing moves. Records go where the versions say that are then read back.
     """
     if law not in ("bytes", "key"):
         raise ValueError(law)
     spark = docs.sparkSession
+    map_path = map_path or new_folder(spark, "slot-map")
+    version = latest_version(spark, map_path)
+    if version < 0:
+        version = 0
+        save_map(spark, map_path, 0, first_map(shards, slots))
+    first = load_map(spark, map_path, version)
+    if len(first) != slots or not set(first) <= set(range(shards)):
+        raise ValueError(f"version {version} of the map is for other slots or shards")
     rows = cut(records(docs, key, text, slots))
     totals = {r.virtual_slot: r for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
     sizes = [totals[s].bytes if s in totals else 0 for s in range(slots)]
-    first = first_map(shards, slots)
     second = rebalanced_map(first, sizes, shards) if law == "bytes" else grown_map(first, shards)
-    if map_path:
-        save_map(spark, map_path, 0, first)
-        save_map(spark, map_path, 1, second)
+    if second != first:
+        version += 1
+        save_map(spark, map_path, version, second)
+        second = load_map(spark, map_path, version)
     now = second if law == "bytes" else first
     before, starts = [0] * shards, []
     for s in range(slots):
