@@ -4,8 +4,9 @@ A document's fingerprint has a bit for each of the 64 bits of its shingles' XXH6
 where more than half of the shingles (repeats included) have it set. Documents link where their
 fingerprints differ in at most ``distance`` bits, and groups are what links connect.
 
-Fingerprints within ``distance`` of each other agree on one of ``distance + 1`` ranges of bits, so
-each distinct fingerprint goes to that many buckets. A bucket's fingerprints are sorted by their
+Fingerprints within ``distance`` of each other agree on all but ``distance`` of any ranges that the
+bits are cut into: on one of five, two of six, three of seven. Each distinct fingerprint goes to a
+bucket for each such choice, and the more there are the longer the keys. A bucket's fingerprints are sorted by their
 rank in the Gray code; consecutive ones form groups whose shared bits (what all set, what all
 clear) are factored into a node, and nodes form upper nodes. Pairs of nodes are compared from the
 top: where the bits in which all of one differ from all of the other add up to more than
@@ -14,19 +15,23 @@ a spanning forest of its links, never their pairs, so a large group of near copi
 proportion to its distinct fingerprints.
 
 Null and empty texts, and those without a word, have the fingerprint zero and link like any other.
-A null doc_id takes part, and is the component_id only of components where all are null. An empty
-table gives an empty result.
+A null doc_id takes part, and is the component_id only of components where all are null. Rows that
+repeat a doc_id, with equal texts or not, each take part and have a row in the result. A tie can't
+be: the smallest doc_id names the component. Other columns may have any names. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from simplark.llm.common import checked, cut, small_batches
+from simplark.llm.common import cut, join_keys, named, small, without
 from simplark.llm.components import components
 
 DISTANCE = 4
@@ -56,17 +61,27 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every document."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, 1):
             found = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    shaped = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("t"))
+    shaped = docs.select(named(key).alias("doc_id"), named(text).cast("binary").alias("t"))
     return shaped.mapInArrow(run, shaped.select("doc_id").schema.add("fp", "long"))
 
 
+def parts_for(n: int, distance: int = DISTANCE, bucket: int = 1 << 12) -> int:
+    """Into how many ranges the bits are cut for n distinct fingerprints, so that a bucket of random ones has ``bucket`` at most.
+
+    Near fingerprints agree on all ranges but ``distance``, and the bits of those make the key.
+    """
+    parts = distance + 1
+    while n >> (64 * (parts - distance) // parts) > bucket and parts < 2 * distance:
+        parts += 1
+    return parts
+
+
 def ranges(parts: int) -> list[tuple[int, int]]:
     """(lowest bit, width) of the ranges that 64 bits are cut into."""
     edges = [64 * i // parts for i in range(parts + 1)]
@@ -191,51 +206,67 @@ def linked(fp: np.ndarray, bucket: np.ndarray, distance: int = DISTANCE, most: i
     return a, b
 
 
-def link_buckets(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (fp) that connect what links connect."""
-    parts = ranges(distance + 1)
-    keys = F.array(*[
-        F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(i << 32).cast("long")) for i, (low, width) in enumerate(parts)
-    ])
+def link_buckets(distinct: DataFrame, distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (fp) that connect what links connect.
+
+    Of ``parts`` ranges (by default as many as the number of fingerprints asks for) near ones agree on
+    ``parts - distance``: each choice of so many ranges is a key.
+    """
+    cut_ = ranges(parts or parts_for(distinct.count(), distance))
+    masks = [sum(((1 << width) - 1) << low for low, width in some) for some in combinations(cut_, len(cut_) - distance)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(signed)])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
+        size, wait = 0, 1 << 16
 
         def flush(table: pa.Table):
-            bucket = table.column(0).to_numpy()
-            fp = table.column(1).to_numpy().view(np.uint64)
-            part = bucket >> 32
-            low = np.array([x for x, _ in parts], np.uint64)[part]
-            turned = np.where(low == 0, fp, (fp >> low) | (fp << (np.uint64(64) - low) % np.uint64(64)))
-            order = np.lexsort((gray_rank(turned), bucket))
+            bucket, fp = table.column(0).to_numpy(), table.column(1).to_numpy().view(np.uint64)
+            order = np.lexsort((gray_rank(fp), bucket))
             fp, bucket = fp[order], bucket[order]
             a, b = linked(fp, bucket, distance)
             return pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["a", "b"])
 
+        def numbered(batch: pa.RecordBatch, before) -> tuple[pa.RecordBatch, tuple]:
+            """The batch with the numbers of its buckets, which come one after another."""
+            mask, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fresh = np.concatenate(([before is None or (mask[0], bits[0]) != before[:2]], (mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])))
+            number = (before[2] if before else 0) + np.cumsum(fresh)
+            return pa.RecordBatch.from_arrays([pa.array(number), batch.column(2)], ["bucket", "fp"]), (mask[-1], bits[-1], int(number[-1]))
+
+        last = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch, last = numbered(batch, last)
             held.append(batch)
-            table = pa.Table.from_batches(held)
-            bucket = table.column(0).to_numpy()
-            at = int(np.searchsorted(bucket, bucket[-1]))
-            if at and len(bucket) >= 1 << 16:  # whole buckets that have passed
-                yield flush(table.slice(0, at))
+            size += batch.num_rows
+            if size >= wait:  # whole buckets that have passed; one that hasn't waits for twice as much
+                table = pa.Table.from_batches(held)
+                bucket = table.column(0).to_numpy()
+                if at := int(np.searchsorted(bucket, bucket[-1])):
+                    yield flush(table.slice(0, at))
                 held = table.slice(at).to_batches()
+                size = len(bucket) - at
+                wait = max(1 << 16, 2 * size)
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    dealt = distinct.select(F.explode(keys).alias("bucket"), "fp").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = distinct.select(F.explode(keys).alias("k"), "fp").select("k.mask", "k.bits", "fp").repartition("mask", "bits").sortWithinPartitions("mask", "bits")
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id of what links connect) of every row."""
     keyed = cut(fingerprints(docs, key, text, shingle))
-    firsts = cut(keyed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    firsts = cut(keyed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs")))
     roots = components(link_buckets(firsts.select("fp"), distance))
-    tied = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    ids = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = cut(tied.join(ids, "root").select("fp", "component_id"))
-    return keyed.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+    tied = cut(firsts.join(roots.withColumnRenamed("node", "fp"), "fp"))  # fingerprints with a link
+    ids = tied.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of = join_keys(tied.select("fp", "root"), ids, ["root"], "n").select("fp", "component_id")
+    every = firsts.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "n_docs")
+    return join_keys(keyed, every, ["fp"], "n_docs").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -250,5 +281,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", distance:
     neighbour, else they stay. Rows with a null doc_id stay.
     """
     groups = simhash_groups(docs, key, text, distance)
-    dropped = groups.groupBy("doc_id").agg(F.min(F.col("component_id") < F.col("doc_id")).alias("gone")).where("gone").select(F.col("doc_id").alias("__d"))
-    return docs.join(checked(dropped), F.col(f"`{key}`") == F.col("__d"), "left_anti")
+    dropped = groups.groupBy("doc_id").agg(F.min(F.col("component_id") < F.col("doc_id")).alias("gone")).where("gone")
+    return without(docs, key, dropped, "doc_id")
