@@ -12,6 +12,9 @@ Each of the two forms is measured against its own usable windows, and the larger
 with other names can't match windows that only names as words make usable. Windows with fewer than
 ``SEED`` ordinary words say too little and aren't used; an alignment needs ``LITERALS`` of them in all
 its windows. Items shorter than a window are matched as a whole if they have ``LITERALS`` ordinary words.
+Items that have no usable window in either form (few words among numbers, or few tokens) are looked for
+as they are, case and punctuation aside: all their tokens in a row, or as the whole document if there are
+fewer than ``WHOLE``.
 Beside the share, an excerpt is enough: ``RUN`` tokens in a row of one alignment, ``RUN_WORDS`` of
 them ordinary words.
 
@@ -21,8 +24,9 @@ for each block, so a large benchmark costs passes and never memory. White space,
 case don't matter.
 
 Defined cases: null and empty texts and items match nothing; rows that repeat a doc_id are
-reported together; an item_id that repeats counts as one item with the windows of all its rows; an
-empty benchmark or table gives no rows.
+reported together; an item_id that repeats counts as one item with the windows of all its rows; a
+share of exactly ``coverage`` is enough; texts and items count whole, however long; other columns may
+have any names; an empty benchmark or table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from simplark.llm.common import checked, cut, extended, held_by_worker, small_batches, strings
+from simplark.llm.common import cut, extended, held_by_worker, named, small, strings, without
 
 WINDOW = 8
 SEED = 2
@@ -46,13 +50,18 @@ RUN = 14
 RUN_WORDS = 8
 BLOCK = 4_000_000
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+")
-#: Unit words that are slots after a number.
+#: Unit words that are slots after a number.
 UNITS = frozenset(
-    "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds ton tons ml l liter liters litre litres gallon gallons "
-    "second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros usd eur percent degree degrees mph kmh meter meters metre metres "
+    "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds ton tons "
+    "ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
+    "cent cents dollar dollars euro euros usd eur percent degree degrees mph kmh meter meters metre metres "
     "kilometer kilometers centimeter centimeters".split()
 )
 NUMBER, NAME, UNIT, WORD = range(4)
+#: The forms of a text: names as slots, names as words, and every token as it is.
+NAMES_AS_SLOTS, NAMES_AS_WORDS, LITERAL = "slots", "words", "literal"
+#: Tokens of an item that may stand inside a document when no template window of it is usable; shorter ones must be all of it.
+WHOLE = 5
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MEMO = 150_000
 
@@ -80,8 +89,8 @@ class Tokens(dict):
         return k
 
 
-def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[tuple[np.ndarray, np.ndarray]]]:
-    """(document starts, token numbers, their texts, [(template hashes, is a slot)] with names as slots and as words)."""
+def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """(document starts, token numbers, their texts, {form: (template hashes, is a slot)})."""
     known: Tokens = held_by_worker("decontaminate", Tokens)
     if len(known) > MEMO:
         known.__init__()
@@ -100,7 +109,8 @@ def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list
     fixed = np.where(number, np.uint64(1), np.where(unit, np.uint64(2), low))
     slot = number | unit
     name = (kind == NAME) & ~unit
-    return starts, ids, known.texts, [(np.where(name, np.uint64(3), fixed), slot | name), (fixed, slot)]
+    forms = [(np.where(name, np.uint64(3), fixed), slot | name), (fixed, slot), (low, np.zeros(len(ids), bool))]
+    return starts, ids, known.texts, dict(zip((NAMES_AS_SLOTS, NAMES_AS_WORDS, LITERAL), forms, strict=True))
 
 
 def slot_values(words: list[str], ids: np.ndarray, h: np.ndarray, slot: np.ndarray) -> list[str]:
@@ -120,30 +130,35 @@ def window_hashes(h: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, width, as_names, hash, item_pos, item_slots, item_words, n_windows) of every usable window of every item.
+    """(item_id, width, form, hash, item_pos, item_slots, item_words, n_windows, n_tokens) of every usable window of every item.
 
-    ``item_words`` are the places of its ordinary words, ``n_windows`` is how many windows the item has in this form.
+    ``item_words`` are the places of its ordinary words, ``n_windows`` is how many windows the item has in
+    this form. The literal form is there only for items without a usable window in the others.
     """
-    small_batches(items.sparkSession)
-    shaped = items.select(F.col(key).alias("item_id"), F.col(text).alias("t"))
-    schema = extended(shaped.select("item_id"), "width int, as_names boolean, hash long, item_pos int, item_slots array<string>, item_words array<int>, n_windows int")
+    shaped = items.select(named(key).alias("item_id"), named(text).alias("t"))
+    schema = extended(
+        shaped.select("item_id"), "width int, form string, hash long, item_pos int, item_slots array<string>, item_words array<int>, n_windows int, n_tokens int"
+    )
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, 1):
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
                 starts, ids, words, forms = templates([text or ""])
                 width = min(WINDOW, len(ids))
-                if width < LITERALS:
-                    continue
-                for as_names, (h, slot) in zip((True, False), forms, strict=True):
+                before = len(rows)
+                for form, (h, slot) in forms.items() if width else ():
                     hashes, ok = window_hashes(h, slot, width)
-                    if (~slot).sum() < LITERALS:  # no alignment can have enough
+                    if form == LITERAL:
+                        if len(rows) > before:
+                            continue
+                        ok[:] = True
+                    elif width < LITERALS or (~slot).sum() < LITERALS:  # no alignment can have enough
                         continue
                     for p in np.flatnonzero(ok).tolist():
                         values = slot_values(words, ids[p : p + width], h[p : p + width], slot[p : p + width])
                         plain = (p + np.flatnonzero(~slot[p : p + width])).tolist()
-                        rows.append((item, width, as_names, int(hashes[p : p + 1].view(np.int64)[0]), p, values, plain, int(ok.sum())))
+                        rows.append((item, width, form, int(hashes[p : p + 1].view(np.int64)[0]), p, values, plain, int(ok.sum()), len(ids)))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=to_arrow(schema))
 
     return shaped.mapInArrow(run, schema)
@@ -155,12 +170,12 @@ def to_arrow(schema) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def document_hits(docs: DataFrame, hashes: np.ndarray, widths: list[int], key: str, text: str) -> DataFrame:
-    """The documents' windows whose hash is among ``hashes`` (sorted, at most BLOCK)."""
+def document_hits(docs: DataFrame, hashes: np.ndarray, widths: list[tuple[str, int]], key: str, text: str) -> DataFrame:
+    """The documents' windows of these (form, width)s whose hash is among ``hashes`` (sorted, at most BLOCK)."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(hashes)
-    shaped = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
-    schema = extended(shaped.select("doc_id"), "width int, as_names boolean, hash long, doc_pos int, doc_slots array<string>")
+    shaped = docs.select(named(key).alias("doc_id"), named(text).alias("t"))
+    schema = extended(shaped.select("doc_id"), "width int, form string, hash long, doc_pos int, doc_slots array<string>, doc_tokens int")
     bits = 24
 
     def run(batches):
@@ -174,21 +189,22 @@ def document_hits(docs: DataFrame, hashes: np.ndarray, widths: list[int], key: s
             k = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
             return at[known[k] == h[at]]
 
-        for batch in batches:
+        for batch in small(batches, 1):
             keys = batch.column(0).to_pylist()
             starts, ids, words, forms = templates([x or "" for x in strings(batch.column(1))])
             rows = []
-            for width in widths:
-                for as_names, (h, slot) in zip((True, False), forms, strict=True):
-                    hashes, ok = window_hashes(h, slot, width)
-                    at = among(hashes)
+            for form, width in widths:
+                h, slot = forms[form]
+                hashes, ok = window_hashes(h, slot, width)
+                at = among(hashes)
+                if form != LITERAL:
                     at = at[ok[at]]
-                    owner = np.searchsorted(starts, at, side="right") - 1
-                    inside = at + width <= starts[owner + 1]
-                    at, owner = at[inside], owner[inside]
-                    for p, o, x in zip(at.tolist(), owner.tolist(), hashes[at].view(np.int64).tolist(), strict=True):
-                        values = slot_values(words, ids[p : p + width], h[p : p + width], slot[p : p + width])
-                        rows.append((keys[o], width, as_names, x, p - int(starts[o]), values))
+                owner = np.searchsorted(starts, at, side="right") - 1
+                inside = at + width <= starts[owner + 1]
+                at, owner = at[inside], owner[inside]
+                for p, o, x in zip(at.tolist(), owner.tolist(), hashes[at].view(np.int64).tolist(), strict=True):
+                    values = slot_values(words, ids[p : p + width], h[p : p + width], slot[p : p + width])
+                    rows.append((keys[o], width, form, x, p - int(starts[o]), values, int(starts[o + 1] - starts[o])))
             for i in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[i : i + 20_000]], schema=arrow)
 
@@ -204,8 +220,11 @@ def consistent(windows: list[dict]) -> list[dict]:
     return [w for w in windows if w["item_slots"] == w["doc_slots"] or all(len(values[a]) == 1 for a in w["item_slots"])]
 
 
-def evidence(windows: list[dict]) -> tuple[list[int], bool, bool]:
+def evidence(windows: list[dict], form: str) -> tuple[list[int], bool, bool]:
     """(places of the matched windows, whether there is an excerpt of RUN tokens, whether no value differs) of one alignment."""
+    if form == LITERAL:
+        places = sorted({w["item_pos"] for w in windows})
+        return places if len(places) == windows[0]["n_windows"] else [], False, True
     windows = sorted(consistent(windows), key=lambda w: w["item_pos"])
     runs: list[list] = []  # [first token, token after the last, ordinary words]
     for w in windows:
@@ -221,15 +240,16 @@ def evidence(windows: list[dict]) -> tuple[list[int], bool, bool]:
 
 
 def alignments(found: DataFrame) -> DataFrame:
-    """(doc_id, item_id, as_names, places, excerpt, verbatim) of each alignment; its windows are as many as the item's at most."""
+    """(doc_id, item_id, form, places, excerpt, verbatim) of each alignment; its windows are as many as the item's at most."""
     shift = (F.col("doc_pos") - F.col("item_pos")).alias("shift")
-    windows = F.collect_set(F.struct("width", "item_pos", "item_slots", "doc_slots", "item_words")).alias("windows")
-    grouped = found.where(F.size("item_slots") == F.size("doc_slots")).groupBy("doc_id", "item_id", "as_names", shift).agg(windows).drop("shift")
+    windows = F.collect_set(F.struct("width", "item_pos", "item_slots", "doc_slots", "item_words", "n_windows")).alias("windows")
+    fits = (F.size("item_slots") == F.size("doc_slots")) & ((F.col("form") != LITERAL) | (F.col("n_tokens") >= WHOLE) | (F.col("n_tokens") == F.col("doc_tokens")))
+    grouped = found.where(fits).groupBy("doc_id", "item_id", "form", shift).agg(windows).drop("shift")
     schema = extended(grouped.drop("windows"), "places array<int>, excerpt boolean, verbatim boolean")
 
     def run(batches):
         for batch in batches:
-            made = [evidence(x) for x in batch.column(3).to_pylist()]
+            made = [evidence(x, form) for x, form in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             places, excerpt, verbatim = zip(*made, strict=True) if made else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.list_(pa.int32())), pa.array(excerpt, pa.bool_()), pa.array(verbatim, pa.bool_())], schema.names)
 
@@ -242,26 +262,25 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     Coverage and windows are those of the form that matches more. An excerpt's coverage may be below ``coverage``.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     windows = cut(item_windows(items, item_key, item_text))
     blocks = cut(windows.select("hash").distinct().select("hash", F.lit(0).alias("block")))
     n = blocks.count()
     passes = max(1, -(-n // BLOCK))
-    widths = sorted(r.width for r in windows.select("width").distinct().collect())  # at most WINDOW of them
+    widths = sorted((r.form, r.width) for r in windows.select("form", "width").distinct().collect())  # at most WINDOW for each form
     hits = []
     for k in range(passes):
         some = blocks.where((F.xxhash64("hash") % passes + passes) % passes == k).select("hash").toPandas()["hash"].to_numpy(np.int64)
         if len(some):
             hits.append(document_hits(docs, np.sort(some.view(np.uint64)), widths, key, text))
-    sizes = windows.groupBy("item_id", "as_names").agg(F.max("n_windows").alias("of"))
+    sizes = windows.groupBy("item_id", "form").agg(F.max("n_windows").alias("of"))
     if not hits:
         hits.append(document_hits(docs.limit(0), np.zeros(1, np.uint64), [], key, text))
-    found = reduce(DataFrame.unionByName, hits).join(windows.drop("n_windows"), ["width", "as_names", "hash"])
+    found = reduce(DataFrame.unionByName, hits).join(windows, ["width", "form", "hash"])
     by_form = (
         alignments(found)
-        .groupBy("doc_id", "item_id", "as_names")
+        .groupBy("doc_id", "item_id", "form")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.max("excerpt").alias("excerpt"), F.min("verbatim").alias("verbatim"))
-        .join(sizes, ["item_id", "as_names"])
+        .join(sizes, ["item_id", "form"])
         .withColumn("best", F.struct((F.col("n_windows") / F.col("of")).alias("coverage"), "n_windows"))
     )
     return (
@@ -274,5 +293,4 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """The documents without a contaminated doc_id, all columns as they are; those with a null doc_id stay."""
-    bad = contaminated(docs, items, key, text, coverage=coverage).select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(checked(bad), F.col(f"`{key}`") == F.col("__d"), "left_anti")
+    return without(docs, key, contaminated(docs, items, key, text, coverage=coverage), "doc_id")
