@@ -58,12 +58,6 @@ def checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def small_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> None:
-    """Bound what one Arrow batch holds, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
 def small(batches, text: int, rows: int = 500, size: int = 4 << 20):
     """The batches in parts of at most ``rows`` rows and ``size`` bytes of the column ``text``, or of one row.
 

@@ -2,32 +2,40 @@
 
 The model reads lower-cased (A-Z) UTF-8 bytes and an end symbol. Each byte is a short path of bits
 (a Huffman code over the training bytes), and each bit is predicted from several hashed contexts:
-the last two, three and five bytes and the word so far. Every context has counts of both bits
-in a table of fixed size. The predictions' logits are added up with weights that a gate chooses
+the last two, three and five bytes and the word so far (its last ``LEAD`` bytes). Every context has
+counts of both bits in a table. The predictions' logits are added up with weights that a gate chooses
 (depth of the bit, and whether the longest contexts are known), and the sum is refined by an
 adaptive map of what such sums were worth. Total bits are the text's cost.
 
-Training is online and distributed: a task walks through its documents in batches of chunks, predicts
-chunks with what it has counted so far, moves the gated weights along the error, adapts the map, and
-only then counts the batch. Counts, weights and the map take in every byte of every training
-document; only before a task has counted anything, weights and map have nothing to move by. Spark adds up the tasks' tables
-and averages their weights by the bits they saw; the result has a fixed size (a few MB) and is
-broadcast, and scoring leaves it as it is, so a document's score depends on nothing beside it.
+Training is online and distributed: a task walks through its documents in blocks, predicts a block
+with what it has counted so far, moves the gated weights along the error, adapts the map, and
+only then counts the block. Counts, weights and the map take in every byte of every training
+document; only before a task has counted anything, weights and map have nothing to move by. What a
+block has several times (a symbol after the same contexts) is worked out once and counts as often as
+it is there. Spark adds up the tasks' tables and averages their weights by the bits they saw; that part
+has a fixed size (a few MB) and is broadcast, and scoring leaves it as it is.
+
+What grows with the corpus are the long contexts, which stay a Spark table. Texts are cut into
+segments where a word begins and the hash of the 16 bytes before it says so (one time in ``ANCHOR``).
+A segment is predicted a second time, as a whole, from those 16 bytes (or from being the first of its
+text): by how often the training documents went on so. Both predictions are mixed with a weight that
+depends on how often the context occurred, learned from the training documents, each without itself.
+So a text that repeats what another one has costs next to nothing there, however large the corpus is.
 
 The baseline needs the count of every word. The most frequent words, at most ``FREQUENT`` of them,
-are broadcast; the other words of each document are joined with their counts, without hot keys as
-these are rare words.
+are broadcast; the other words of each document are joined with their counts. Hot contexts and
+segments are broadcast apart.
 
 Defined cases: null counts as the empty text, which has the end token and the end symbol; without
 training documents the model is uniform and every count is zero; a null doc_id isn't learned from
-nor held out; repeated rows are each scored.
+nor held out; repeated rows are each scored and each learned from; a text's contexts don't depend on
+the texts beside it, nor on where a long one is cut; other columns may have any names.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
@@ -37,18 +45,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simplark.llm.common import cut, extended, small_batches
+from simplark.llm.common import cut, extended, join_keys, named, small
 
 END, PAD = 256, 257
 #: Bytes of context and table size (as a power of two) of each input; 0 is the word so far.
 ORDERS = ((2, 18), (3, 20), (5, 22), (0, 22))
 INPUTS = len(ORDERS)
 GATES = 64
-CHUNK = 1 << 14
-#: Chunks that are counted together at most; a task's first ones are counted in smaller batches.
-BATCH = 128
+#: Symbols that are worked on together; a task's first blocks have FIRST, then twice as many each time.
+BLOCK, FIRST = 1 << 20, 1 << 14
+#: Distinct symbols whose bits are predicted at once, and symbols between two steps of the weights.
+PART, STEP = 1 << 13, 1 << 14
 SCALE = 16
 LEAD = 64
+#: Bytes before a segment, and one in how many words begins one.
+LONG, ANCHOR = 16, 12
 FREQUENT = 500_000
 BLOCK_SLOTS = 1 << 15
 BUCKETS = 33
@@ -82,25 +93,29 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return length, nodes, bits
 
 
-def chunks(texts: list[bytes]):
-    """(symbols, document) of chunks: documents, whole or in parts of CHUNK bytes with a lead of LEAD bytes that isn't coded.
+def blocks(texts: list[bytes], size: int = BLOCK):
+    """(symbols, document, start) of blocks: documents, whole or in parts of ``BLOCK`` bytes with a lead of ``LEAD`` bytes that isn't coded.
 
-    Symbols of the lead have the document -1. How a document is cut depends on it alone.
+    Symbols of the lead have the document -1; start says where a document (2) or another part of one (1)
+    begins. Blocks have ``size`` symbols, or those of one part.
     """
-    held, owner, size = [], [], 0
+    held, owner, start, total = [], [], [], 0
     for d, raw in enumerate(texts):
         whole = np.frombuffer(raw, np.uint8).astype(np.int16)
-        for at in range(0, max(1, len(whole)), CHUNK):
-            lead, body = whole[max(0, at - LEAD) : at], whole[at : at + CHUNK]
-            last = int(at + CHUNK >= len(whole))
+        for at in range(0, max(1, len(whole)), BLOCK):
+            lead, body = whole[max(0, at - LEAD) : at], whole[at : at + BLOCK]
+            last = int(at + BLOCK >= len(whole))
             held.append(np.concatenate((np.full(5, PAD, np.int16), lead, body, np.full(last, END, np.int16))))
             owner.append(np.concatenate((np.full(5 + len(lead), -1), np.full(len(body) + last, d))))
-            size += len(held[-1])
-            if size >= CHUNK:
-                yield np.concatenate(held), np.concatenate(owner)
-                held, owner, size = [], [], 0
+            begins = np.zeros(len(held[-1]), np.int8)
+            begins[5 + len(lead)] = 1 if at else 2
+            start.append(begins)
+            total += len(begins)
+            if total >= size:
+                yield np.concatenate(held), np.concatenate(owner), np.concatenate(start)
+                held, owner, start, total = [], [], [], 0
     if held:
-        yield np.concatenate(held), np.concatenate(owner)
+        yield np.concatenate(held), np.concatenate(owner), np.concatenate(start)
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -110,30 +125,54 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2**64, and of its inverse."""
     if not _POWERS or max(_POWERS) < n:
         base = 0x9E3779B97F4A7C15
-        size = max(n, 4 * CHUNK)
+        size = max(n, BLOCK + (BLOCK >> 2))
         _POWERS.clear()
         _POWERS[size] = tuple(np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, np.uint64(b)))), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
     up, down = _POWERS[max(_POWERS)]
     return up[:n], down[:n]
 
 
-def contexts(symbols: np.ndarray) -> list[np.ndarray]:
-    """For each input a 32-bit hash of what stands before each symbol."""
-    n = len(symbols)
-    s = np.where(symbols == PAD, 0, symbols + 1).astype(np.uint64)
-    up, down = powers(n)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(s * up, dtype=np.uint64)))
-    at = np.arange(n)
-
-    def span(start: np.ndarray, seed: int) -> np.ndarray:
-        h = (sums[at] - sums[start]) * down[start] + np.uint64(seed)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return (h >> np.uint64(32)).astype(np.uint32)
-
-    white = (symbols == 32) | ((symbols >= 9) & (symbols <= 13)) | (symbols >= END)
-    word = np.maximum.accumulate(np.where(white, at + 1, 0))
-    word = np.concatenate(([0], word[:-1]))
-    return [span(np.maximum(at - k, 0), k) if k else span(word, 99) for k, _ in ORDERS]
+def mixed_up(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+class Contexts:
+    """What stands before each symbol of a block: hashes (32 bits) by input; and hashes of spans."""
+
+    def __init__(self, symbols: np.ndarray):
+        n = len(symbols)
+        s = (symbols + 1).astype(np.uint64)
+        s[symbols == PAD] = 0
+        up, self.down = powers(n + 1)
+        self.sums = np.concatenate(([np.uint64(0)], np.cumsum(s * up[:n], dtype=np.uint64)))
+        self.white = (symbols == 32) | ((symbols >= 9) & (symbols <= 13)) | (symbols >= END)
+        before = np.zeros(n + 5, np.uint64)
+        before[5:] = s
+        path = np.zeros(n, np.uint64)  # the last bytes, nine bits each
+        self.hashed: list[np.ndarray] = []
+        for k in range(1, 6):
+            path |= before[5 - k : 5 - k + n] << np.uint64(9 * (k - 1))
+            if k in (2, 3, 5):
+                self.hashed.append((path * np.uint64(0x9E3779B97F4A7C15 + 2 * k) >> np.uint64(32)).astype(np.uint32))
+        at = np.arange(n)
+        word = np.zeros(n, np.int64)
+        word[1:] = np.maximum.accumulate(np.where(self.white, at + 1, 0))[:-1]
+        full = self.span(np.maximum(word, at - LEAD), at)
+        self.hashed.append((full >> np.uint64(32)).astype(np.uint32))
+        # One number for a symbol after the same last five bytes and the same word so far.
+        self.key = mixed_up(path * np.uint64(0xFF51AFD7ED558CCD) ^ full) * np.uint64(0xC2B2AE3D27D4EB4F) + s
+
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of the symbols from start to end (without it), wherever they stand."""
+        return mixed_up((self.sums[end] - self.sums[start]) * self.down[start] + np.uint64(99))
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first of each distinct key, the number of its key for each)."""
+    number = pa.array(keys).dictionary_encode().indices.to_numpy()
+    top = np.maximum.accumulate(number)
+    return np.concatenate(([0], np.flatnonzero(number[1:] > top[:-1]) + 1)) if len(keys) else np.zeros(0, np.int64), number
 
 
 @dataclass
@@ -146,9 +185,9 @@ class Code:
         depth = np.minimum(np.arange(self.nodes.shape[1], dtype=np.uint32), 15) * np.uint32(4)
         self.packed = (self.nodes << np.uint32(8) | depth << np.uint32(1) | self.bits).ravel()
 
-    def walk(self, symbols: np.ndarray, owner: np.ndarray):
+    def walk(self, symbols: np.ndarray):
         """For each bit: its symbol's place, its node, the first gate of its depth, the bit; and where each symbol's bits begin."""
-        length = np.where(owner >= 0, self.length.take(symbols), 0)
+        length = self.length.take(symbols)
         begin = np.cumsum(length) - length
         place = np.repeat(np.arange(len(symbols)), length)
         flat = np.arange(len(place), dtype=np.int64)
@@ -202,68 +241,59 @@ class Learner:
         self.tables = [np.zeros(2 << bits, np.int32) for _, bits in ORDERS]  # both bits' counts side by side
         self.map = np.zeros(2 * 257 * BUCKETS, np.int64)
         self.weights = np.full((GATES, INPUTS), 0.35, np.float32)
-        self.seen = self.chunks = 0
-        self.counted = False
+        self.seen = self.blocks = 0
+
+    def wanted(self) -> int:
+        """How many symbols the next block should have."""
+        return min(BLOCK, FIRST << self.blocks)
 
     def learn(self, texts: list[bytes]) -> None:
-        """Move weights and map by what is counted so far, then count the texts."""
-        keys, waiting = [[] for _ in ORDERS], 0
-        for symbols, owner in chunks(texts):
-            hashed = contexts(symbols)
-            if self.counted:
-                place, node, depth, bit, _ = self.code.walk(symbols, owner)
-                spread = node * np.uint32(0x85EBCA77)
-                self.adapt(node, depth, bit, [slots(h.take(place), spread, bits) for h, (_, bits) in zip(hashed, ORDERS, strict=True)])
-            self.chunks += 1
+        """Move weights and map by what is counted so far, then count, block by block."""
+        for symbols, owner, _ in blocks(texts):
+            c = Contexts(symbols)
             coded = np.flatnonzero(owner >= 0)
-            after = symbols[coded].astype(np.uint64)
-            self.seen += int(self.code.length.take(symbols[coded]).sum())
-            for held, h in zip(keys, hashed, strict=True):
-                held.append((h[coded].astype(np.uint64) << np.uint64(9)) | after)
-            waiting += len(coded)
-            if waiting >= BATCH * CHUNK:  # long texts
-                self.count(keys)
-                waiting = 0
-        if waiting:
-            self.count(keys)
-
-    def count(self, keys: list[list[np.ndarray]]) -> None:
-        for table, held, (_, bits) in zip(self.tables, keys, ORDERS, strict=True):
-            self.add(table, np.concatenate(held), bits)
-            held.clear()
-        self.counted = True
-
-    def add(self, table: np.ndarray, x: np.ndarray, bits: int) -> None:
+            first, number = distinct(c.key.take(coded))
+            many = np.bincount(number, minlength=len(first))
+            at = coded.take(first)
+            after, hashed = symbols.take(at).astype(np.int64), [h.take(at) for h in c.hashed]
+            if self.blocks:
+                # Each step gets its share of all that the block has, early and late, frequent and rare.
+                steps = max(1, len(coded) // STEP)
+                for k in range(steps):
+                    self.adapt(after[k::steps], [h[k::steps] for h in hashed], many[k::steps])
+            for table, h, (_, bits) in zip(self.tables, hashed, ORDERS, strict=True):
+                self.count(table, h, after, many, bits)
+            self.seen += int((self.code.length.take(after) * many).sum())
+            self.blocks += 1
+
+    def count(self, table: np.ndarray, hashed: np.ndarray, symbols: np.ndarray, many: np.ndarray, bits: int) -> None:
         """Count each distinct context and symbol once, at the bits of its path, with its number."""
-        x.sort()
-        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-        n = np.diff(first, append=len(x)).astype(np.int32)
-        x = x.take(first)
-        symbols, hashed = (x & np.uint64(511)).astype(np.int64), (x >> np.uint64(9)).astype(np.uint32)
-        for i in range(0, len(x), CHUNK):
-            part = slice(i, i + CHUNK)
-            place, node, _, bit, _ = self.code.walk(symbols[part], np.zeros(len(symbols[part]), np.int64))
+        first, number = distinct(hashed.astype(np.uint64) << np.uint64(9) | symbols.view(np.uint64))
+        n = np.bincount(number, many, len(first)).astype(np.int32)
+        hashed, symbols = hashed.take(first), symbols.take(first)
+        for i in range(0, len(first), PART):
+            part = slice(i, i + PART)
+            place, node, _, bit, _ = self.code.walk(symbols[part])
             at = slots(hashed[part].take(place), node * np.uint32(0x85EBCA77), bits).astype(np.int64)
             at *= 2
             at += bit
             np.add.at(table, at, n[part].take(place))
 
-    def adapt(self, node: np.ndarray, depth: np.ndarray, bit: np.ndarray, at: list[np.ndarray]) -> None:
+    def adapt(self, symbols: np.ndarray, hashed: list[np.ndarray], many: np.ndarray) -> None:
         """Predict with what is counted so far; move the weights along the error, and the map."""
+        place, node, depth, bit, _ = self.code.walk(symbols)
+        spread = node * np.uint32(0x85EBCA77)
         logits = []
-        for table, x in zip(self.tables, at, strict=True):
-            pair = table.view(np.int64).take(x).view(np.int32).reshape(-1, 2).astype(np.float32) + np.float32(PRIOR)
+        for table, h, (_, bits) in zip(self.tables, hashed, ORDERS, strict=True):
+            pair = table.view(np.int64).take(slots(h.take(place), spread, bits)).view(np.int32).reshape(-1, 2).astype(np.float32) + np.float32(PRIOR)
             logits.append(np.log(pair[:, 1] / pair[:, 0]))
-        gate = gates(depth, logits)  # changes depth, which isn't used again
-        for i in range(0, len(bit), step := 1 << 16):
-            part = slice(i, i + step)
-            some = [x[part] for x in logits]
-            mix = mixed(self.weights, gate[part], some)
-            wrong = bit[part] - 1 / (1 + np.exp(-mix))
-            many = np.maximum(np.bincount(gate[part], minlength=GATES), 256)
-            for k in range(INPUTS):
-                self.weights[:, k] += RATE * np.bincount(gate[part], wrong * some[k], GATES) / many
-            self.map += np.bincount(2 * bucket(node[part], mix) + bit[part], minlength=len(self.map))
+        gate, weight = gates(depth, logits), many.take(place)  # depth changes and isn't used again
+        mix = mixed(self.weights, gate, logits)
+        wrong = (bit - 1 / (1 + np.exp(-mix))) * weight
+        total = np.maximum(np.bincount(gate, weight, GATES), 256)
+        for k in range(INPUTS):
+            self.weights[:, k] += RATE * np.bincount(gate, wrong * logits[k], GATES) / total
+        self.map += np.bincount(2 * bucket(node, mix) + bit, weight, len(self.map)).astype(np.int64)
 
 
 @dataclass
@@ -275,22 +305,55 @@ class MixingModel:
     weights: np.ndarray
     map: np.ndarray
 
-    def log10(self, texts: list[bytes]) -> np.ndarray:
-        """The log10 probability of each text with its end."""
-        total = np.zeros(len(texts))
-        for symbols, owner in chunks(texts):
-            place, node, depth, bit, begin = self.code.walk(symbols, owner)
+    def costs(self, symbols: np.ndarray, hashed: list[np.ndarray]) -> np.ndarray:
+        """The bits that each symbol costs after its contexts."""
+        out = np.empty(len(symbols))
+        weights = self.weights / np.float32(SCALE)
+        for i in range(0, len(symbols), PART):
+            part = slice(i, i + PART)
+            place, node, depth, bit, begin = self.code.walk(symbols[part])
             spread = node * np.uint32(0x85EBCA77)
-            logits = [t.take(slots(h.take(place), spread, bits)) for t, h, (_, bits) in zip(self.tables, contexts(symbols), ORDERS, strict=True)]
-            mix = mixed(self.weights / np.float32(SCALE), gates(depth, logits), logits)
+            logits = [t.take(slots(h[part].take(place), spread, bits)) for t, h, (_, bits) in zip(self.tables, hashed, ORDERS, strict=True)]
+            mix = mixed(weights, gates(depth, logits), logits)
             mix += self.map.take(bucket(node, mix))
             mix *= np.float32(0.5) - bit
-            cost = np.log(np.exp(mix, out=mix) + np.float32(1))
-            # Each document's bits stand together: sum between the places where the owner changes.
-            starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            starts = starts[owner[starts] >= 0]
-            np.add.at(total, owner[starts], np.add.reduceat(cost, begin[starts], dtype=np.float64))
-        return -total / math.log(10)
+            out[part] = np.add.reduceat(np.log2(np.exp(mix, out=mix) + np.float32(1)), begin)
+        return out
+
+    def segments(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, hash of what is before, hash of itself, cost in bits) of every segment, in order; the first of a text comes after 0."""
+        found = []
+        for symbols, owner, start in blocks(texts):
+            c = Contexts(symbols)
+            coded = np.flatnonzero(owner >= 0)
+            first, number = distinct(c.key.take(coded))
+            at = coded.take(first)
+            cost = np.zeros(len(symbols))
+            cost[coded] = self.costs(symbols.take(at).astype(np.int64), [h.take(at) for h in c.hashed]).take(number)
+            begin = np.flatnonzero(start)
+            word = np.flatnonzero(~c.white[1:] & c.white[:-1] & (owner[1:] >= 0)) + 1
+            # What is before lies within the text, or in the lead of its part.
+            origin = begin[np.searchsorted(begin, word, side="right") - 1]
+            room = word - origin + np.where(start[origin] == 1, LEAD, 0)
+            word = word[room >= LONG]
+            before = c.span(word - LONG, word)
+            chosen = before % np.uint64(ANCHOR) == 0
+            places = np.union1d(word[chosen], begin)
+            ends = np.append(places[1:], len(symbols))
+            # A segment ends before the next document's padding or the next part's lead.
+            nexts = np.searchsorted(begin, places, side="right")
+            last_coded = np.append(coded[np.searchsorted(coded, begin[1:]) - 1], coded[-1])[nexts - 1] + 1
+            ends = np.minimum(ends, last_coded)
+            context = np.where(start[places] == 2, np.uint64(0), c.span(np.maximum(places - LONG, 0), places))
+            found.append((owner[places], context, c.span(places, ends), np.add.reduceat(cost, places)))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def bits(self, texts: list[bytes]) -> np.ndarray:
+        """The cost of each text with its end, by the short contexts."""
+        owner, _, _, cost = self.segments(texts)
+        return np.bincount(owner, cost, len(texts))
 
 
 # -- on Spark
@@ -310,7 +373,7 @@ def word_counts(train: DataFrame, text: str) -> tuple[DataFrame, np.ndarray, int
         def rows(found, kinds):
             return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["kind", "word", "n"])
 
-        for batch in batches:
+        for batch in small(batches, 0):
             for raw in raw_lower(batch.column(0)):
                 words.update(raw.split())
                 symbols[:256] += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
@@ -323,7 +386,7 @@ def word_counts(train: DataFrame, text: str) -> tuple[DataFrame, np.ndarray, int
         at = np.flatnonzero(symbols).tolist()
         yield rows([(b"", int(symbols[k])) for k in at], [k + 1 for k in at])
 
-    found = cut(train.select(F.col(text).cast("binary")).mapInArrow(count, "kind int, word binary, n long").groupBy("kind", "word").agg(F.sum("n").alias("c")))
+    found = cut(train.select(named(text).cast("binary")).mapInArrow(count, "kind int, word binary, n long").groupBy("kind", "word").agg(F.sum("n").alias("c")))
     symbols = np.zeros(257, np.int64)
     for r in found.where("kind > 0").select("kind", "c").collect():  # 257 at most
         symbols[r.kind - 1] = r.c
@@ -336,11 +399,11 @@ def train_mixing(train: DataFrame, text: str, code: Code) -> MixingModel:
     def learn(batches):
         learner = Learner(code)
         waiting, size = [], 0
-        for batch in batches:
+        for batch in small(batches, 0):
             for raw in raw_lower(batch.column(0)):
                 waiting.append(raw)
-                size += len(raw)
-                if size >= CHUNK * min(BATCH, learner.chunks + 1):
+                size += len(raw) + 6
+                if size >= learner.wanted():
                     learner.learn(waiting)
                     waiting, size = [], 0
         if waiting:
@@ -354,9 +417,9 @@ def train_mixing(train: DataFrame, text: str, code: Code) -> MixingModel:
                     parts.append(("t", (i << 16) + b, some, 0))
         for i in range(0, len(parts), 16):
             kind, block, raw, seen = zip(*parts[i : i + 16], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(block, pa.int32()), pa.array([zlib.compress(x, 1) for x in raw], pa.binary()), pa.array(seen, pa.int64())], ["kind", "block", "raw", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(block, pa.int32()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary()), pa.array(seen, pa.int64())], ["kind", "block", "raw", "seen"])
 
-    kinds = {"w": np.float64, "m": np.int64, "t": np.int32}
+    kinds = {"w": (np.float64, GATES * INPUTS), "m": (np.int64, 2 * 257 * BUCKETS), "t": (np.int32, 2 * BLOCK_SLOTS)}
 
     def merge(batches):
         now, total, seen = None, None, 0
@@ -374,13 +437,14 @@ def train_mixing(train: DataFrame, text: str, code: Code) -> MixingModel:
                     if now:
                         yield done()
                     now, total, seen = (kind, block), np.zeros(1, np.float64 if kind == "w" else np.int64), 0
-                total = total + np.frombuffer(zlib.decompress(raw), kinds[kind])
+                of, size = kinds[kind]
+                total = total + np.frombuffer(pa.decompress(raw, size * np.dtype(of).itemsize, "zstd"), of)
                 seen += n
         if now:
             yield done()
 
     schema = "kind string, block int, raw binary, seen long"
-    rows = train.select(F.col(text).cast("binary")).mapInArrow(learn, schema).repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(merge, schema).collect()
+    rows = train.select(named(text).cast("binary")).mapInArrow(learn, schema).repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(merge, schema).collect()
     tables, weights, counts = [np.zeros(1 << bits, np.int8) for _, bits in ORDERS], np.full((GATES, INPUTS), 0.35, np.float32), np.zeros((257 * BUCKETS, 2))
     for r in rows:  # a byte for each place of the tables at most
         if r.kind == "t":
@@ -415,24 +479,29 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[DataFrame,
 def score(docs: DataFrame, learn: Column, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every document."""
     spark = docs.sparkSession
-    small_batches(spark)
     train = docs.where(learn)
     words, symbols, n_docs = word_counts(train, text)
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_train, distinct = totals.n + n_docs, totals.v + (n_docs > 0)
+    n_train, n_distinct = totals.n + n_docs, totals.v + (n_docs > 0)
     rare, known = frequent_words(words)
     code = Code(*huffman(symbols))
     model = train_mixing(train, text, code)
     held = spark.sparkContext.broadcast((model, {w: math.log10(c + 0.5) for w, c in known.items()}))
-    end_value, floor = math.log10(n_docs + 0.5), math.log10(n_train + 0.5 * (distinct + 1))
-    shaped = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), held_out.alias("held_out"), F.col(text).cast("binary").alias("t"))
-    schema = extended(shaped.select("row", "doc_id", "held_out"), "n_tokens long, known long, part double, score double, size long, rare array<struct<word: binary, n: int>>")
+    end_value, floor, unseen = math.log10(n_docs + 0.5), math.log10(n_train + 0.5 * (n_distinct + 1)), math.log10(0.5)
+    shaped = docs.select(
+        F.monotonically_increasing_id().alias("row"), named(key).alias("doc_id"), held_out.alias("held_out"), F.coalesce(learn, F.lit(False)).alias("learned"),
+        named(text).cast("binary").alias("t"),
+    )
+    schema = extended(
+        shaped.drop("t"),
+        "n_tokens long, known long, part double, bits double, size long, rare array<struct<word: binary, n: int>>, segments array<struct<context: long, segment: long, bits: float>>",
+    )
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
 
     def run(batches):
         model, values = held.value
-        for batch in batches:
-            texts = raw_lower(batch.column(3))
+        for batch in small(batches, 4, rows=1 << 30, size=BLOCK):
+            texts = raw_lower(batch.column(4))
             n, some, part, left = [], [], [], []
             for raw in texts:
                 ws = raw.split()
@@ -440,23 +509,56 @@ def score(docs: DataFrame, learn: Column, held_out: Column, key: str = "doc_id",
                 miss = np.isnan(v)
                 n.append(len(ws) + 1)
                 some.append(int(len(ws) - miss.sum()) + (n_docs > 0))
-                part.append(float(v[~miss].sum()) + end_value)
+                part.append(float(v[~miss].sum()) + int(miss.sum()) * unseen + end_value)
                 left.append([{"word": w, "n": c} for w, c in Counter(ws[i] for i in np.flatnonzero(miss).tolist()).items()])
-            arrays = [pa.array(n, pa.int64()), pa.array(some, pa.int64()), pa.array(part), pa.array(model.log10(texts)), pa.array([len(x) for x in texts], pa.int64()), pa.array(left, rare_type)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], schema.names)
+            owner, context, segment, bits = model.segments(texts)
+            ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+            structs = pa.StructArray.from_arrays([pa.array(context.view(np.int64)), pa.array(segment.view(np.int64)), pa.array(bits.astype(np.float32))], ["context", "segment", "bits"])
+            arrays = [
+                pa.array(n, pa.int64()), pa.array(some, pa.int64()), pa.array(part), pa.array(np.bincount(owner, bits, len(texts))), pa.array([len(x) for x in texts], pa.int64()), pa.array(left, rare_type),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *arrays], schema.names)
 
     rows = cut(shaped.mapInArrow(run, schema))
-    tail = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n")
-    c = F.coalesce("c", F.lit(0))
-    tail = tail.join(rare, "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"))
-    zero = F.lit(0)
-    return rows.drop("rare").join(tail, "row", "left").select(
+    tail = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(rare, "word")
+    gained = repeated_segments(rows).select("row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("more_known"), "saved")
+    by_row = (
+        tail.select("row", (F.col("n") * (F.log10(F.col("c") + 0.5) - unseen)).alias("more"), F.col("n").cast("long").alias("more_known"), F.lit(0.0).alias("saved"))
+        .unionByName(gained)
+        .groupBy("row")
+        .agg(F.sum("more").alias("more"), F.sum("more_known").alias("more_known"), F.sum("saved").alias("saved"))
+    )
+    total_bits = F.col("bits") - F.coalesce("saved", F.lit(0.0))
+    return rows.drop("rare", "segments").join(by_row, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("more_known", zero)).cast("long").alias("n_known"),
+        (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("part") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        "score",
-        (-F.col("score") * math.log2(10) / F.greatest(F.col("size"), F.lit(1))).alias("bits_per_byte"),
+        (-total_bits * math.log10(2)).alias("score"),
+        (total_bits / F.greatest(F.col("size"), F.lit(1))).alias("bits_per_byte"),
     )
+
+
+def repeated_segments(rows: DataFrame) -> DataFrame:
+    """(row, saved): the bits that long contexts save (or cost, where a segment isn't what they expect) on each segment after one that was learned.
+
+    ``rows`` has row, learned and segments. A context's and a segment's counts are those of all learned
+    texts, less the segment at hand if its own text is one of them.
+    """
+    each = rows.select("row", F.col("learned").cast("int").alias("own"), F.explode("segments").alias("s")).select("row", "own", "s.context", "s.segment", "s.bits")
+    contexts = each.groupBy("context").agg(F.sum("own").alias("total"), F.count(F.lit(1)).alias("n")).where("total > 0 AND n > 1")
+    met = cut(join_keys(each, contexts, ["context"], "n"))
+    segments = met.groupBy("context", "segment").agg(F.sum("own").alias("times"), F.count(F.lit(1)).alias("n")).where("times > 0 AND n > 1")
+    others = met.withColumn("total", F.col("total") - F.col("own")).where("total > 0")
+    both = join_keys(others, segments, ["context", "segment"], "n", "left")
+    both = both.withColumn("times", F.when(F.col("times").isNull(), F.lit(0)).otherwise(F.col("times") - F.col("own")))
+    both = cut(both.withColumn("level", F.floor(F.log2("total")).cast("int")))
+    # How often a context that occurred so often told what comes: some thirty levels.
+    hits = both.where("own = 1").groupBy("level").agg(((F.count_if(F.col("times") > 0) + 0.5) / (F.count(F.lit(1)) + 1)).alias("trust"))
+    trusted = both.join(F.broadcast(hits), "level", "left").withColumn("trust", F.coalesce("trust", F.lit(0.5)))
+    rest = (1 - F.col("trust")) * F.pow(F.lit(2.0), -F.col("bits").cast("double"))
+    long = F.when(F.col("times") > 0, -F.log2(rest + F.col("trust") * F.col("times") / F.col("total"))).otherwise(F.col("bits") - F.log2(1 - F.col("trust")))
+    return trusted.select("row", (F.col("bits") - long).alias("saved"))

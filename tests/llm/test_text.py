@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -85,13 +86,21 @@ def test_damaged_file_is_refused():
         token_ids.parse_file(bytes(raw))
 
 
-def test_chunks_encode_like_whole_texts():
+def test_pieces_encode_like_whole_texts():
     e = token_ids.BpeEncoder(open(BPE).read())
     r = random.Random(0)
-    alphabet = " \t\n\r\x0b\x0c\x1c\x1d\x85\xa0 　​abcA1'.,!?é中🙂ñ's'll-"
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(5000)] + ["<|endoftext|> x", *ODD]
-    for text, ids in zip(texts, e.encode(texts, 0), strict=True):
-        assert ids[:-1].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids and ids[-1] == 0, text
+    alphabet = " \t\n\r\x0b\x0c\x1c\x1d\x85\xa0 　​abcA1'.,!?é中🙂ñ's'll-\u3000\u1680"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(5000)] + ["<|endoftext|> x", *ODD, None, "a" * 300 + " b"]
+    for size in (1, 7, 1000):
+        for i in range(0, len(texts) if size > 1 else 300, size):
+            some = texts[i : i + size]
+            ids, counts = e.encode(pa.array([*some, "tail"], pa.string()).slice(0, len(some)), 0)
+            at = 0
+            for text, n in zip(some, counts.tolist(), strict=True):
+                assert ids[at : at + n - 1].tolist() == e.tokenizer.encode(text or "", add_special_tokens=False).ids and ids[at + n - 1] == 0, text
+                at += n
+            assert at == len(ids)
+    assert e.encode(pa.array([], pa.string()), 0)[0].tolist() == [] and e.encode(pa.array([None, ""], pa.string()), 0)[0].tolist() == [0, 0]
 
 
 def test_token_files_against_the_library(spark, tmp_path):
@@ -289,37 +298,124 @@ def mixing(texts):
     symbols[256] = len(texts)
     code = lm_score.Code(*lm_score.huffman(symbols))
     learner = lm_score.Learner(code)
-    learner.learn(texts)
+    learner.learn(texts[: len(texts) // 2])
+    learner.learn(texts[len(texts) // 2 :])
     tables = []
     for t in learner.tables:
         pair = t.reshape(-1, 2) + lm_score.PRIOR
         tables.append(np.clip(np.rint(np.log(pair[:, 1] / pair[:, 0]) * lm_score.SCALE), -127, 127).astype(np.int8))
-    return lm_score.MixingModel(code, tables, learner.weights, np.tile((np.arange(lm_score.BUCKETS) - 16) / 2, 257).astype(np.float32))
-
-
-def test_model_is_a_distribution_and_learns():
+    return lm_score.MixingModel(code, tables, learner.weights, np.tile((np.arange(lm_score.BUCKETS) - 16) / 2, 257).astype(np.float32)), learner
+
+
+def slow_bits(model, text):
+    """The cost of a text bit by bit, its contexts taken from the text's own bytes."""
+    symbols = [*text, lm_score.END]
+    total = 0.0
+    for i, symbol in enumerate(symbols):
+        c = lm_score.Contexts(np.array([lm_score.PAD] * 5 + symbols[: i + 1], np.int16))
+        hashed = [int(h[-1]) for h in c.hashed]
+        for depth in range(int(model.code.length[symbol])):
+            node, bit = int(model.code.nodes[symbol, depth]), int(model.code.bits[symbol, depth])
+            logits = []
+            for table, h, (_, bits) in zip(model.tables, hashed, lm_score.ORDERS, strict=True):
+                spread = node * 0x85EBCA77 % 2**32
+                at = (h >> 32 - bits) ^ (spread >> 26) if bits > 20 else ((h ^ spread) * 0x9E3779B1 % 2**32) >> 32 - bits
+                logits.append(int(table[at]) / lm_score.SCALE)
+            gate = 4 * min(depth, 15) + 2 * (logits[2] != 0) + (logits[3] != 0)
+            mix = max(-8.0, min(8.0, sum(float(model.weights[gate, k]) * logits[k] for k in range(4))))
+            refined = float(model.map[node * lm_score.BUCKETS + int(mix * 2 + 16.5)])
+            p = 1 / (1 + math.exp(-(mix + refined) / 2))
+            total -= math.log2(p if bit else 1 - p)
+    return total
+
+
+def test_model_matches_a_loop_over_bits_and_learns():
     r = random.Random(0)
     texts = [" ".join(r.choice(["the", "cat", "sat", "mat"]) for _ in range(40)).encode() for _ in range(200)]
-    model = mixing(texts)
-    prefix = b"the ca"
-    # the probabilities of all next symbols (bytes, or the end) add up to one
-    with_next = [prefix + bytes([b]) for b in range(256)]
-    full = model.log10([prefix, *with_next])
-    ends = np.array([model.log10([x])[0] for x in (prefix,)])
-    assert math.isclose(ends[0], full[0])
-    symbols, owner = next(lm_score.chunks([prefix + b"t"]))
-    assert model.log10([b"the cat sat"])[0] > model.log10([b"xq zvk wpj"])[0]
-    code = model.code
-    assert math.isclose(sum(2.0 ** -int(n) for n in code.length[:257]), 1)
-    assert np.allclose(model.log10(texts[:5]), [model.log10([t])[0] for t in texts[:5]])
-
-
-def test_long_texts_are_cut_by_themselves():
-    texts = [b"abc def " * 40_000, b"", b"zz"]
-    model = mixing([b"abc def " * 50] * 20)
-    together, alone = model.log10(texts), [model.log10([t])[0] for t in texts]
-    assert np.allclose(together, alone)
-    assert sum(len(o[o >= 0]) for _, o in lm_score.chunks(texts)) == sum(len(t) + 1 for t in texts)
+    model, learner = mixing(texts)
+    assert model.bits([b"the cat sat"])[0] < model.bits([b"xq zvk wpj"])[0] / 3
+    assert math.isclose(sum(2.0 ** -int(n) for n in model.code.length[:257]), 1)
+    assert np.allclose(model.bits(texts[:5]), [model.bits([t])[0] for t in texts[:5]])
+    for text in (b"the cat", b"", b"dog on the mat \xc3\xa9"):
+        assert math.isclose(model.bits([text])[0], slow_bits(model, text), rel_tol=1e-3, abs_tol=1e-2)
+
+
+def test_blocks_count_what_a_loop_counts():
+    texts = [b"abc abd", b"abc abd", b"", b"zz abc"]
+    _, learner = mixing(texts)
+    want = [np.zeros_like(t) for t in learner.tables]
+    for text in texts:
+        symbols = [*text, lm_score.END]
+        for i, symbol in enumerate(symbols):
+            c = lm_score.Contexts(np.array([lm_score.PAD] * 5 + symbols[: i + 1], np.int16))
+            for table, h, (_, bits) in zip(want, c.hashed, lm_score.ORDERS, strict=True):
+                for depth in range(int(learner.code.length[symbol])):
+                    node, bit = int(learner.code.nodes[symbol, depth]), int(learner.code.bits[symbol, depth])
+                    spread = node * 0x85EBCA77 % 2**32
+                    at = (int(h[-1]) >> 32 - bits) ^ (spread >> 26) if bits > 20 else ((int(h[-1]) ^ spread) * 0x9E3779B1 % 2**32) >> 32 - bits
+                    table[2 * at + bit] += 1
+    assert all((a == b).all() for a, b in zip(learner.tables, want, strict=True))
+    assert learner.blocks == 2 and learner.map.sum() == sum(int(learner.code.length[s]) for t in texts[2:] for s in [*t, lm_score.END])
+
+
+def test_long_texts_are_cut_by_themselves(monkeypatch):
+    texts = [b"abc def " * 40_000, b"", b"zz", b"q" * 300_000]
+    model, _ = mixing([b"abc def " * 50] * 20)
+    whole = model.bits(texts)
+    assert np.allclose(whole, [model.bits([t])[0] for t in texts])
+    owner, context, segment, cost = model.segments(texts)
+    assert (np.diff(owner) >= 0).all() and set(owner) == {0, 1, 2, 3} and (context[np.flatnonzero(np.diff(owner)) + 1] == 0).all()
+    monkeypatch.setattr(lm_score, "BLOCK", 1 << 14)
+    assert np.allclose(model.bits(texts), whole)
+    assert sum(len(o[o >= 0]) for _, o, _ in lm_score.blocks(texts)) == sum(len(t) + 1 for t in texts)
+
+
+def test_segments_cover_texts_and_repeat_with_them():
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    passage = " ".join(r.choice(words) for _ in range(200))
+    texts = [f"{passage} end".encode(), " ".join(r.choice(words) for _ in range(100)).encode(), f"start {passage} other".encode()]
+    model, _ = mixing(texts)
+    owner, context, segment, _ = model.segments(texts)
+    pairs = [set(zip(context[owner == k].tolist(), segment[owner == k].tolist(), strict=True)) for k in range(3)]
+    assert len(pairs[0] & pairs[2]) > 5 and not pairs[0] & pairs[1]
+    alone = model.segments(texts[2:])
+    assert (alone[1] == context[owner == 2]).all() and (alone[2] == segment[owner == 2]).all()
+
+
+def test_repeated_texts_cost_less(spark):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(150))) for i in range(80)]
+    held = [i for i in range(80, 200) if zlib.crc32(str(i).encode()) % 5 == 1][:8]
+    rows += [(i, rows[k][1]) if k % 2 else (i, " ".join(r.choice(words) for _ in range(150))) for k, i in enumerate(held)]
+    learned = [i for i in range(80) if zlib.crc32(str(i).encode()) % 5 != 1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {x.doc_id: x.bits_per_byte for x in lm_score.score(docs, fold(F.col("doc_id"), 5) != 1, F.coalesce(fold(F.col("doc_id"), 5) == 1, F.lit(False))).collect()}
+    twins = [i for k, i in enumerate(held) if k % 2 and k in learned]
+    others = [i for k, i in enumerate(held) if not k % 2]
+    assert twins and max(out[i] for i in twins) < 0.5 * min(out[i] for i in others)
+
+
+def test_segment_counts_against_a_loop(spark):
+    r = random.Random(7)
+    rows = [(i, bool(r.random() < 0.7), [(r.choice([0, 5, 6]), r.randint(1, 3), 20.0) for _ in range(r.randint(0, 3))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row long, learned boolean, segments array<struct<context: long, segment: long, bits: float>>")
+    each = [(i, own, c, s, b) for i, own, found in rows for c, s, b in found]
+    made = []
+    for i, own, c, s, b in each:
+        total = sum(o for _, o, d, _, _ in each if d == c) - own
+        times = sum(o for _, o, d, e, _ in each if (d, e) == (c, s)) - own
+        if total > 0:
+            made.append((i, own, b, total, times, int(math.log2(total))))
+    trust = {l: (sum(t > 0 for _, o, _, _, t, m in made if o and m == l) + 0.5) / (sum(1 for _, o, _, _, _, m in made if o and m == l) + 1) for l in {x[5] for x in made}}
+    want = Counter()
+    for i, _, b, total, times, l in made:
+        want[i] += b + math.log2((1 - trust[l]) * 2.0**-b + trust[l] * times / total)
+    got = Counter()
+    for x in lm_score.repeated_segments(df).collect():
+        got[x.row] += x.saved
+    assert set(got) == set(want) and all(math.isclose(got[i], want[i], rel_tol=1e-6, abs_tol=1e-9) for i in want)
 
 
 def test_lm_without_training_documents(spark):
@@ -327,15 +423,3 @@ def test_lm_without_training_documents(spark):
     out = lm_score.score(docs, F.lit(False), F.lit(True)).collect()
     assert len(out) == 5 and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in out)
     assert lm_score.score(docs.limit(0), F.lit(True), F.lit(False)).count() == 0
-
-
-def test_mixing_adapts_on_every_chunk_but_the_empty_first(monkeypatch):
-    code = lm_score.Code(*lm_score.huffman(np.ones(257, np.int64)))
-    learner, seen = lm_score.Learner(code), []
-    adapt = learner.adapt
-    monkeypatch.setattr(learner, "adapt", lambda *a: (seen.append(len(a[2])), adapt(*a)))
-    r = random.Random(3)
-    for _ in range(6):
-        learner.learn([bytes(r.choices(b"abcdefgh ", k=2 * lm_score.CHUNK))])
-    first = learner.map.sum()
-    assert learner.chunks == 12 and len(seen) == 10 and first == sum(seen)
