@@ -42,10 +42,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simplark.llm.common import cut, extended, join_keys, named, small
+from simplark.llm.common import cut, extended, join_keys, named, small, written
 
 END, PAD = 256, 257
 #: Bytes of context and table size (as a power of two) of each input; 0 is the word so far.
@@ -53,13 +54,13 @@ ORDERS = ((2, 18), (3, 20), (5, 22), (0, 22))
 INPUTS = len(ORDERS)
 GATES = 64
 #: Symbols that are worked on together; a task's first blocks have FIRST, then twice as many each time.
-BLOCK, FIRST = 1 << 20, 1 << 14
-#: Distinct symbols whose bits are predicted at once, and symbols between two steps of the weights.
-PART, STEP = 1 << 13, 1 << 14
+BLOCK, FIRST = 1 << 19, 1 << 14
+#: Symbols whose contexts are worked out at once, distinct ones whose bits are, and symbols between two steps of the weights.
+STRETCH, PART, STEP = 1 << 14, 1 << 12, 1 << 14
 SCALE = 16
 LEAD = 64
 #: Bytes before a segment, and one in how many words begins one.
-LONG, ANCHOR = 16, 12
+LONG, ANCHOR = 16, 32
 FREQUENT = 500_000
 BLOCK_SLOTS = 1 << 15
 BUCKETS = 33
@@ -93,7 +94,7 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return length, nodes, bits
 
 
-def blocks(texts: list[bytes], size: int = BLOCK):
+def blocks(texts: list, size: int = BLOCK):
     """(symbols, document, start) of blocks: documents, whole or in parts of ``BLOCK`` bytes with a lead of ``LEAD`` bytes that isn't coded.
 
     Symbols of the lead have the document -1; start says where a document (2) or another part of one (1)
@@ -137,42 +138,76 @@ def mixed_up(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@dataclass
 class Contexts:
-    """What stands before each symbol of a block: hashes (32 bits) by input; and hashes of spans."""
+    """What stands before each symbol of a block, worked out in stretches that fit a processor's cache."""
+
+    hashed: list[np.ndarray]  # by input, 32 bits
+    key: np.ndarray  # one number for a symbol after the same last five bytes and the same word so far
+    anchors: np.ndarray  # where a word begins and the hash of the LONG bytes before it says that a segment does
+    before: np.ndarray  # that hash
 
-    def __init__(self, symbols: np.ndarray):
+    @classmethod
+    def of(cls, symbols: np.ndarray) -> Contexts:
         n = len(symbols)
-        s = (symbols + 1).astype(np.uint64)
-        s[symbols == PAD] = 0
-        up, self.down = powers(n + 1)
-        self.sums = np.concatenate(([np.uint64(0)], np.cumsum(s * up[:n], dtype=np.uint64)))
-        self.white = (symbols == 32) | ((symbols >= 9) & (symbols <= 13)) | (symbols >= END)
-        before = np.zeros(n + 5, np.uint64)
-        before[5:] = s
-        path = np.zeros(n, np.uint64)  # the last bytes, nine bits each
-        self.hashed: list[np.ndarray] = []
-        for k in range(1, 6):
-            path |= before[5 - k : 5 - k + n] << np.uint64(9 * (k - 1))
-            if k in (2, 3, 5):
-                self.hashed.append((path * np.uint64(0x9E3779B97F4A7C15 + 2 * k) >> np.uint64(32)).astype(np.uint32))
-        at = np.arange(n)
-        word = np.zeros(n, np.int64)
-        word[1:] = np.maximum.accumulate(np.where(self.white, at + 1, 0))[:-1]
-        full = self.span(np.maximum(word, at - LEAD), at)
-        self.hashed.append((full >> np.uint64(32)).astype(np.uint32))
-        # One number for a symbol after the same last five bytes and the same word so far.
-        self.key = mixed_up(path * np.uint64(0xFF51AFD7ED558CCD) ^ full) * np.uint64(0xC2B2AE3D27D4EB4F) + s
-
-    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A hash of the symbols from start to end (without it), wherever they stand."""
-        return mixed_up((self.sums[end] - self.sums[start]) * self.down[start] + np.uint64(99))
-
-
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the first of each distinct key, the number of its key for each)."""
-    number = pa.array(keys).dictionary_encode().indices.to_numpy()
-    top = np.maximum.accumulate(number)
-    return np.concatenate(([0], np.flatnonzero(number[1:] > top[:-1]) + 1)) if len(keys) else np.zeros(0, np.int64), number
+        hashed, key = [np.empty(n, np.uint32) for _ in ORDERS], np.empty(n, np.uint64)
+        found = []
+        for at in range(0, n, STRETCH):
+            lead = min(at, LEAD)
+            part = slice(at, at + STRETCH)
+            inner, keys, anchors, before = stretch(symbols[at - lead : at + STRETCH], lead)
+            for out, h in zip(hashed, inner, strict=True):
+                out[part] = h
+            key[part] = keys
+            found.append((anchors + at - lead, before))
+        anchors, before = (np.concatenate(x) for x in zip(*found, strict=True))
+        return cls(hashed, key, anchors, before)
+
+
+def stretch(symbols: np.ndarray, lead: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts of the symbols after ``lead`` ones: hashes by input, keys, places of anchors and their hashes."""
+    n = len(symbols)
+    s = (symbols + 1).astype(np.uint64)
+    s[symbols == PAD] = 0
+    up, down = powers(n + 1)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(s * up[:n], dtype=np.uint64)))
+    white = (symbols == 32) | ((symbols >= 9) & (symbols <= 13)) | (symbols >= END)
+    padded = np.zeros(n + 5, np.uint64)
+    padded[5:] = s
+    path = np.zeros(n, np.uint64)  # the last bytes, nine bits each
+    hashed: list[np.ndarray] = []
+    for k in range(1, 6):
+        path |= padded[5 - k : 5 - k + n] << np.uint64(9 * (k - 1))
+        if k in (2, 3, 5):
+            hashed.append((path[lead:] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) >> np.uint64(32)).astype(np.uint32))
+    at = np.arange(n)
+    word = np.zeros(n, np.int64)
+    word[1:] = np.maximum.accumulate(np.where(white, at + 1, 0))[:-1]
+    start = np.maximum(word, at - LEAD)[lead:]
+    full = mixed_up((sums[lead:n] - sums.take(start)) * down.take(start) + np.uint64(99))
+    hashed.append((full >> np.uint64(32)).astype(np.uint32))
+    key = mixed_up(path[lead:] * np.uint64(0xFF51AFD7ED558CCD) ^ full) * np.uint64(0xC2B2AE3D27D4EB4F) + s[lead:]
+    begin = np.flatnonzero(~white[1:] & white[:-1]) + 1
+    begin = begin[(begin >= lead) & (begin >= LONG)]
+    before = mixed_up((sums[begin] - sums[begin - LONG]) * down[begin - LONG])
+    chosen = before % np.uint64(ANCHOR) == 0
+    return hashed, key, begin[chosen], before[chosen]
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places sorted by key, where in them each distinct key begins, its place).
+
+    Sorting packs the place into the lowest bits; keys that differ in those alone are told apart after it, at
+    worst into more groups than there are keys.
+    """
+    mask = np.uint64((1 << max(1, (len(keys) - 1).bit_length())) - 1)
+    packed = keys & ~mask
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    place = (packed & mask).astype(np.int64)
+    found = keys.take(place)
+    begins = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+    return place, begins, place.take(begins)
 
 
 @dataclass
@@ -233,12 +268,19 @@ def bucket(node: np.ndarray, mix: np.ndarray) -> np.ndarray:
     return out
 
 
+def logits_of(counts: np.ndarray) -> np.ndarray:
+    """The logit, times SCALE, of each pair of counts (of bit 0 and of bit 1)."""
+    pair = counts.reshape(-1, 2).astype(np.float32) + np.float32(PRIOR)
+    return np.clip(np.rint(np.log(pair[:, 1] / pair[:, 0]) * np.float32(SCALE)), -127, 127).astype(np.int8)
+
+
 class Learner:
     """What one task counts and learns."""
 
     def __init__(self, code: Code):
         self.code = code
         self.tables = [np.zeros(2 << bits, np.int32) for _, bits in ORDERS]  # both bits' counts side by side
+        self.logits = [np.zeros(1 << bits, np.int8) for _, bits in ORDERS]  # what they say, times SCALE
         self.map = np.zeros(2 * 257 * BUCKETS, np.int64)
         self.weights = np.full((GATES, INPUTS), 0.35, np.float32)
         self.seen = self.blocks = 0
@@ -247,52 +289,50 @@ class Learner:
         """How many symbols the next block should have."""
         return min(BLOCK, FIRST << self.blocks)
 
-    def learn(self, texts: list[bytes]) -> None:
+    def learn(self, texts: list) -> None:
         """Move weights and map by what is counted so far, then count, block by block."""
         for symbols, owner, _ in blocks(texts):
-            c = Contexts(symbols)
+            c = Contexts.of(symbols)
             coded = np.flatnonzero(owner >= 0)
-            first, number = distinct(c.key.take(coded))
-            many = np.bincount(number, minlength=len(first))
+            _, begins, first = distinct(c.key.take(coded))
+            many = np.diff(begins, append=len(coded))
             at = coded.take(first)
             after, hashed = symbols.take(at).astype(np.int64), [h.take(at) for h in c.hashed]
             if self.blocks:
-                # Each step gets its share of all that the block has, early and late, frequent and rare.
-                steps = max(1, len(coded) // STEP)
-                for k in range(steps):
-                    self.adapt(after[k::steps], [h[k::steps] for h in hashed], many[k::steps])
-            for table, h, (_, bits) in zip(self.tables, hashed, ORDERS, strict=True):
-                self.count(table, h, after, many, bits)
+                # In the order of their hashes, so each step has its share of early and late, frequent and rare.
+                edges = np.linspace(0, len(at), max(1, len(coded) // STEP) + 1).astype(int).tolist()
+                for i, j in zip(edges, edges[1:], strict=False):
+                    self.adapt(after[i:j], [h[i:j] for h in hashed], many[i:j])
+            for k, h in enumerate(hashed):
+                self.count(k, h, after, many)
             self.seen += int((self.code.length.take(after) * many).sum())
             self.blocks += 1
 
-    def count(self, table: np.ndarray, hashed: np.ndarray, symbols: np.ndarray, many: np.ndarray, bits: int) -> None:
-        """Count each distinct context and symbol once, at the bits of its path, with its number."""
-        first, number = distinct(hashed.astype(np.uint64) << np.uint64(9) | symbols.view(np.uint64))
-        n = np.bincount(number, many, len(first)).astype(np.int32)
+    def count(self, k: int, hashed: np.ndarray, symbols: np.ndarray, many: np.ndarray) -> None:
+        """Count each distinct context and symbol of input k once, at the bits of its path, with its number."""
+        table, logits, bits = self.tables[k], self.logits[k], ORDERS[k][1]
+        # In the order of the contexts, in which the large tables are walked from one end to the other.
+        place, begins, first = distinct((hashed.astype(np.uint64) << np.uint64(9) | symbols.view(np.uint64)) << np.uint64(23))
+        n = np.add.reduceat(many.take(place), begins).astype(np.int32)
         hashed, symbols = hashed.take(first), symbols.take(first)
         for i in range(0, len(first), PART):
             part = slice(i, i + PART)
             place, node, _, bit, _ = self.code.walk(symbols[part])
             at = slots(hashed[part].take(place), node * np.uint32(0x85EBCA77), bits).astype(np.int64)
-            at *= 2
-            at += bit
-            np.add.at(table, at, n[part].take(place))
+            np.add.at(table, 2 * at + bit, n[part].take(place))
+            logits[at] = logits_of(table.view(np.int64).take(at).view(np.int32))
 
     def adapt(self, symbols: np.ndarray, hashed: list[np.ndarray], many: np.ndarray) -> None:
         """Predict with what is counted so far; move the weights along the error, and the map."""
         place, node, depth, bit, _ = self.code.walk(symbols)
         spread = node * np.uint32(0x85EBCA77)
-        logits = []
-        for table, h, (_, bits) in zip(self.tables, hashed, ORDERS, strict=True):
-            pair = table.view(np.int64).take(slots(h.take(place), spread, bits)).view(np.int32).reshape(-1, 2).astype(np.float32) + np.float32(PRIOR)
-            logits.append(np.log(pair[:, 1] / pair[:, 0]))
+        logits = [t.take(slots(h.take(place), spread, bits)) for t, h, (_, bits) in zip(self.logits, hashed, ORDERS, strict=True)]
         gate, weight = gates(depth, logits), many.take(place)  # depth changes and isn't used again
-        mix = mixed(self.weights, gate, logits)
+        mix = mixed(self.weights / np.float32(SCALE), gate, logits)
         wrong = (bit - 1 / (1 + np.exp(-mix))) * weight
         total = np.maximum(np.bincount(gate, weight, GATES), 256)
         for k in range(INPUTS):
-            self.weights[:, k] += RATE * np.bincount(gate, wrong * logits[k], GATES) / total
+            self.weights[:, k] += RATE / SCALE * np.bincount(gate, wrong * logits[k], GATES) / total
         self.map += np.bincount(2 * bucket(node, mix) + bit, weight, len(self.map)).astype(np.int64)
 
 
@@ -320,32 +360,27 @@ class MixingModel:
             out[part] = np.add.reduceat(np.log2(np.exp(mix, out=mix) + np.float32(1)), begin)
         return out
 
-    def segments(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def segments(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, hash of what is before, hash of itself, cost in bits) of every segment, in order; the first of a text comes after 0."""
         found = []
         for symbols, owner, start in blocks(texts):
-            c = Contexts(symbols)
+            c = Contexts.of(symbols)
             coded = np.flatnonzero(owner >= 0)
-            first, number = distinct(c.key.take(coded))
+            place, begins, first = distinct(c.key.take(coded))
             at = coded.take(first)
+            each = self.costs(symbols.take(at).astype(np.int64), [h.take(at) for h in c.hashed])
             cost = np.zeros(len(symbols))
-            cost[coded] = self.costs(symbols.take(at).astype(np.int64), [h.take(at) for h in c.hashed]).take(number)
+            cost[coded.take(place)] = np.repeat(each, np.diff(begins, append=len(coded)))
             begin = np.flatnonzero(start)
-            word = np.flatnonzero(~c.white[1:] & c.white[:-1] & (owner[1:] >= 0)) + 1
-            # What is before lies within the text, or in the lead of its part.
-            origin = begin[np.searchsorted(begin, word, side="right") - 1]
-            room = word - origin + np.where(start[origin] == 1, LEAD, 0)
-            word = word[room >= LONG]
-            before = c.span(word - LONG, word)
-            chosen = before % np.uint64(ANCHOR) == 0
-            places = np.union1d(word[chosen], begin)
-            ends = np.append(places[1:], len(symbols))
-            # A segment ends before the next document's padding or the next part's lead.
-            nexts = np.searchsorted(begin, places, side="right")
-            last_coded = np.append(coded[np.searchsorted(coded, begin[1:]) - 1], coded[-1])[nexts - 1] + 1
-            ends = np.minimum(ends, last_coded)
-            context = np.where(start[places] == 2, np.uint64(0), c.span(np.maximum(places - LONG, 0), places))
-            found.append((owner[places], context, c.span(places, ends), np.add.reduceat(cost, places)))
+            # What is before an anchor lies within its text, or in the lead of its part.
+            anchors = c.anchors
+            origin = begin[np.searchsorted(begin, anchors, side="right") - 1]
+            inside = (anchors > origin) & (owner.take(anchors) >= 0) & (anchors - origin + np.where(start.take(origin) == 1, LEAD, 0) >= LONG)
+            places, which = np.unique(np.concatenate((begin, anchors[inside])), return_index=True)
+            context = np.concatenate((np.where(start[begin] == 2, 0, c.key.take(begin)).astype(np.uint64), c.before[inside])).take(which)
+            up, down = powers(len(symbols))
+            hashes = np.where(owner >= 0, c.key * up, np.uint64(0))
+            found.append((owner.take(places), context, mixed_up(np.add.reduceat(hashes, places) * down.take(places)), np.add.reduceat(cost, places)))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -359,8 +394,38 @@ class MixingModel:
 # -- on Spark
 
 
-def raw_lower(column: pa.Array) -> list[bytes]:
-    return [b"" if x is None else x.lower() for x in column.to_pylist()]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def raw_lower(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the lower-cased bytes of all texts, where each begins and the last ends); null is the empty text."""
+    column = pc.fill_null(column, b"")
+    if not len(column) or column.buffers()[2] is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return _LOWER.take(np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]), (offsets - offsets[0]).astype(np.int64)
+
+
+def texts_of(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, the number of each word's, its text), words in order."""
+    if not len(data):
+        return pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    white = _WHITE.take(data)
+    cut = np.ones(len(data) + 1, bool)
+    np.not_equal(white[1:], white[:-1], out=cut[1:-1])
+    cut[ends] = True
+    at = np.flatnonzero(cut).astype(np.int32)
+    # Words and what stands between them, which few distinct gaps make up.
+    pieces = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+    word = np.flatnonzero(~white.take(at[:-1]))
+    return pieces.dictionary, pieces.indices.to_numpy().take(word), np.searchsorted(ends, at.take(word), side="right") - 1
 
 
 def word_counts(train: DataFrame, text: str) -> tuple[DataFrame, np.ndarray, int]:
@@ -373,11 +438,15 @@ def word_counts(train: DataFrame, text: str) -> tuple[DataFrame, np.ndarray, int
         def rows(found, kinds):
             return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["kind", "word", "n"])
 
-        for batch in small(batches, 0):
-            for raw in raw_lower(batch.column(0)):
-                words.update(raw.split())
-                symbols[:256] += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-                docs += 1
+        for batch in small(batches, 0, rows=1 << 30, size=BLOCK):
+            data, ends = raw_lower(batch.column(0))
+            found, number, _ = words_of(data, ends)
+            many = np.bincount(number, minlength=len(found))
+            for word, n in zip(found.to_pylist(), many.tolist(), strict=True):
+                if n:  # not a gap
+                    words[word] += n
+            symbols[:256] += np.bincount(data, minlength=256)
+            docs += batch.num_rows
             if len(words) > 300_000:
                 yield rows(list(words.items()), [0] * len(words))
                 words.clear()
@@ -400,7 +469,7 @@ def train_mixing(train: DataFrame, text: str, code: Code) -> MixingModel:
         learner = Learner(code)
         waiting, size = [], 0
         for batch in small(batches, 0):
-            for raw in raw_lower(batch.column(0)):
+            for raw in texts_of(*raw_lower(batch.column(0))):
                 waiting.append(raw)
                 size += len(raw) + 6
                 if size >= learner.wanted():
@@ -427,8 +496,7 @@ def train_mixing(train: DataFrame, text: str, code: Code) -> MixingModel:
         def done():
             raw = total
             if now[0] == "t":
-                pair = total.reshape(-1, 2).astype(np.float64) + PRIOR
-                raw = np.clip(np.rint(np.log(pair[:, 1] / pair[:, 0]) * SCALE), -127, 127).astype(np.int8)
+                raw = logits_of(total)
             return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]], pa.int32()), pa.array([raw.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["kind", "block", "raw", "seen"])
 
         for batch in batches:
@@ -496,31 +564,32 @@ def score(docs: DataFrame, learn: Column, held_out: Column, key: str = "doc_id",
         shaped.drop("t"),
         "n_tokens long, known long, part double, bits double, size long, rare array<struct<word: binary, n: int>>, segments array<struct<context: long, segment: long, bits: float>>",
     )
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
-
     def run(batches):
         model, values = held.value
         for batch in small(batches, 4, rows=1 << 30, size=BLOCK):
-            texts = raw_lower(batch.column(4))
-            n, some, part, left = [], [], [], []
-            for raw in texts:
-                ws = raw.split()
-                v = np.array(list(map(values.get, ws, repeat(math.nan))))
-                miss = np.isnan(v)
-                n.append(len(ws) + 1)
-                some.append(int(len(ws) - miss.sum()) + (n_docs > 0))
-                part.append(float(v[~miss].sum()) + int(miss.sum()) * unseen + end_value)
-                left.append([{"word": w, "n": c} for w, c in Counter(ws[i] for i in np.flatnonzero(miss).tolist()).items()])
+            data, ends = raw_lower(batch.column(4))
+            texts = texts_of(data, ends)
+            found, number, of = words_of(data, ends)
+            value = np.fromiter(map(values.get, found.to_pylist(), repeat(math.nan)), np.float64, len(found))
+            v = value.take(number)
+            miss = np.isnan(v)
+            missing = np.bincount(of[miss], minlength=len(texts))
+            n = np.bincount(of, minlength=len(texts)) + 1
+            part = np.bincount(of, np.where(miss, unseen, v), len(texts)) + end_value
+            # The words that aren't among the frequent ones, each once for a text with its number.
+            rare_at, times = np.unique(of[miss] << 32 | number[miss], return_counts=True)
+            left = pa.StructArray.from_arrays([found.take(pa.array(rare_at & 0xFFFFFFFF)), pa.array(times.astype(np.int32))], ["word", "n"])
+            left = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare_at >> 32, np.arange(len(texts) + 1)), pa.int32()), left)
             owner, context, segment, bits = model.segments(texts)
             ends = np.searchsorted(owner, np.arange(len(texts) + 1))
             structs = pa.StructArray.from_arrays([pa.array(context.view(np.int64)), pa.array(segment.view(np.int64)), pa.array(bits.astype(np.float32))], ["context", "segment", "bits"])
             arrays = [
-                pa.array(n, pa.int64()), pa.array(some, pa.int64()), pa.array(part), pa.array(np.bincount(owner, bits, len(texts))), pa.array([len(x) for x in texts], pa.int64()), pa.array(left, rare_type),
+                pa.array(n), pa.array(n - 1 - missing + (n_docs > 0)), pa.array(part), pa.array(np.bincount(owner, bits, len(texts))), pa.array(np.diff(ends)), left,
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *arrays], schema.names)
 
-    rows = cut(shaped.mapInArrow(run, schema))
+    rows = written(shaped.mapInArrow(run, schema))
     tail = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(rare, "word")
     gained = repeated_segments(rows).select("row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("more_known"), "saved")
     by_row = (
@@ -550,12 +619,12 @@ def repeated_segments(rows: DataFrame) -> DataFrame:
     """
     each = rows.select("row", F.col("learned").cast("int").alias("own"), F.explode("segments").alias("s")).select("row", "own", "s.context", "s.segment", "s.bits")
     contexts = each.groupBy("context").agg(F.sum("own").alias("total"), F.count(F.lit(1)).alias("n")).where("total > 0 AND n > 1")
-    met = cut(join_keys(each, contexts, ["context"], "n"))
+    met = written(join_keys(each, contexts, ["context"], "n"))
     segments = met.groupBy("context", "segment").agg(F.sum("own").alias("times"), F.count(F.lit(1)).alias("n")).where("times > 0 AND n > 1")
     others = met.withColumn("total", F.col("total") - F.col("own")).where("total > 0")
     both = join_keys(others, segments, ["context", "segment"], "n", "left")
     both = both.withColumn("times", F.when(F.col("times").isNull(), F.lit(0)).otherwise(F.col("times") - F.col("own")))
-    both = cut(both.withColumn("level", F.floor(F.log2("total")).cast("int")))
+    both = written(both.withColumn("level", F.floor(F.log2("total")).cast("int")))
     # How often a context that occurred so often told what comes: some thirty levels.
     hits = both.where("own = 1").groupBy("level").agg(((F.count_if(F.col("times") > 0) + 0.5) / (F.count(F.lit(1)) + 1)).alias("trust"))
     trusted = both.join(F.broadcast(hits), "level", "left").withColumn("trust", F.coalesce("trust", F.lit(0.5)))

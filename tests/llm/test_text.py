@@ -312,7 +312,7 @@ def slow_bits(model, text):
     symbols = [*text, lm_score.END]
     total = 0.0
     for i, symbol in enumerate(symbols):
-        c = lm_score.Contexts(np.array([lm_score.PAD] * 5 + symbols[: i + 1], np.int16))
+        c = lm_score.Contexts.of(np.array([lm_score.PAD] * 5 + symbols[: i + 1], np.int16))
         hashed = [int(h[-1]) for h in c.hashed]
         for depth in range(int(model.code.length[symbol])):
             node, bit = int(model.code.nodes[symbol, depth]), int(model.code.bits[symbol, depth])
@@ -347,7 +347,7 @@ def test_blocks_count_what_a_loop_counts():
     for text in texts:
         symbols = [*text, lm_score.END]
         for i, symbol in enumerate(symbols):
-            c = lm_score.Contexts(np.array([lm_score.PAD] * 5 + symbols[: i + 1], np.int16))
+            c = lm_score.Contexts.of(np.array([lm_score.PAD] * 5 + symbols[: i + 1], np.int16))
             for table, h, (_, bits) in zip(want, c.hashed, lm_score.ORDERS, strict=True):
                 for depth in range(int(learner.code.length[symbol])):
                     node, bit = int(learner.code.nodes[symbol, depth]), int(learner.code.bits[symbol, depth])
