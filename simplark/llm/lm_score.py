@@ -54,7 +54,7 @@ ORDERS = ((2, 18), (3, 20), (5, 22), (0, 22))
 INPUTS = len(ORDERS)
 GATES = 64
 #: Symbols that are worked on together; a task's first blocks have FIRST, then twice as many each time.
-BLOCK, FIRST = 1 << 19, 1 << 14
+BLOCK, FIRST = 1 << 21, 1 << 14
 #: Symbols whose contexts are worked out at once, distinct ones whose bits are, and symbols between two steps of the weights.
 STRETCH, PART, STEP = 1 << 14, 1 << 12, 1 << 14
 SCALE = 16
@@ -194,14 +194,14 @@ def stretch(symbols: np.ndarray, lead: int) -> tuple[list[np.ndarray], np.ndarra
     return hashed, key, begin[chosen], before[chosen]
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places sorted by key, where in them each distinct key begins, its place).
+def distinct(keys: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places sorted by key, or by ``order`` (32 bits) and key, where in them each distinct key begins, its place).
 
     Sorting packs the place into the lowest bits; keys that differ in those alone are told apart after it, at
     worst into more groups than there are keys.
     """
     mask = np.uint64((1 << max(1, (len(keys) - 1).bit_length())) - 1)
-    packed = keys & ~mask
+    packed = keys & ~mask if order is None else (order.astype(np.uint64) << np.uint64(32) | keys >> np.uint64(32)) & ~mask
     packed |= np.arange(len(keys), dtype=np.uint64)
     packed.sort()
     place = (packed & mask).astype(np.int64)
@@ -294,7 +294,7 @@ class Learner:
         for symbols, owner, _ in blocks(texts):
             c = Contexts.of(symbols)
             coded = np.flatnonzero(owner >= 0)
-            _, begins, first = distinct(c.key.take(coded))
+            _, begins, first = distinct(c.key.take(coded), c.hashed[2].take(coded))  # tables are walked in order
             many = np.diff(begins, append=len(coded))
             at = coded.take(first)
             after, hashed = symbols.take(at).astype(np.int64), [h.take(at) for h in c.hashed]
@@ -366,7 +366,7 @@ class MixingModel:
         for symbols, owner, start in blocks(texts):
             c = Contexts.of(symbols)
             coded = np.flatnonzero(owner >= 0)
-            place, begins, first = distinct(c.key.take(coded))
+            place, begins, first = distinct(c.key.take(coded), c.hashed[2].take(coded))
             at = coded.take(first)
             each = self.costs(symbols.take(at).astype(np.int64), [h.take(at) for h in c.hashed])
             cost = np.zeros(len(symbols))
@@ -438,7 +438,7 @@ def word_counts(train: DataFrame, text: str) -> tuple[DataFrame, np.ndarray, int
         def rows(found, kinds):
             return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["kind", "word", "n"])
 
-        for batch in small(batches, 0, rows=1 << 30, size=BLOCK):
+        for batch in small(batches, 0, rows=1 << 30, size=4 * BLOCK):
             data, ends = raw_lower(batch.column(0))
             found, number, _ = words_of(data, ends)
             many = np.bincount(number, minlength=len(found))
