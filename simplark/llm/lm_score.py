@@ -34,6 +34,7 @@ the texts beside it, nor on where a long one is cut; other columns may have any
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import math
 from collections import Counter
@@ -54,7 +55,7 @@ ORDERS = ((2, 18), (3, 20), (5, 22), (0, 22))
 INPUTS = len(ORDERS)
 GATES = 64
 #: Symbols that are worked on together; a task's first blocks have FIRST, then twice as many each time.
-BLOCK, FIRST = 1 << 21, 1 << 14
+BLOCK, FIRST = 1 << 20, 1 << 14
 #: Symbols whose contexts are worked out at once, distinct ones whose bits are, and symbols between two steps of the weights.
 STRETCH, PART, STEP = 1 << 14, 1 << 12, 1 << 14
 SCALE = 16
@@ -394,6 +395,16 @@ class MixingModel:
 # -- on Spark
 
 
+def keep_memory() -> None:
+    """Let this worker keep the memory of arrays that it frees: each block needs as much again, and fresh pages cost more than the work on them."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 30)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, (1 << 31) - 1)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _WHITE = np.zeros(256, bool)
@@ -466,6 +477,7 @@ def train_mixing(train: DataFrame, text: str, code: Code) -> MixingModel:
     """Count in every task, add up the tables by blocks, average the weights."""
 
     def learn(batches):
+        keep_memory()
         learner = Learner(code)
         waiting, size = [], 0
         for batch in small(batches, 0):
@@ -565,6 +577,7 @@ def score(docs: DataFrame, learn: Column, held_out: Column, key: str = "doc_id",
         "n_tokens long, known long, part double, bits double, size long, rare array<struct<word: binary, n: int>>, segments array<struct<context: long, segment: long, bits: float>>",
     )
     def run(batches):
+        keep_memory()
         model, values = held.value
         for batch in small(batches, 4, rows=1 << 30, size=BLOCK):
             data, ends = raw_lower(batch.column(4))
