@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,11 +49,84 @@ def log_factorial(n: Column) -> Column:
 
 def hypergeometric_tail(observed: Column, row: Column, column: Column, total: Column) -> Column:
     """P(X >= observed), X the marked among ``row`` drawn of ``total`` with ``column`` marked."""
-    lf = log_factorial
-    fixed = lf(row) + lf(total - row) + lf(column) + lf(total - column) - lf(total)
-    js = F.sequence(observed.cast("long"), F.least(row, column).cast("long"))
-    terms = F.transform(js, lambda j: F.exp(fixed - lf(j) - lf(row - j) - lf(column - j) - lf(total - row - column + j)))
-    return F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
+
+    @F.pandas_udf("double")
+    def tail(observed: pd.Series, row: pd.Series, column: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series([hypergeometric_upper(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(observed, row, column, total, strict=True)])
+
+    return tail(observed.cast("long"), row.cast("long"), column.cast("long"), total.cast("long"))
+
+
+def hypergeometric_upper(observed: int, row: int, column: int, total: int) -> float:
+    """The tail from the observed value, term by term from the larger side of the mode until terms vanish: no array, however large the groups."""
+    low, high = max(0, row + column - total), min(row, column)
+    if observed <= low:
+        return 1.0
+    if observed > high:
+        return 0.0
+    lf = lambda n: math.lgamma(n + 1)
+    at = lambda j: math.exp(lf(row) + lf(total - row) + lf(column) + lf(total - column) - lf(total) - lf(j) - lf(row - j) - lf(column - j) - lf(total - row - column + j))
+    mode = (row + 1) * (column + 1) // (total + 2)
+    up = observed > mode  # terms fall from here on; else one minus the other side
+    j = observed if up else observed - 1
+    sum_, term = 0.0, at(j)
+    while low <= j <= high and term > sum_ * 1e-17 and term > 0:
+        sum_ += term
+        if up:
+            term *= (row - j) * (column - j) / ((j + 1) * (total - row - column + j + 1))
+            j += 1
+        else:
+            term *= j * (total - row - column + j) / ((row - j + 1) * (column - j + 1))
+            j -= 1
+    return min(1.0, sum_) if up else max(0.0, 1.0 - sum_)
+
+
+def conditional_odds(observed: Column, row: Column, column: Column, total: Column, level: float = 0.95) -> Column:
+    """(estimate, lower, upper) of the odds ratio of a 2 x 2 table, given its margins."""
+
+    @F.pandas_udf("struct<estimate: double, lower: double, upper: double>")
+    def odds(observed: pd.Series, row: pd.Series, column: pd.Series, total: pd.Series) -> pd.DataFrame:
+        made = [fisher_odds(int(a), int(b), int(c), int(d), level) for a, b, c, d in zip(observed, row, column, total, strict=True)]
+        return pd.DataFrame(made, columns=["estimate", "lower", "upper"])
+
+    return odds(observed.cast("long"), row.cast("long"), column.cast("long"), total.cast("long"))
+
+
+def fisher_odds(observed: int, row: int, column: int, total: int, level: float = 0.95) -> tuple[float, float, float]:
+    """The conditional maximum-likelihood odds ratio and its exact interval.
+
+    Counts under an odds ratio have weights C(row, j) C(total - row, column - j) ratio^j; those within forty
+    standard deviations of the most likely count are summed, so large groups cost no more than small ones.
+    """
+    low, high = max(0, row + column - total), min(row, column)
+    if observed in (row, column):
+        return math.inf, math.nan, math.nan
+
+    def at(log_ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        # The mode solves a quadratic: (row - j)(column - j) ratio = j (total - row - column + j).
+        r = math.exp(log_ratio)
+        a, b, c = r - 1, -(r * (row + column) + total - row - column), r * row * column
+        mode = c / -b if abs(a) < 1e-12 else 2 * c / (-b + math.sqrt(max(0.0, b * b - 4 * a * c)))
+        spread = math.sqrt(1 / sum(1 / max(x, 0.5) for x in (mode, row - mode, column - mode, total - row - column + mode)))
+        j = np.arange(max(low, int(mode - 40 * spread) - 2), min(high, int(mode + 40 * spread) + 2) + 1)
+        steps = np.log((row - j[:-1]) * (column - j[:-1]).astype(float)) - np.log((j[:-1] + 1) * (total - row - column + j[:-1] + 1).astype(float)) + log_ratio
+        logs = np.concatenate(([0.0], np.cumsum(steps)))
+        p = np.exp(logs - logs.max())
+        return j, p / p.sum()
+
+    def solve(f) -> float:
+        a, b = -60.0, 60.0
+        for _ in range(80):
+            m = (a + b) / 2
+            a, b = (m, b) if f(m) < 0 else (a, m)
+        return math.exp((a + b) / 2)
+
+    tail = (1 - level) / 2
+    above = lambda x: (lambda j, p: p[j >= observed].sum())(*at(x)) - tail
+    below = lambda x: tail - (lambda j, p: p[j <= observed].sum())(*at(x))
+    mean = lambda x: (lambda j, p: (j * p).sum())(*at(x)) - observed
+    estimate = 0.0 if observed == low else solve(mean)
+    return estimate, 0.0 if observed == low else solve(above), solve(below)
 
 
 def student_two_sided(t: float, df: float) -> float:

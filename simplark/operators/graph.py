@@ -6,49 +6,58 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simplark.functions import special
 from simplark.functions import vectors as V
 from simplark.operators.archetypes import CENTRAL
 
-BLOCK_ROWS = 50_000
+#: Points of a block: at least, at most; between them a fiftieth of all.
+BLOCK_ROWS = (1_000, 20_000)
+TILE = 256
 
 
 def knn_edges(points: DataFrame, k: int = 30) -> DataFrame:
     """src, dst, w (1): the k nearest other points by Euclidean distance, ties to the smaller id.
 
-    Exact. Points travel in blocks of at most BLOCK_ROWS as a broadcast matrix, every block against
-    all rows; each row keeps its best k, so what is shuffled is k rows a point and block.
+    Exact. Points are dealt into blocks, and each pair of blocks is a group of its own, with the points of
+    one against those of the other; nothing passes through the driver. A group's distances come from matrix
+    products in tiles, and what could be among the nearest is measured again. A point keeps its best k of
+    each block, so the last window sees k rows for a point and block.
     """
-    spark = points.sparkSession
     n = points.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    found = None
-    for b in range(blocks):
-        block = points.where(F.pmod(F.xxhash64("cell_id"), F.lit(blocks)) == b).toPandas()
-        if not len(block):
-            continue
-        held = spark.sparkContext.broadcast((block["cell_id"].to_numpy(), np.array(block["vec"].tolist(), float).reshape(len(block), -1)))
-
-        def near(batches, held=held):
-            ids, m = held.value
-            for pdf in batches:
-                rows = np.array(pdf["vec"].tolist(), float).reshape(len(pdf), -1)
-                own = pdf["cell_id"].to_numpy()
-                for i in range(0, len(rows), 256):
-                    d = np.sqrt(((rows[i : i + 256, None, :] - m[None, :, :]) ** 2).sum(2)).round(9)
-                    d[own[i : i + 256, None] == ids[None, :]] = np.inf
-                    take = min(k, len(ids))
-                    edge = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
-                    r, c = np.nonzero((d <= edge) & np.isfinite(d))
-                    yield pd.DataFrame({"src": own[i + r], "dst": ids[c], "d": d[r, c]})
-
-        some = points.mapInPandas(near, "src long, dst long, d double")
-        found = some if found is None else found.unionByName(some)
-    if found is None:
-        return spark.createDataFrame([], "src long, dst long, w double")
+    size = min(max(BLOCK_ROWS[0], n // 50), BLOCK_ROWS[1])
+    blocks = max(1, -(-n // size))
+    own, every = F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = points.select("cell_id", "vec", own.alias("i"), every.alias("j"))
+    columns = points.select("cell_id", "vec", own.alias("j"), every.alias("i"))
+
+    def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "d": np.zeros(0)})]
+        if len(left) and len(right):
+            a, b = (np.array(x["vec"].tolist(), float).reshape(len(x), -1) for x in (left, right))
+            a_ids, b_ids = left["cell_id"].to_numpy(), right["cell_id"].to_numpy()
+            b_squares = (b * b).sum(1)
+            for at in range(0, len(a), TILE):
+                part, ids = a[at : at + TILE], a_ids[at : at + TILE]
+                squares = (part * part).sum(1)
+                rough = squares[:, None] + b_squares[None, :] - 2 * (part @ b.T)
+                rough[ids[:, None] == b_ids[None, :]] = np.inf
+                take = min(k, len(b))
+                edge = np.partition(rough, take - 1, axis=1)[:, take - 1]
+                # The product form is off by some units of the last place of the squares; distances tie at 9 digits.
+                slack = 1e-12 * (squares + b_squares.max()) + 4e-9 * np.sqrt(np.maximum(np.where(np.isfinite(edge), edge, 0), 0)) + 1e-15
+                r, c = np.nonzero((rough <= (edge + slack)[:, None]) & np.isfinite(rough))
+                d = np.sqrt(((part[r] - b[c]) ** 2).sum(1)).round(9)
+                order = np.lexsort((b_ids[c], d, r))
+                r, c, d = r[order], c[order], d[order]
+                first = np.searchsorted(r, r)
+                best = np.arange(len(r)) - first < k
+                out.append(pd.DataFrame({"src": ids[r[best]], "dst": b_ids[c[best]], "d": d[best]}))
+        return pd.concat(out)
+
+    found = rows.groupBy("i", "j").cogroup(columns.groupBy("i", "j")).applyInPandas(near, "src long, dst long, d double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
     return found.withColumn("r", rank).where(F.col("r") <= k).select("src", "dst", F.lit(1.0).alias("w"))
 
@@ -60,29 +69,45 @@ def label_edges(edges: DataFrame, labels: DataFrame, label: str = "archetype") -
     return edges.join(one, "src").join(two, "dst").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def neighbourhood_enrichment(edges: DataFrame, labels: DataFrame, n_perms: int = 1000, seed: int = 42, label: str = "archetype") -> DataFrame:
-    """a, b, n, mean, std, z of edge counts against random relabellings.
+def neighbourhood_enrichment(edges: DataFrame, labels: DataFrame, label: str = "archetype") -> DataFrame:
+    """a, b, n, mean, std, z of edge counts against all permutations of the labels over the cells.
 
-    In each relabelling a cell draws its label by the labels' shares, from a hash of its id, the
-    relabelling's number and the seed. That needs no order of all cells and no join: what an edge
-    connects is computed where the edge lies. For many cells it is what shuffling the labels gives.
+    Mean and variance under permutation are exact, not drawn: the second moment of a count adds up, over
+    all pairs of edges, the chance that both connect the two labels, which depends on the cells that the
+    edges share and on the labels' sizes alone. So one pass over the edges gives the number of pairs that
+    share a source, a target or a cell between them, and the rest is a row for each pair of labels.
+    Edges are distinct and none leads to its own cell.
     """
     observed = label_edges(edges, labels, label)
-    shares = labels.groupBy(F.col(label).alias("x")).agg(F.count(F.lit(1)).alias("n")).orderBy("x").collect()  # a row for each label
-    total, upto, names = sum(r.n for r in shares), [], [r.x for r in shares]
-    for r in shares:
-        upto.append((upto[-1] if upto else 0) + r.n)
-
-    def drawn(cell: str) -> Column:
-        u = F.pmod(F.xxhash64(cell, "p", F.lit(seed)), F.lit(total))
-        return F.get(F.lit(names), F.size(F.filter(F.lit(upto), lambda e: e <= u)))
-
-    rows = edges.select("src", "dst", F.explode(F.sequence(F.lit(1), F.lit(n_perms))).alias("p"))
-    counts = rows.groupBy("p", drawn("src").alias("a"), drawn("dst").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    stats = counts.groupBy("a", "b").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))  # a pair that never occurred counts as 0
-    mean, square = F.coalesce("s", F.lit(0)) / n_perms, F.coalesce("q", F.lit(0)) / n_perms
-    out = observed.join(stats, ["a", "b"], "full").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"))
-    return out.withColumn("z", F.when(F.col("std") > 0, (F.col("n") - F.col("mean")) / F.col("std")))
+    sizes = labels.groupBy(F.col(label).alias("x")).agg(F.count(F.lit(1)).cast("double").alias("s"))
+    total = labels.agg(F.count(F.lit(1)).cast("double").alias("cells"))
+    degrees = (
+        edges.select(F.col("src").alias("c"), F.lit(1.0).alias("o"), F.lit(0.0).alias("i"))
+        .unionByName(edges.select(F.col("dst").alias("c"), F.lit(0.0).alias("o"), F.lit(1.0).alias("i")))
+        .groupBy("c")
+        .agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    )
+    sums = degrees.agg(F.sum("o").alias("m"), F.sum(F.col("o") * F.col("o")).alias("oo"), F.sum(F.col("i") * F.col("i")).alias("ii"), F.sum(F.col("o") * F.col("i")).alias("oi"))
+    way = F.struct(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
+    both_ways = edges.groupBy(way).agg(F.count(F.lit(1)).alias("n")).agg((2.0 * F.count_if(F.col("n") == 2)).alias("back"))
+    few = sizes.select(F.col("x").alias("a"), F.col("s").alias("sa")).crossJoin(F.broadcast(sizes.select(F.col("x").alias("b"), F.col("s").alias("sb"))))  # labels are few
+    for one in (total, sums, both_ways):
+        few = few.crossJoin(F.broadcast(one))
+    sa, sb, n, m, same = F.col("sa"), F.col("sb"), F.col("cells"), F.col("m"), F.col("a") == F.col("b")
+    of2, of3, of4 = n * (n - 1), n * (n - 1) * (n - 2), n * (n - 1) * (n - 2) * (n - 3)
+    apart = lambda x, of: F.when(of > 0, x / of).otherwise(0.0)
+    p = F.when(same, sa * (sa - 1)).otherwise(sa * sb) / of2
+    three = sa * (sa - 1) * (sa - 2)
+    source = apart(F.when(same, three).otherwise(sa * sb * (sb - 1)), of3)
+    target = apart(F.when(same, three).otherwise(sb * sa * (sa - 1)), of3)
+    chain = apart(F.when(same, three).otherwise(0.0), of3)
+    none = apart(F.when(same, three * (sa - 3)).otherwise(sa * (sa - 1) * sb * (sb - 1)), of4)
+    n_source, n_target, n_chain = F.col("oo") - m, F.col("ii") - m, 2 * (F.col("oi") - F.col("back"))
+    n_none = m * m - m - F.col("back") - n_source - n_target - n_chain
+    square = m * p + F.when(same, F.col("back") * p).otherwise(0.0) + n_source * source + n_target * target + n_chain * chain + n_none * none
+    moments = few.select("a", "b", (m * p).alias("mean"), F.sqrt(F.greatest(square - m * p * m * p, F.lit(0.0))).alias("std"))
+    out = moments.join(observed, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std")
+    return out.withColumn("z", F.when(F.col("std") > 1e-9, (F.col("n") - F.col("mean")) / F.col("std")))
 
 
 def co_occurrence(points: DataFrame, bands: Sequence[float], label: str = "archetype") -> DataFrame:

@@ -72,18 +72,23 @@ def pattern_table(spark: SparkSession, patterns: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, PATTERN_SCHEMA)
 
 
-def pattern_associations(values: DataFrame, binned: DataFrame, patterns: DataFrame, min_cells: int = 10, min_effect: float = 0.01) -> DataFrame:
+def pattern_associations(values: DataFrame, binned: DataFrame, patterns: DataFrame, min_cells: int = 10, min_effect: float = 0.01, raw: bool = False, min_nonzero: float = 0.05) -> DataFrame:
     """Rank-sum tests of the union of a pattern's high bins with that of its low bins, for every feature.
 
     ``binned`` has a row for each (cell_id, archetype) membership. The patterns (a few dozen rows)
-    are broadcast; ranks come from counts of distinct values by pattern and side.
+    are broadcast. Cells are counted first by the set of bins that they are in (a mask), feature and
+    distinct value; patterns are made of those counts, so their number doesn't multiply the values.
+    log_fold_change is that of ``stats.fold_change`` where ``raw``, else the difference of means. Features
+    with less than ``min_nonzero`` of values other than zero on both sides have statistic 0 and p 1.
     """
-    sided = patterns.select("pattern_name", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("high").alias("names")), F.struct(F.lit(0).alias("side"), F.col("low").alias("names")))).alias("s"))
-    sided = sided.select("pattern_name", "s.side", F.explode("s.names").alias("archetype"))
-    members = binned.join(F.broadcast(sided), "archetype").groupBy("pattern_name", "cell_id").agg(F.max("side").alias("side"))
-    tests = []
-    counts = values.where("value <> 0").join(members, "cell_id").groupBy("pattern_name", "feature", "value", "side").agg(F.count(F.lit(1)).alias("n"))
-    sizes = members.groupBy("pattern_name").agg(F.sum("side").alias("n1"), F.sum(1 - F.col("side")).alias("n2")).where((F.col("n1") >= min_cells) & (F.col("n2") >= min_cells))
+    sets = binned.groupBy("cell_id").agg(F.sort_array(F.collect_set("archetype")).alias("bins"))
+    by_set = values.where("value <> 0").join(sets, "cell_id").groupBy("bins", "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    # Which side of each pattern a set of bins is on: sets that occur times patterns, both few.
+    kinds = sets.groupBy("bins").agg(F.count(F.lit(1)).alias("cells"))
+    side = F.when(F.arrays_overlap("bins", "high"), 1).when(F.arrays_overlap("bins", "low"), 0)
+    sided = kinds.crossJoin(F.broadcast(patterns.select("pattern_name", "high", "low"))).select("bins", "cells", "pattern_name", side.alias("side")).where("side IS NOT NULL")
+    counts = by_set.join(sided, "bins").groupBy("pattern_name", "feature", "value", "side").agg(F.sum("n").alias("n"))
+    sizes = sided.groupBy("pattern_name").agg(F.sum(F.col("cells") * F.col("side")).alias("n1"), F.sum(F.col("cells") * (1 - F.col("side"))).alias("n2")).where((F.col("n1") >= min_cells) & (F.col("n2") >= min_cells))
     per_value = counts.groupBy("pattern_name", "feature", "value").agg(F.sum(F.col("n") * F.col("side")).alias("c1"), F.sum(F.col("n") * (1 - F.col("side"))).alias("c2"))
     nnz = per_value.groupBy("pattern_name", "feature").agg(F.sum("c1").alias("z1"), F.sum("c2").alias("z2")).join(F.broadcast(sizes), "pattern_name")
     zeros = nnz.select("pattern_name", "feature", F.lit(0.0).alias("value"), (F.col("n1") - F.col("z1")).alias("c1"), (F.col("n2") - F.col("z2")).alias("c2"))
@@ -94,6 +99,7 @@ def pattern_associations(values: DataFrame, binned: DataFrame, patterns: DataFra
     t = ranked.groupBy("pattern_name", "feature").agg(
         F.sum("c1").cast("double").alias("n1"), F.sum("c2").cast("double").alias("n2"), F.sum(x * F.col("c1")).alias("s1"), F.sum(x * F.col("c2")).alias("s2"), F.sum(x * x * F.col("c1")).alias("q1"),
         F.sum(x * x * F.col("c2")).alias("q2"), F.sum(F.col("midrank") * F.col("c1")).alias("r1"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"),
+        F.sum(F.when(x != 0, F.col("c1")).otherwise(0)).alias("z1"), F.sum(F.when(x != 0, F.col("c2")).otherwise(0)).alias("z2"), F.max("value").alias("top"), F.min(F.when(x > 0, x)).alias("low_value"),
     )
     n1, n2 = F.col("n1"), F.col("n2")
     t = t.withColumns({"m1": F.col("s1") / n1, "m2": F.col("s2") / n2, "u": F.col("r1") - n1 * (n1 + 1) / 2})
@@ -101,11 +107,13 @@ def pattern_associations(values: DataFrame, binned: DataFrame, patterns: DataFra
     n = n1 + n2
     t = t.withColumn("sd", F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))))
     z = F.when(F.col("sd") > 0, (F.greatest("u", n1 * n2 - F.col("u")) - n1 * n2 / 2 - 0.5) / F.col("sd")).otherwise(0.0)
-    t = t.withColumn("z", F.round(z, 6)).withColumn("pvalue", F.expr(S.special.two_sided_sql("greatest(z, 0.0)")))
+    sparse = (F.col("z1") / n1 < min_nonzero) & (F.col("z2") / n2 < min_nonzero)
+    z = F.when(sparse, 0.0).otherwise(z)
+    t = t.withColumn("u", F.when(sparse, 0.0).otherwise(F.col("u"))).withColumn("z", F.round(z, 6)).withColumn("pvalue", F.expr(S.special.two_sided_sql("greatest(z, 0.0)")))
     effect = F.round(F.col("m1") - F.col("m2"), 6) + 0.0
     tests = t.select(
         "feature", "pattern_name", n1.cast("long").alias("n_high_cells"), n2.cast("long").alias("n_low_cells"), (F.round("m1", 6) + 0.0).alias("mean_high"), (F.round("m2", 6) + 0.0).alias("mean_low"),
-        effect.alias("mean_diff"), F.col("u").alias("statistic"), "z", "pvalue", F.when(F.col("m1") > F.col("m2"), "higher").otherwise("lower").alias("direction"), (F.abs(effect) >= min_effect).alias("passes_lfc_threshold"),
+        effect.alias("mean_diff"), (F.round(S.fold_change("m1", "m2", F.col("top"), F.col("low_value"), raw), 6) + 0.0).alias("log_fold_change"), F.col("u").alias("statistic"), "z", "pvalue", F.when(F.col("m1") > F.col("m2"), "higher").otherwise("lower").alias("direction"), (F.abs(effect) >= min_effect).alias("passes_lfc_threshold"),
     )
     info = patterns.select("pattern_name", "pattern_code", "pattern_type", "complexity", F.array_join("high", ",").alias("high_archetypes"), F.array_join("low", ",").alias("low_archetypes"))
     return S.fdr(tests.join(F.broadcast(info), "pattern_name"), keys=("feature", "pattern_name"))
@@ -179,6 +187,14 @@ def exclusive_one_vs_rest(tests: DataFrame) -> DataFrame:
     return only.where("n = 1").drop("n")
 
 
+def pattern_analysis(values: DataFrame, labels: DataFrame, binned: DataFrame, min_cells: int = 10, min_effect: float = 0.01, max_size: int | None = None) -> dict[str, DataFrame]:
+    """The tests of single archetypes ('individual'), of patterns ('patterns') and the features that patterns pull both ways ('exclusivity')."""
+    names = [r.archetype for r in binned.select("archetype").distinct().orderBy("archetype").collect()]  # a label each
+    individual = S.pathway_associations(values, labels, min_effect, min_cells)
+    tests = pattern_associations(values, binned, pattern_table(values.sparkSession, enumerate_patterns(names, max_size=max_size)), min_cells, min_effect)
+    return {"individual": individual, "patterns": tests, "exclusivity": mutual_exclusivity(tests)}
+
+
 def mutual_exclusivity(tests: DataFrame, min_effect: float = 0.05, effect: str = "mean_diff") -> DataFrame:
     """Features with significant effects both above ``min_effect`` and below -``min_effect``, widest range first."""
     strong = tests.where(F.col("significant") & (F.abs(effect) > min_effect))

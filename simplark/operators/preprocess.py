@@ -15,6 +15,12 @@ def quality(values: DataFrame) -> DataFrame:
     return values.where("value <> 0").groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_features"), F.sum("value").alias("total"))
 
 
+def log_if_raw(values: DataFrame, above: float = 20.0) -> DataFrame:
+    """log1p of the values if any is above ``above``, else the values as they are."""
+    top = values.agg(F.max("value").alias("__top"))
+    return values.crossJoin(F.broadcast(top)).withColumn("value", F.when(F.col("__top") > above, F.log1p("value")).otherwise(F.col("value"))).drop("__top")
+
+
 def normalize(values: DataFrame, target: float = 1e4, log: bool = True) -> DataFrame:
     """Values scaled to ``target`` for each cell, and log1p."""
     scaled = F.col("value") * target / F.sum("value").over(Window.partitionBy("cell_id"))
@@ -106,6 +112,36 @@ def cumulative_variance(shares: DataFrame) -> DataFrame:
     return shares.withColumn("cumulative", F.sum("share").over(Window.orderBy("pc").rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def looks_like_ensembl(features: DataFrame, first: int = 100) -> bool:
+    """Whether more than half of the first names (by name) begin as Ensembl ids do."""
+    row = features.select("feature").distinct().orderBy("feature").limit(first).agg(F.avg(F.col("feature").startswith("ENSG").cast("double")).alias("share")).first()
+    return (row.share or 0) > 0.5
+
+
+def detect_columns(table: DataFrame) -> dict[str, list[str]]:
+    """The columns of a cell table by what they may be: vectors (arrays of numbers), categories (strings, booleans), numbers."""
+    kinds: dict[str, list[str]] = {"vectors": [], "categories": [], "numbers": []}
+    for field in table.schema.fields:
+        kind = field.dataType.simpleString()
+        if kind.startswith("array<") and kind[6:-1] in ("float", "double", "int", "bigint"):
+            kinds["vectors"].append(field.name)
+        elif kind in ("string", "boolean"):
+            kinds["categories"].append(field.name)
+        elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+            kinds["numbers"].append(field.name)
+    return kinds
+
+
+def resolve_colour(cells: DataFrame, values: DataFrame, name: str) -> DataFrame | None:
+    """(cell_id, colour) of a name: a column of the cells, else a feature's values (zero where missing), else nothing."""
+    if name in cells.columns:
+        return cells.select("cell_id", F.col(name).alias("colour"))
+    own = values.where(F.col("feature") == name).select("cell_id", F.col("value").alias("colour"))
+    if own.isEmpty():
+        return None
+    return cells.select("cell_id").join(own, "cell_id", "left").fillna(0.0, ["colour"])
+
+
 def symbol(name: str):
     """Gene symbols compared without case and blanks, on both sides."""
     return F.upper(F.trim(name))

@@ -131,6 +131,39 @@ def elbow(folds: DataFrame, metric: str, facets: Sequence[str] = ("hidden_dims",
     return folds.where(F.col("metric") == METRIC_ALIASES.get(metric, metric)).groupBy("n_archetypes", *facets).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
+def metric_names(summary: DataFrame) -> DataFrame:
+    """The summary with its metrics' own names for their aliases."""
+    aliases = F.create_map(*[F.lit(x) for pair in METRIC_ALIASES.items() for x in pair])
+    return summary.withColumn("metric", F.coalesce(F.element_at(aliases, F.col("metric")), F.col("metric")))
+
+
+def facets(table: DataFrame) -> dict[str, str | int | None]:
+    """How an elbow table is best split: rows by inflation, colours by hidden_dims, whichever it has."""
+    rows = "inflation" if "inflation" in table.columns else None
+    return {"facet_by": rows, "color_by": "hidden_dims" if "hidden_dims" in table.columns else None, "n_facets": table.select(rows).distinct().count() if rows else 1}
+
+
+def convergence_table(folds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, epochs (mean over folds until convergence), early_stopped (share of folds)."""
+    pick = lambda m: F.avg(F.when(F.col("metric") == m, F.col("value")))
+    return folds.groupBy(*keys).agg(pick("convergence_epoch").alias("epochs"), pick("early_stopped").alias("early_stopped"))
+
+
+def long_metrics(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, metric, value: the other columns of a table, a row for each."""
+    return wide.unpivot(list(keys), [c for c in wide.columns if c not in keys], "metric", "value")
+
+
+def order_by_fate(fates: DataFrame, lineage: str) -> DataFrame:
+    """cell_id, prob, place: cells by their fate, smallest first, ties to the smaller id; places count on over range partitions, so no task sorts all."""
+    own = fates.where(F.col("lineage") == lineage).select("cell_id", "prob")
+    dealt = own.repartitionByRange("prob", "cell_id").withColumn("part", F.spark_partition_id()).persist()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row for each partition
+    place = F.row_number().over(Window.partitionBy("part").orderBy("prob", "cell_id"))
+    return dealt.withColumn("r", place).join(F.broadcast(starts.drop("n")), "part").select("cell_id", "prob", (F.col("start") + F.col("r") - 1).alias("place"))
+
+
 def axis_ranges(points: DataFrame, columns: Sequence[str], pad: float = 0.75) -> DataFrame:
     """axis, low, high: the 1st and 99th percentile, widened by ``pad`` times their distance."""
     out = None

@@ -29,13 +29,16 @@ def value_counts(values: DataFrame, labels: DataFrame, labelled_only: bool = Fal
     return seen.unionByName(zeros), sizes
 
 
-def rank_sums(values: DataFrame, labels: DataFrame, min_cells: int = 10, comparison: str = "all", effect: str = "gene", raw: bool = True) -> DataFrame:
+def rank_sums(
+    values: DataFrame, labels: DataFrame, min_cells: int = 10, comparison: str = "all", effect: str = "gene", raw: bool = True, min_nonzero: float = 0.05
+) -> DataFrame:
     """One row for each feature and label: sizes, means, effect, U, z, two-sided p, direction.
 
     ``comparison``: 'all' compares a label with all other cells, 'archetypes_only' with those of
     the other bins. ``effect``: 'gene' takes the log fold change (log2 ratio of raw data, see
     ``fold_change``), 'pathway' the difference of means. A feature without variance in both groups
-    is left out.
+    is left out; one with less than ``min_nonzero`` of values other than zero in both has statistic 0 and p 1.
+    The counts, whose plan all later parts share, are a table of features x distinct values x labels.
     """
     counts, sizes = value_counts(values, labels, comparison == "archetypes_only")
     w = Window.partitionBy("feature").orderBy("value")
@@ -45,10 +48,10 @@ def rank_sums(values: DataFrame, labels: DataFrame, min_cells: int = 10, compari
     x, n = F.col("value"), F.col("n")
     whole = pooled.groupBy("feature").agg(
         F.sum("c").alias("n_all"), F.sum(x * F.col("c")).alias("s_all"), F.sum(x * x * F.col("c")).alias("q_all"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"),
-        F.max("value").alias("top"), F.min(F.when(x > 0, x)).alias("low"),
+        F.max("value").alias("top"), F.min(F.when(x > 0, x)).alias("low"), F.sum(F.when(x != 0, F.col("c")).otherwise(0)).alias("nz_all"),
     )
     own = counts.join(ranked.select("feature", "value", "midrank"), ["feature", "value"]).groupBy("feature", "archetype").agg(
-        F.sum("n").alias("n1"), F.sum(x * n).alias("s1"), F.sum(x * x * n).alias("q1"), F.sum(F.col("midrank") * n).alias("r1")
+        F.sum("n").alias("n1"), F.sum(x * n).alias("s1"), F.sum(x * x * n).alias("q1"), F.sum(F.col("midrank") * n).alias("r1"), F.sum(F.when(x != 0, n).otherwise(0)).alias("nz1")
     )
     tests = own.join(F.broadcast(sizes), "archetype").where((F.col("n_cells") >= min_cells) & (F.col("archetype") != NONE)).join(whole, "feature")
     n1, n2 = F.col("n1").cast("double"), (F.col("n_all") - F.col("n1")).cast("double")
@@ -58,6 +61,8 @@ def rank_sums(values: DataFrame, labels: DataFrame, min_cells: int = 10, compari
     nn = F.col("n_all").cast("double")
     sd = F.sqrt(n1 * F.col("n2") / 12 * ((nn + 1) - F.col("ties") / (nn * (nn - 1))))
     tests = tests.withColumns({"u": u, "sd": sd}).withColumn("z", F.when(F.col("sd") > 0, (F.greatest("u", n1 * F.col("n2") - F.col("u")) - n1 * F.col("n2") / 2 - 0.5) / F.col("sd")).otherwise(0.0))
+    sparse = (F.col("nz1") / n1 < min_nonzero) & ((F.col("nz_all") - F.col("nz1")) / F.col("n2") < min_nonzero)
+    tests = tests.withColumns({"u": F.when(sparse, 0.0).otherwise(F.col("u")), "z": F.when(sparse, 0.0).otherwise(F.col("z"))})
     value = fold_change("m1", "m2", F.col("top"), F.col("low"), raw) if effect == "gene" else F.col("m1") - F.col("m2")
     return tests.select(
         "feature", "archetype", F.col("n1").alias("n_archetype_cells"), F.col("n2").cast("long").alias("n_other_cells"), (F.round("m1", 6) + 0.0).alias("mean_archetype"), (F.round("m2", 6) + 0.0).alias("mean_other"),
@@ -98,31 +103,51 @@ def fdr(tests: DataFrame, p: str = "pvalue", method: str = "benjamini_hochberg",
     return rows.withColumn("fdr_pvalue", q).withColumn("significant", F.col("fdr_pvalue") < alpha).drop("__p", "__k", "__m")
 
 
-def gene_associations(values: DataFrame, labels: DataFrame, min_logfc: float = 0.01, min_cells: int = 10, comparison: str = "all", scope: str = "global", method: str = "benjamini_hochberg", raw: bool = True) -> DataFrame:
-    """Rank-sum tests of every feature and label with effects of at least ``min_logfc``, corrected."""
+def gene_associations(values: DataFrame, labels: DataFrame, min_logfc: float = 0.01, min_cells: int = 10, comparison: str = "all", scope: str = "global", method: str = "benjamini_hochberg", raw: bool = True, direction: str = "two-sided") -> DataFrame:
+    """Rank-sum tests of every feature and label with effects of at least ``min_logfc``, corrected.
+
+    Every ``direction`` is tested two-sided; 'both_legacy' gives two one-sided rows a test instead, with test_direction.
+    """
     if scope not in ("global", "per_archetype", "none"):
         raise ValueError(scope)
+    if direction not in ("two-sided", "both", "greater", "less", "both_legacy"):
+        raise ValueError(direction)
     tests = rank_sums(values, labels, min_cells, comparison, "gene", raw).where(F.abs("log_fold_change") >= min_logfc)
+    if direction == "both_legacy":
+        tests = one_sided(tests, "greater").unionByName(one_sided(tests, "less"))
     out = fdr(tests, method=method, scope="archetype" if scope == "per_archetype" else None)
     return out.withColumns({"fdr_pvalue": F.col("pvalue"), "significant": F.col("pvalue") < 0.05}) if scope == "none" else out
 
 
 def pathway_associations(scores: DataFrame, labels: DataFrame, min_effect: float = 0.01, min_cells: int = 10, comparison: str = "all", direction: str = "two-sided", method: str = "benjamini_hochberg") -> DataFrame:
-    """Like ``gene_associations`` on scores, by difference of means; one-sided tests keep every effect."""
+    """Like ``gene_associations`` on scores, by difference of means; one-sided tests keep every effect, and 'both' gives a row for each side."""
     tests = rank_sums(scores, labels, min_cells, comparison, "pathway")
     if direction == "two-sided":
         return fdr(tests.where(F.abs("mean_diff") >= min_effect), method=method)
+    if direction == "both":
+        both = one_sided(tests, "greater").unionByName(one_sided(tests, "less"))
+        return fdr(both, method=method, keys=("feature", "archetype", "test_direction"))
+    return fdr(one_sided(tests, direction), method=method)
+
+
+def one_sided(tests: DataFrame, direction: str) -> DataFrame:
+    """The tests with the p of one side, test_direction, and the direction that side means ('greater': higher)."""
+    if direction not in ("greater", "less"):
+        raise ValueError(direction)
     signed = F.when(F.col("statistic") >= F.col("n_archetype_cells") * F.col("n_other_cells") / 2, F.col("z")).otherwise(-F.col("z"))
+    # The correction by one half belongs to the larger side; the other has it the other way round.
     z = signed if direction == "greater" else -signed
-    one = tests.withColumn("__z", z).withColumn("pvalue", F.expr(special.upper_sql("__z"))).drop("__z")
-    return fdr(one.withColumn("test_direction", F.lit(direction)), method=method)
+    one = tests.withColumn("__z", z).withColumn("pvalue", F.when((F.col("statistic") == 0) & (F.col("z") == 0), 1.0).otherwise(F.expr(special.upper_sql("__z")))).drop("__z")
+    return one.withColumns({"test_direction": F.lit(direction), "direction": F.lit("higher" if direction == "greater" else "lower")})
 
 
 def enrichment(cells: DataFrame, condition: str, archetype: str = "archetype", min_cells: int = 5, alpha: float = 0.05) -> DataFrame:
     """Over-representation of condition levels in labels: counts, expected, odds ratio, hypergeometric tail, corrected.
 
     Rows without a condition or label don't count; groups, levels and overlaps of fewer than
-    ``min_cells`` are left out. The sample odds ratio is infinite without off-diagonal cells.
+    ``min_cells`` are left out. odds_ratio is the conditional maximum-likelihood estimate, with the limits of its
+    95 % interval; sample_odds_ratio is that of the counts. Without off-diagonal cells both are infinite and the
+    limits NaN.
     """
     rows = cells.where(F.col(condition).isNotNull() & (F.col(archetype) != NONE)).select(F.col(archetype).alias("archetype"), F.col(condition).cast("string").alias("condition"))
     both = rows.groupBy("archetype", "condition").agg(F.count(F.lit(1)).alias("observed"))
@@ -136,6 +161,7 @@ def enrichment(cells: DataFrame, condition: str, archetype: str = "archetype", m
     p = special.hypergeometric_tail(F.col("observed"), F.col("total_archetype"), F.col("total_condition"), F.col("n"))
     out = t.select(
         "archetype", "condition", "observed", F.round(F.col("total_archetype") * F.col("total_condition") / F.col("n"), 6).alias("expected"), "total_archetype", "total_condition",
-        F.round(odds, 6).alias("odds_ratio"), p.alias("pvalue"),
+        F.round(odds, 6).alias("sample_odds_ratio"), special.conditional_odds(F.col("observed"), F.col("total_archetype"), F.col("total_condition"), F.col("n")).alias("__o"), p.alias("pvalue"),
     )
+    out = out.select("*", F.col("__o.estimate").alias("odds_ratio"), F.col("__o.lower").alias("ci_lower"), F.col("__o.upper").alias("ci_upper")).drop("__o")
     return fdr(out, alpha=alpha, keys=("archetype", "condition"))

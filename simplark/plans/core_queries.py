@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simplark.functions import special
 from simplark.functions import vectors as V
 from simplark.operators import archetypes as A
 from simplark.operators import stats as S
@@ -121,9 +122,16 @@ def t3_pathway_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p_rounded(S.pathway_associations(I.dims(spark, sf_dir), I.assigned(spark, sf_dir)))
 
 
+def t3_both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each side of each test of the brands' counts, most of which are zero."""
+    t = p_rounded(S.pathway_associations(I.counts(spark, sf_dir), I.segments(spark, sf_dir), direction="both"))
+    return t.select("feature", "archetype", "test_direction", "direction", "mean_diff", "statistic", "pvalue", "fdr_pvalue", "significant")
+
+
 def t4_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = I.cells(spark, sf_dir).join(I.assigned(spark, sf_dir), "cell_id")
-    return p_rounded(S.enrichment(cells, "label"))
+    t = p_rounded(S.enrichment(cells, "label"))
+    return t.drop("odds_ratio", "ci_lower", "ci_upper").withColumnRenamed("sample_odds_ratio", "odds_ratio")
 
 
 def t6_bonferroni(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +152,7 @@ def g9_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p1_truncate, p20_softmax, a2_distances, a3_bins, a3_labels, a5_centroids, a5_group_centroids, a6_assign_to_centroids, a8_weight_table, a10_positions, a12_pair_distances, a15_furthest, a16_inflate,
-    a24_r2, a27_constraints, a28_weight_statistics, p2_select_cells, t2_gene_associations, t2_per_archetype, t3_pathway_associations, t4_enrichment, t6_bonferroni, g1_group_moments, g9_pivot,
+    a24_r2, a27_constraints, a28_weight_statistics, p2_select_cells, t2_gene_associations, t2_per_archetype, t3_pathway_associations, t3_both_sides, t4_enrichment, t6_bonferroni, g1_group_moments, g9_pivot,
 )}
 
 A_SQL, B_SQL = I.archetypes_sql(), I.bins_sql()
@@ -182,6 +190,9 @@ ORACLE_SQL = {
     "t2_gene_associations": f"WITH {I.COUNTS}, {I.ranksum_sql('counts', 'segments', 'log_fold_change')}, kept AS (SELECT * FROM tests WHERE abs(log_fold_change) >= 0.01), {I.bh_sql('kept')} SELECT {TEST_COLUMNS.format(effect='log_fold_change')} FROM fdr",
     "t2_per_archetype": f"""WITH {B_SQL}, {I.DIMS}, {I.ranksum_sql('dims', 'assigned', 'log_fold_change', where="archetype NOT IN ('archetype_0', 'no_archetype')")}, {I.bh_sql('tests', scope='archetype')} SELECT {TEST_COLUMNS.format(effect='log_fold_change')} FROM fdr""",
     "t3_pathway_associations": f"WITH {B_SQL}, {I.DIMS}, {I.ranksum_sql('dims', 'assigned', 'mean_diff')}, kept AS (SELECT * FROM tests WHERE abs(mean_diff) >= 0.01), {I.bh_sql('kept')} SELECT {TEST_COLUMNS.format(effect='mean_diff')} FROM fdr",
+    "t3_both_sides": f"""WITH {I.COUNTS}, {I.ranksum_sql('counts', 'segments', 'mean_diff')}, signed AS (SELECT *, CASE WHEN statistic >= n_archetype_cells * n_other_cells / 2 THEN z ELSE -z END AS s FROM tests),
+        sides AS (SELECT * REPLACE ('higher' AS direction, {special.upper_sql('s')} AS pvalue), 'greater' AS test_direction FROM signed UNION ALL SELECT * REPLACE ('lower' AS direction, {special.upper_sql('(-s)')} AS pvalue), 'less' FROM signed),
+        {I.bh_sql('sides', keys='feature, archetype, test_direction')} SELECT feature, archetype, test_direction, direction, mean_diff, statistic, round(pvalue, 6) AS pvalue, round(fdr_pvalue, 6) AS fdr_pvalue, fdr_pvalue < 0.05 AS significant FROM fdr""",
     "t4_enrichment": f"""WITH {B_SQL}, r AS (SELECT archetype, label AS condition FROM cells JOIN assigned USING (cell_id) WHERE archetype <> 'no_archetype'),
         b AS (SELECT archetype, condition, count(*) AS observed FROM r GROUP BY 1, 2),
         t AS (SELECT *, CAST(sum(observed) OVER (PARTITION BY archetype) AS BIGINT) AS ta, CAST(sum(observed) OVER (PARTITION BY condition) AS BIGINT) AS tc, CAST(sum(observed) OVER () AS BIGINT) AS n FROM b),

@@ -97,12 +97,12 @@ def ranksum_sql(values: str, labels: str, effect: str, min_cells: int = 10, wher
         grid AS (SELECT f.feature, l.cell_id, l.archetype, coalesce(v.value, 0.0) AS value
             FROM (SELECT DISTINCT feature FROM {values} JOIN lab USING (cell_id) WHERE value <> 0) f CROSS JOIN lab l LEFT JOIN {values} v ON v.feature = f.feature AND v.cell_id = l.cell_id),
         ranked_v AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS midrank, count(*) OVER (PARTITION BY feature, value) AS c FROM grid),
-        whole AS (SELECT feature, count(*) AS n_all, sum(value) AS s_all, sum(value * value) AS q_all, sum(CAST(c AS DOUBLE) * c - 1) AS ties, max(value) AS top, min(CASE WHEN value > 0 THEN value END) AS low FROM ranked_v GROUP BY feature),
-        own AS (SELECT feature, archetype, CAST(count(*) AS DOUBLE) AS n1, sum(value) AS s1, sum(value * value) AS q1, sum(midrank) AS r1 FROM ranked_v GROUP BY feature, archetype),
+        whole AS (SELECT feature, count(*) AS n_all, sum(value) AS s_all, sum(value * value) AS q_all, sum(CAST(c AS DOUBLE) * c - 1) AS ties, max(value) AS top, min(CASE WHEN value > 0 THEN value END) AS low, CAST(count(*) FILTER (value <> 0) AS DOUBLE) AS nz FROM ranked_v GROUP BY feature),
+        own AS (SELECT feature, archetype, CAST(count(*) AS DOUBLE) AS n1, sum(value) AS s1, sum(value * value) AS q1, sum(midrank) AS r1, CAST(count(*) FILTER (value <> 0) AS DOUBLE) AS nz1 FROM ranked_v GROUP BY feature, archetype),
         stats AS (SELECT *, CAST(n_all - n1 AS DOUBLE) AS n2, s1 / n1 AS m1, (s_all - s1) / (n_all - n1) AS m2, r1 - n1 * (n1 + 1) / 2 AS u FROM own JOIN whole USING (feature)
             WHERE n1 >= {min_cells} AND archetype <> 'no_archetype' AND n_all > n1),
         zs AS (SELECT *, sqrt(n1 * n2 / 12 * ((n_all + 1) - ties / (CAST(n_all AS DOUBLE) * (n_all - 1)))) AS sd FROM stats WHERE q1 / n1 - m1 * m1 > 1e-12 OR (q_all - q1) / n2 - m2 * m2 > 1e-12),
-        zz AS (SELECT *, CASE WHEN sd > 0 THEN (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd ELSE 0.0 END AS z FROM zs),
+        zz AS (SELECT * REPLACE (CASE WHEN sparse THEN 0.0 ELSE u END AS u), CASE WHEN sparse THEN 0.0 WHEN sd > 0 THEN (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd ELSE 0.0 END AS z FROM (SELECT *, nz1 / n1 < 0.05 AND (nz - nz1) / n2 < 0.05 AS sparse FROM zs)),
         tests AS (SELECT feature, archetype, CAST(n1 AS BIGINT) AS n_archetype_cells, CAST(n2 AS BIGINT) AS n_other_cells, round(m1, 6) + 0.0 AS mean_archetype, round(m2, 6) + 0.0 AS mean_other,
             round({value}, 6) + 0.0 AS {effect}, u AS statistic, round(z, 6) AS z, {special.two_sided_sql('greatest(round(z, 6), 0.0)')} AS pvalue, CASE WHEN m1 > m2 THEN 'higher' ELSE 'lower' END AS direction FROM zz)"""
 

@@ -13,6 +13,8 @@ from simplark.operators import graph as G
 from simplark.operators import model as M
 from simplark.operators import search as X
 from simplark.operators import shape as H
+from simplark.operators import validate as D
+from simplark.plans import core_queries as C
 from simplark.plans import inputs as I
 
 
@@ -93,15 +95,97 @@ def t18_feature_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.spearman(I.dims(spark, sf_dir), target).select("feature", F.round("correlation", 6).alias("correlation"))
 
 
+def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The cells of even labels, in the part of real ones, and those of odd labels, in that of generated ones."""
+    cells = I.cells(spark, sf_dir)
+    return tuple(cells.where(F.col("label").cast("int") % 2 == r).select("cell_id", "vec") for r in (0, 1))
+
+
+def j8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, made = halves(spark, sf_dir)
+    return D.nearest_real(made, real).select("src", "dst", F.round("distance", 6).alias("distance"), F.round("cosine", 6).alias("cosine"))
+
+
+def t17_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, made = halves(spark, sf_dir)
+    t = D.similarity_summary(D.nearest_real(made, real))
+    return t.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std")])
+
+
+def t17_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = D.validate_components(*halves(spark, sf_dir))
+    return t.select("feature", "significant", *[F.round(c, 6).alias(c) for c in ("statistic", "real_mean", "made_mean", "real_std", "made_std")])
+
+
+def t18_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = D.paired_correlations(*halves(spark, sf_dir))
+    return t.select("feature", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+
+
+def t18_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = D.correlation_summary(D.sample_pair_correlations(*halves(spark, sf_dir)))
+    return t.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std", "min", "max")])
+
+
+def t19_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = C.weights(spark, sf_dir).withColumn("w", F.transform("w", lambda x: F.round(x, 9))).join(I.cells(spark, sf_dir).select("cell_id", "label"), "cell_id")
+    even = F.col("label").cast("int") % 2 == 0
+    return D.validate_weights(w.where(even), w.where(~even))[1].withColumn("fraction_significant", F.round("fraction_significant", 6))
+
+
+def n4_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells through the weights of their distances and back."""
+    y = I.archetypes(spark, sf_dir)
+    columns = [[row[j] for row in y] for j in range(len(y[0]))]
+    w = C.weights(spark, sf_dir).join(I.cells(spark, sf_dir).select("cell_id", "vec"), "cell_id")
+    t = D.generation_metrics(w.withColumn("fitted", V.affine(F.col("w"), columns, [0.0] * len(columns))))
+    return t.select("n_effective", *[F.round(c, 6).alias(c) for c in ("archetypal_loss", "archetypal_r2", "rmse", "usage_entropy")])
+
+
+def n7_generate_and_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = M.ArchetypeEstimator(I.K, "furthest").fit(I.cells(spark, sf_dir))
+    return D.generate_and_validate(model, I.cells(spark, sf_dir), 500)["components"].select("feature", "statistic", "pvalue", "significant")
+
+
 def s12_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = I.archetypes(spark, sf_dir)
     made = N.convex_cells(spark, 300, y, 0.0, 7).select("cell_id", "vec")
     return N.generated_table(made, y).select("name", "source", "archetype", F.round("nearest_distance", 6).alias("nearest_distance"))
 
 
-QUERIES = {f.__name__: f for f in (a1_train, a4_weights, a17_inflation, a18_autoencoder, c3_search, s3_synthetic, n1_samples, n2_specialists, n5_holdout, n6_gene_space, t17_ks, t18_feature_correlations, s12_generated)}
+QUERIES = {f.__name__: f for f in (a1_train, a4_weights, a17_inflation, a18_autoencoder, c3_search, s3_synthetic, n1_samples, n2_specialists, n5_holdout, n6_gene_space, t17_ks, t18_feature_correlations, j8_nearest, t17_similarity, t17_components, t18_paired, t18_summary, t19_weights, n4_metrics, n7_generate_and_validate, s12_generated)}
 
+HALVES = f"{I.CELLS}, re AS (SELECT * FROM cells WHERE CAST(label AS INT) % 2 = 0), ma AS (SELECT * FROM cells WHERE CAST(label AS INT) % 2 = 1)"
+NEAREST = f"""{HALVES}, dd AS (SELECT ma.cell_id AS src, re.cell_id AS dst, round(list_distance(ma.vec, re.vec), 9) AS distance, list_cosine_similarity(ma.vec, re.vec) AS cosine FROM ma, re),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS r FROM dd) WHERE r <= (SELECT greatest(1, CAST(floor(count(*) * 0.01) AS INT)) FROM re))"""
 ORACLE_SQL = {
+    "j8_nearest": f"WITH {NEAREST} SELECT src, dst, round(distance, 6) AS distance, round(cosine, 6) AS cosine FROM near",
+    "t17_similarity": f"WITH {NEAREST} SELECT count(*) AS n, round(avg(cosine), 6) AS mean, round(median(cosine), 6) AS median, round(stddev_pop(cosine), 6) AS std FROM near",
+    "t17_components": f"""WITH {I.CELLS}, v AS (SELECT CAST(i - 1 AS INT) AS feature, vec[i] AS x, CAST(label AS INT) % 2 = 1 AS g FROM cells, range(1, 65) t(i)),
+        c AS (SELECT feature, x, count(*) FILTER (g) AS a, count(*) FILTER (NOT g) AS b FROM v GROUP BY 1, 2),
+        f AS (SELECT feature, a, b, sum(a) OVER w / sum(a) OVER (PARTITION BY feature) AS fa, sum(b) OVER w / sum(b) OVER (PARTITION BY feature) AS fb FROM c WINDOW w AS (PARTITION BY feature ORDER BY x)),
+        k AS (SELECT feature, max(abs(fa - fb)) AS d, sum(a) AS n1, sum(b) AS n2 FROM f GROUP BY 1),
+        y AS (SELECT feature, d, d * sqrt(CAST(n1 AS DOUBLE) * n2 / (n1 + n2)) AS l FROM k),
+        q AS (SELECT feature, 2 * sum((CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * j * j * l * l)) AS p FROM y, range(1, 101) r(j) GROUP BY 1),
+        m AS (SELECT feature, round(avg(x) FILTER (NOT g), 6) AS real_mean, round(avg(x) FILTER (g), 6) AS made_mean, round(stddev_pop(x) FILTER (NOT g), 6) AS real_std, round(stddev_pop(x) FILTER (g), 6) AS made_std FROM v GROUP BY 1)
+        SELECT m.*, p < 0.05 AS significant, round(d, 6) AS statistic FROM m JOIN k USING (feature) JOIN q USING (feature)""",
+    "t18_paired": f"""WITH {HALVES}, a AS (SELECT row_number() OVER (ORDER BY cell_id) AS pair, vec FROM re QUALIFY pair <= 100), b AS (SELECT row_number() OVER (ORDER BY cell_id) AS pair, vec FROM ma QUALIFY pair <= 100),
+        j AS (SELECT CAST(i - 1 AS INT) AS feature, a.vec[i] AS x, b.vec[i] AS y FROM a JOIN b USING (pair), range(1, 65) t(i)),
+        r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry FROM j)
+        SELECT feature, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY 1""",
+    "t18_summary": f"""WITH {HALVES}, a AS (SELECT * FROM ma ORDER BY cell_id LIMIT 50), b AS (SELECT * FROM re ORDER BY cell_id LIMIT 100),
+        c AS (SELECT a.cell_id AS s, b.cell_id AS d, corr(a.vec[i], b.vec[i]) AS r FROM a, b, range(1, 65) t(i) GROUP BY 1, 2)
+        SELECT count(*) AS n, round(avg(r), 6) AS mean, round(median(r), 6) AS median, round(stddev_pop(r), 6) AS std, round(min(r), 6) AS min, round(max(r), 6) AS max FROM c""",
+    "t19_weights": f"""WITH {I.archetypes_sql()}, {C.WEIGHTS}, v AS (SELECT archetype_idx AS feature, round(x, 9) AS x, CAST(label AS INT) % 2 = 1 AS g FROM ws JOIN cells USING (cell_id)),
+        c AS (SELECT feature, x, count(*) FILTER (g) AS a, count(*) FILTER (NOT g) AS b FROM v GROUP BY 1, 2),
+        f AS (SELECT feature, a, b, sum(a) OVER w / sum(a) OVER (PARTITION BY feature) AS fa, sum(b) OVER w / sum(b) OVER (PARTITION BY feature) AS fb FROM c WINDOW w AS (PARTITION BY feature ORDER BY x)),
+        y AS (SELECT feature, max(abs(fa - fb)) * sqrt(CAST(sum(a) AS DOUBLE) * sum(b) / (sum(a) + sum(b))) AS l FROM f GROUP BY 1),
+        q AS (SELECT feature, 2 * sum((CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * j * j * l * l)) AS p FROM y, range(1, 101) r(j) GROUP BY 1)
+        SELECT count(*) AS n, round(avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END), 6) AS fraction_significant FROM q""",
+    "n4_metrics": f"""WITH {I.archetypes_sql()}, {C.WEIGHTS}, f AS (SELECT ws.cell_id, d.i, sum(ws.x * arch.y[d.i]) AS fit FROM ws JOIN arch USING (archetype_idx), range(1, 65) d(i) GROUP BY 1, 2),
+        r AS (SELECT f.i, sum((c.vec[f.i] - f.fit) ** 2) AS res, var_pop(c.vec[f.i]) * count(*) AS tot, count(*) AS n FROM f JOIN cells c USING (cell_id) GROUP BY 1), u AS (SELECT archetype_idx, avg(x) AS m FROM ws GROUP BY 1)
+        SELECT (SELECT count(*) FROM u WHERE m > 0.01) AS n_effective, round(sum(res) / max(n), 6) AS archetypal_loss, round(1 - sum(res) / greatest(sum(tot), 1e-8), 6) AS archetypal_r2, round(sqrt(sum(res) / (max(n) * count(*))), 6) AS rmse,
+            (SELECT round(-sum(m * ln(m + 1e-10)), 6) FROM u) AS usage_entropy FROM r""",
     "a4_weights": "SELECT vec_id AS cell_id, 1.0::DOUBLE AS total, true AS non_negative FROM embeddings",
     "n2_specialists": "SELECT i AS cell_id, true AS inside FROM range(0, 200) t(i)",
     "n5_holdout": f"""WITH {I.CELLS}, b AS (SELECT min(vec[1]) AS l0, max(vec[1]) AS h0, min(vec[2]) AS l1, max(vec[2]) AS h1 FROM cells)

@@ -56,6 +56,33 @@ def t12_tradeoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("feature", "pattern_code", "high_archetypes", "low_archetypes", "mean_high", "mean_low", "mean_diff")
 
 
+def t12_group_tradeoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tradeoffs between groups of up to two archetypes (the operator's default for these bins)."""
+    tests = P.pattern_associations(I.dims(spark, sf_dir), memberships(spark, sf_dir), P.pattern_table(spark, P.enumerate_patterns(NAMES)))
+    return P.tradeoffs(tests, "patterns").select("feature", "pattern_code", "high_archetypes", "low_archetypes", "mean_high", "mean_low", "mean_diff", F.round("pvalue", 6).alias("pvalue"))
+
+
+def w9_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells by their weight of the first archetype, in the part of a fate."""
+    shares = C.weights(spark, sf_dir).select("cell_id", F.lit("archetype_1").alias("lineage"), F.round(F.col("w")[0], 9).alias("prob"))
+    return H.order_by_fate(shares, "archetype_1").select("cell_id", F.col("place").cast("long").alias("place"))
+
+
+def g6_long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = I.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 4).alias("price"), F.round(F.avg("p_size"), 4).alias("size"))
+    return H.long_metrics(wide, ["p_brand"])
+
+
+def p15_log_if_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.log_if_raw(I.counts(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+def p25_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A brand's quantity of every customer."""
+    cells = I.segments(spark, sf_dir)
+    return R.resolve_colour(cells, I.counts(spark, sf_dir), "Brand#11")
+
+
 def t13_mutual_exclusivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = P.mutual_exclusivity(pattern_tests(spark, sf_dir), min_effect=0.02)
     return t.select("feature", F.size("positive_patterns").cast("long").alias("n_positive"), F.size("negative_patterns").cast("long").alias("n_negative"), "max_positive_effect", "min_negative_effect", "effect_range")
@@ -74,7 +101,8 @@ def r2_label_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r2_nhood_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.neighbourhood_enrichment(edges(spark, sf_dir), I.cells(spark, sf_dir), label="label")
+    t = G.neighbourhood_enrichment(edges(spark, sf_dir), I.cells(spark, sf_dir), "label")
+    return t.select("a", "b", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "z")])
 
 
 def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +258,7 @@ def g12_axis_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    t7_patterns, t8_pattern_associations, t9_exclusive_pairwise, t9_exclusive_one_vs_rest, t11_specialization, t12_tradeoffs, t13_mutual_exclusivity, r1_knn, r2_label_edges, r2_nhood_enrichment, r3_co_occurrence,
+    t7_patterns, t8_pattern_associations, t9_exclusive_pairwise, t9_exclusive_one_vs_rest, t11_specialization, t12_tradeoffs, t12_group_tradeoffs, w9_order, g6_long_metrics, p15_log_if_raw, p25_colour, t13_mutual_exclusivity, r1_knn, r2_label_edges, r2_nhood_enrichment, r3_co_occurrence,
     r4_autocorrelation, r5_boundaries, r6_fates, r7_high_purity, r8_pseudotimes, r9_transitions, r10_trajectory, r11_diagnose, r12_paga, t15_lineage_drivers, p11_log_p, p12_tfidf, p15_normalize, p15_variable_features,
     t14_aucell, a29_lsi, a30_pca, j3_members, k1_top_associations, k2_top_with_ties, k8_rescale, w5_rolling, w6_drift, w7_convergence, a26_metric_summaries, g4_folds, g12_axis_ranges,
 )}
@@ -252,7 +280,25 @@ PATTERN_TESTS = f"""{I.bins_sql()}, {I.DIMS}, {PAIRS},
     pv AS (SELECT *, round(m1 - m2, 6) + 0.0 AS mean_diff, round(CASE WHEN sd > 0 THEN (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd ELSE 0 END, 6) AS z FROM pz WHERE q1 / n1 - m1 * m1 > 1e-12 OR q2 / n2 - m2 * m2 > 1e-12),
     pp AS (SELECT *, {special.two_sided_sql('greatest(z, 0.0)')} AS pvalue, pattern_type || '_' || hi || '_vs_' || lo || CASE WHEN pattern_type = 'tradeoff' THEN '_nonzero' ELSE '' END AS pattern_name FROM pv),
     {I.bh_sql('pp', keys='feature, pattern_name')}"""
+GROUPS = """sides AS (SELECT m, (SELECT list(i ORDER BY i) FROM range(1, 5) t(i) WHERE (m >> (i - 1)) & 1 = 1) AS l FROM range(1, 16) s(m)),
+    gp AS (SELECT h.l AS hl, o.l AS ll, concat_ws('_', (SELECT string_agg(CASE WHEN list_contains(h.l, n) THEN n::VARCHAR ELSE 'x' END, '' ORDER BY n) FROM range(0, 5) t(n)), (SELECT string_agg(CASE WHEN list_contains(o.l, n) THEN n::VARCHAR ELSE 'x' END, '' ORDER BY n) FROM range(0, 5) t(n))) AS pattern_code,
+        len(h.l) + len(o.l) AS complexity, array_to_string(list_transform(h.l, lambda i: 'archetype_' || i), ',') AS high, array_to_string(list_transform(o.l, lambda i: 'archetype_' || i), ',') AS low
+        FROM sides h, sides o WHERE h.m & o.m = 0 AND len(h.l) <= 2 AND len(o.l) <= 2 AND len(h.l) + len(o.l) > 2)"""
 ORACLE_SQL = {
+    "t12_group_tradeoffs": f"""WITH {I.bins_sql()}, {I.DIMS}, {GROUPS}, mem AS (SELECT DISTINCT cell_id, archetype_idx + 1 AS i FROM bins WHERE archetype_label <> 'no_archetype'),
+        sided AS (SELECT p.pattern_code, p.high, p.low, m.cell_id, max(CASE WHEN list_contains(p.hl, m.i) THEN 1 ELSE 0 END) AS side FROM gp p JOIN mem m ON list_contains(p.hl, m.i) OR list_contains(p.ll, m.i) GROUP BY ALL),
+        vals AS (SELECT s.*, d.feature, d.value FROM sided s JOIN dims d USING (cell_id)),
+        rk AS (SELECT *, rank() OVER (PARTITION BY pattern_code, feature ORDER BY value) + (count(*) OVER (PARTITION BY pattern_code, feature, value) - 1) / 2.0 AS midrank, count(*) OVER (PARTITION BY pattern_code, feature, value) AS c FROM vals),
+        pt AS (SELECT pattern_code, high, low, feature, CAST(sum(side) AS DOUBLE) AS n1, CAST(sum(1 - side) AS DOUBLE) AS n2, sum(value * side) AS s1, sum(value * (1 - side)) AS s2, sum(midrank * side) AS r1, sum(CAST(c AS DOUBLE) * c - 1) AS ties FROM rk GROUP BY ALL),
+        pz AS (SELECT *, s1 / n1 AS m1, s2 / n2 AS m2, r1 - n1 * (n1 + 1) / 2 AS u, sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM pt WHERE n1 >= 10 AND n2 >= 10),
+        pv AS (SELECT *, round(m1 - m2, 6) + 0.0 AS diff, {special.two_sided_sql('greatest(round((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd, 6), 0.0)')} AS pvalue FROM pz),
+        t AS (SELECT feature, CASE WHEN diff < 0 THEN split_part(pattern_code, '_', 2) || '_' || split_part(pattern_code, '_', 1) ELSE pattern_code END AS pattern_code, CASE WHEN diff < 0 THEN low ELSE high END AS high_archetypes, CASE WHEN diff < 0 THEN high ELSE low END AS low_archetypes,
+            round(CASE WHEN diff < 0 THEN m2 ELSE m1 END, 6) + 0.0 AS mean_high, round(CASE WHEN diff < 0 THEN m1 ELSE m2 END, 6) + 0.0 AS mean_low, abs(diff) AS mean_diff, pvalue FROM pv)
+        SELECT * REPLACE (round(pvalue, 6) AS pvalue) FROM t QUALIFY row_number() OVER (PARTITION BY feature, pattern_code ORDER BY pvalue, mean_diff DESC) = 1""",
+    "w9_order": f"WITH {I.archetypes_sql()}, {C.WEIGHTS} SELECT cell_id, row_number() OVER (ORDER BY round(x, 9), cell_id) - 1 AS place FROM ws WHERE archetype_idx = 0",
+    "g6_long_metrics": "SELECT p_brand, unnest(['price', 'size']) AS metric, unnest([round(avg(p_retailprice), 4), round(avg(p_size), 4)]) AS value FROM part GROUP BY 1",
+    "p15_log_if_raw": f"WITH {I.COUNTS} SELECT cell_id, feature, round(CASE WHEN (SELECT max(value) FROM counts) > 20 THEN ln(1 + value) ELSE value END, 6) AS value FROM counts",
+    "p25_colour": f"WITH {I.COUNTS} SELECT s.cell_id, coalesce(c.value, 0.0) AS colour FROM segments s LEFT JOIN counts c ON c.cell_id = s.cell_id AND c.feature = 'Brand#11'",
     "t7_patterns": f"WITH {PAIRS} SELECT pattern_code, pattern_type, CAST(2 AS INT) AS complexity, CAST(length(regexp_replace(pattern_code, '[x_]', '', 'g')) AS INT) AS digits, split_part(pattern_code, '_', 2) || '_' || split_part(pattern_code, '_', 1) AS reversed FROM pat",
     "t8_pattern_associations": f"""WITH {PATTERN_TESTS} SELECT feature, pattern_code, pattern_type, CAST(n1 AS BIGINT) AS n_high_cells, CAST(n2 AS BIGINT) AS n_low_cells, round(m1, 6) + 0.0 AS mean_high, round(m2, 6) + 0.0 AS mean_low, mean_diff, u AS statistic, z,
         round(pvalue, 6) AS pvalue, round(fdr_pvalue, 6) AS fdr_pvalue, fdr_pvalue < 0.05 AS significant, CASE WHEN m1 > m2 THEN 'higher' ELSE 'lower' END AS direction, abs(mean_diff) >= 0.01 AS passes_lfc_threshold FROM fdr""",
@@ -266,6 +312,17 @@ ORACLE_SQL = {
         SELECT feature, min(archetype) AS archetype, round(min(pvalue), 6) AS pvalue FROM fdr WHERE fdr_pvalue < 0.05 AND direction = 'higher' GROUP BY feature HAVING count(*) = 1""",
     "r1_knn": f"WITH {I.CELLS}, {KNN} SELECT src, dst, w FROM edges",
     "r2_label_edges": f"WITH {I.CELLS}, {KNN} SELECT x.label AS a, y.label AS b, count(*) AS n FROM edges JOIN cells x ON x.cell_id = src JOIN cells y ON y.cell_id = dst GROUP BY 1, 2",
+    "r2_nhood_enrichment": f"""WITH {I.CELLS}, {KNN}, e AS (SELECT src, dst FROM edges),
+        s AS (SELECT label AS x, CAST(count(*) AS DOUBLE) AS s FROM cells GROUP BY 1), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM cells),
+        k AS (SELECT count(*) AS m, (SELECT count(*) FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src) AS back, (SELECT count(*) FROM e a JOIN e b ON a.src = b.src AND a.dst <> b.dst) AS ns,
+            (SELECT count(*) FROM e a JOIN e b ON a.dst = b.dst AND a.src <> b.src) AS nt, (SELECT count(*) FROM e a JOIN e b ON a.dst = b.src AND a.src <> b.dst) AS nc FROM e),
+        g AS (SELECT a.x AS a, b.x AS b, a.s AS sa, b.s AS sb, a.x = b.x AS eq, n, CAST(m AS DOUBLE) AS m, back, ns, nt, 2 * nc AS nc, CAST(m AS DOUBLE) * m - m - back - ns - nt - 2 * nc AS nn FROM s a, s b, n, k),
+        p AS (SELECT *, CASE WHEN eq THEN sa * (sa - 1) ELSE sa * sb END / (n * (n - 1)) AS p2, CASE WHEN eq THEN sa * (sa - 1) * (sa - 2) ELSE sa * sb * (sb - 1) END / (n * (n - 1) * (n - 2)) AS ps,
+            CASE WHEN eq THEN sa * (sa - 1) * (sa - 2) ELSE sb * sa * (sa - 1) END / (n * (n - 1) * (n - 2)) AS pt, CASE WHEN eq THEN sa * (sa - 1) * (sa - 2) ELSE 0 END / (n * (n - 1) * (n - 2)) AS pc,
+            CASE WHEN eq THEN sa * (sa - 1) * (sa - 2) * (sa - 3) ELSE sa * (sa - 1) * sb * (sb - 1) END / (n * (n - 1) * (n - 2) * (n - 3)) AS pn FROM g),
+        v AS (SELECT a, b, m * p2 AS mean, sqrt(greatest(m * p2 + CASE WHEN eq THEN back * p2 ELSE 0 END + ns * ps + nt * pt + nc * pc + nn * pn - m * p2 * m * p2, 0)) AS std FROM p),
+        o AS (SELECT x.label AS a, y.label AS b, count(*) AS n FROM e JOIN cells x ON x.cell_id = src JOIN cells y ON y.cell_id = dst GROUP BY 1, 2)
+        SELECT v.a, v.b, coalesce(o.n, 0) AS n, round(mean, 4) AS mean, round(std, 4) AS std, round((coalesce(o.n, 0) - mean) / std, 4) AS z FROM v LEFT JOIN o ON o.a = v.a AND o.b = v.b""",
     "r3_co_occurrence": f"""WITH {I.CELLS}, p AS (SELECT x.label AS a, y.label AS b, round(sqrt((x.vec[1] - y.vec[1]) ** 2 + (x.vec[2] - y.vec[2]) ** 2), 9) AS d FROM cells x JOIN cells y ON x.cell_id <> y.cell_id),
         n AS (SELECT CAST(CASE WHEN d <= 0.02 THEN 0 WHEN d <= 0.05 THEN 1 ELSE 2 END AS INT) AS band, a, b, count(*) AS n FROM p WHERE d <= 0.1 GROUP BY 1, 2, 3)
         SELECT band, a, b, n, round((n / sum(n) OVER (PARTITION BY band, b)) / (sum(n) OVER (PARTITION BY band, a) / sum(n) OVER (PARTITION BY band)), 6) AS ratio FROM n""",

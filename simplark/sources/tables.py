@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,25 @@ def load_cells(spark: SparkSession, path: str, use_raw: bool = True, reduced: st
     return df.withColumn("x", F.col(reduced)) if not use_raw and reduced and reduced in df.columns else df
 
 
+def load_subsample(spark: SparkSession, path: str, n_cells: int | None = None, seed: int = 0) -> DataFrame:
+    """The data set at ``path``, or ``n_cells`` rows of it by the hash of cell_id and the seed; an error names a path without one."""
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(path) from e
+    return df if n_cells is None else df.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(n_cells)
+
+
+def save_search(folds: DataFrame, config: dict, path: str) -> None:
+    """A search's folds as Parquet beside its configuration as JSON."""
+    folds.write.mode("overwrite").parquet(f"{path}/folds")
+    save_model(folds.sparkSession, f"{path}/config", config, {})
+
+
+def load_search(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(f"{path}/folds"), load_model(spark, f"{path}/config")[0]
+
+
 def read_gmt(spark: SparkSession, paths: Sequence[str] | str, collection: str = "custom") -> DataFrame:
     """source, target, weight, pathway of a gene-set file: name, description, members, by tabs."""
     parts = F.split("value", "\t")
@@ -75,8 +95,17 @@ def validate(df: DataFrame, kind: str) -> None:
 
 
 def standardize(df: DataFrame, kind: str) -> DataFrame:
-    """The result with all columns of its kind: gene and pathway become feature, missing ones are null."""
+    """The result with all columns of its kind: gene and pathway become feature, missing ones are nulls of their type."""
     for old in ("gene", "pathway"):
         if old in df.columns and "feature" not in df.columns:
             df = df.withColumnRenamed(old, "feature")
-    return df.withColumns({c: F.lit(None).cast("string") for c in RESULTS[kind] if c not in df.columns})
+    return df.withColumns({c: F.lit(None).cast(result_type(c)) for c in RESULTS[kind] if c not in df.columns})
+
+
+def result_type(column: str) -> str:
+    """The type of a result's column."""
+    if column.startswith(("n_", "total_")) or column == "observed":
+        return "long"
+    if column == "significant":
+        return "boolean"
+    return "double" if column.startswith(("mean_", "fdr_", "odds_")) or column in ("statistic", "pvalue", "expected") else "string"

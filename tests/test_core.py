@@ -18,6 +18,7 @@ from simplark.operators import preprocess as R
 from simplark.operators import search as X
 from simplark.operators import shape as H
 from simplark.operators import stats as S
+from simplark.operators import validate as D
 from simplark.plans import core_queries
 from simplark.sources import tables
 
@@ -197,8 +198,120 @@ def test_knn_and_moran(spark, cells, points):
 
 def test_permuted_neighbourhoods_of_random_labels(spark, cells):
     e = G.knn_edges(cells.select("cell_id", "vec"), 5)
-    rows = G.neighbourhood_enrichment(e, cells, 200, label="label").collect()
-    assert sum(r.n for r in rows) == 300 and math.isclose(sum(r.mean for r in rows), 300) and all(abs(r.z) < 5 for r in rows)
+    rows = {(r.a, r.b): r for r in G.neighbourhood_enrichment(e, cells, "label").collect()}
+    assert sum(r.n for r in rows.values()) == 300 and math.isclose(sum(r.mean for r in rows.values()), 300)
+    pairs = np.array([(r.src, r.dst) for r in e.collect()])
+    own = np.array([r.label for r in cells.orderBy("cell_id").collect()])
+    rng = np.random.default_rng(0)
+    drawn = {k: [] for k in rows}
+    for _ in range(4000):
+        mixed = rng.permutation(own)
+        for a, b in rows:
+            drawn[a, b].append(((mixed[pairs[:, 0]] == a) & (mixed[pairs[:, 1]] == b)).sum())
+    for k, r in rows.items():
+        assert abs(np.mean(drawn[k]) - r.mean) < 0.5 and abs(np.std(drawn[k]) / r.std - 1) < 0.05, k
+
+
+def test_neighbours_of_blocks_are_those_of_all(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.normal(size=(70, 3)).round(1), np.zeros((8, 3)), 1e4 + rng.normal(size=(12, 3))))  # ties, equal points, a far group
+    points = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "cell_id long, vec array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)).round(9)
+    np.fill_diagonal(d, np.inf)
+    for size in ((20, 20), (1000, 1000)):
+        monkeypatch.setattr(G, "BLOCK_ROWS", size)
+        got = {(r.src, r.dst) for r in G.knn_edges(points, 6).collect()}
+        assert got == {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), d[i]))[:6]}
+    assert G.knn_edges(points.limit(0), 6).count() == 0 and G.knn_edges(points.limit(1), 6).count() == 0
+
+
+def test_conditional_odds():
+    def exact(x, r, c, t, level=0.95):
+        low, high = max(0, r + c - t), min(r, c)
+        w = lambda o: np.array([math.comb(c, j) * math.comb(t - c, r - j) * o ** (j - low) for j in range(low, high + 1)], float)
+        p = lambda o: w(o) / w(o).sum()
+        def solve(f):
+            a, b = 1e-9, 1e9
+            for _ in range(200):
+                m = math.sqrt(a * b)
+                a, b = (m, b) if f(m) < 0 else (a, m)
+            return a
+        js = np.arange(low, high + 1)
+        return solve(lambda o: (js * p(o)).sum() - x), solve(lambda o: p(o)[js >= x].sum() - (1 - level) / 2), solve(lambda o: (1 - level) / 2 - p(o)[js <= x].sum())
+
+    for x, r, c, t in ((7, 12, 9, 30), (2, 12, 9, 30), (20, 40, 35, 100)):
+        assert np.allclose(special.fisher_odds(x, r, c, t), exact(x, r, c, t), rtol=1e-6)
+    assert special.fisher_odds(5, 5, 9, 30)[0] == math.inf and special.fisher_odds(0, 5, 9, 30)[:2] == (0.0, 0.0)
+    big = special.fisher_odds(30_000_000, 50_000_000, 50_000_000, 100_000_000)
+    assert abs(big[0] / (30 * 30 / (20 * 20)) - 1) < 1e-4 and big[1] < big[0] < big[2]
+
+
+def test_sparse_features_and_sides(spark):
+    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(100)], "cell_id long, archetype string")
+    values = spark.createDataFrame([(0, "rare", 5.0)] + [(i, "some", float(i + 1)) for i in range(60)], "cell_id long, feature string, value double")
+    rows = {(r.feature, r.archetype): r for r in S.rank_sums(values, labels).collect()}
+    assert rows["rare", "a"].statistic == 0 and rows["rare", "a"].pvalue == 1 and rows["some", "a"].statistic > 0
+    assert S.rank_sums(values, labels, min_nonzero=0).where("feature = 'rare' AND statistic > 0").count() == 2
+    both = S.pathway_associations(values, labels, direction="both").collect()
+    assert len(both) == 8 and {(r.test_direction, r.direction) for r in both} == {("greater", "higher"), ("less", "lower")}
+    assert all(r.pvalue == 1 for r in both if r.feature == "rare")
+    assert S.gene_associations(values, labels, min_logfc=0.0, direction="both_legacy").count() == 8
+    with pytest.raises(ValueError):
+        S.gene_associations(values, labels, direction="x")
+
+
+def test_pattern_analysis_and_places(spark):
+    rng = np.random.default_rng(8)
+    binned = spark.createDataFrame([(i, f"archetype_{i % 4}") for i in range(120)] + [(i, "archetype_1") for i in range(0, 30, 4)], "cell_id long, archetype string")
+    values = spark.createDataFrame([(i, f, float(rng.normal() + (3 if f == "x" and i % 4 == 1 else 0))) for i in range(120) for f in "xy"], "cell_id long, feature string, value double")
+    out = P.pattern_analysis(values, A.labels(binned.withColumnRenamed("archetype", "archetype_label").withColumn("archetype_idx", F.lit(1))), binned)
+    assert set(out) == {"individual", "patterns", "exclusivity"} and {"log_fold_change", "statistic"} <= set(out["patterns"].columns)
+    assert out["patterns"].where("feature = 'x' AND significant").count() > 0
+    fates = spark.createDataFrame([(i, "l", float((i * 7) % 10)) for i in range(50)], "cell_id long, lineage string, prob double")
+    got = [(r.cell_id, r.place) for r in H.order_by_fate(fates, "l").orderBy("place").collect()]
+    assert got == [(i, k) for k, i in enumerate(sorted(range(50), key=lambda i: ((i * 7) % 10, i)))]
+
+
+def test_generate_and_validate(spark, cells, points):
+    model = M.ArchetypeModel(points[:3].tolist())
+    out = D.generate_and_validate(model, cells, 50)
+    assert out["generated"].count() == 50 and out["components"].count() == 4 and out["distances"].count() == 3
+    assert out["metrics"].first().n_effective >= 1 and out["similarity"].first().n == 50
+    pairs = D.nearest_real(cells.where("cell_id < 5"), cells, 0.05).collect()
+    d = np.sqrt(((points[:5, None] - points[None]) ** 2).sum(2)).round(9)
+    assert {(r.src, r.dst) for r in pairs} == {(i, int(j)) for i in range(5) for j in np.lexsort((np.arange(60), d[i]))[:3]}
+    tests, summary = D.validate_weights(model.transform(cells), model.transform(cells))
+    assert summary.first().fraction_significant == 0 and tests.count() == 3
+
+
+def test_detection_and_subsamples(spark, cells, tmp_path):
+    names = spark.createDataFrame([("ENSG01",), ("ENSG02",), ("ABC",)], "feature string")
+    assert R.looks_like_ensembl(names) and not R.looks_like_ensembl(names.where("feature = 'ABC'"))
+    assert R.detect_columns(cells) == {"vectors": ["vec"], "categories": ["label"], "numbers": ["cell_id"]}
+    values = spark.createDataFrame([(1, "f", 30.0)], "cell_id long, feature string, value double")
+    assert R.resolve_colour(cells, values, "label").count() == 60 and R.resolve_colour(cells, values, "none") is None
+    assert {r.colour for r in R.resolve_colour(cells, values, "f").collect()} == {0.0, 30.0}
+    assert math.isclose(R.log_if_raw(values).first().value, math.log1p(30)) and R.log_if_raw(values, 40.0).first().value == 30
+    path = f"file://{tmp_path}/cells"
+    cells.write.parquet(path)
+    assert tables.load_subsample(spark, path, 7).count() == 7 and tables.load_subsample(spark, path).count() == 60
+    with pytest.raises(FileNotFoundError):
+        tables.load_subsample(spark, f"{path}-none")
+    folds = X.search(cells, X.SearchConfig((2,), ((8,),), folds=2, epochs=2))
+    tables.save_search(folds, {"folds": 2}, f"file://{tmp_path}/search")
+    again, config = tables.load_search(spark, f"file://{tmp_path}/search")
+    assert config == {"folds": 2} and again.count() == 12
+    table = H.elbow(again, "r2")
+    assert H.facets(table) == {"facet_by": None, "color_by": "hidden_dims", "n_facets": 1} and H.convergence_table(again, ["config_id"]).first().epochs == 2
+    typed = dict(tables.standardize(names, "association").dtypes)
+    assert (typed["pvalue"], typed["significant"], typed["n_other_cells"], typed["direction"]) == ("double", "boolean", "bigint", "string")
+
+
+def test_hypergeometric_tail_of_large_groups():
+    for t, r, c, o in ((40, 12, 25, 9), (40, 12, 25, 3), (10, 10, 4, 4), (7, 3, 3, 0), (200, 90, 60, 30)):
+        want = sum(math.comb(c, j) * math.comb(t - c, r - j) for j in range(max(o, r + c - t), min(r, c) + 1)) / math.comb(t, r)
+        assert math.isclose(special.hypergeometric_upper(o, r, c, t), want, rel_tol=1e-9), (t, r, c, o)
+    assert 0.4 < special.hypergeometric_upper(25_000_000, 50_000_000, 50_000_000, 100_000_000) < 0.6
 
 
 def test_fates_both_ways(spark):
