@@ -89,6 +89,11 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with c0, c1, ... for its column names: ``mapInArrow`` stumbles over dots and backticks in them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def without(docs: DataFrame, key: str, dropped: DataFrame, column: str) -> DataFrame:
     """The rows of ``docs`` whose ``key`` isn't in the ``column`` of ``dropped``; null keys stay. Any column names do."""
     gone = fresh("gone", docs.columns)

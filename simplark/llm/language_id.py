@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simplark.llm.common import bounded, extended, fold, fresh, held_by_worker, named, small, strings
+from simplark.llm.common import bounded, extended, fold, fresh, held_by_worker, named, numbered, small, strings
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
-    return out.mapInArrow(run, schema)
+    return numbered(out).mapInArrow(run, schema)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.0, text: str = "text") -> DataFrame:
@@ -187,9 +187,11 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.
     def run(batches):
         for batch in small(batches, at):
             labels, scores = held.value.score(strings(batch.column(at)))
-            yield batch.filter(pa.array([l != UNDETERMINED and s >= min_score for l, s in zip(labels, scores, strict=True)], pa.bool_()))
+            kept = batch.filter(pa.array([l != UNDETERMINED and s >= min_score for l, s in zip(labels, scores, strict=True)], pa.bool_()))
+            yield kept.rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    names = docs.columns
+    return numbered(docs).mapInArrow(run, docs.schema)
 
 
 def learnable(key: str = "doc_id") -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplark.llm.common import Memo, extended, fresh, held_by_worker, named, small, strings
+from simplark.llm.common import Memo, extended, fresh, held_by_worker, named, numbered, small, strings
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -368,7 +368,7 @@ def encode(docs: DataFrame, model_path: str, keep: list[str] | None = None, text
             same = [d == (t or "") for d, t in zip(decoded, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(counts), pa.array(decoded, pa.string()), pa.array(same)], schema.names)
 
-    return out.mapInArrow(run, schema)
+    return numbered(out).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, model_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -385,4 +385,4 @@ def decode(docs: DataFrame, model_path: str, ids: str = "ids", name: str = "deco
             texts = [None if x is None else encoder.decode(np.array(x, np.int64)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return numbered(docs).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from simplark.llm.common import bounded, checked, cut, extended, fresh, held_by_worker, named, small, strings
+from simplark.llm.common import bounded, checked, cut, extended, fresh, held_by_worker, named, numbered, small, strings
 
 BITS = 18
 WORD = re.compile(r"[^\W_]+")
@@ -163,4 +163,4 @@ def predict(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str =
             score = held.value.score(strings(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], schema.names)
 
-    return out.mapInArrow(run, schema)
+    return numbered(out).mapInArrow(run, schema)
