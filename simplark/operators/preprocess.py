@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
@@ -76,26 +79,99 @@ def gram(values: DataFrame, names: list[str]) -> np.ndarray:
     return out
 
 
-def lsi(values: DataFrame, n_components: int = 50, drop_first: bool = True, most_features: int = 4000) -> DataFrame:
-    """cell_id, vec: truncated SVD (uncentred) of TF-IDF, first component dropped.
+def added(rows: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of ``part`` over all batches of rows: in tasks first, then in as many tasks as the root of their number."""
+
+    def batches(pdfs: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"sums": [sum((part(pdf) for pdf in pdfs if len(pdf)), np.zeros(shape)).tobytes()]})
+
+    def again(pdfs: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"sums": [sum((np.frombuffer(b) for pdf in pdfs for b in pdf["sums"]), np.zeros(math.prod(shape))).tobytes()]})
+
+    fan = max(1, math.isqrt(rows.rdd.getNumPartitions()))
+    found = rows.mapInPandas(batches, "sums binary").repartition(fan).mapInPandas(again, "sums binary").toPandas()["sums"]
+    return sum((np.frombuffer(b) for b in found), np.zeros(math.prod(shape))).reshape(shape)
+
+
+def product(values: DataFrame, table: DataFrame, by: str, to: str, width: int) -> DataFrame:
+    """(to, v): the matrix of values times the table (by, v) of ``width`` columns, added up before and after the shuffle."""
+    sums = values.join(table, by).groupBy(to).agg(*[F.sum(F.col("value") * F.col("v")[i]).alias(f"s{i}") for i in range(width)])
+    return sums.select(to, F.array(*[f"s{i}" for i in range(width)]).alias("v"))
+
 
-    The Gramian of at most ``most_features`` features is decomposed on the driver; cells are
-    projected by a join with its vectors.
+def rotated(table: DataFrame, column: str, turn: np.ndarray) -> DataFrame:
+    """(feature, v): the rows of a column times a small matrix."""
+
+    def rows(pdfs: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            if len(pdf):
+                yield pd.DataFrame({"feature": pdf["feature"], "v": list(np.array(pdf[column].tolist()) @ turn)})
+
+    return table.select("feature", column).mapInPandas(rows, "feature string, v array<double>")
+
+
+def right_vectors(values: DataFrame, k: int, rounds: int = 300, tolerance: float = 1e-6) -> DataFrame:
+    """feature, v: the first k right singular vectors of a sparse table (cell_id, feature, value) of any width.
+
+    Subspace iteration with twice as many vectors, begun from hashes of the features' names. Products with the
+    table are joins, whose sums shuffle; only width x width matrices reach the driver. It ends when no vector's
+    residual is above ``tolerance`` times the first eigenvalue and raises if ``rounds`` don't get there.
+    """
+    width = 2 * k + 10
+    names = values.select("feature").distinct()
+    unit = lambda i: F.pmod(F.xxhash64("feature", F.lit(i)), F.lit(2_000_003)) / 1_000_001.0 - 1
+    space = names.select("feature", F.array(*[unit(i) for i in range(width)]).alias("v")).checkpoint()
+    squares = added(space, lambda pdf: (x := np.array(pdf["v"].tolist())).T @ x, (width, width))
+    space = rotated(space, "v", upright(squares)).checkpoint()
+    for _ in range(rounds):
+        width = len(space.first().v)
+        there = product(values, space, "feature", "cell_id", width)
+        back = product(values, there, "cell_id", "feature", width).withColumnRenamed("v", "z")
+        both = space.join(back, "feature").checkpoint()
+
+        def sums(pdf: pd.DataFrame) -> np.ndarray:
+            v, z = (np.array(pdf[c].tolist()) for c in ("v", "z"))
+            return np.stack([v.T @ z, z.T @ z])
+
+        cross, squares = added(both, sums, (2, width, width))
+        found, turn = np.linalg.eigh((cross + cross.T) / 2)
+        found, turn = found[::-1], turn[:, ::-1]
+        residual = np.sqrt(np.maximum((turn * (squares @ turn)).sum(0) - found**2, 0))[:k].max()
+        if residual <= tolerance * max(found[0], 1e-300):
+            return rotated(both, "v", np.hstack([turn[:, :k], np.zeros((width, max(0, k - width)))]))
+        space = rotated(both, "z", turn @ upright(turn.T @ squares @ turn)).checkpoint()
+    raise RuntimeError(f"singular vectors after {rounds} rounds: a residual of {residual:.3g} of {found[0]:.3g}")
+
+
+def upright(squares: np.ndarray) -> np.ndarray:
+    """The matrix that makes columns with these products orthonormal; what depends on others leaves."""
+    scale = 1 / np.sqrt(np.maximum(np.diag(squares), 1e-300))
+    s, u = np.linalg.eigh(squares * scale[:, None] * scale)
+    keep = s > 1e-13 * s[-1]
+    return scale[:, None] * u[:, keep] / np.sqrt(s[keep])
+
+
+def lsi(values: DataFrame, n_components: int = 50, drop_first: bool = True, dense_features: int = 4000) -> DataFrame:
+    """cell_id, vec: truncated SVD (uncentred) of TF-IDF, first component dropped; at most the smaller side less two components.
+
+    Up to ``dense_features`` features the Gramian is added up on Spark and decomposed at once; more go through
+    ``right_vectors``, which gives the same vectors within its tolerance. The largest loading of each is positive.
     """
     t = tfidf(values)
-    names = [r.feature for r in t.select("feature").distinct().orderBy("feature").limit(most_features + 1).collect()]
-    if len(names) > most_features:
-        raise ValueError(f"more than {most_features} features: choose variable ones first")
-    at = {f: i for i, f in enumerate(names)}
-    m = gram(t, names)
-    k = max(1, min(n_components, len(names) - 2))
-    _, vectors = np.linalg.eigh(m)
-    v = vectors[:, ::-1][:, :k]
-    v = v * np.where(v[np.abs(v).argmax(0), np.arange(k)] < 0, -1, 1)  # the largest loading is positive
-    first = 1 if drop_first else 0
-    loadings = values.sparkSession.createDataFrame([(f, j, float(v[i, j])) for f, i in at.items() for j in range(first, k)], "feature string, pos int, w double")
-    scores = t.join(loadings, "feature").groupBy("cell_id", "pos").agg(F.sum(F.col("value") * F.col("w")).alias("x"))
-    return scores.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("vec"))
+    names = [r.feature for r in t.select("feature").distinct().orderBy("feature").limit(dense_features + 1).collect()]
+    width = t.select("feature").distinct().count() if len(names) > dense_features else len(names)
+    k = max(1, min(n_components, width - 2, t.select("cell_id").distinct().count() - 2))
+    if len(names) <= dense_features:
+        _, vectors = np.linalg.eigh(gram(t, names))
+        loadings = values.sparkSession.createDataFrame([(f, r.tolist()) for f, r in zip(names, vectors[:, ::-1][:, :k], strict=True)], "feature string, v array<double>")
+    else:
+        t = t.checkpoint()
+        loadings = right_vectors(t, k).checkpoint()
+    sign = loadings.agg(*[F.max_by(F.col("v")[i], F.struct(F.round(F.abs(F.col("v")[i]), 9), "feature")) for i in range(k)]).first()
+    turn = [-1.0 if s is not None and s < 0 else 1.0 for s in sign]
+    scores = product(t, loadings, "feature", "cell_id", k)
+    first = 2 if drop_first else 1
+    return scores.select("cell_id", F.slice(F.zip_with("v", F.lit(turn), lambda x, s: x * s), first, k).alias("vec"))
 
 
 def pca(cells: DataFrame, k: int = 50) -> tuple[DataFrame, list[list[float]], list[float]]:

@@ -13,6 +13,7 @@ from simplark.operators import graph as G
 from simplark.operators import model as M
 from simplark.operators import search as X
 from simplark.operators import shape as H
+from simplark.operators import training as T
 from simplark.operators import validate as D
 from simplark.plans import core_queries as C
 from simplark.plans import inputs as I
@@ -20,7 +21,7 @@ from simplark.plans import inputs as I
 
 def a1_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cell's convex weights of the fitted archetypes."""
-    model = M.ArchetypeEstimator(I.K, "pcha", iterations=30).fit(I.cells(spark, sf_dir))
+    model = M.ArchetypeEstimator(I.K, "pcha").fit(I.cells(spark, sf_dir))
     return model.transform(I.cells(spark, sf_dir)).select("cell_id", F.transform("w", lambda x: F.round(x, 4)).alias("w"))
 
 
@@ -32,19 +33,25 @@ def a4_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a17_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = M.inflation_sweep(I.cells(spark, sf_dir), I.archetypes(spark, sf_dir), (1.0, 1.5))
+    rows = M.inflation_sweep(I.cells(spark, sf_dir), I.archetypes(spark, sf_dir))
     return spark.createDataFrame([(float(f), float(r)) for f, r in rows], "factor double, r2 double")
 
 
 def a18_autoencoder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The training history of the autoencoder on the bounded sample: epoch, metric, value."""
-    _, history = M.train_autoencoder(M.sample_matrix(I.cells(spark, sf_dir), 500), I.K, epochs=10)
-    rows = [(int(h["epoch"]), m, float(v)) for h in history for m, v in h.items() if m != "epoch"]
-    return spark.createDataFrame(rows, "epoch int, metric string, value double")
+    """The history of the autoencoder trained on all cells: epoch, metric, value."""
+    model = T.AutoencoderEstimator(I.K, normalise=True).fit(I.cells(spark, sf_dir))
+    return model.history_table(spark)
+
+
+def a7_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, latent means and log variances of all cells by an autoencoder trained on them, and the error of their reconstruction."""
+    model = T.AutoencoderEstimator(I.K, epochs=10, normalise=True).fit(I.cells(spark, sf_dir))
+    t = model.reconstruct(model.transform(I.cells(spark, sf_dir)))
+    return t.select("cell_id", "w", "latent", "log_var", V.distance(F.col("vec"), F.col("fitted")).alias("error"))
 
 
 def c3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folds = X.search(I.cells(spark, sf_dir), X.SearchConfig((2, 3), ((16,),), (1.5,), folds=2, epochs=4, most_cells=300))
+    folds = X.search(I.cells(spark, sf_dir), X.SearchConfig())
     return H.fold_summary(folds, ["config_id", "n_archetypes", "hidden_dims", "inflation"])
 
 
@@ -153,7 +160,7 @@ def s12_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.generated_table(made, y).select("name", "source", "archetype", F.round("nearest_distance", 6).alias("nearest_distance"))
 
 
-QUERIES = {f.__name__: f for f in (a1_train, a4_weights, a17_inflation, a18_autoencoder, c3_search, s3_synthetic, n1_samples, n2_specialists, n5_holdout, n6_gene_space, t17_ks, t18_feature_correlations, j8_nearest, t17_similarity, t17_components, t18_paired, t18_summary, t19_weights, n4_metrics, n7_generate_and_validate, s12_generated)}
+QUERIES = {f.__name__: f for f in (a1_train, a4_weights, a17_inflation, a18_autoencoder, a7_coordinates, c3_search, s3_synthetic, n1_samples, n2_specialists, n5_holdout, n6_gene_space, t17_ks, t18_feature_correlations, j8_nearest, t17_similarity, t17_components, t18_paired, t18_summary, t19_weights, n4_metrics, n7_generate_and_validate, s12_generated)}
 
 HALVES = f"{I.CELLS}, re AS (SELECT * FROM cells WHERE CAST(label AS INT) % 2 = 0), ma AS (SELECT * FROM cells WHERE CAST(label AS INT) % 2 = 1)"
 NEAREST = f"""{HALVES}, dd AS (SELECT ma.cell_id AS src, re.cell_id AS dst, round(list_distance(ma.vec, re.vec), 9) AS distance, list_cosine_similarity(ma.vec, re.vec) AS cosine FROM ma, re),

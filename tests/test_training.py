@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from simplark.operators import archetypes as A
 from simplark.operators import model as M
+from simplark.operators import preprocess as R
 from simplark.operators import training as T
 from simplark.operators import validate as D
 
@@ -88,3 +89,25 @@ def test_early_stop_and_errors(spark, mixed):
         T.AutoencoderEstimator(6).fit(cells)
     one = T.AutoencoderEstimator(3, epochs=2, hidden=(4,), decoder=True, normalise=True).fit(cells.limit(1).unionByName(cells.limit(1)))
     assert np.isfinite(one.network.flat()).all()
+
+
+@pytest.mark.parametrize("rank", [9, 2])
+def test_wide_tables_give_the_same_components(spark, rank):
+    """Above the dense bound the vectors come from joins: the same scores, also where the table has fewer dimensions than asked for."""
+    rng = np.random.default_rng(4)
+    x = rng.poisson(rng.gamma(1, 1, (30, rank)) @ rng.gamma(0.5, 2, (rank, 14)) * 3) if rank > 2 else np.outer(rng.integers(1, 4, 30), rng.integers(1, 5, 14))
+    v = spark.createDataFrame([(i, f"f{j}", float(c)) for i, row in enumerate(x) for j, c in enumerate(row) if c], "cell_id long, feature string, value double").checkpoint()
+    dense, wide = ({r.cell_id: r.vec for r in R.lsi(v, 4, dense_features=n).collect()} for n in (4000, 0))
+    assert dense.keys() == wide.keys() and len(dense) == 30
+    assert all(len(wide[c]) == 3 and np.allclose(dense[c], wide[c], atol=1e-4) for c in dense)
+
+
+def test_singular_vectors_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(25, 12)) * np.linspace(3, 0.3, 12)
+    v = spark.createDataFrame([(i, f"f{j:02}", float(c)) for i, row in enumerate(x) for j, c in enumerate(row)], "cell_id long, feature string, value double").checkpoint()
+    got = np.array([r.v for r in R.right_vectors(v, 3).orderBy("feature").collect()])
+    want = np.linalg.svd(x)[2][:3].T
+    assert np.allclose(np.abs(got.T @ want), np.eye(3), atol=1e-4)
+    with pytest.raises(RuntimeError):
+        R.right_vectors(v, 1, rounds=1, tolerance=0.0)
