@@ -12,6 +12,7 @@ from functools import reduce
 from itertools import combinations
 from operator import and_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,16 +146,46 @@ def assign_to_centroids(cells: DataFrame, centres: Sequence[tuple[str, Sequence[
 
 
 def archetype_statistics(archetypes: Sequence[Sequence[float]]) -> dict:
-    """Mean, population std, smallest, largest and range of pairwise distances; nearest and furthest pair. k is small, so plain Python."""
+    """Mean, population std, smallest, largest and range of pairwise distances; nearest and furthest pair; from three dimensions, the convex hull's volume and area.
+
+    A hull that has no inside (as with no more archetypes than dimensions) has neither. k is small, so plain Python.
+    """
     pairs = {(i, j): sum((a - b) ** 2 for a, b in zip(archetypes[i], archetypes[j], strict=True)) ** 0.5 for i, j in combinations(range(len(archetypes)), 2)}
     values = list(pairs.values())
     m = sum(values) / len(values)
-    return {
+    hull = dict(zip(("hull_volume", "hull_area"), hull_size(np.array(archetypes, float)), strict=True)) if len(archetypes[0]) >= 3 else {}
+    return hull | {
         "mean": m, "std": (sum((v - m) ** 2 for v in values) / len(values)) ** 0.5, "min": min(values), "max": max(values), "range": max(values) - min(values),
         "nearest": min(pairs, key=pairs.get), "furthest": max(pairs, key=pairs.get),
     }
 
 
+def hull_size(points: np.ndarray) -> tuple[float | None, float | None]:
+    """(volume, area) of the convex hull of a few points, nothing where they span less than their dimensions.
+
+    Facets are the hyperplanes through points with all others on one side. The volume adds up pyramids from
+    the points' mean over them; a facet's size is the volume of its own points, one dimension lower.
+    """
+    n, d = points.shape
+    if d == 1:
+        return float(np.ptp(points)), None
+    middle = points.mean(0)
+    x = points - middle
+    tiny = 1e-9 * max(np.abs(x).max(initial=0.0), 1e-300)
+    if n <= d or np.linalg.matrix_rank(x, tol=tiny) < d:
+        return None, None
+    facets: dict[frozenset, tuple[float, np.ndarray]] = {}
+    for some in combinations(range(n), d):
+        _, spread, axes = np.linalg.svd(x[list(some[1:])] - x[some[0]])
+        if spread[-1] <= tiny:
+            continue
+        height = (x - x[some[0]]) @ axes[-1]
+        if (height <= tiny).all() or (height >= -tiny).all():
+            facets[frozenset(np.flatnonzero(np.abs(height) <= tiny).tolist())] = abs(float(x[some[0]] @ axes[-1])), axes[:-1]
+    sizes = [(distance, hull_size(x[sorted(on)] @ axes.T)[0] or 0.0) for on, (distance, axes) in facets.items()]
+    return sum(h * size for h, size in sizes) / d, sum(size for _, size in sizes)
+
+
 def pair_distances(archetypes: DataFrame) -> DataFrame:
     """i, j, distance of all pairs i < j of an archetype table (archetype_idx, y); k rows, so the theta join is small."""
     a, b = archetypes.select(F.col("archetype_idx").alias("i"), F.col("y").alias("a")), archetypes.select(F.col("archetype_idx").alias("j"), F.col("y").alias("b"))

@@ -457,7 +457,14 @@ def test_entry_without_the_llm_folders(tmp_path):
     shutil.copytree(root / "simplark", tmp_path / "simplark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 't2_gene_associations' in q and set(o) <= set(q) and not any(n.startswith('op') for n in q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    run = lambda: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True)
+    assert run().returncode == 0
+    (tmp_path / "corpus_pipeline.py").write_text("from simplark.llm import queries\n")
+    assert run().returncode == 0
+    (tmp_path / "simplark" / "llm").mkdir()  # an empty folder that is left behind
+    assert run().returncode == 0
+    (tmp_path / "corpus_pipeline.py").write_text("import a_library_that_is_missing\n")
+    assert b"a_library_that_is_missing" in run().stderr
 
 
 def test_fates_of_a_slow_walk_are_whole_on_every_path(spark):
@@ -485,3 +492,17 @@ def test_all_levels_take_cells(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
     out = {r.assigned for r in core_queries.a6_assign_to_centroids(spark, f"file://{tmp_path}").collect()}
     assert {"0", "1", "2", "3", "4", "5"} <= out
+
+
+def test_hull_sizes():
+    cube = [[float(i >> a & 1) for a in range(3)] for i in range(8)]
+    volume, area = A.hull_size(np.array([*cube, [0.5, 0.5, 0.5]]))
+    assert math.isclose(volume, 1) and math.isclose(area, 6)
+    simplex = np.vstack([np.zeros(4), np.eye(4)])
+    volume, area = A.hull_size(simplex)
+    assert math.isclose(volume, 1 / 24) and math.isclose(area, 4 / 6 + 2 / 6)
+    cross = np.vstack([np.eye(3), -np.eye(3)]) * 2
+    assert math.isclose(A.hull_size(cross)[0], 8 * 8 / 6) and math.isclose(A.hull_size(cross)[1], 8 * 3**0.5 / 4 * 8)
+    flat = A.archetype_statistics([[1.0, 0, 0], [0, 1.0, 0], [0, 0, 1.0]])
+    assert flat["hull_volume"] is None and flat["hull_area"] is None
+    assert "hull_volume" not in A.archetype_statistics([[1.0, 0], [0, 1.0]])
