@@ -104,7 +104,7 @@ def test_wide_tables_give_the_same_components(spark, rank):
 
 def test_singular_vectors_against_numpy(spark):
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(25, 12)) * np.linspace(3, 0.3, 12)
+    x = rng.normal(size=(60, 40)) * 0.85 ** np.arange(40)  # more features than vectors of the subspace, so it has to turn
     v = spark.createDataFrame([(i, f"f{j:02}", float(c)) for i, row in enumerate(x) for j, c in enumerate(row)], "cell_id long, feature string, value double").checkpoint()
     got = np.array([r.v for r in R.right_vectors(v, 3).orderBy("feature").collect()])
     want = np.linalg.svd(x)[2][:3].T
