@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplark.llm import decontaminate, exact_dedup, language_id, lm_score, sentencepiece, sharding, simhash, spelling, token_ids, toxicity, warc
+from simplark.llm import decontaminate, exact_dedup, language_id, licenses, lm_score, resample, sentencepiece, sharding, simhash, spelling, token_ids, toxicity, warc
 from simplark.llm.common import fold, new_folder, table
 
 
@@ -70,6 +70,14 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling(table(spark, sf_dir, "documents"))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_warc": op2_warc,
@@ -82,9 +90,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_language_id": op10_language_id,
     "op11_spelling": op11_spelling,
+    "op12_licenses": op12_licenses,
+    "op13_resample": op13_resample,
 }
 
+def license_sql() -> str:
+    """All blocks and all templates, without filters; places of phrases word by word."""
+    rows = ", ".join(
+        f"({i}, '{label}', {str(phrase).lower()}, {needed}, [{', '.join(repr(w.decode()) for w in words)}])"
+        for i, (label, words, phrase, needed) in enumerate(licenses.templates())
+    )
+    return f"""
+        WITH t(tid, label, phrase, needed, words) AS (VALUES {rows}),
+        d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+        ), x AS (
+            SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d
+        ), tokens AS (
+            SELECT tid, len(words) AS step, unnest(list_distinct(words)) AS w FROM t WHERE NOT phrase
+        ), b AS (
+            SELECT r, tid, w, i // step AS block FROM x JOIN tokens USING (w)
+            UNION ALL
+            SELECT r, tid, w, i // step - 1 FROM x JOIN tokens USING (w) WHERE i >= step
+        ), met AS (
+            SELECT r, label, count(DISTINCT w) AS shared, any_value(needed) AS needed, any_value(len(list_distinct(words))) AS m
+            FROM b JOIN t USING (tid) GROUP BY r, tid, label, block
+        ), notices AS (
+            SELECT r, label, max(shared / m) AS share FROM met WHERE shared >= needed GROUP BY r, label
+        ), places AS (
+            SELECT r, label, i FROM x JOIN t ON t.phrase AND x.w = t.words[1] JOIN d USING (r) WHERE d.ws[i + 1:i + len(t.words)] = t.words
+        ), base AS (
+            SELECT r, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r
+        ), every AS (
+            SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+            FROM (SELECT r, label, share FROM notices UNION ALL SELECT r, label, 1.0 FROM places) GROUP BY r
+        )
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+            coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+        FROM d LEFT JOIN base USING (r) LEFT JOIN every USING (r)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_licenses": license_sql(),
     "op2_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
