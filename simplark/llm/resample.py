@@ -7,7 +7,7 @@ gains; with Gumbel noise of its id it becomes the score, so that the highest sco
 without replacement.
 
 The ranks come from a radix sort by least significant digits. The key is (score downwards, id
-upwards), cut into digits of ``DIGIT`` bits where it varies at all. A pass is a stable counting sort:
+upwards), its parts counted from the smallest and cut into digits of ``DIGIT`` bits. A pass is a stable counting sort:
 blocks of rows count their digits; sums over smaller digits, and over earlier blocks for the
 same digit, say where each block's rows of each digit begin; a row's place is that offset and
 its number among the like rows of its block. Blocks are bounded by ``BLOCK`` rows, so no
@@ -157,17 +157,15 @@ def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     if "place" in rows.columns or {"digit", "block", "like", "offset", "n"} & set(rows.columns):
         raise ValueError("the sort needs its own columns")
     now = cut(rows.withColumn("place", F.monotonically_increasing_id()))
-    # Flipping the sign bit makes the order that of unsigned numbers; bits in which no two rows differ need no pass.
-    spread = now.agg(*[f(k).alias(f"{name}_{k}") for k in keys for name, f in (("all", F.bit_and), ("any", F.bit_or))]).first()
+    ends = now.agg(*[f(k).alias(f"{name}_{k}") for k in keys for name, f in (("low", F.min), ("high", F.max))]).first()
     passes = 0
     for key in reversed(keys):
-        varied = ((spread[f"any_{key}"] or 0) ^ (spread[f"all_{key}"] or 0)) & ((1 << 64) - 1)
-        low = 0
-        while varied >> low:
-            low += ((varied >> low) & -(varied >> low)).bit_length() - 1  # the next bit that varies
-            now = cut(radix_pass(now, f"cast(shiftrightunsigned(`{key}` ^ (-9223372036854775807L - 1L), {low}) & {(1 << DIGIT) - 1} as int)"))
+        low, high = ends[f"low_{key}"] or 0, ends[f"high_{key}"] or 0
+        # Digits are of the distance from the smallest key; where that has no long, flipping the sign bit gives the order of unsigned numbers.
+        number, bits = (f"(`{key}` - ({low}L))", (high - low).bit_length()) if high - low < 1 << 63 else (f"(`{key}` ^ (-9223372036854775807L - 1L))", 64)
+        for shift in range(0, bits, DIGIT):
+            now = cut(radix_pass(now, f"cast(shiftrightunsigned({number}, {shift}) & {(1 << DIGIT) - 1} as int)"))
             passes += 1
-            low += DIGIT
     return now if passes else cut(radix_pass(now, "0"))
 
 
