@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simplark.functions import vectors as V
+from simplark.operators import order as O
+from simplark.sources.shared import cut, small
 
 CENTRAL, NONE, UNASSIGNED = "archetype_0", "no_archetype", "unassigned"
 
@@ -71,17 +73,17 @@ def bins(cells: DataFrame, archetypes: Sequence[Sequence[float]], share: float =
     no_archetype (index and rank -1, distance NaN). Ties go to the smaller cell_id.
     """
     k = len(archetypes)
-    d = cells.select("cell_id", distances_to(F.col("vec"), archetypes).alias("d"))
-    size = int(cells.count() * share)
+    d = cut(cells.select("cell_id", distances_to(F.col("vec"), archetypes).alias("d")))
+    size = int(d.count() * share)
     entries = [F.struct(F.lit(i).alias("archetype_idx"), F.col("d")[i].alias("distance")) for i in range(k)]
     if central:
         entries.append(F.struct(F.lit(-1).alias("archetype_idx"), F.round(V.mean(F.col("d")), 9).alias("distance")))
     long = d.select("cell_id", F.explode(F.array(*entries)).alias("e")).select("cell_id", "e.*")
-    # A threshold for each archetype leaves the window little to sort: only cells up to the bin's edge.
-    edges = long.groupBy("archetype_idx").agg(F.percentile_approx("distance", min(1.0, share * 1.2 + 1e-3), 10_000).alias("edge"))
-    near = long.join(F.broadcast(edges), "archetype_idx").where(F.col("distance") <= F.col("edge")).drop("edge")
-    rank = F.row_number().over(Window.partitionBy("archetype_idx").orderBy("distance", "cell_id"))
-    taken = near.withColumn("rank_in_archetype", rank - 1).where(F.col("rank_in_archetype") < size)
+    # The exact distance of each bin's last cell; only cells up to it are put in order, over all partitions.
+    last = long.select("archetype_idx").distinct().select("archetype_idx", F.lit(size - 1).cast("long").alias("k"))
+    edges = small(O.kth_values(long, ["archetype_idx"], "distance", last).select("archetype_idx", F.col("value").alias("edge")))
+    near = long.join(edges, "archetype_idx").where(F.col("distance") <= F.col("edge")).drop("edge")
+    taken = O.places(near, ["archetype_idx"], ["distance", "cell_id"], "rank_in_archetype").where(F.col("rank_in_archetype") < size).withColumn("rank_in_archetype", F.col("rank_in_archetype").cast("int"))
     label = F.concat(F.lit("archetype_"), (F.col("archetype_idx") + 1).cast("string"))
     many = F.count(F.lit(1)).over(Window.partitionBy("cell_id")) > 1
     taken = taken.select("cell_id", label.alias("archetype_label"), "archetype_idx", "distance", "rank_in_archetype", many.alias("multiple_archetypes"))
@@ -130,7 +132,8 @@ def centroids(cells: DataFrame, condition: str, exclude: Sequence[str] = (NONE,
 def assign_to_centroids(cells: DataFrame, centres: Sequence[tuple[str, Sequence[float]]], share: float = 0.15, exclude: Sequence[str] = (NONE,), label: str | None = None) -> DataFrame:
     """cell_id, assigned: level by level, the max(1, floor(n * share)) nearest cells still free, ties at the edge included.
 
-    Levels are few and their order matters, so each is one pass over the cells that are left.
+    Levels are few and their order matters, so each has its passes over the cells that are left; the distance at the
+    edge is an exact order statistic, and nothing is sorted.
     """
     valid = cells.where(~F.col(label).isin(*exclude)) if label else cells
     size = max(1, int(valid.count() * share))
@@ -138,8 +141,12 @@ def assign_to_centroids(cells: DataFrame, centres: Sequence[tuple[str, Sequence[
     for level, centre in centres:
         d = F.when(F.col("assigned").isNull(), V.distance(F.col("vec"), V.literal(centre)))
         with_d = state.withColumn("d", d)
-        edge = with_d.where("d is not null").select("d").orderBy("d").limit(size).agg(F.max("d").alias("edge"))
-        state = with_d.crossJoin(F.broadcast(edge)).withColumn("assigned", F.when(F.col("d") <= F.col("edge"), F.lit(level)).otherwise(F.col("assigned"))).select("cell_id", "vec", "assigned").checkpoint()  # else each level doubles the plan
+        free = with_d.where("d IS NOT NULL").select("d")
+        last = free.agg((F.least(F.count(F.lit(1)), F.lit(size)) - 1).alias("k"))
+        edge = O.kth_values(free, [], "d", last).first()
+        if edge is None:  # no cell is left
+            break
+        state = cut(with_d.withColumn("assigned", F.when(F.col("d") <= edge.value, F.lit(level)).otherwise(F.col("assigned"))).select("cell_id", "vec", "assigned"))  # else each level doubles the plan
     rest = cells.join(valid.select("cell_id"), "cell_id", "left_anti").select("cell_id", F.lit(UNASSIGNED).alias("assigned")) if label else None
     out = state.select("cell_id", F.coalesce("assigned", F.lit(UNASSIGNED)).alias("assigned"))
     return out.unionByName(rest) if rest is not None else out
@@ -250,10 +257,13 @@ def constraint_report(weights: DataFrame, column: str = "w", tolerance: float =
     w = F.col(column)
     error = F.abs(V.total(w) - 1)
     negative = F.size(F.filter(w, lambda x: x < 0)) / F.size(w)
-    return weights.select(error.alias("e"), negative.alias("neg")).agg(
+    rows = cut(weights.select(error.alias("e"), negative.alias("neg")))
+    middle = O.quantiles(rows, [], "e", [0.5]).agg(F.round(F.max("value"), 6).alias("median_error"))
+    found = rows.agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("e"), 6).alias("mean_error"), F.round(F.max("e"), 6).alias("max_error"), F.round(F.stddev_pop("e"), 6).alias("std_error"),
-        F.round(F.percentile("e", F.lit(0.5)), 6).alias("median_error"), F.round(F.avg("neg"), 6).alias("negative_share"), F.round(F.avg((F.col("e") > tolerance).cast("double")), 6).alias("violation_rate"),
+        F.round(F.avg("neg"), 6).alias("negative_share"), F.round(F.avg((F.col("e") > tolerance).cast("double")), 6).alias("violation_rate"),
     )
+    return found.crossJoin(F.broadcast(middle)).select("n_rows", "mean_error", "max_error", "std_error", "median_error", "negative_share", "violation_rate")  # a row each
 
 
 def r_squared(pairs: DataFrame, x: str = "vec", fitted: str = "fitted") -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simplark.functions import special
 from simplark.functions import vectors as V
 from simplark.operators import archetypes as A
+from simplark.operators import order as O
+from simplark.sources.shared import small
 
 
 def dirichlet(k: int, seed: int) -> Column:
@@ -108,20 +110,21 @@ def gene_space(cells: DataFrame, loadings: Sequence[Sequence[float]], centre: Se
     if sparsity == "none":
         return long
     share = F.avg((F.col("value") == 0).cast("double"))
-    p20 = F.percentile(F.when(F.col("value") > 0, F.col("value")), F.lit(0.2))
     factor = F.when(F.col("zeros") > 0.1, F.least(F.lit(2.0), 3 * F.col("zeros"))).otherwise(0.0) if sparsity == "adaptive_per_gene" else F.lit(1.0)
-    edges = long.groupBy("feature").agg(share.alias("zeros"), p20.alias("p20")).select("feature", (F.coalesce("p20", F.lit(0.0)) * factor).alias("edge"))
-    return long.join(F.broadcast(edges), "feature").select("cell_id", "feature", F.when(F.col("value") < F.col("edge"), 0.0).otherwise(F.col("value")).alias("value"))
+    p20 = O.quantiles(long.where("value > 0"), ["feature"], "value", [0.2]).select("feature", F.col("value").alias("p20"))
+    zeros = long.groupBy("feature").agg(share.alias("zeros"))
+    edges = small(zeros.join(p20, "feature", "left").select("feature", (F.coalesce("p20", F.lit(0.0)) * factor).alias("edge")))
+    return long.join(edges, "feature").select("cell_id", "feature", F.when(F.col("value") < F.col("edge"), 0.0).otherwise(F.col("value")).alias("value"))
 
 
 def ks_two_sample(values: DataFrame) -> DataFrame:
     """feature, statistic, pvalue, n1, n2 of values (feature, value, generated boolean), from counts of distinct values."""
     one, two = F.count_if(F.col("generated")), F.count_if(~F.col("generated"))
     c = values.groupBy("feature", "value").agg(one.alias("a"), two.alias("b"))
-    w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy("feature")
-    f = c.withColumns({"fa": F.sum("a").over(w) / F.sum("a").over(all_), "fb": F.sum("b").over(w) / F.sum("b").over(all_)})
-    t = f.groupBy("feature").agg(F.max(F.abs(F.col("fa") - F.col("fb"))).alias("statistic"), F.sum("a").alias("n1"), F.sum("b").alias("n2")).where("n1 > 0 AND n2 > 0")
+    totals = O.running_totals(c, ["feature"], ["value"], ["a", "b"])
+    sizes = totals.groupBy("feature").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2")).where("n1 > 0 AND n2 > 0")
+    gap = F.abs((F.col("a_before") + F.col("a")) / F.col("n1") - (F.col("b_before") + F.col("b")) / F.col("n2"))
+    t = totals.join(sizes, "feature").groupBy("feature", "n1", "n2").agg(F.max(gap).alias("statistic")).select("feature", "statistic", "n1", "n2")
     return t.withColumn("pvalue", F.expr(special.kolmogorov_sql("statistic", "n1", "n2")))
 
 

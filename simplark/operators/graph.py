@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from simplark.functions import special
 from simplark.functions import vectors as V
+from simplark.operators import order as O
 from simplark.operators.archetypes import CENTRAL
+from simplark.sources.shared import cut, small
 
 #: Points of a block: at least, at most; between them a fiftieth of all.
 BLOCK_ROWS = (1_000, 20_000)
@@ -193,8 +195,9 @@ def high_purity(weights: DataFrame, labels: DataFrame, threshold: float = 0.8, e
     rows = labels.where(F.col("archetype").startswith("archetype_")).join(weights, "cell_id").withColumn("i", number)
     rows = rows.where("i > 0") if exclude_zero else rows
     own = rows.withColumn("own", F.when(F.col("i") > 0, F.get("w", F.col("i") - 1)).otherwise(F.array_max("w")))
-    edge = own.groupBy("archetype").agg(F.percentile("own", F.lit(threshold)).alias("edge"))  # a handful of rows
-    return own.join(F.broadcast(edge), "archetype").where(F.col("own") >= F.col("edge")).select("cell_id", "archetype")
+    own = cut(own.select("cell_id", "archetype", "own"))
+    edge = small(O.quantiles(own, ["archetype"], "own", [threshold]).select("archetype", F.col("value").alias("edge")))
+    return own.join(edge, "archetype").where(F.col("own") >= F.col("edge")).select("cell_id", "archetype")
 
 
 def transition_matrix(edges: DataFrame) -> DataFrame:
@@ -330,14 +333,12 @@ def single_trajectory(cells: DataFrame, labels: DataFrame, weights: DataFrame, f
 
 def midranks(values: DataFrame, by: Sequence[str] = ("feature",), value: str = "value", name: str = "rank") -> DataFrame:
     """The rows with the midrank of their value within ``by``."""
-    w = Window.partitionBy(*by).orderBy(value)
-    same = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return values.withColumn(name, F.rank().over(w) + (same - 1) / 2)
+    return O.midranks(values, list(by), value, name)
 
 
 def spearman(values: DataFrame, target: DataFrame, min_n: int = 3) -> DataFrame:
     """feature, correlation, n, pvalue of each feature of (cell_id, feature, value) with target (cell_id, y)."""
-    rows = values.join(target, "cell_id")
+    rows = cut(values.join(target, "cell_id"))
     ranked = midranks(midranks(rows, ("feature",), "value", "rx"), ("feature",), "y", "ry")
     out = ranked.groupBy("feature").agg(F.corr("rx", "ry").alias("correlation"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_n)
 

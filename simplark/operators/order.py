@@ -46,15 +46,22 @@ def kth_values(values: DataFrame, by: Sequence[str], column: str, wanted: DataFr
     x = F.col(column).cast("double")
     rows = cut(values.select(*by, x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x")))
     names = [*by, "k"]
-    sizes = small(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("size"), F.min("x").alias("lo"), F.max("x").alias("hi")))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("size"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     asked = wanted.select(*by, F.col("k").cast("long").alias("k")).distinct().alias("w").join(sizes.alias("s"), same("w", "s", by))
     # lo0 and hi0: the widest the range may be, in which the value surely is.
     ends = {"lo": F.col("s.lo"), "hi": F.col("s.hi"), "lo0": F.col("s.lo"), "hi0": F.col("s.hi")}
-    state = cut(asked.where("k >= 0 AND k < size").select(*[F.col(f"w.{c}").alias(c) for c in names], *[v.alias(c) for c, v in ends.items()]))
-    done = None
+    asked = cut(asked.where("k >= 0 AND k < size").select(*[F.col(f"w.{c}").alias(c) for c in names], "size", *[v.alias(c) for c, v in ends.items()]))
+
+    def gathered(met: DataFrame, before: str) -> DataFrame:
+        """The wanted values among few, which are sorted in place; ``before`` is how many come before those."""
+        of = met.groupBy(*[F.col(f"s.{c}").alias(c) for c in names], before).agg(F.sort_array(F.collect_list("x")).alias("values"))
+        return of.select(*names, F.get("values", (F.col("k") - F.col(before)).cast("int")).alias("value"))
+
+    few = asked.where(F.col("size") <= GATHERED).withColumn("none", F.lit(0).cast("long"))
+    done = gathered(rows.alias("r").join(few.alias("s"), same("r", "s", by)), "none")
+    state = asked.where(F.col("size") > GATHERED).drop("size")
     for _ in range(rounds):
-        found = state.where("lo = hi").select(*names, F.col("lo").alias("value"))
-        done = found if done is None else done.unionByName(found)
+        done = done.unionByName(state.where("lo = hi").select(*names, F.col("lo").alias("value")))
         state = state.where("lo < hi")
         n = state.count()
         if not n:
@@ -72,9 +79,9 @@ def kth_values(values: DataFrame, by: Sequence[str], column: str, wanted: DataFr
         done = done.unionByName(counts.where((k >= F.col("below")) & (k < F.col("upto"))).select(*names, lo.alias("value")))
         done = done.unionByName(counts.where((k >= after) & (k < F.col("all"))).select(*names, hi.alias("value")))
         between = (k >= F.col("upto")) & (k < after)
-        last = small(counts.where(between & (F.col("n") <= GATHERED)).drop("split"))
-        got = rows.alias("r").join(last.alias("s"), same("r", "s", by)).where("x > lo AND x < hi").groupBy(*[F.col(f"s.{c}").alias(c) for c in names], "upto").agg(F.sort_array(F.collect_list("x")).alias("values"))
-        done = done.unionByName(got.select(*names, F.get("values", (k - F.col("upto")).cast("int")).alias("value")))
+        last = counts.where(between & (F.col("n") <= GATHERED)).drop("split")
+        last = F.broadcast(last) if n <= BROADCAST_ROWS else last
+        done = done.unionByName(gathered(rows.alias("r").join(last.alias("s"), same("r", "s", by)).where("x > lo AND x < hi"), "upto"))
         at = F.floor((k - F.col("upto")) * SPLITTERS / F.col("n")).cast("int")
         lower, upper = F.get("split", F.greatest(at - 1, F.lit(0))), F.get("split", F.least(at + 2, F.lit(SPLITTERS)))
         # Between the ends: the range becomes the widest, its splitters the next. A miss goes to the side where the value is.

@@ -6,12 +6,21 @@ import re
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from simplark.operators import order as O
 from simplark.operators import stats as S
 from simplark.operators.archetypes import CENTRAL, NONE
+from simplark.sources.shared import cut
 
+#: What the values of a feature add up to for a pattern: sums and squares of both sides, U, ties, values other than zero; largest, smallest positive value.
+PARTS = ("s1", "s2", "q1", "q2", "u", "ties", "z1", "z2", "top", "low_value")
+#: Rows that are worked on at a time.
+STRETCH = 4096
 PATTERN_SCHEMA = "pattern_name string, pattern_code string, pattern_type string, complexity int, high array<string>, low array<string>"
 
 
@@ -72,37 +81,69 @@ def pattern_table(spark: SparkSession, patterns: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, PATTERN_SCHEMA)
 
 
+def folded(high: np.ndarray, low: np.ndarray):
+    """For batches of (feature, value, n of each set of bins, the same before): what each pattern adds up over the rows of a feature.
+
+    ``high`` and ``low`` have a row for each set and a column for each pattern: one where the set is on that side.
+    """
+    sets, patterns = high.shape
+
+    def run(batches):
+        for batch in (b.slice(i, STRETCH) for b in batches for i in range(0, b.num_rows, STRETCH)):
+            feature = batch.column(0)
+            x = batch.column(1).to_numpy(zero_copy_only=False)[:, None]
+            n, before = (np.stack([batch.column(2 + at + j).to_numpy(zero_copy_only=False).astype(float) for j in range(sets)], axis=1) for at in (0, sets))
+            a, b, below = n @ high, n @ low, before @ low
+            c, there = a + b, x != 0
+            starts = np.flatnonzero(np.concatenate(([True], pc.not_equal(feature.slice(1), feature.slice(0, len(feature) - 1)).to_numpy(zero_copy_only=False))))
+            total = lambda v: np.add.reduceat(v, starts).ravel()
+            made = [total(v) for v in (a * x, b * x, a * x * x, b * x * x, a * (below + b / 2), c * c * c - c, a * there, b * there)]
+            made.append(np.maximum.reduceat(np.where(c > 0, x, -np.inf), starts).ravel())
+            made.append(np.minimum.reduceat(np.where((c > 0) & (x > 0), x, np.inf), starts).ravel())
+            names = feature.take(pa.array(np.repeat(starts, patterns)))
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.tile(np.arange(patterns, dtype=np.int32), len(starts))), *(pa.array(v) for v in made)], names=["feature", "pattern", *PARTS])
+
+    return run
+
+
 def pattern_associations(values: DataFrame, binned: DataFrame, patterns: DataFrame, min_cells: int = 10, min_effect: float = 0.01, raw: bool = False, min_nonzero: float = 0.05) -> DataFrame:
     """Rank-sum tests of the union of a pattern's high bins with that of its low bins, for every feature.
 
-    ``binned`` has a row for each (cell_id, archetype) membership. The patterns (a few dozen rows)
-    are broadcast. Cells are counted first by the set of bins that they are in (a mask), feature and
-    distinct value; patterns are made of those counts, so their number doesn't multiply the values.
+    ``binned`` has a row for each (cell_id, archetype) membership. Cells are counted by the set of bins
+    that they are in, feature and distinct value, with a column for each set; sums along the values
+    turn that into cumulative counts (``order.running_totals``). All patterns are worked out from those
+    in one pass as products with two small matrices, so a row is made for a feature and a pattern, never
+    for a value and a pattern. Patterns and the sets that occur are few and known to the driver.
     log_fold_change is that of ``stats.fold_change`` where ``raw``, else the difference of means. Features
     with less than ``min_nonzero`` of values other than zero on both sides have statistic 0 and p 1.
     """
-    sets = binned.groupBy("cell_id").agg(F.sort_array(F.collect_set("archetype")).alias("bins"))
-    by_set = values.where("value <> 0").join(sets, "cell_id").groupBy("bins", "feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    # Which side of each pattern a set of bins is on: sets that occur times patterns, both few.
-    kinds = sets.groupBy("bins").agg(F.count(F.lit(1)).alias("cells"))
-    side = F.when(F.arrays_overlap("bins", "high"), 1).when(F.arrays_overlap("bins", "low"), 0)
-    sided = kinds.crossJoin(F.broadcast(patterns.select("pattern_name", "high", "low"))).select("bins", "cells", "pattern_name", side.alias("side")).where("side IS NOT NULL")
-    counts = by_set.join(sided, "bins").groupBy("pattern_name", "feature", "value", "side").agg(F.sum("n").alias("n"))
-    sizes = sided.groupBy("pattern_name").agg(F.sum(F.col("cells") * F.col("side")).alias("n1"), F.sum(F.col("cells") * (1 - F.col("side"))).alias("n2")).where((F.col("n1") >= min_cells) & (F.col("n2") >= min_cells))
-    per_value = counts.groupBy("pattern_name", "feature", "value").agg(F.sum(F.col("n") * F.col("side")).alias("c1"), F.sum(F.col("n") * (1 - F.col("side"))).alias("c2"))
-    nnz = per_value.groupBy("pattern_name", "feature").agg(F.sum("c1").alias("z1"), F.sum("c2").alias("z2")).join(F.broadcast(sizes), "pattern_name")
-    zeros = nnz.select("pattern_name", "feature", F.lit(0.0).alias("value"), (F.col("n1") - F.col("z1")).alias("c1"), (F.col("n2") - F.col("z2")).alias("c2"))
-    whole = per_value.join(F.broadcast(sizes.select("pattern_name")), "pattern_name").unionByName(zeros).withColumn("c", F.col("c1") + F.col("c2")).where("c > 0")
-    w = Window.partitionBy("pattern_name", "feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = whole.withColumn("midrank", F.coalesce(F.sum("c").over(w), F.lit(0)) + (F.col("c") + 1) / 2)
-    x = F.col("value")
-    t = ranked.groupBy("pattern_name", "feature").agg(
-        F.sum("c1").cast("double").alias("n1"), F.sum("c2").cast("double").alias("n2"), F.sum(x * F.col("c1")).alias("s1"), F.sum(x * F.col("c2")).alias("s2"), F.sum(x * x * F.col("c1")).alias("q1"),
-        F.sum(x * x * F.col("c2")).alias("q2"), F.sum(F.col("midrank") * F.col("c1")).alias("r1"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"),
-        F.sum(F.when(x != 0, F.col("c1")).otherwise(0)).alias("z1"), F.sum(F.when(x != 0, F.col("c2")).otherwise(0)).alias("z2"), F.max("value").alias("top"), F.min(F.when(x > 0, x)).alias("low_value"),
-    )
+    spark = values.sparkSession
+    sets = cut(binned.groupBy("cell_id").agg(F.sort_array(F.collect_set("archetype")).alias("bins")))
+    kinds = [(list(r.bins), r.n) for r in sets.groupBy("bins").agg(F.count(F.lit(1)).alias("n")).orderBy("bins").collect()]
+    wanted = patterns.select("pattern_name", "high", "low").orderBy("pattern_name").collect()
+    high = np.array([[float(bool(set(bins) & set(p.high))) for p in wanted] for bins, _ in kinds]).reshape(len(kinds), len(wanted))
+    low = np.array([[float(bool(set(bins) & set(p.low))) for p in wanted] for bins, _ in kinds]).reshape(len(kinds), len(wanted)) * (1 - high)
+    cells = np.array([n for _, n in kinds], float)
+    large = np.flatnonzero((cells @ high >= min_cells) & (cells @ low >= min_cells))
+    used = np.flatnonzero((high[:, large] + low[:, large]).any(1)) if len(large) else large
+    info = patterns.select("pattern_name", "pattern_code", "pattern_type", "complexity", F.array_join("high", ",").alias("high_archetypes"), F.array_join("low", ",").alias("low_archetypes"))
+    places = [int(s) for s in used]
+    numbered = spark.createDataFrame([(kinds[s][0], j, kinds[s][1]) for j, s in enumerate(places)], "bins array<string>, kind int, cells long")
+    known = sets.join(F.broadcast(numbered.select("bins", "kind")), "bins").select("cell_id", "kind")
+    seen = cut(values.where("value <> 0").join(known, "cell_id").groupBy("feature", "value", "kind").agg(F.count(F.lit(1)).alias("n")))
+    filled = seen.groupBy("feature", "kind").agg(F.sum("n").alias("nnz"))
+    grid = filled.select("feature").distinct().crossJoin(F.broadcast(numbered.select("kind", "cells")))
+    zeros = grid.join(filled, ["feature", "kind"], "left").select("feature", F.lit(0.0).alias("value"), "kind", (F.col("cells") - F.coalesce("nnz", F.lit(0))).alias("n")).where("n > 0")
+    names = [f"n{j}" for j in range(len(places))]
+    wide = seen.unionByName(zeros).groupBy(F.col("feature").cast("string").alias("feature"), F.col("value").cast("double").alias("value")).agg(*[F.sum(F.when(F.col("kind") == j, F.col("n")).otherwise(0)).alias(c) for j, c in enumerate(names)])
+    totals = O.running_totals(wide, ["feature"], ["value"], names)
+    columns = totals.select("feature", "value", *names, *[f"{c}_before" for c in names])
+    parts = columns.mapInArrow(folded(high[np.ix_(used, large)], low[np.ix_(used, large)]), "feature string, pattern int, " + ", ".join(f"{c} double" for c in PARTS)) if names else spark.createDataFrame([], "feature string, pattern int, " + ", ".join(f"{c} double" for c in PARTS))
+    sums = parts.groupBy("feature", "pattern").agg(*[F.sum(c).alias(c) for c in PARTS[:-2]], F.max("top").alias("top"), F.min("low_value").alias("low_value"))
+    sizes = spark.createDataFrame([(i, wanted[p].pattern_name, float(cells @ high[:, p]), float(cells @ low[:, p])) for i, p in enumerate(large.tolist())], "pattern int, pattern_name string, n1 double, n2 double")
+    t = sums.join(F.broadcast(sizes), "pattern").withColumn("low_value", F.when(F.col("low_value") < float("inf"), F.col("low_value")))
     n1, n2 = F.col("n1"), F.col("n2")
-    t = t.withColumns({"m1": F.col("s1") / n1, "m2": F.col("s2") / n2, "u": F.col("r1") - n1 * (n1 + 1) / 2})
+    t = t.withColumns({"m1": F.col("s1") / n1, "m2": F.col("s2") / n2})
     t = t.where((F.col("q1") / n1 - F.col("m1") ** 2 > 1e-12) | (F.col("q2") / n2 - F.col("m2") ** 2 > 1e-12))
     n = n1 + n2
     t = t.withColumn("sd", F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))))
@@ -115,7 +156,6 @@ def pattern_associations(values: DataFrame, binned: DataFrame, patterns: DataFra
         "feature", "pattern_name", n1.cast("long").alias("n_high_cells"), n2.cast("long").alias("n_low_cells"), (F.round("m1", 6) + 0.0).alias("mean_high"), (F.round("m2", 6) + 0.0).alias("mean_low"),
         effect.alias("mean_diff"), (F.round(S.fold_change("m1", "m2", F.col("top"), F.col("low_value"), raw), 6) + 0.0).alias("log_fold_change"), F.col("u").alias("statistic"), "z", "pvalue", F.when(F.col("m1") > F.col("m2"), "higher").otherwise("lower").alias("direction"), (F.abs(effect) >= min_effect).alias("passes_lfc_threshold"),
     )
-    info = patterns.select("pattern_name", "pattern_code", "pattern_type", "complexity", F.array_join("high", ",").alias("high_archetypes"), F.array_join("low", ",").alias("low_archetypes"))
     return S.fdr(tests.join(F.broadcast(info), "pattern_name"), keys=("feature", "pattern_name"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from simplark.operators import order as O
+
 #: Metrics of which less is better.
 LOWER_IS_BETTER = frozenset({"rmse", "val_rmse", "train_archetypal_loss", "convergence_epoch"})
 #: Other names of the fold metrics.
@@ -155,20 +157,12 @@ def long_metrics(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def order_by_fate(fates: DataFrame, lineage: str) -> DataFrame:
-    """cell_id, prob, place: cells by their fate, smallest first, ties to the smaller id; places count on over range partitions, so no task sorts all."""
-    own = fates.where(F.col("lineage") == lineage).select("cell_id", "prob")
-    dealt = own.repartitionByRange("prob", "cell_id").withColumn("part", F.spark_partition_id()).persist()
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row for each partition
-    place = F.row_number().over(Window.partitionBy("part").orderBy("prob", "cell_id"))
-    return dealt.withColumn("r", place).join(F.broadcast(starts.drop("n")), "part").select("cell_id", "prob", (F.col("start") + F.col("r") - 1).alias("place"))
+    """cell_id, prob, place: cells by their fate, smallest first, ties to the smaller id."""
+    return O.places(fates.where(F.col("lineage") == lineage).select("cell_id", "prob"), [], ["prob", "cell_id"])
 
 
 def axis_ranges(points: DataFrame, columns: Sequence[str], pad: float = 0.75) -> DataFrame:
     """axis, low, high: the 1st and 99th percentile, widened by ``pad`` times their distance."""
-    out = None
-    for c in columns:
-        lo, hi = F.percentile(c, F.lit(0.01)), F.percentile(c, F.lit(0.99))
-        one = points.agg(lo.alias("lo"), hi.alias("hi")).select(F.lit(c).alias("axis"), (F.col("lo") - pad * (F.col("hi") - F.col("lo"))).alias("low"), (F.col("hi") + pad * (F.col("hi") - F.col("lo"))).alias("high"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    long = points.select(F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("e.*")
+    ends = O.quantiles(long, ["axis"], "x", [0.01, 0.99]).groupBy("axis").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return ends.select("axis", (F.col("lo") - pad * (F.col("hi") - F.col("lo"))).alias("low"), (F.col("hi") + pad * (F.col("hi") - F.col("lo"))).alias("high"))

@@ -1,8 +1,9 @@
 """Rank-sum tests, false-discovery control and enrichment over long tables.
 
 Values are long rows (cell_id, feature, value), labels are (cell_id, archetype); values that are
-missing for a cell are zero. Ranks come from counts of distinct values by label, so the windows
-sort distinct values and never cells.
+missing for a cell are zero. Ranks come from counts of distinct values by label, added up along the
+values over range partitions (``order.running_totals``): with continuous scores there are as many
+distinct values as cells, and no task sorts those of a whole feature.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simplark.functions import special
+from simplark.operators import order as O
 from simplark.operators.archetypes import CENTRAL, NONE
+from simplark.sources.shared import cut, small
 
 
 def value_counts(values: DataFrame, labels: DataFrame, labelled_only: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -21,12 +24,12 @@ def value_counts(values: DataFrame, labels: DataFrame, labelled_only: bool = Fal
     """
     if labelled_only:
         labels = labels.where(~F.col("archetype").isin(CENTRAL, NONE))
-    sizes = labels.groupBy("archetype").agg(F.count(F.lit(1)).alias("n_cells"))
-    seen = values.where("value <> 0").join(labels, "cell_id").groupBy("feature", "value", "archetype").agg(F.count(F.lit(1)).alias("n"))
+    sizes = small(labels.groupBy("archetype").agg(F.count(F.lit(1)).alias("n_cells")))
+    seen = cut(values.where("value <> 0").join(labels, "cell_id").groupBy("feature", "value", "archetype").agg(F.count(F.lit(1)).alias("n")))
     filled = seen.groupBy("feature", "archetype").agg(F.sum("n").alias("nnz"))
-    grid = seen.select("feature").distinct().join(F.broadcast(sizes))  # features x labels, both small beside the values
+    grid = filled.select("feature").distinct().crossJoin(sizes)  # features x labels, both small beside the values
     zeros = grid.join(filled, ["feature", "archetype"], "left").select("feature", F.lit(0.0).alias("value"), "archetype", (F.col("n_cells") - F.coalesce("nnz", F.lit(0))).alias("n")).where("n > 0")
-    return seen.unionByName(zeros), sizes
+    return cut(seen.unionByName(zeros)), sizes
 
 
 def rank_sums(
@@ -38,13 +41,11 @@ def rank_sums(
     the other bins. ``effect``: 'gene' takes the log fold change (log2 ratio of raw data, see
     ``fold_change``), 'pathway' the difference of means. A feature without variance in both groups
     is left out; one with less than ``min_nonzero`` of values other than zero in both has statistic 0 and p 1.
-    The counts, whose plan all later parts share, are a table of features x distinct values x labels.
+    The counts, a table of features x distinct values x labels, are made once.
     """
     counts, sizes = value_counts(values, labels, comparison == "archetypes_only")
-    w = Window.partitionBy("feature").orderBy("value")
-    pooled = counts.groupBy("feature", "value").agg(F.sum("n").alias("c"))
-    before = F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = pooled.withColumn("midrank", before + (F.col("c") + 1) / 2)
+    pooled = O.running_totals(counts.groupBy("feature", "value").agg(F.sum("n").alias("c")), ["feature"], ["value"], ["c"])
+    ranked = pooled.withColumn("midrank", F.col("c_before") + (F.col("c") + 1) / 2)
     x, n = F.col("value"), F.col("n")
     whole = pooled.groupBy("feature").agg(
         F.sum("c").alias("n_all"), F.sum(x * F.col("c")).alias("s_all"), F.sum(x * x * F.col("c")).alias("q_all"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"),
@@ -53,7 +54,7 @@ def rank_sums(
     own = counts.join(ranked.select("feature", "value", "midrank"), ["feature", "value"]).groupBy("feature", "archetype").agg(
         F.sum("n").alias("n1"), F.sum(x * n).alias("s1"), F.sum(x * x * n).alias("q1"), F.sum(F.col("midrank") * n).alias("r1"), F.sum(F.when(x != 0, n).otherwise(0)).alias("nz1")
     )
-    tests = own.join(F.broadcast(sizes), "archetype").where((F.col("n_cells") >= min_cells) & (F.col("archetype") != NONE)).join(whole, "feature")
+    tests = own.join(sizes, "archetype").where((F.col("n_cells") >= min_cells) & (F.col("archetype") != NONE)).join(whole, "feature")
     n1, n2 = F.col("n1").cast("double"), (F.col("n_all") - F.col("n1")).cast("double")
     tests = tests.withColumns({"n2": n2, "m1": F.col("s1") / n1, "m2": (F.col("s_all") - F.col("s1")) / n2})
     tests = tests.withColumns({"v1": F.col("q1") / n1 - F.col("m1") ** 2, "v2": (F.col("q_all") - F.col("q1")) / F.col("n2") - F.col("m2") ** 2}).where((F.col("n2") > 0) & ((F.col("v1") > 1e-12) | (F.col("v2") > 1e-12)))

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from simplark.functions import vectors as V
 from simplark.operators import generate as N
+from simplark.operators import order as O
 from simplark.operators.archetypes import distances_to
 from simplark.operators.graph import midranks
+from simplark.sources.shared import cut
 
 #: Rows of a block of either side in the nearest-neighbour join.
 BLOCK_ROWS = 10_000
@@ -52,7 +54,7 @@ def nearest_real(made: DataFrame, real: DataFrame, share: float = 0.01) -> DataF
 def similarity_summary(pairs: DataFrame) -> DataFrame:
     """One row: n, mean, median and population std of the cosines of ``nearest_real``; vectors of length zero have none."""
     c = pairs.where(~F.isnan("cosine"))
-    return c.agg(F.count(F.lit(1)).alias("n"), F.avg("cosine").alias("mean"), F.percentile("cosine", F.lit(0.5)).alias("median"), F.stddev_pop("cosine").alias("std"))
+    return summarised(c, "cosine", ["n", "mean", "median", "std"])
 
 
 def component_moments(real: DataFrame, made: DataFrame) -> DataFrame:
@@ -110,9 +112,15 @@ def sample_pair_correlations(real: DataFrame, made: DataFrame, generated: int =
 def correlation_summary(tests: DataFrame, column: str = "pearson") -> DataFrame:
     """One row: n, mean, median, population std, smallest and largest of a correlation that isn't null."""
     c = tests.where(F.col(column).isNotNull() & ~F.isnan(column))
-    return c.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("median"), F.stddev_pop(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")
-    )
+    return summarised(c, column, ["n", "mean", "median", "std", "min", "max"])
+
+
+def summarised(rows: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
+    """One row with the named summaries of a column; the median is exact and null without rows."""
+    rows = cut(rows.select(column))
+    moments = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    middle = O.quantiles(rows, [], column, [0.5]).agg(F.max("value").alias("median"))
+    return moments.crossJoin(F.broadcast(middle)).select(*names)  # a row each
 
 
 def generation_metrics(passed: DataFrame, x: str = "vec", fitted: str = "fitted", w: str = "w") -> DataFrame:

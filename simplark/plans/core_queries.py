@@ -122,6 +122,13 @@ def t3_pathway_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p_rounded(S.pathway_associations(I.dims(spark, sf_dir), I.assigned(spark, sf_dir)))
 
 
+def t3_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components as they are: nearly as many distinct values as cells."""
+    long = I.cells(spark, sf_dir).select("cell_id", F.posexplode("vec").alias("pos", "value"))
+    values = long.select("cell_id", F.concat(F.lit("d"), F.lpad(F.col("pos").cast("string"), 2, "0")).alias("feature"), "value")
+    return p_rounded(S.pathway_associations(values, I.assigned(spark, sf_dir)))
+
+
 def t3_both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each side of each test of the brands' counts, most of which are zero."""
     t = p_rounded(S.pathway_associations(I.counts(spark, sf_dir), I.segments(spark, sf_dir), direction="both"))
@@ -152,10 +159,22 @@ def g9_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p1_truncate, p20_softmax, a2_distances, a3_bins, a3_labels, a5_centroids, a5_group_centroids, a6_assign_to_centroids, a8_weight_table, a10_positions, a12_pair_distances, a15_furthest, a16_inflate,
-    a24_r2, a27_constraints, a28_weight_statistics, p2_select_cells, t2_gene_associations, t2_per_archetype, t3_pathway_associations, t3_both_sides, t4_enrichment, t6_bonferroni, g1_group_moments, g9_pivot,
+    a24_r2, a27_constraints, a28_weight_statistics, p2_select_cells, t2_gene_associations, t2_per_archetype, t3_pathway_associations, t3_continuous, t3_both_sides, t4_enrichment, t6_bonferroni, g1_group_moments, g9_pivot,
 )}
 
 A_SQL, B_SQL = I.archetypes_sql(), I.bins_sql()
+LEVELS = 10  # labels of the embeddings
+
+
+def levels_sql() -> str:
+    """CTEs s0 ... (cell_id, vec, assigned): level by level, with the rank of the free cells' distances."""
+    parts = ["ctr AS (SELECT level, list(m ORDER BY i) AS c, row_number() OVER (ORDER BY level) - 1 AS k FROM (SELECT label AS level, i, round(avg(vec[i]), 6) AS m FROM cells, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1)", "s0 AS (SELECT cell_id, vec, CAST(NULL AS VARCHAR) AS assigned FROM cells)"]
+    for k in range(LEVELS):
+        parts.append(f"""s{k + 1} AS (SELECT cell_id, vec, CASE WHEN assigned IS NULL AND r <= (SELECT greatest(1, CAST(floor(count(*) * 0.15) AS BIGINT)) FROM cells) THEN level ELSE assigned END AS assigned
+            FROM (SELECT *, rank() OVER (PARTITION BY assigned IS NULL ORDER BY d) AS r FROM (SELECT s.*, level, round(list_distance(vec, c), 9) AS d FROM s{k} s, ctr WHERE k = {k})))""")
+    return ", ".join(parts)
+
+
 D6 = ", ".join(f"round(max(CASE WHEN archetype_idx = {i} THEN distance END), 6) AS archetype_{i}_distance" for i in range(I.K))
 TEST_COLUMNS = "feature, archetype, n_archetype_cells, n_other_cells, mean_archetype, mean_other, {effect}, statistic, z, round(pvalue, 6) AS pvalue, direction, round(fdr_pvalue, 6) AS fdr_pvalue, fdr_pvalue < 0.05 AS significant"
 LF = "lgamma({} + 1)"
@@ -171,6 +190,7 @@ ORACLE_SQL = {
     "a5_centroids": f"WITH {I.CELLS} SELECT label AS level, count(*) AS n_cells, round(avg(vec[1]), 6) AS x0, round(avg(vec[2]), 6) AS x1, round(avg(vec[64]), 6) AS x63 FROM cells GROUP BY label",
     "a5_group_centroids": f"""WITH {B_SQL} SELECT archetype AS "group", label AS level, count(*) AS n_cells, round(avg(vec[1]), 6) AS x0 FROM cells JOIN assigned USING (cell_id)
         WHERE archetype NOT IN ('no_archetype', 'archetype_0') GROUP BY 1, 2""",
+    "a6_assign_to_centroids": f"WITH {I.CELLS}, {levels_sql()} SELECT cell_id, coalesce(assigned, 'unassigned') AS assigned FROM s{LEVELS}",
     "a10_positions": f"""WITH {A_SQL}, e AS (SELECT archetype_idx, unnest(y) AS x FROM arch) SELECT CAST(archetype_idx AS INT) AS archetype_idx, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS min,
         round(max(x), 6) AS max, round(max(x) - min(x), 6) AS range FROM e GROUP BY 1""",
     "a12_pair_distances": f"WITH {A_SQL} SELECT CAST(a.archetype_idx AS INT) AS i, CAST(b.archetype_idx AS INT) AS j, round(list_distance(a.y, b.y), 6) AS distance FROM arch a JOIN arch b ON a.archetype_idx < b.archetype_idx",
@@ -190,6 +210,8 @@ ORACLE_SQL = {
     "t2_gene_associations": f"WITH {I.COUNTS}, {I.ranksum_sql('counts', 'segments', 'log_fold_change')}, kept AS (SELECT * FROM tests WHERE abs(log_fold_change) >= 0.01), {I.bh_sql('kept')} SELECT {TEST_COLUMNS.format(effect='log_fold_change')} FROM fdr",
     "t2_per_archetype": f"""WITH {B_SQL}, {I.DIMS}, {I.ranksum_sql('dims', 'assigned', 'log_fold_change', where="archetype NOT IN ('archetype_0', 'no_archetype')")}, {I.bh_sql('tests', scope='archetype')} SELECT {TEST_COLUMNS.format(effect='log_fold_change')} FROM fdr""",
     "t3_pathway_associations": f"WITH {B_SQL}, {I.DIMS}, {I.ranksum_sql('dims', 'assigned', 'mean_diff')}, kept AS (SELECT * FROM tests WHERE abs(mean_diff) >= 0.01), {I.bh_sql('kept')} SELECT {TEST_COLUMNS.format(effect='mean_diff')} FROM fdr",
+    "t3_continuous": f"""WITH {B_SQL}, dims AS (SELECT cell_id, 'd' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') AS feature, vec[i] AS value FROM cells, range(1, 65) t(i)),
+        {I.ranksum_sql('dims', 'assigned', 'mean_diff')}, kept AS (SELECT * FROM tests WHERE abs(mean_diff) >= 0.01), {I.bh_sql('kept')} SELECT {TEST_COLUMNS.format(effect='mean_diff')} FROM fdr""",
     "t3_both_sides": f"""WITH {I.COUNTS}, {I.ranksum_sql('counts', 'segments', 'mean_diff')}, signed AS (SELECT *, CASE WHEN statistic >= n_archetype_cells * n_other_cells / 2 THEN z ELSE -z END AS s FROM tests),
         sides AS (SELECT * REPLACE ('higher' AS direction, {special.upper_sql('s')} AS pvalue), 'greater' AS test_direction FROM signed UNION ALL SELECT * REPLACE ('lower' AS direction, {special.upper_sql('(-s)')} AS pvalue), 'less' FROM signed),
         {I.bh_sql('sides', keys='feature, archetype, test_direction')} SELECT feature, archetype, test_direction, direction, mean_diff, statistic, round(pvalue, 6) AS pvalue, round(fdr_pvalue, 6) AS fdr_pvalue, fdr_pvalue < 0.05 AS significant FROM fdr""",

@@ -24,12 +24,17 @@ def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pattern_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.pattern_associations(I.dims(spark, sf_dir), memberships(spark, sf_dir), P.pattern_table(spark, P.enumerate_patterns(NAMES, max_size=1)))
+    return P.pattern_associations(I.dims(spark, sf_dir), memberships(spark, sf_dir), P.pattern_table(spark, P.enumerate_patterns(NAMES)))
 
 
 def t7_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = P.pattern_table(spark, P.enumerate_patterns(NAMES, max_size=1))
-    return t.select("pattern_code", "pattern_type", "complexity", P.code_complexity(F.col("pattern_code")).alias("digits"), P.reversed_code(F.col("pattern_code")).alias("reversed"))
+    """The patterns of the bins that the cells are in, with the cells on either side."""
+    members = memberships(spark, sf_dir).checkpoint()
+    names = [r.archetype for r in members.select("archetype").distinct().orderBy("archetype").collect()]  # a label each
+    t = P.pattern_table(spark, P.enumerate_patterns(names))
+    side = lambda c: t.select("pattern_code", F.explode(c).alias("archetype")).join(members, "archetype").groupBy("pattern_code").agg(F.count_distinct("cell_id").alias(f"n_{c}_cells"))
+    t = t.join(side("high"), "pattern_code").join(side("low"), "pattern_code")
+    return t.select("pattern_code", "pattern_type", "complexity", P.code_complexity(F.col("pattern_code")).alias("digits"), P.reversed_code(F.col("pattern_code")).alias("reversed"), "n_high_cells", "n_low_cells")
 
 
 def t8_pattern_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,22 +270,26 @@ QUERIES = {f.__name__: f for f in (
 
 KNN = f"""d AS (SELECT a.cell_id AS src, b.cell_id AS dst, round(list_distance(a.vec, b.vec), 9) AS d FROM cells a JOIN cells b ON a.cell_id <> b.cell_id),
     edges AS (SELECT src, dst, 1.0::DOUBLE AS w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS r FROM d) WHERE r <= {NEIGHBOURS})"""
-PAIRS = """pat AS (SELECT 'archetype_' || i AS hi, 'archetype_' || j AS lo, concat_ws('_', {hi}, {lo}) AS pattern_code, CASE WHEN j = 0 THEN 'specialization' ELSE 'tradeoff' END AS pattern_type
-    FROM range(0, 5) a(i), range(0, 5) b(j) WHERE i <> j AND i > 0)""".format(
-    hi="(SELECT string_agg(CASE WHEN n = i THEN n::VARCHAR ELSE 'x' END, '' ORDER BY n) FROM range(0, 5) t(n))", lo="(SELECT string_agg(CASE WHEN n = j THEN n::VARCHAR ELSE 'x' END, '' ORDER BY n) FROM range(0, 5) t(n))"
-)
-PATTERN_TESTS = f"""{I.bins_sql()}, {I.DIMS}, {PAIRS},
-    mem AS (SELECT cell_id, archetype_label AS archetype FROM bins WHERE archetype_label <> 'no_archetype'),
-    sided AS (SELECT p.pattern_code, p.pattern_type, p.hi, p.lo, m.cell_id, max(CASE WHEN m.archetype = p.hi THEN 1 ELSE 0 END) AS side FROM pat p JOIN mem m ON m.archetype IN (p.hi, p.lo) GROUP BY ALL),
+SIDES = "sides AS (SELECT m, (SELECT list(i ORDER BY i) FROM range(1, 5) t(i) WHERE (m >> (i - 1)) & 1 = 1) AS l FROM range(1, 16) s(m))"
+CODE = "(SELECT string_agg(CASE WHEN list_contains({}, n) THEN n::VARCHAR ELSE 'x' END, '' ORDER BY n) FROM range(0, 5) t(n))"
+NAMED = "array_to_string(list_transform({}, lambda i: 'archetype_' || i), '{}')"
+ALL_PATTERNS = f"""{SIDES},
+    ps AS (SELECT [i] AS hl, [0] AS ll, 'specialization' AS pattern_type FROM range(1, 5) t(i) UNION ALL SELECT h.l, o.l, 'tradeoff' FROM sides h, sides o WHERE h.m & o.m = 0 AND len(h.l) <= 2 AND len(o.l) <= 2),
+    pat AS (SELECT *, concat_ws('_', {CODE.format('hl')}, {CODE.format('ll')}) AS pattern_code, len(hl) + len(ll) AS complexity, {NAMED.format('hl', ',')} AS hi, {NAMED.format('ll', ',')} AS lo,
+        pattern_type || '_' || {NAMED.format('hl', '+')} || '_vs_' || {NAMED.format('ll', '+')} || CASE WHEN pattern_type = 'tradeoff' THEN '_nonzero' ELSE '' END AS pattern_name FROM ps)"""
+PAIRED = "pat AS (SELECT [i] AS hl, [j] AS ll, i || '>' || j AS pattern_code, 'pair' AS pattern_type, 2 AS complexity, 'archetype_' || i AS hi, 'archetype_' || j AS lo, i || '>' || j AS pattern_name FROM range(0, 5) a(i), range(0, 5) b(j) WHERE i < j)"
+PATTERN_TESTS = f"""{I.bins_sql()}, {I.DIMS}, {ALL_PATTERNS},
+    mem AS (SELECT DISTINCT cell_id, archetype_idx + 1 AS i FROM bins WHERE archetype_label <> 'no_archetype'),
+    sided AS (SELECT p.pattern_name, p.pattern_code, p.pattern_type, p.complexity, p.hi, p.lo, m.cell_id, max(CASE WHEN list_contains(p.hl, m.i) THEN 1 ELSE 0 END) AS side FROM pat p JOIN mem m ON list_contains(p.hl, m.i) OR list_contains(p.ll, m.i) GROUP BY ALL),
     vals AS (SELECT s.*, d.feature, d.value FROM sided s JOIN dims d USING (cell_id)),
     rk AS (SELECT *, rank() OVER (PARTITION BY pattern_code, feature ORDER BY value) + (count(*) OVER (PARTITION BY pattern_code, feature, value) - 1) / 2.0 AS midrank, count(*) OVER (PARTITION BY pattern_code, feature, value) AS c FROM vals),
-    pt AS (SELECT pattern_code, pattern_type, hi, lo, feature, CAST(sum(side) AS DOUBLE) AS n1, CAST(sum(1 - side) AS DOUBLE) AS n2, sum(value * side) AS s1, sum(value * (1 - side)) AS s2, sum(value * value * side) AS q1, sum(value * value * (1 - side)) AS q2,
+    pt AS (SELECT pattern_name, pattern_code, pattern_type, complexity, hi, lo, feature, CAST(sum(side) AS DOUBLE) AS n1, CAST(sum(1 - side) AS DOUBLE) AS n2, sum(value * side) AS s1, sum(value * (1 - side)) AS s2, sum(value * value * side) AS q1, sum(value * value * (1 - side)) AS q2,
         sum(midrank * side) AS r1, sum(CAST(c AS DOUBLE) * c - 1) AS ties FROM rk GROUP BY ALL),
     pz AS (SELECT *, s1 / n1 AS m1, s2 / n2 AS m2, r1 - n1 * (n1 + 1) / 2 AS u, sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM pt WHERE n1 >= 10 AND n2 >= 10),
     pv AS (SELECT *, round(m1 - m2, 6) + 0.0 AS mean_diff, round(CASE WHEN sd > 0 THEN (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd ELSE 0 END, 6) AS z FROM pz WHERE q1 / n1 - m1 * m1 > 1e-12 OR q2 / n2 - m2 * m2 > 1e-12),
-    pp AS (SELECT *, {special.two_sided_sql('greatest(z, 0.0)')} AS pvalue, pattern_type || '_' || hi || '_vs_' || lo || CASE WHEN pattern_type = 'tradeoff' THEN '_nonzero' ELSE '' END AS pattern_name FROM pv),
+    pp AS (SELECT *, {special.two_sided_sql('greatest(z, 0.0)')} AS pvalue FROM pv),
     {I.bh_sql('pp', keys='feature, pattern_name')}"""
-GROUPS = """sides AS (SELECT m, (SELECT list(i ORDER BY i) FROM range(1, 5) t(i) WHERE (m >> (i - 1)) & 1 = 1) AS l FROM range(1, 16) s(m)),
+GROUPS = SIDES + """,
     gp AS (SELECT h.l AS hl, o.l AS ll, concat_ws('_', (SELECT string_agg(CASE WHEN list_contains(h.l, n) THEN n::VARCHAR ELSE 'x' END, '' ORDER BY n) FROM range(0, 5) t(n)), (SELECT string_agg(CASE WHEN list_contains(o.l, n) THEN n::VARCHAR ELSE 'x' END, '' ORDER BY n) FROM range(0, 5) t(n))) AS pattern_code,
         len(h.l) + len(o.l) AS complexity, array_to_string(list_transform(h.l, lambda i: 'archetype_' || i), ',') AS high, array_to_string(list_transform(o.l, lambda i: 'archetype_' || i), ',') AS low
         FROM sides h, sides o WHERE h.m & o.m = 0 AND len(h.l) <= 2 AND len(o.l) <= 2 AND len(h.l) + len(o.l) > 2)"""
@@ -299,15 +308,23 @@ ORACLE_SQL = {
     "g6_long_metrics": "SELECT p_brand, unnest(['price', 'size']) AS metric, unnest([round(avg(p_retailprice), 4), round(avg(p_size), 4)]) AS value FROM part GROUP BY 1",
     "p15_log_if_raw": f"WITH {I.COUNTS} SELECT cell_id, feature, round(CASE WHEN (SELECT max(value) FROM counts) > 20 THEN ln(1 + value) ELSE value END, 6) AS value FROM counts",
     "p25_colour": f"WITH {I.COUNTS} SELECT s.cell_id, coalesce(c.value, 0.0) AS colour FROM segments s LEFT JOIN counts c ON c.cell_id = s.cell_id AND c.feature = 'Brand#11'",
-    "t7_patterns": f"WITH {PAIRS} SELECT pattern_code, pattern_type, CAST(2 AS INT) AS complexity, CAST(length(regexp_replace(pattern_code, '[x_]', '', 'g')) AS INT) AS digits, split_part(pattern_code, '_', 2) || '_' || split_part(pattern_code, '_', 1) AS reversed FROM pat",
+    "t7_patterns": f"""WITH {I.bins_sql()}, {ALL_PATTERNS}, mem AS (SELECT DISTINCT cell_id, archetype_idx + 1 AS i FROM bins WHERE archetype_label <> 'no_archetype')
+        SELECT pattern_code, pattern_type, CAST(complexity AS INT) AS complexity, CAST(length(regexp_replace(pattern_code, '[x_]', '', 'g')) AS INT) AS digits, split_part(pattern_code, '_', 2) || '_' || split_part(pattern_code, '_', 1) AS reversed,
+        (SELECT count(DISTINCT cell_id) FROM mem WHERE list_contains(hl, mem.i)) AS n_high_cells, (SELECT count(DISTINCT cell_id) FROM mem WHERE list_contains(ll, mem.i)) AS n_low_cells FROM pat""",
     "t8_pattern_associations": f"""WITH {PATTERN_TESTS} SELECT feature, pattern_code, pattern_type, CAST(n1 AS BIGINT) AS n_high_cells, CAST(n2 AS BIGINT) AS n_low_cells, round(m1, 6) + 0.0 AS mean_high, round(m2, 6) + 0.0 AS mean_low, mean_diff, u AS statistic, z,
         round(pvalue, 6) AS pvalue, round(fdr_pvalue, 6) AS fdr_pvalue, fdr_pvalue < 0.05 AS significant, CASE WHEN m1 > m2 THEN 'higher' ELSE 'lower' END AS direction, abs(mean_diff) >= 0.01 AS passes_lfc_threshold FROM fdr""",
     "t11_specialization": f"WITH {PATTERN_TESTS} SELECT feature, hi AS archetype, pattern_code, mean_diff, round(pvalue, 6) AS pvalue, fdr_pvalue < 0.05 AS significant FROM fdr WHERE pattern_type = 'specialization'",
     "t12_tradeoffs": f"""WITH {PATTERN_TESTS}, t AS (SELECT feature, CASE WHEN mean_diff < 0 THEN split_part(pattern_code, '_', 2) || '_' || split_part(pattern_code, '_', 1) ELSE pattern_code END AS pattern_code, CASE WHEN mean_diff < 0 THEN lo ELSE hi END AS high_archetypes,
-        CASE WHEN mean_diff < 0 THEN hi ELSE lo END AS low_archetypes, CASE WHEN mean_diff < 0 THEN m2 ELSE m1 END AS a, CASE WHEN mean_diff < 0 THEN m1 ELSE m2 END AS b, abs(mean_diff) AS mean_diff, fdr_pvalue < 0.05 AS significant, pvalue FROM fdr WHERE pattern_type = 'tradeoff')
+        CASE WHEN mean_diff < 0 THEN hi ELSE lo END AS low_archetypes, CASE WHEN mean_diff < 0 THEN m2 ELSE m1 END AS a, CASE WHEN mean_diff < 0 THEN m1 ELSE m2 END AS b, abs(mean_diff) AS mean_diff, fdr_pvalue < 0.05 AS significant, pvalue FROM fdr WHERE pattern_type = 'tradeoff' AND complexity = 2)
         SELECT feature, pattern_code, high_archetypes, low_archetypes, round(a, 6) + 0.0 AS mean_high, round(b, 6) + 0.0 AS mean_low, mean_diff FROM t QUALIFY row_number() OVER (PARTITION BY feature, pattern_code ORDER BY significant DESC, pvalue, mean_diff DESC) = 1""",
     "t13_mutual_exclusivity": f"""WITH {PATTERN_TESTS}, s AS (SELECT * FROM fdr WHERE fdr_pvalue < 0.05 AND abs(mean_diff) > 0.02)
         SELECT feature, count(*) FILTER (mean_diff > 0) AS n_positive, count(*) FILTER (mean_diff < 0) AS n_negative, max(mean_diff) AS max_positive_effect, min(mean_diff) AS min_negative_effect, round(max(mean_diff) - min(mean_diff), 6) AS effect_range FROM s GROUP BY feature HAVING n_positive > 0 AND n_negative > 0""",
+    "t9_exclusive_pairwise": f"""WITH {PATTERN_TESTS.partition("    pp AS")[0].replace(ALL_PATTERNS, PAIRED).rstrip().rstrip(",")},
+        sz AS (SELECT *, CASE WHEN u >= n1 * n2 / 2 THEN z ELSE -z END AS s FROM pv),
+        ends AS (SELECT feature, hi AS archetype, mean_diff AS effect, {special.upper_sql('s')} AS p, round(m1, 6) + 0.0 AS own, round(m2, 6) + 0.0 AS other FROM sz
+            UNION ALL SELECT feature, lo, -mean_diff, {special.upper_sql('(-s)')}, round(m2, 6) + 0.0, round(m1, 6) + 0.0 FROM sz)
+        SELECT feature, archetype, round(min(effect), 6) AS min_pairwise_effect, round(max(p), 6) AS max_pairwise_pvalue, round(max(own) / (max(other) + 1e-6), 4) AS exclusivity_score
+        FROM ends GROUP BY 1, 2 HAVING bool_and(p < 0.05 AND effect >= 0.02)""",
     "t9_exclusive_one_vs_rest": f"""WITH {I.bins_sql()}, {I.DIMS}, {I.ranksum_sql('dims', 'assigned', 'mean_diff')}, kept AS (SELECT * FROM tests WHERE abs(mean_diff) >= 0.01), {I.bh_sql('kept')}
         SELECT feature, min(archetype) AS archetype, round(min(pvalue), 6) AS pvalue FROM fdr WHERE fdr_pvalue < 0.05 AND direction = 'higher' GROUP BY feature HAVING count(*) = 1""",
     "r1_knn": f"WITH {I.CELLS}, {KNN} SELECT src, dst, w FROM edges",
