@@ -12,19 +12,21 @@ Each of the two forms is measured against its own usable windows, and the larger
 with other names can't match windows that only names as words make usable. Windows with fewer than
 ``SEED`` ordinary words say too little and aren't used; an alignment needs ``LITERALS`` of them in all
 its windows. Items shorter than a window are matched as a whole if they have ``LITERALS`` ordinary words.
-Items that have no usable window in either form (few words among numbers, or few tokens) are looked for
-as they are, case and punctuation aside: all their tokens in a row, or as the whole document if there are
+Items whose usable windows have fewer than ``LITERALS`` different ordinary words in each of the forms (few words
+among numbers, or few tokens) could match in none of them and are looked for as they are, case and punctuation aside: all their tokens in a row, or as the whole document if there are
 fewer than ``WHOLE``.
 Beside the share, an excerpt is enough: ``RUN`` tokens in a row of one alignment, ``RUN_WORDS`` of
 them ordinary words.
 
 Documents drop windows that no item has before anything is shuffled: the items' window hashes are
 broadcast in blocks of at most ``BLOCK`` hashes (8 bytes each), with one pass over the documents
-for each block, so a large benchmark costs passes and never memory. White space, punctuation and
-case don't matter.
+for each block, so a large benchmark costs passes and never memory. Matches are joined with the items'
+windows by broadcast as long as those are few; of more, those that a very common passage hits are. White
+space, punctuation and case don't matter.
 
-Defined cases: null and empty texts and items match nothing; rows that repeat a doc_id are
-reported together; an item_id that repeats counts as one item with the windows of all its rows; a
+Defined cases: null and empty texts and items match nothing; texts are judged each by itself, and
+rows that repeat a doc_id are reported together with the largest share among their texts, rows without one
+as the doc_id null; an item_id that repeats counts as one item with the windows of all its rows; a
 share of exactly ``coverage`` is enough; texts and items count whole, however long; other columns may
 have any names; an empty benchmark or table gives no rows.
 """
@@ -36,11 +38,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from simplark.llm.common import cut, extended, held_by_worker, named, small, strings, without
+from simplark.llm.common import HOT_ROWS, checked, cut, extended, fresh, held_by_worker, named, small, strings, written
 
 WINDOW = 8
 SEED = 2
@@ -49,6 +51,8 @@ COVERAGE = 0.5
 RUN = 14
 RUN_WORDS = 8
 BLOCK = 4_000_000
+#: Windows of items (with their slots some hundred bytes each) that are broadcast.
+BROADCAST_WINDOWS = 100_000
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+")
 #: Unit words that are slots after a number.
 UNITS = frozenset(
@@ -133,7 +137,7 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
     """(item_id, width, form, hash, item_pos, item_slots, item_words, n_windows, n_tokens) of every usable window of every item.
 
     ``item_words`` are the places of its ordinary words, ``n_windows`` is how many windows the item has in
-    this form. The literal form is there only for items without a usable window in the others.
+    this form. The literal form is there only for items that could match in no other: it stands in their place.
     """
     shaped = items.select(named(key).alias("item_id"), named(text).alias("t"))
     schema = extended(
@@ -146,15 +150,20 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
             for item, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
                 starts, ids, words, forms = templates([text or ""])
                 width = min(WINDOW, len(ids))
-                before = len(rows)
+                before, most = len(rows), 0
                 for form, (h, slot) in forms.items() if width else ():
                     hashes, ok = window_hashes(h, slot, width)
                     if form == LITERAL:
-                        if len(rows) > before:
+                        if most >= LITERALS:
                             continue
+                        del rows[before:]
                         ok[:] = True
                     elif width < LITERALS or (~slot).sum() < LITERALS:  # no alignment can have enough
                         continue
+                    covered = np.zeros(len(ids), bool)
+                    for k in range(width):
+                        covered[k : k + len(ok)] |= ok
+                    most = max(most, int((covered & ~slot).sum()))
                     for p in np.flatnonzero(ok).tolist():
                         values = slot_values(words, ids[p : p + width], h[p : p + width], slot[p : p + width])
                         plain = (p + np.flatnonzero(~slot[p : p + width])).tolist()
@@ -170,12 +179,17 @@ def to_arrow(schema) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def text_row(text: str) -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64(named(text))
+
+
 def document_hits(docs: DataFrame, hashes: np.ndarray, widths: list[tuple[str, int]], key: str, text: str) -> DataFrame:
     """The documents' windows of these (form, width)s whose hash is among ``hashes`` (sorted, at most BLOCK)."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(hashes)
-    shaped = docs.select(named(key).alias("doc_id"), named(text).alias("t"))
-    schema = extended(shaped.select("doc_id"), "width int, form string, hash long, doc_pos int, doc_slots array<string>, doc_tokens int")
+    shaped = docs.select(named(key).alias("doc_id"), named(text).alias("t"), text_row(text).alias("row"))
+    schema = extended(shaped.select("doc_id", "row"), "width int, form string, hash long, doc_pos int, doc_slots array<string>, doc_tokens int")
     bits = 24
 
     def run(batches):
@@ -190,7 +204,7 @@ def document_hits(docs: DataFrame, hashes: np.ndarray, widths: list[tuple[str, i
             return at[known[k] == h[at]]
 
         for batch in small(batches, 1):
-            keys = batch.column(0).to_pylist()
+            keys, numbers = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             starts, ids, words, forms = templates([x or "" for x in strings(batch.column(1))])
             rows = []
             for form, width in widths:
@@ -204,7 +218,7 @@ def document_hits(docs: DataFrame, hashes: np.ndarray, widths: list[tuple[str, i
                 at, owner = at[inside], owner[inside]
                 for p, o, x in zip(at.tolist(), owner.tolist(), hashes[at].view(np.int64).tolist(), strict=True):
                     values = slot_values(words, ids[p : p + width], h[p : p + width], slot[p : p + width])
-                    rows.append((keys[o], width, form, x, p - int(starts[o]), values, int(starts[o + 1] - starts[o])))
+                    rows.append((keys[o], numbers[o], width, form, x, p - int(starts[o]), values, int(starts[o + 1] - starts[o])))
             for i in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[i : i + 20_000]], schema=arrow)
 
@@ -244,20 +258,33 @@ def alignments(found: DataFrame) -> DataFrame:
     shift = (F.col("doc_pos") - F.col("item_pos")).alias("shift")
     windows = F.collect_set(F.struct("width", "item_pos", "item_slots", "doc_slots", "item_words", "n_windows")).alias("windows")
     fits = (F.size("item_slots") == F.size("doc_slots")) & ((F.col("form") != LITERAL) | (F.col("n_tokens") >= WHOLE) | (F.col("n_tokens") == F.col("doc_tokens")))
-    grouped = found.where(fits).groupBy("doc_id", "item_id", "form", shift).agg(windows).drop("shift")
+    grouped = found.where(fits).groupBy("doc_id", "row", "item_id", "form", shift).agg(windows).drop("shift")
     schema = extended(grouped.drop("windows"), "places array<int>, excerpt boolean, verbatim boolean")
 
     def run(batches):
         for batch in batches:
-            made = [evidence(x, form) for x, form in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            made = [evidence(x, form) for x, form in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             places, excerpt, verbatim = zip(*made, strict=True) if made else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.list_(pa.int32())), pa.array(excerpt, pa.bool_()), pa.array(verbatim, pa.bool_())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(places, pa.list_(pa.int32())), pa.array(excerpt, pa.bool_()), pa.array(verbatim, pa.bool_())], schema.names)
 
     return grouped.mapInArrow(run, schema).where(F.size("places") > 0)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, item_id, coverage, n_windows, verbatim of each document with at least ``coverage`` of an item's windows, or an excerpt of it.
+def with_windows(hits: DataFrame, windows: DataFrame) -> DataFrame:
+    """The documents' matches with the items' windows; no hash that many rows share meets in one task."""
+    keys = ["width", "form", "hash"]
+    if windows.count() <= BROADCAST_WINDOWS:
+        return hits.join(F.broadcast(windows), keys)
+    hits = written(hits)
+    hot = cut(hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).select(*keys))
+    of_hot = windows.join(F.broadcast(hot), keys)  # at most one for each HOT_ROWS matches
+    of_hot = F.broadcast(of_hot) if of_hot.count() <= BROADCAST_WINDOWS else of_hot
+    rest = hits.join(F.broadcast(hot), keys, "left_anti").join(windows, keys)
+    return hits.join(F.broadcast(hot), keys, "left_semi").join(of_hot, keys).unionByName(rest)
+
+
+def contaminated_rows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, row (a number of the text), item_id, coverage, n_windows, verbatim of each text with at least ``coverage`` of an item's windows, or an excerpt of it.
 
     Coverage and windows are those of the form that matches more. An excerpt's coverage may be below ``coverage``.
     """
@@ -275,22 +302,32 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     sizes = windows.groupBy("item_id", "form").agg(F.max("n_windows").alias("of"))
     if not hits:
         hits.append(document_hits(docs.limit(0), np.zeros(1, np.uint64), [], key, text))
-    found = reduce(DataFrame.unionByName, hits).join(windows, ["width", "form", "hash"])
+    found = with_windows(reduce(DataFrame.unionByName, hits), windows)
     by_form = (
         alignments(found)
-        .groupBy("doc_id", "item_id", "form")
+        .groupBy("doc_id", "row", "item_id", "form")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.max("excerpt").alias("excerpt"), F.min("verbatim").alias("verbatim"))
         .join(sizes, ["item_id", "form"])
         .withColumn("best", F.struct((F.col("n_windows") / F.col("of")).alias("coverage"), "n_windows"))
     )
     return (
-        by_form.groupBy("doc_id", "item_id")
+        by_form.groupBy("doc_id", "row", "item_id")
         .agg(F.max("best").alias("best"), F.max("excerpt").alias("excerpt"), F.min("verbatim").alias("verbatim"))
         .where((F.col("best.coverage") >= coverage) | F.col("excerpt"))
-        .select("doc_id", "item_id", "best.coverage", "best.n_windows", "verbatim")
+        .select("doc_id", "row", "item_id", "best.coverage", "best.n_windows", "verbatim")
     )
 
 
+def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, item_id, coverage, n_windows, verbatim of each document with a contaminated text; of several texts the one with the largest share counts."""
+    found = contaminated_rows(docs, items, key, text, item_key, item_text, coverage)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "n_windows", "verbatim")).alias("best"))
+    return best.select("doc_id", "item_id", "best.coverage", "best.n_windows", "best.verbatim")
+
+
 def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """The documents without a contaminated doc_id, all columns as they are; those with a null doc_id stay."""
-    return without(docs, key, contaminated(docs, items, key, text, coverage=coverage), "doc_id")
+    """The documents whose text isn't contaminated, all columns as they are; a doc_id, or its lack, saves or dooms no other text."""
+    found = contaminated_rows(docs, items, key, text, coverage=coverage)
+    gone, row = fresh("gone", docs.columns), fresh("row", docs.columns)
+    drop = checked(found.select(F.col("doc_id").alias(gone), F.col("row").alias(row)).distinct())
+    return docs.join(drop, named(key).eqNullSafe(F.col(gone)) & (text_row(text) == F.col(row)), "left_anti")

@@ -226,6 +226,37 @@ def test_decontamination_stage(spark):
     assert sorted(r.n for r in kept.collect()) == ["b", "b", "c"] and kept.columns == ["doc_id", "text", "n"]
 
 
+def test_an_item_with_few_words_among_numbers_is_found(spark):
+    item = "alpha beta 1 2 3 4 5 6 7 8 gamma 1 2 3 4 5 6 7 8 delta 1 2 3 4 5 6 7 8 epsilon 9 9 9 9 9 9 9 9"
+    out = {r.doc_id: r for r in leaks(spark, [f"see {item.upper()}, end", item.replace("gamma", "omega"), item[: len(item) // 2]], [(1, item)]).collect()}
+    assert set(out) == {0} and out[0].coverage == 1 and out[0].verbatim
+
+
+def test_texts_of_one_doc_id_or_none_are_judged_apart(spark):
+    words = ITEM.split()
+    halves = [" ".join(words[:13]), " ".join(words[11:24])]
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    rows = [(None, halves[0], "a"), (None, halves[1], "b"), (7, halves[0], "c"), (7, halves[1], "d"), (8, halves[0], "e"), (9, halves[1], "f"), (None, f"x {ITEM}", "g"), (8, ITEM, "h"), (9, ITEM, "i"), (9, ITEM, "j"), (8, None, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    single = {r.doc_id: r.coverage for r in decontaminate.contaminated(docs.where("row IN ('e', 'f')"), items, coverage=0.1).collect()}
+    both = {r.doc_id: r.coverage for r in decontaminate.contaminated(docs.where("row < 'e'"), items, coverage=0.1).collect()}
+    assert set(both) == {None, 7} and both[None] == both[7] == max(single.values()) < 1
+    kept = decontaminate.keep_clean(docs, items, coverage=0.9)
+    assert kept.columns == docs.columns and sorted(r.row for r in kept.collect()) == ["a", "b", "c", "d", "e", "f", "k"]
+
+
+def test_a_window_that_all_items_and_documents_have(spark, monkeypatch):
+    passage = "this very passage of plain words stands in each and every item and document of all"
+    tails = ["the green boat sails over calm water to a far island", "seven grey birds fly north above the cold wide sea", "old clocks tick slowly in the dark hall of stone"]
+    items = [(i, f"{passage} {t}") for i, t in enumerate(tails)]
+    texts = [f"{passage} {tails[k % 3]}" if k < 6 else f"{passage} filler number {k}" for k in range(40)]
+    want = sorted(map(tuple, leaks(spark, texts, items).collect()))
+    assert {(d, i) for d, i, c, *_ in want if c == 1} == {(k, k % 3) for k in range(6)}
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 5)
+    monkeypatch.setattr(decontaminate, "HOT_ROWS", 10)
+    assert sorted(map(tuple, leaks(spark, texts, items).collect())) == want
+
+
 def test_blocks_of_hashes_give_the_same(spark, monkeypatch):
     want = {(r.doc_id, r.item_id) for r in leaks(spark, [f"a {ITEM} b"] * 3).collect()}
     monkeypatch.setattr(decontaminate, "BLOCK", 5)
