@@ -2,10 +2,11 @@
 
 Records hash into ``SLOTS`` virtual slots, for good. A small map says which shard holds which
 slot; it has versions, and rebalancing writes a new version that differs from the last only in the
-slots it moves. Version 0 deals the slots out in turn. Under the law ``bytes`` the bytes of each
-slot are added up and slots move from the fullest to the emptiest shard while that brings the two
-closer; under the law ``key`` the doc_id and the number of shards decide, and a new shard takes
-its share of slots from each of the others.
+slots it moves. Under the law ``bytes`` version 0 deals the slots out in turn, the bytes of each
+slot are added up, and slots move from the fullest to the emptiest shard while that brings the two
+closer. Under the law ``key`` the doc_id and the number of shards alone decide: the map of n shards has
+grown from one shard, each new one taking its share of slots from each of the others; it is kept as
+version n, so calls with the same number find the same map, and one more shard finds the next.
 
 The driver sees one row of totals for each slot (``SLOTS`` of them, whatever the input) and the
 map; all that touches records is built-in functions. A record's place in its shard counts on from
@@ -20,6 +21,7 @@ break them. Other columns may have any names; none is read.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,6 +48,14 @@ def grown_map(current: list[int], shards: int) -> list[int]:
     return out
 
 
+def keyed_map(shards: int, slots: int = SLOTS) -> list[int]:
+    """The map of the law ``key``: one shard, grown until there are ``shards``."""
+    out = [0] * slots
+    for n in range(1, shards):
+        out = grown_map(out, n)
+    return out
+
+
 def rebalanced_map(current: list[int], sizes: list[int], shards: int) -> list[int]:
     """The map after moving slots, one at a time, from the fullest shard that can be helped to the emptiest, while any can."""
     out, loads, held = list(current), [0] * shards, [[] for _ in range(shards)]  # (size, slot) in order
@@ -92,20 +102,37 @@ def rebalanced_map(current: list[int], sizes: list[int], shards: int) -> list[in
 
 def save_map(spark: SparkSession, path: str, version: int, current: list[int]) -> None:
     """Write a version of the map beside the others."""
-    at_slot(spark.range(len(current)).withColumnRenamed("id", "slot"), F.col("slot"), current, "shard").write.parquet(f"{path}/version={version}")
+    rows = spark.range(0, len(current), 1, 1).withColumnRenamed("id", "slot")  # one file
+    at_slot(rows, F.col("slot"), current, "shard").write.parquet(f"{path}/version={version}")
 
 
-def latest_version(spark: SparkSession, path: str) -> int:
-    """The highest version under ``path``, -1 where there is none."""
+def versions(spark: SparkSession, path: str) -> set[int]:
+    """The versions under ``path``, from the listing of its files."""
     try:
-        found = spark.read.option("basePath", path).parquet(path).select("version").distinct().agg(F.max("version")).first()[0]
+        files = spark.read.schema("slot long, shard int").parquet(path).inputFiles()
     except AnalysisException:  # no such folder
-        return -1
-    return -1 if found is None else int(found)
+        return set()
+    return {int(m[1]) for f in files if (m := re.search(r"/version=(\d+)/", f))}
+
+
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The highest version under ``path``, -1 where there is none."""
+    return max(versions(spark, path), default=-1)
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> list[int]:
-    return [r.shard for r in spark.read.parquet(f"{path}/version={version}").orderBy("slot").collect()]
+    rows = spark.read.schema("slot long, shard int").parquet(f"{path}/version={version}").collect()  # a row for each slot
+    return [r.shard for r in sorted(rows)]
+
+
+def kept_map(spark: SparkSession, path: str, shards: int, slots: int) -> list[int]:
+    """The map of the law ``key`` for a number of shards, written when it isn't there yet."""
+    if shards not in versions(spark, path):
+        save_map(spark, path, shards, keyed_map(shards, slots))
+    out = load_map(spark, path, shards)
+    if len(out) != slots or not set(out) <= set(range(shards)):
+        raise ValueError(f"version {shards} of the map is for other slots or shards")
+    return out
 
 
 def at_slot(df: DataFrame, slot: Column, values: list[int], name: str) -> DataFrame:
@@ -123,26 +150,29 @@ def records(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int
 def shard(docs: DataFrame, shards: int = 16, law: str = "bytes", map_path: str | None = None, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (the place in the shard), grown_shard, virtual_slot of every record.
 
-    ``map_path`` is where the versions of the map are. The latest one there, or else version 0, which is
-    written first, is rebalanced (``bytes``) or grown (``key``), and the result is written as the next
-    version, unless nothing moves. Records go where the versions say that are then read back.
+    ``map_path`` is where the versions of the map are. Under ``bytes`` the latest one there, or else version 0,
+    which is written first, is rebalanced, and the result is written as the next version, unless nothing
+    moves. Under ``key`` version ``shards`` holds and the next one says where the grown shards are; either is
+    written where it is missing. Records go where the versions say that are then read back.
     """
     if law not in ("bytes", "key"):
         raise ValueError(law)
     spark = docs.sparkSession
     map_path = map_path or new_folder(spark, "slot-map")
-    version = latest_version(spark, map_path)
-    if version < 0:
-        version = 0
-        save_map(spark, map_path, 0, first_map(shards, slots))
-    first = load_map(spark, map_path, version)
-    if len(first) != slots or not set(first) <= set(range(shards)):
-        raise ValueError(f"version {version} of the map is for other slots or shards")
+    if law == "key":
+        first, second = (kept_map(spark, map_path, n, slots) for n in (shards, shards + 1))
+    else:
+        version = latest_version(spark, map_path)
+        if version < 0:
+            version = 0
+            save_map(spark, map_path, 0, first_map(shards, slots))
+        first = load_map(spark, map_path, version)
+        if len(first) != slots or not set(first) <= set(range(shards)):
+            raise ValueError(f"version {version} of the map is for other slots or shards")
     rows = cut(records(docs, key, text, slots))
     totals = {r.virtual_slot: r for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
     sizes = [totals[s].bytes if s in totals else 0 for s in range(slots)]
-    second = rebalanced_map(first, sizes, shards) if law == "bytes" else grown_map(first, shards)
-    if second != first:
+    if law == "bytes" and (second := rebalanced_map(first, sizes, shards)) != first:
         version += 1
         save_map(spark, map_path, version, second)
         second = load_map(spark, map_path, version)

@@ -111,15 +111,22 @@ def test_shards_by_bytes(spark, tmp_path):
     assert first == sharding.first_map(16) and {r.virtual_slot: r.shard for r in rows}.items() <= dict(enumerate(second)).items()
 
 
-def test_shards_by_key(spark):
-    rows = sharding.shard(docs(spark), 16, "key").collect()
+def test_shards_by_key(spark, tmp_path):
+    path = f"file://{tmp_path}/keys"
+    rows = sharding.shard(docs(spark), 16, "key", path).collect()
+    assert sorted(map(tuple, sharding.shard(docs(spark), 16, "key", path).collect()), key=str) == sorted(map(tuple, rows), key=str)  # the same path again
+    fresh = {r.doc_id: r.shard for r in sharding.shard(docs(spark), 17, "key").collect() if r.doc_id is not None}
+    assert fresh == {r.doc_id: r.grown_shard for r in rows if r.doc_id is not None}
+    assert sharding.versions(spark, path) == {16, 17}
     assert all(r.grown_shard in (r.shard, 16) for r in rows) and any(r.grown_shard == 16 for r in rows)
     where = {r.doc_id: (r.shard, r.grown_shard) for r in rows if r.doc_id is not None}
     some = sharding.shard(docs(spark, DOCS[100:200]), 16, "key").collect()
     assert all(where[r.doc_id] == (r.shard, r.grown_shard) for r in some)
-    first = sharding.first_map(16)
-    moved = sum(a != b for a, b in zip(first, sharding.grown_map(first, 16), strict=True))
-    assert abs(moved - 4096 / 17) < 17
+    for n in range(1, 41):
+        now, grown = sharding.keyed_map(n), sharding.keyed_map(n + 1)
+        moved = [b for a, b in zip(now, grown, strict=True) if a != b]
+        sizes = [grown.count(s) for s in range(n + 1)]
+        assert set(moved) == {n} and max(sizes) - min(sizes) <= 0.05 * 4096 / (n + 1) + n + 1
 
 
 def test_shards_of_nothing(spark):
