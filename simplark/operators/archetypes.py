@@ -30,19 +30,21 @@ def distances_to(vec: Column, archetypes: Sequence[Sequence[float]]) -> Column:
 
 
 def furthest_archetypes(cells: DataFrame, k: int, start: int | None = None) -> list[list[float]]:
-    """k cells: the first by id (or ``start``), then each time the one furthest from those taken.
+    """k cells: the first by id (or ``start``), then each time the one furthest from those taken."""
+    return [vec for _, vec in furthest_cells(cells, k, start)]
 
-    Every round is one scan that returns one row.
-    """
+
+def furthest_cells(cells: DataFrame, k: int, start: int | None = None) -> list[tuple[int, list[float]]]:
+    """The cells of ``furthest_archetypes`` with their ids; every round is one scan that returns one row."""
     first = cells.where(F.col("cell_id") == start) if start is not None else cells
-    row = first.orderBy("cell_id").select("vec").first()
+    row = first.orderBy("cell_id").select("cell_id", "vec").first()
     if row is None:
         raise ValueError("no cells")
-    found = [list(row.vec)]
+    found = [(row.cell_id, list(row.vec))]
     while len(found) < k:
-        near = F.array_min(distances_to(F.col("vec"), found))
-        best = cells.agg(F.max_by("vec", F.struct(near, -F.col("cell_id"))).alias("vec")).first()
-        found.append(list(best.vec))
+        near = F.array_min(distances_to(F.col("vec"), [vec for _, vec in found]))
+        best = cells.agg(F.max_by(F.struct("cell_id", "vec"), F.struct(near, -F.col("cell_id"))).alias("best")).first().best
+        found.append((best.cell_id, list(best.vec)))
     return found
 
 

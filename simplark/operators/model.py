@@ -1,7 +1,6 @@
-"""Fitting archetypes: principal convex hull on a bounded sample, weights of all rows on Spark.
+"""The parts of models that work on matrices: the hull of a sample, weights of rows, the autoencoder's network.
 
-The sample is what the method asks for (at most ``SAMPLE`` rows); the fit's row-wise half, the
-weights of every cell, runs as an Arrow batch function with the archetypes broadcast.
+What runs them over all rows is in ``hull`` and ``training``.
 """
 
 from __future__ import annotations
@@ -10,8 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Model
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simplark.functions import vectors as V
@@ -129,68 +127,6 @@ def simplex_weights(x: np.ndarray, archetypes: np.ndarray, rounds: int = 200) ->
     return s.T
 
 
-class ArchetypeEstimator(Estimator):
-    """Finds k archetypes of (cell_id, vec): ``method`` 'pcha' on a sample, or 'furthest' over all rows; ``inflation`` moves them outwards."""
-
-    def __init__(self, k: int = 5, method: str = "pcha", inflation: float = 1.0, sample: int = SAMPLE, seed: int = 42, iterations: int = 200):
-        super().__init__()
-        self.k, self.method, self.inflation, self.sample, self.seed, self.iterations = k, method, inflation, sample, seed, iterations
-
-    def _fit(self, cells: DataFrame) -> ArchetypeModel:
-        if self.method == "furthest":
-            rows = A.furthest_archetypes(cells, self.k)
-        elif self.method == "pcha":
-            x = sample_matrix(cells, self.sample, self.seed)
-            if not len(x):
-                raise ValueError("no cells")
-            if not self.k <= x.shape[1] or x.shape[1] < 3:
-                raise ValueError("archetypes need at least 3 dimensions and no more archetypes than dimensions")
-            rows = principal_hull(x, self.k, self.iterations).archetypes.tolist()
-        else:
-            raise ValueError(self.method)
-        return ArchetypeModel(A.inflate(rows, self.inflation) if self.inflation != 1 else rows)
-
-
-class ArchetypeModel(Model):
-    """Archetypes; adds w, the convex weights of every row."""
-
-    def __init__(self, archetypes: list[list[float]]):
-        super().__init__()
-        self.archetypes = archetypes
-
-    def _transform(self, cells: DataFrame) -> DataFrame:
-        held = cells.sparkSession.sparkContext.broadcast(np.array(self.archetypes, float))
-
-        @F.pandas_udf("array<double>")
-        def weigh(vec: pd.Series) -> pd.Series:
-            y = held.value
-            x = np.array(vec.tolist(), float)[:, : y.shape[1]]
-            return pd.Series(list(simplex_weights(x, y)))
-
-        return cells.withColumn("w", weigh("vec"))
-
-    def reconstruct(self, weighted: DataFrame) -> DataFrame:
-        """The rows with fitted, their weighted archetypes."""
-        columns = np.array(self.archetypes).T.tolist()
-        return weighted.withColumn("fitted", V.affine(F.col("w"), columns, [0.0] * len(columns)))
-
-    def save(self, spark: SparkSession, path: str) -> None:
-        tables.save_model(spark, path, {"k": len(self.archetypes)}, {"archetypes": self.archetypes})
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> ArchetypeModel:
-        return cls(tables.load_model(spark, path)[1]["archetypes"])
-
-
-def inflation_sweep(cells: DataFrame, archetypes: list[list[float]], factors: tuple[float, ...] = (1.0, 1.2, 1.5, 2.0, 3.0)) -> list[tuple[float, float]]:
-    """(factor, r2) of the archetypes moved outwards by each factor; one pass each."""
-    out = []
-    for f in factors:
-        model = ArchetypeModel(A.inflate(archetypes, f))
-        out.append((f, A.r_squared(model.reconstruct(model.transform(cells))).first().r2))
-    return out
-
-
 # -- the autoencoder's network; ``training`` fits it to all rows
 
 

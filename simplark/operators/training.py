@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simplark.operators import archetypes as A
-from simplark.operators.model import SAMPLE, ArchetypeModel, Autoencoder, principal_hull, sample_matrix
+from simplark.operators.hull import ArchetypeModel
+from simplark.operators.model import SAMPLE, Autoencoder, principal_hull, sample_matrix
 from simplark.sources import tables
 
 #: What a step reports, in the order in which tasks add it up.

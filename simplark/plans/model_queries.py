@@ -10,7 +10,7 @@ from simplark.functions import vectors as V
 from simplark.operators import archetypes as A
 from simplark.operators import generate as N
 from simplark.operators import graph as G
-from simplark.operators import model as M
+from simplark.operators import hull as L
 from simplark.operators import search as X
 from simplark.operators import shape as H
 from simplark.operators import training as T
@@ -21,19 +21,26 @@ from simplark.plans import inputs as I
 
 def a1_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cell's convex weights of the fitted archetypes."""
-    model = M.ArchetypeEstimator(I.K, "pcha").fit(I.cells(spark, sf_dir))
+    model = L.ArchetypeEstimator(I.K, "pcha").fit(I.cells(spark, sf_dir))
     return model.transform(I.cells(spark, sf_dir)).select("cell_id", F.transform("w", lambda x: F.round(x, 4)).alias("w"))
 
 
+def a13_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells that the archetypes of all rows are made of, with their coefficients and what they add up to."""
+    model = L.ArchetypeEstimator(I.K, "pcha", delta=0.1).fit(I.cells(spark, sf_dir))
+    rows = model.fit_.composition(spark)
+    return rows.join(L.composition_report(rows, delta=0.1), "archetype_idx").select("archetype_idx", "cell_id", F.round("coefficient", 6).alias("coefficient"), F.round("total", 6).alias("total"), "n_cells", "violated")
+
+
 def a4_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of the furthest cells as archetypes; rows add up to one."""
-    model = M.ArchetypeEstimator(I.K, "furthest").fit(I.cells(spark, sf_dir))
-    w = model.transform(I.cells(spark, sf_dir))
-    return w.select("cell_id", F.round(V.total(F.col("w")), 3).alias("total"), (F.array_min("w") >= 0).alias("non_negative"))
+    """Weights of the three furthest cells as archetypes, and how far each cell is from what they give."""
+    model = L.ArchetypeEstimator(3, "furthest").fit(I.cells(spark, sf_dir))
+    t = model.reconstruct(model.transform(I.cells(spark, sf_dir)))
+    return t.select("cell_id", *[F.round(F.col("w")[i], 3).alias(f"w{i}") for i in range(3)], F.round(V.distance(F.col("vec"), F.col("fitted")), 5).alias("error"))
 
 
 def a17_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = M.inflation_sweep(I.cells(spark, sf_dir), I.archetypes(spark, sf_dir))
+    rows = L.inflation_sweep(I.cells(spark, sf_dir), I.archetypes(spark, sf_dir))
     return spark.createDataFrame([(float(f), float(r)) for f, r in rows], "factor double, r2 double")
 
 
@@ -56,10 +63,10 @@ def c3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s3_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well archetypes planted in generated cells are found again."""
-    planted = N.planted_archetypes(3, 8, "sphere")
-    cells = N.convex_cells(spark, 400, planted, 0.1)
-    found = M.ArchetypeEstimator(3, "pcha", iterations=40).fit(cells).archetypes
+    """How well the table's archetypes, planted in as many generated cells as it has, are found again."""
+    planted = I.archetypes(spark, sf_dir)
+    cells = N.convex_cells(spark, I.cells(spark, sf_dir).count(), planted, 0.1)
+    found = L.ArchetypeEstimator(I.K, "pcha").fit(cells).archetypes
     r = A.recovery(planted, found)
     return spark.createDataFrame([(float(r["mean_distance"]), float(r["normalized_error"]), float(r["accuracy"]))], "mean_distance double, normalized_error double, accuracy double")
 
@@ -75,7 +82,7 @@ def n1_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def n2_specialists(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = I.archetypes(spark, sf_dir)[0]
-    return N.specialists(spark, y, 200).select("cell_id", (V.distance(F.col("vec"), V.literal(y)) <= 0.1 + 1e-9).alias("inside"))
+    return N.specialists(spark, y, I.cells(spark, sf_dir).count()).select("cell_id", (V.distance(F.col("vec"), V.literal(y)) <= 0.1 + 1e-9).alias("inside"))
 
 
 def n5_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +157,7 @@ def n4_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n7_generate_and_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = M.ArchetypeEstimator(I.K, "furthest").fit(I.cells(spark, sf_dir))
+    model = L.ArchetypeEstimator(I.K, "furthest").fit(I.cells(spark, sf_dir))
     return D.generate_and_validate(model, I.cells(spark, sf_dir), 500)["components"].select("feature", "statistic", "pvalue", "significant")
 
 
@@ -160,7 +167,7 @@ def s12_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.generated_table(made, y).select("name", "source", "archetype", F.round("nearest_distance", 6).alias("nearest_distance"))
 
 
-QUERIES = {f.__name__: f for f in (a1_train, a4_weights, a17_inflation, a18_autoencoder, a7_coordinates, c3_search, s3_synthetic, n1_samples, n2_specialists, n5_holdout, n6_gene_space, t17_ks, t18_feature_correlations, j8_nearest, t17_similarity, t17_components, t18_paired, t18_summary, t19_weights, n4_metrics, n7_generate_and_validate, s12_generated)}
+QUERIES = {f.__name__: f for f in (a1_train, a13_hull, a4_weights, a17_inflation, a18_autoencoder, a7_coordinates, c3_search, s3_synthetic, n1_samples, n2_specialists, n5_holdout, n6_gene_space, t17_ks, t18_feature_correlations, j8_nearest, t17_similarity, t17_components, t18_paired, t18_summary, t19_weights, n4_metrics, n7_generate_and_validate, s12_generated)}
 
 HALVES = f"{I.CELLS}, re AS (SELECT * FROM cells WHERE CAST(label AS INT) % 2 = 0), ma AS (SELECT * FROM cells WHERE CAST(label AS INT) % 2 = 1)"
 NEAREST = f"""{HALVES}, dd AS (SELECT ma.cell_id AS src, re.cell_id AS dst, round(list_distance(ma.vec, re.vec), 9) AS distance, list_cosine_similarity(ma.vec, re.vec) AS cosine FROM ma, re),
@@ -193,8 +200,17 @@ ORACLE_SQL = {
         r AS (SELECT f.i, sum((c.vec[f.i] - f.fit) ** 2) AS res, var_pop(c.vec[f.i]) * count(*) AS tot, count(*) AS n FROM f JOIN cells c USING (cell_id) GROUP BY 1), u AS (SELECT archetype_idx, avg(x) AS m FROM ws GROUP BY 1)
         SELECT (SELECT count(*) FROM u WHERE m > 0.01) AS n_effective, round(sum(res) / max(n), 6) AS archetypal_loss, round(1 - sum(res) / greatest(sum(tot), 1e-8), 6) AS archetypal_r2, round(sqrt(sum(res) / (max(n) * count(*))), 6) AS rmse,
             (SELECT round(-sum(m * ln(m + 1e-10)), 6) FROM u) AS usage_entropy FROM r""",
-    "a4_weights": "SELECT vec_id AS cell_id, 1.0::DOUBLE AS total, true AS non_negative FROM embeddings",
-    "n2_specialists": "SELECT i AS cell_id, true AS inside FROM range(0, 200) t(i)",
+    # The nearest point of a triangle: inside it, or on the best of its three edges.
+    "a4_weights": f"""WITH {I.archetypes_sql(3)}, p AS (SELECT cell_id, vec, (SELECT y FROM arch WHERE archetype_idx = 0) AS a, (SELECT y FROM arch WHERE archetype_idx = 1) AS b, (SELECT y FROM arch WHERE archetype_idx = 2) AS c FROM cells),
+        g AS (SELECT *, list_distance(a, b) ** 2 AS uu, list_distance(a, c) ** 2 AS vv, list_distance(b, c) ** 2 AS tt, list_distance(vec, a) ** 2 AS pa, list_distance(vec, b) ** 2 AS pb, list_distance(vec, c) ** 2 AS pc FROM p),
+        d AS (SELECT *, (uu + vv - tt) / 2 AS uv, (pa + uu - pb) / 2 AS pu, (pa + vv - pc) / 2 AS pv, (pb + tt - pc) / 2 AS pt FROM g),
+        i AS (SELECT *, (pu * vv - pv * uv) / (uu * vv - uv * uv) AS s, (pv * uu - pu * uv) / (uu * vv - uv * uv) AS t FROM d),
+        options AS (
+            SELECT cell_id, 1 - s - t AS w0, s AS w1, t AS w2, pa - s * pu - t * pv AS e FROM i WHERE s >= 0 AND t >= 0 AND s + t <= 1
+            UNION ALL SELECT cell_id, 1 - x, x, 0, pa - 2 * x * pu + x * x * uu FROM (SELECT *, greatest(0, least(1, pu / uu)) AS x FROM i)
+            UNION ALL SELECT cell_id, 1 - x, 0, x, pa - 2 * x * pv + x * x * vv FROM (SELECT *, greatest(0, least(1, pv / vv)) AS x FROM i)
+            UNION ALL SELECT cell_id, 0, 1 - x, x, pb - 2 * x * pt + x * x * tt FROM (SELECT *, greatest(0, least(1, pt / tt)) AS x FROM i))
+        SELECT cell_id, round(w0, 3) AS w0, round(w1, 3) AS w1, round(w2, 3) AS w2, round(sqrt(greatest(e, 0)), 5) AS error FROM options QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY e) = 1""",
     "n5_holdout": f"""WITH {I.CELLS}, b AS (SELECT min(vec[1]) AS l0, max(vec[1]) AS h0, min(vec[2]) AS l1, max(vec[2]) AS h1 FROM cells)
         SELECT cell_id, abs(vec[1] - (l0 + h0) / 2) <= 0.15 * (h0 - l0) AND abs(vec[2] - (l1 + h1) / 2) <= 0.15 * (h1 - l1) AS held_out FROM cells, b""",
     "n6_gene_space": f"""WITH {I.CELLS}, v AS (SELECT cell_id, 0 AS feature, greatest(vec[1] + 2 * vec[2] + 0.1, 0) AS value FROM cells UNION ALL SELECT cell_id, 1, greatest(vec[3] - vec[2], 0) FROM cells),

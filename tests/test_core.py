@@ -17,6 +17,7 @@ from simplark.functions import vectors as V
 from simplark.operators import archetypes as A
 from simplark.operators import generate as N
 from simplark.operators import graph as G
+from simplark.operators import hull as L
 from simplark.operators import model as M
 from simplark.operators import patterns as P
 from simplark.operators import preprocess as R
@@ -278,7 +279,7 @@ def test_pattern_analysis_and_places(spark):
 
 
 def test_generate_and_validate(spark, cells, points):
-    model = M.ArchetypeModel(points[:3].tolist())
+    model = L.ArchetypeModel(points[:3].tolist())
     out = D.generate_and_validate(model, cells, 50)
     assert out["generated"].count() == 50 and out["components"].count() == 4 and out["distances"].count() == 3
     assert out["metrics"].first().n_effective >= 1 and out["similarity"].first().n == 50
@@ -355,19 +356,19 @@ def test_lsi_and_pca_shapes(spark, cells, points):
 def test_hull_recovers_planted_archetypes(spark):
     planted = N.planted_archetypes(3, 6, "sphere")
     cells = N.convex_cells(spark, 150, planted, 0.1)
-    model = M.ArchetypeEstimator(3, "pcha", iterations=60).fit(cells)
+    model = L.ArchetypeEstimator(3, "pcha", iterations=60).fit(cells)
     assert A.recovery(planted, model.archetypes, 1.0)["accuracy"] == 1
     w = np.array([r.w for r in model.transform(cells).collect()])
     assert np.allclose(w.sum(1), 1, atol=1e-3) and (w >= 0).all()
     assert A.r_squared(model.reconstruct(model.transform(cells))).first().r2 > 0.9
     with pytest.raises(ValueError):
-        M.ArchetypeEstimator(9, "pcha").fit(cells)
+        L.ArchetypeEstimator(9, "pcha").fit(cells)
 
 
 def test_model_round_trip(spark, tmp_path):
-    m = M.ArchetypeModel([[1.0, 2.0], [3.0, 4.0]])
+    m = L.ArchetypeModel([[1.0, 2.0], [3.0, 4.0]])
     m.save(spark, f"file://{tmp_path}/m")
-    assert M.ArchetypeModel.load(spark, f"file://{tmp_path}/m").archetypes == m.archetypes
+    assert L.ArchetypeModel.load(spark, f"file://{tmp_path}/m").archetypes == m.archetypes
 
 
 def test_autoencoder_learns(points):
