@@ -15,53 +15,169 @@ from simplark.operators import order as O
 from simplark.operators.archetypes import CENTRAL
 from simplark.sources.shared import cut, small
 
-#: Points of a block: at least, at most; between them a fiftieth of all.
+#: Points of a part: at least, at most; between them a fiftieth of all. Visitors of a part that meet at a time.
 BLOCK_ROWS = (1_000, 20_000)
+VISITORS = 100_000
 TILE = 256
 
 
+def near_pairs(left: np.ndarray, ids: np.ndarray, right: np.ndarray, others: np.ndarray, k: int, bound: np.ndarray | None = None) -> pd.DataFrame:
+    """src, dst, d: for each left row its k nearest right rows (at most ``bound`` away), itself left out, ties to the smaller id.
+
+    Distances come from matrix products in tiles, and what could be among the nearest is measured again.
+    """
+    out = [pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "d": np.zeros(0)})]
+    if len(left) and len(right):
+        right_squares = (right * right).sum(1)
+        take = min(k, len(right))
+        for at in range(0, len(left), TILE):
+            part, own = left[at : at + TILE], ids[at : at + TILE]
+            squares = (part * part).sum(1)
+            rough = squares[:, None] + right_squares[None, :] - 2 * (part @ right.T)
+            rough[own[:, None] == others[None, :]] = np.inf
+            edge = np.partition(rough, take - 1, axis=1)[:, take - 1]
+            if bound is not None:
+                edge = np.minimum(edge, bound[at : at + TILE] ** 2)
+            # The product form is off by some units of the last place of the squares; distances tie at 9 digits.
+            slack = 1e-12 * (squares + right_squares.max()) + 4e-9 * np.sqrt(np.maximum(np.where(np.isfinite(edge), edge, 0), 0)) + 1e-15
+            r, c = np.nonzero((rough <= (edge + slack)[:, None]) & np.isfinite(rough))
+            d = np.sqrt(((part[r] - right[c]) ** 2).sum(1)).round(9)
+            order = np.lexsort((others[c], d, r))
+            r, c, d = r[order], c[order], d[order]
+            best = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append(pd.DataFrame({"src": own[r[best]], "dst": others[c[best]], "d": d[best]}))
+    return pd.concat(out)
+
+
+def rows_of(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+class Pivots:
+    """Points that the others are dealt to, with the number of points, of blocks and the radius of each one's part."""
+
+    def __init__(self, at: np.ndarray):
+        self.at, self.squares = at, (at * at).sum(1)
+        self.apart = np.sqrt(np.maximum(self.squares[:, None] + self.squares[None, :] - 2 * at @ at.T, 0))
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((x * x).sum(1)[:, None] + self.squares[None, :] - 2 * (x @ self.at.T), 0))
+
+    def sized(self, sizes: np.ndarray, radius: np.ndarray, block: int) -> Pivots:
+        self.sizes, self.radius, self.blocks = sizes, radius, np.maximum(1, -(-sizes // block))
+        return self
+
+    def reached(self, x: np.ndarray, part: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, part) of all parts that may hold a point within the row's bound.
+
+        By the triangle inequality no point of a part is nearer than the distance to its pivot less its radius,
+        nor nearer than the plane between its pivot and the row's own.
+        """
+        d = self.distances(x)
+        own = d[np.arange(len(x)), part]
+        apart = np.maximum(self.apart[part], 1e-300)
+        plane = (d * d - (own * own)[:, None]) / (2 * apart)
+        # Distances by products are off by the root of some units of the squares' last place.
+        slack = 1e-6 * np.sqrt((x * x).sum(1) + self.squares.max())[:, None] + 1e-8
+        away = np.maximum(d - self.radius[None, :], np.where(self.apart[part] > 1e-3, plane - slack, 0))
+        return np.nonzero((away <= bound[:, None] + slack) & (self.sizes > 0)[None, :])
+
+
+def dealt_parts(points: DataFrame, n: int) -> tuple[DataFrame, Pivots]:
+    """(cell_id, vec, part, block) of all points, written, and the pivots: points with the smallest hashes of their ids, about one for each part of the wanted size."""
+    size = min(max(BLOCK_ROWS[0], n // 50), BLOCK_ROWS[1])
+    chosen = points.select("vec", F.xxhash64("cell_id").alias("h"), "cell_id").orderBy("h", "cell_id").limit(max(1, -(-n // size))).select("vec").toPandas()
+    pivots = Pivots(rows_of(chosen["vec"]))
+
+    def deal(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 4096):
+                some = pdf.iloc[at : at + 4096]
+                d = pivots.distances(rows_of(some["vec"]))
+                part = d.argmin(1)
+                yield some.assign(part=part.astype(np.int32), away=d[np.arange(len(d)), part])
+
+    dealt = cut(points.select("cell_id", "vec").mapInPandas(deal, "cell_id long, vec array<double>, part int, away double"))
+    sizes, radius = np.zeros(len(chosen), np.int64), np.zeros(len(chosen))
+    for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect():  # a row for each part
+        sizes[r.part], radius[r.part] = r.n, r.r
+    pivots.sized(sizes, radius, 2 * size)
+    block = F.pmod(F.xxhash64("cell_id"), F.get(F.lit(pivots.blocks.tolist()), F.col("part")))
+    return dealt.select("cell_id", "vec", "part", block.cast("int").alias("block")), pivots
+
+
+def visits(bounded: DataFrame, pivots: Pivots) -> DataFrame:
+    """(cell_id, vec, bound, part, block) of every block that a point has to visit: those in reach but its own."""
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 1024):
+                some = pdf.iloc[at : at + 1024]
+                part, block, bound = some["part"].to_numpy(), some["block"].to_numpy(), some["bound"].astype(float).fillna(np.inf).to_numpy()
+                row, to = pivots.reached(rows_of(some["vec"]), part, bound)
+                copies = pivots.blocks[to]
+                k = np.repeat(np.arange(len(row)), copies)
+                into = np.arange(len(k)) - np.repeat(np.cumsum(copies) - copies, copies)
+                other = (to[k] != part[row[k]]) | (into != block[row[k]])
+                k, into = k[other], into[other]
+                for i in range(0, len(k), 20_000):
+                    here = slice(i, i + 20_000)
+                    yield some.iloc[row[k[here]]][["cell_id", "vec"]].assign(bound=bound[row[k[here]]], part=to[k[here]].astype(np.int32), block=into[here].astype(np.int32))
+
+    return bounded.mapInPandas(run, "cell_id long, vec array<double>, bound double, part int, block int")
+
+
+def own_parts(points: DataFrame, k: int, n: int) -> tuple[DataFrame, DataFrame, Pivots]:
+    """(edges within blocks, the points with the distance that their k-th neighbour can't exceed, the pivots)."""
+    dealt, pivots = dealt_parts(points, n)
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids = rows_of(pdf["vec"]), pdf["cell_id"].to_numpy()
+        return near_pairs(x, ids, x, ids, k)
+
+    first = cut(dealt.groupBy("part", "block").applyInPandas(inside, "src long, dst long, d double"))
+    bounds = first.groupBy(F.col("src").alias("cell_id")).agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("bound"))
+    return first, cut(dealt.join(bounds, "cell_id", "left")), pivots
+
+
 def knn_edges(points: DataFrame, k: int = 30) -> DataFrame:
     """src, dst, w (1): the k nearest other points by Euclidean distance, ties to the smaller id.
 
-    Exact. Points are dealt into blocks, and each pair of blocks is a group of its own, with the points of
-    one against those of the other; nothing passes through the driver. A group's distances come from matrix
-    products in tiles, and what could be among the nearest is measured again. A point keeps its best k of
-    each block, so the last window sees k rows for a point and block.
+    Exact. Points are dealt to the nearest of some pivots and first find the k nearest in their own part (a block
+    of it, where many points share a pivot). That bounds the distance of the k-th neighbour, and a point
+    visits only the parts that may hold something nearer. Where nothing can be pruned, as with random vectors of
+    many dimensions, every point visits every part, which is what comparing all of them takes. Groups
+    are bounded: blocks by the size of parts, visitors by slices. Nothing but the pivots passes through the driver.
     """
-    n = points.count()
-    size = min(max(BLOCK_ROWS[0], n // 50), BLOCK_ROWS[1])
-    blocks = max(1, -(-n // size))
-    own, every = F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = points.select("cell_id", "vec", own.alias("i"), every.alias("j"))
-    columns = points.select("cell_id", "vec", own.alias("j"), every.alias("i"))
-
-    def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "d": np.zeros(0)})]
-        if len(left) and len(right):
-            a, b = (np.array(x["vec"].tolist(), float).reshape(len(x), -1) for x in (left, right))
-            a_ids, b_ids = left["cell_id"].to_numpy(), right["cell_id"].to_numpy()
-            b_squares = (b * b).sum(1)
-            for at in range(0, len(a), TILE):
-                part, ids = a[at : at + TILE], a_ids[at : at + TILE]
-                squares = (part * part).sum(1)
-                rough = squares[:, None] + b_squares[None, :] - 2 * (part @ b.T)
-                rough[ids[:, None] == b_ids[None, :]] = np.inf
-                take = min(k, len(b))
-                edge = np.partition(rough, take - 1, axis=1)[:, take - 1]
-                # The product form is off by some units of the last place of the squares; distances tie at 9 digits.
-                slack = 1e-12 * (squares + b_squares.max()) + 4e-9 * np.sqrt(np.maximum(np.where(np.isfinite(edge), edge, 0), 0)) + 1e-15
-                r, c = np.nonzero((rough <= (edge + slack)[:, None]) & np.isfinite(rough))
-                d = np.sqrt(((part[r] - b[c]) ** 2).sum(1)).round(9)
-                order = np.lexsort((b_ids[c], d, r))
-                r, c, d = r[order], c[order], d[order]
-                first = np.searchsorted(r, r)
-                best = np.arange(len(r)) - first < k
-                out.append(pd.DataFrame({"src": ids[r[best]], "dst": b_ids[c[best]], "d": d[best]}))
-        return pd.concat(out)
-
-    found = rows.groupBy("i", "j").cogroup(columns.groupBy("i", "j")).applyInPandas(near, "src long, dst long, d double")
+    first, bounded, pivots = own_parts(points, k, points.count())
+    guests = visits(bounded, pivots)
+    counts = np.zeros((len(pivots.sizes), int(pivots.blocks.max(initial=1))), np.int64)
+    guests = cut(guests)
+    for r in guests.groupBy("part", "block").count().collect():  # a row for each block
+        counts[r.part, r.block] = r["count"]
+    slices = (1 + counts // VISITORS).tolist()
+    of = F.get(F.get(F.lit(slices), F.col("part")), F.col("block"))
+    guests = guests.withColumn("slice", F.pmod(F.xxhash64("cell_id"), of).cast("int"))
+    hosts = bounded.select("cell_id", "vec", "part", "block", F.explode(F.sequence(F.lit(0), (of - 1).cast("int"))).alias("slice"))
+
+    def meet(guest: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
+        return near_pairs(rows_of(guest["vec"]), guest["cell_id"].to_numpy(), rows_of(host["vec"]), host["cell_id"].to_numpy(), k, guest["bound"].to_numpy())
+
+    keys = ["part", "block", "slice"]
+    second = guests.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInPandas(meet, "src long, dst long, d double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
-    return found.withColumn("r", rank).where(F.col("r") <= k).select("src", "dst", F.lit(1.0).alias("w"))
+    return first.unionByName(second).withColumn("r", rank).where(F.col("r") <= k).select("src", "dst", F.lit(1.0).alias("w"))
+
+
+def compared_share(points: DataFrame, k: int = 30) -> DataFrame:
+    """One row: n points, parts, and the share of all pairs of points that ``knn_edges`` compares."""
+    n = points.count()
+    _, bounded, pivots = own_parts(points, k, n)
+    blocks = bounded.groupBy("part", "block").agg(F.count(F.lit(1)).alias("hosts"))
+    met = visits(bounded, pivots).groupBy("part", "block").agg(F.count(F.lit(1)).alias("guests"))
+    t = blocks.join(met, ["part", "block"], "left").select("part", "hosts", F.coalesce("guests", F.lit(0)).alias("guests"))
+    pairs = F.sum(F.col("hosts").cast("double") * (F.col("hosts") + F.col("guests")))
+    return t.agg(F.lit(n).alias("n"), F.count_distinct("part").alias("parts"), (pairs / (float(n) * n)).alias("share"))
 
 
 def label_edges(edges: DataFrame, labels: DataFrame, label: str = "archetype") -> DataFrame:
