@@ -329,55 +329,91 @@ def diagnose_transitions(transitions: DataFrame) -> DataFrame:
     return sums.crossJoin(gap)
 
 
-def fate_probabilities(transitions: DataFrame, terminal: DataFrame, rounds: int = 20_000, tolerance: float = 1e-6, every: int = 10, dense_edges: int = 100_000, growth: int = 100, least: int = 1_000_000) -> DataFrame:
+def fate_probabilities(transitions: DataFrame, terminal: DataFrame, rounds: int = 2_000, tolerance: float = 1e-6, dense_edges: int = 100_000) -> DataFrame:
     """cell_id, lineage, prob: the chance that a walk from the cell is absorbed by a lineage's terminal cells.
 
-    Graphs of up to ``dense_edges`` edges are solved at once, (I - Q) F = R. Larger ones are solved by
-    joins: the chain is squared as long as that makes at most ``growth`` rows an edge (or ``least``
-    rows), then F <- P F runs over those longer steps. Cells from which no terminal can be reached take
-    walks up as well, so each cell's chances add up to one in the end; what a sum lacks bounds the error
-    of its cell, and the loop ends when no cell lacks ``tolerance``. It raises if ``rounds`` don't get there.
-    Terminal cells have their own lineage with certainty.
+    F solves (I - Q) F = R over the cells that aren't terminal but lead to a terminal. Graphs of up to
+    ``dense_edges`` edges are solved at once. Larger ones are solved by BiCGStab on edge tables
+    (``krylov_fates``), whose memory and disk are those of the edges and a few vectors. Cells from which no
+    terminal can be reached have no fate, terminal cells have their own with certainty. It raises if
+    ``rounds`` don't bring the residual of each lineage below a thousandth of ``tolerance``.
     """
     few = transitions.limit(dense_edges + 1).toPandas()
+    ends = terminal.select("cell_id", F.col("archetype").alias("lineage")).distinct()
     if len(few) <= dense_edges:
-        return solved_fates(transitions.sparkSession, few, terminal.toPandas())
-    ends = terminal.select("cell_id")
-    chain = stepping(transitions, ends)
-    most = max(growth * chain.count(), least)
-    now = terminal.select("cell_id", F.col("archetype").alias("lineage"), F.lit(1.0).alias("prob")).checkpoint()
-    # Cells that lead to a terminal: the others keep what comes to them.
-    live, n = ends.distinct().checkpoint(), -1
-    while n != (n := live.count()):
-        more = chain.join(live.withColumnRenamed("cell_id", "dst"), "dst", "left_semi").select(F.col("src").alias("cell_id"))
-        live = live.unionByName(more).distinct().checkpoint()
-    cells = transitions.select(F.col("src").alias("cell_id")).unionByName(transitions.select(F.col("dst").alias("cell_id"))).distinct()
-    dead = cells.join(live, "cell_id", "left_anti").checkpoint()
-    chain = stepping(chain, dead)
-    now = now.unionByName(dead.select("cell_id", F.lit(None).cast("string").alias("lineage"), F.lit(1.0).alias("prob"))).checkpoint()
-    cells = cells.unionByName(ends).distinct().checkpoint()
-    squaring = True
-    for i in range(1, rounds + 1):
-        if squaring:
-            out = chain.groupBy(F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
-            squaring = chain.join(out, "dst").agg(F.sum("n")).first()[0] <= most
-        if squaring:
-            second = chain.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("p").alias("q"))
-            chain = chain.join(second, "dst").groupBy("src", F.col("end").alias("dst")).agg(F.sum(F.col("p") * F.col("q")).alias("p")).checkpoint()
-        now = chain.join(now.withColumnRenamed("cell_id", "dst"), "dst").groupBy(F.col("src").alias("cell_id"), "lineage").agg(F.sum(F.col("p") * F.col("prob")).alias("prob"))
-        if squaring or i % every == 0 or i == rounds:
-            now = now.checkpoint()
-            sums = now.groupBy("cell_id").agg(F.sum("prob").alias("s"))
-            lacks = cells.join(sums, "cell_id", "left").agg(F.max(1 - F.coalesce("s", F.lit(0.0)))).first()[0]
-            if lacks < tolerance:
-                return now.where(F.col("lineage").isNotNull())
-    raise RuntimeError(f"fates after {rounds} rounds: a cell lacks {lacks:.3g} of its probability")
-
-
-def stepping(transitions: DataFrame, ends: DataFrame) -> DataFrame:
-    """src, dst, p of the chain that stays where it is in the cells ``ends``."""
-    stay = ends.distinct().select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(1.0).alias("p"))
-    return transitions.select("src", "dst", "p").join(stay.select("src"), "src", "left_anti").unionByName(stay).checkpoint()
+        return solved_fates(transitions.sparkSession, few, terminal.toPandas())  # terminal cells of so few edges
+    return krylov_fates(transitions, cut(ends), rounds, tolerance / 1000)
+
+
+def leading(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """cell_id of the cells that lead to ``ends``, those included: found backwards, each round from the cells that the last one found."""
+    known = new = cut(ends.select("cell_id").distinct())
+    while True:
+        back = edges.join(new.withColumnRenamed("cell_id", "dst"), "dst", "left_semi").select(F.col("src").alias("cell_id")).distinct()
+        new = cut(back.join(known, "cell_id", "left_anti"))
+        if not new.take(1):
+            return known
+        known = cut(known.unionByName(new))
+
+
+def krylov_fates(transitions: DataFrame, ends: DataFrame, rounds: int, tolerance: float) -> DataFrame:
+    """The fates by BiCGStab, all lineages side by side as columns of one vector table.
+
+    A product with the matrix is one join of the edges with the vectors at their ends and a sum by
+    start. Scalar products of all lineages come from one row of sums. Each round writes the vectors twice
+    and reads them back; a lineage that has its residual stands still while others go on.
+    """
+    lineages = [r.lineage for r in ends.select("lineage").distinct().orderBy("lineage").collect()]  # a few
+    every = range(len(lineages))
+    edges = cut(transitions.select("src", "dst", "p").join(ends.select(F.col("cell_id").alias("src")), "src", "left_anti"))
+    moving = leading(edges, ends).join(ends, "cell_id", "left_anti")
+    inner = cut(edges.join(moving.withColumnRenamed("cell_id", "src"), "src", "left_semi").join(moving.withColumnRenamed("cell_id", "dst"), "dst", "left_semi"))
+    straight = edges.join(ends.select(F.col("cell_id").alias("dst"), "lineage"), "dst").groupBy("src").agg(*[F.sum(F.when(F.col("lineage") == l, F.col("p")).otherwise(0.0)).alias(f"r{i}") for i, l in enumerate(lineages)])
+    start = moving.join(straight.withColumnRenamed("src", "cell_id"), "cell_id", "left")
+    zero = F.lit(0.0)
+    now = cut(start.select("cell_id", *[c for i in every for c in (F.coalesce(f"r{i}", zero).alias(f"r{i}"), F.coalesce(f"r{i}", zero).alias(f"h{i}"), zero.alias(f"x{i}"), zero.alias(f"p{i}"), zero.alias(f"v{i}"))]))
+
+    def times(rows: DataFrame, of: str, to: str) -> DataFrame:
+        """``rows`` with the product of I - Q and their vectors ``of`` as ``to``."""
+        there = rows.select(F.col("cell_id").alias("dst"), *[f"{of}{i}" for i in every])
+        sums = inner.join(there, "dst").groupBy(F.col("src").alias("cell_id")).agg(*[F.sum(F.col("p") * F.col(f"{of}{i}")).alias(f"y{i}") for i in every])
+        return cut(rows.join(sums, "cell_id", "left").select(*[c for c in rows.columns if c not in {f"{to}{i}" for i in every}], *[(F.col(f"{of}{i}") - F.coalesce(f"y{i}", zero)).alias(f"{to}{i}") for i in every]))
+
+    def products(rows: DataFrame, *pairs: str) -> list[np.ndarray]:
+        r = rows.agg(*[F.coalesce(F.sum(F.col(f"{a}{i}") * F.col(f"{b}{i}")), zero) for a, b in pairs for i in every]).first()
+        return [np.array(r[k * len(lineages) : (k + 1) * len(lineages)], float) for k in range(len(pairs))]
+
+    ratio = lambda a, b: np.where(np.abs(b) > 1e-300, a / np.where(np.abs(b) > 1e-300, b, 1), 0.0)
+    (size,) = products(now, "rr")
+    rho, rho0, alpha, omega = size.copy(), np.ones_like(size), np.ones_like(size), np.ones_like(size)
+    norm, rest = np.sqrt(size), np.sqrt(size)
+    for _ in range(rounds):
+        busy = rest > tolerance * np.maximum(norm, 1e-300)
+        if not busy.any():
+            break
+        # Where the shadow vector has become useless, the lineage begins again from its residual.
+        again = busy & (np.abs(rho) < 1e-12 * rest * norm)
+        rho = np.where(again, rest**2, rho)
+        beta = np.where(again, 0.0, ratio(rho, rho0) * ratio(alpha, omega))
+        stepped = now.select("cell_id", *[c for i in every for c in (
+            F.col(f"r{i}"), F.col(f"r{i}" if again[i] else f"h{i}").alias(f"h{i}"), F.col(f"x{i}"),
+            (F.col(f"r{i}") + float(beta[i]) * (F.col(f"p{i}") - float(omega[i]) * F.col(f"v{i}"))).alias(f"p{i}"))])
+        half = times(stepped, "p", "v")
+        (hv,) = products(half, "hv")
+        alpha = np.where(busy, ratio(rho, hv), 0.0)
+        half = half.select("cell_id", *[c for i in every for c in (F.col(f"h{i}"), F.col(f"x{i}"), F.col(f"p{i}"), F.col(f"v{i}"), (F.col(f"r{i}") - float(alpha[i]) * F.col(f"v{i}")).alias(f"s{i}"))])
+        half = times(half, "s", "t")
+        ts, tt, ss, hs, ht = products(half, "ts", "tt", "ss", "hs", "ht")
+        omega = np.where(busy, ratio(ts, tt), 0.0)
+        now = half.select("cell_id", *[c for i in every for c in (
+            (F.col(f"s{i}") - float(omega[i]) * F.col(f"t{i}")).alias(f"r{i}"), F.col(f"h{i}"), (F.col(f"x{i}") + float(alpha[i]) * F.col(f"p{i}") + float(omega[i]) * F.col(f"s{i}")).alias(f"x{i}"), F.col(f"p{i}"), F.col(f"v{i}"))])
+        rho0, rho = rho, hs - omega * ht
+        rest = np.where(busy, np.sqrt(np.maximum(ss - 2 * omega * ts + omega * omega * tt, 0)), rest)
+    else:
+        raise RuntimeError(f"fates after {rounds} rounds: a residual of {float(rest.max()):.3g}")
+    entries = F.explode(F.array(*[F.struct(F.lit(l).alias("lineage"), F.greatest(F.col(f"x{i}"), zero).alias("prob")) for i, l in enumerate(lineages)])) if lineages else None
+    own = ends.select("cell_id", "lineage", F.lit(1.0).alias("prob"))
+    return own if entries is None else own.unionByName(now.select("cell_id", entries.alias("e")).select("cell_id", "e.*").where("prob > 1e-12"))
 
 
 def solved_fates(spark, edges: pd.DataFrame, ends: pd.DataFrame, most: int = 4000, sweeps: int = 1_000_000) -> DataFrame:
