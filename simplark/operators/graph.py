@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from simplark.functions import special
 from simplark.functions import vectors as V
@@ -488,17 +489,18 @@ def midranks(values: DataFrame, by: Sequence[str] = ("feature",), value: str = "
     return O.midranks(values, list(by), value, name)
 
 
+@F.pandas_udf(DoubleType())
+def correlation_tail(r: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p of a rank correlation over n rows, by Student's distribution."""
+    return pd.Series([special.student_two_sided(x * ((m - 2) / max(1e-300, 1 - x * x)) ** 0.5, m - 2) if x == x and m > 2 else float("nan") for x, m in zip(r, n, strict=True)])
+
+
 def spearman(values: DataFrame, target: DataFrame, min_n: int = 3) -> DataFrame:
     """feature, correlation, n, pvalue of each feature of (cell_id, feature, value) with target (cell_id, y)."""
     rows = cut(values.join(target, "cell_id"))
     ranked = midranks(midranks(rows, ("feature",), "value", "rx"), ("feature",), "y", "ry")
     out = ranked.groupBy("feature").agg(F.corr("rx", "ry").alias("correlation"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_n)
-
-    @F.pandas_udf("double")
-    def tail(r: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([special.student_two_sided(x * ((m - 2) / max(1e-300, 1 - x * x)) ** 0.5, m - 2) if x == x and m > 2 else float("nan") for x, m in zip(r, n, strict=True)])
-
-    return out.withColumn("pvalue", tail("correlation", F.col("n").cast("double")))
+    return out.withColumn("pvalue", correlation_tail("correlation", F.col("n").cast("double")))
 
 
 def lineage_drivers(values: DataFrame, fates: DataFrame, lineage: str, n_genes: int = 100) -> DataFrame:

@@ -11,6 +11,7 @@ from simplark.operators import graph as G
 from simplark.operators import patterns as P
 from simplark.operators import preprocess as R
 from simplark.operators import shape as H
+from simplark.operators import spatial as Y
 from simplark.operators import stats as S
 from simplark.plans import core_queries as C
 from simplark.plans import inputs as I
@@ -121,7 +122,23 @@ def r3_co_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r4_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = G.autocorrelation(edges(spark, sf_dir), I.dims(spark, sf_dir))
-    return t.select("feature", F.round("moran_i", 6).alias("moran_i"), F.round("geary_c", 6).alias("geary_c"), F.round("expected_i", 6).alias("expected_i"))
+    return t.select("feature", *[F.round(c, 6).alias(c) for c in ("moran_i", "geary_c", "expected_i", "pvalue")], F.round("z", 5).alias("z"))
+
+
+def r4_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of the operator's hundred permutations of all cells."""
+    return Y.permutation_test(edges(spark, sf_dir), I.dims(spark, sf_dir))
+
+
+def t16_cross_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = I.cells(spark, sf_dir).select("cell_id", F.col("label").alias("cell_type"))
+    t = Y.cross_correlations(edges(spark, sf_dir), cells, C.weights(spark, sf_dir), ["0", "1"])
+    return t.select("archetype", *[F.round(c, 6).alias(c) for c in ("spearman_r", "mean_weight_a", "mean_weight_b")], "n_cells")
+
+
+def r1_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of all pairs that the neighbour graph compares."""
+    return G.compared_share(I.cells(spark, sf_dir), NEIGHBOURS)
 
 
 def r5_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +281,7 @@ def g12_axis_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     t7_patterns, t8_pattern_associations, t9_exclusive_pairwise, t9_exclusive_one_vs_rest, t11_specialization, t12_tradeoffs, t12_group_tradeoffs, w9_order, g6_long_metrics, p15_log_if_raw, p25_colour, t13_mutual_exclusivity, r1_knn, r2_label_edges, r2_nhood_enrichment, r3_co_occurrence,
-    r4_autocorrelation, r5_boundaries, r6_fates, r7_high_purity, r8_pseudotimes, r9_transitions, r10_trajectory, r11_diagnose, r12_paga, t15_lineage_drivers, p11_log_p, p12_tfidf, p15_normalize, p15_variable_features,
+    r1_compared, r4_autocorrelation, r4_permutations, t16_cross_correlations, r5_boundaries, r6_fates, r7_high_purity, r8_pseudotimes, r9_transitions, r10_trajectory, r11_diagnose, r12_paga, t15_lineage_drivers, p11_log_p, p12_tfidf, p15_normalize, p15_variable_features,
     t14_aucell, a29_lsi, a30_pca, j3_members, k1_top_associations, k2_top_with_ties, k8_rescale, w5_rolling, w6_drift, w7_convergence, a26_metric_summaries, g4_folds, g12_axis_ranges,
 )}
 
@@ -344,8 +361,17 @@ ORACLE_SQL = {
         n AS (SELECT CAST(CASE WHEN d <= 0.02 THEN 0 WHEN d <= 0.05 THEN 1 ELSE 2 END AS INT) AS band, a, b, count(*) AS n FROM p WHERE d <= 0.1 GROUP BY 1, 2, 3)
         SELECT band, a, b, n, round((n / sum(n) OVER (PARTITION BY band, b)) / (sum(n) OVER (PARTITION BY band, a) / sum(n) OVER (PARTITION BY band)), 6) AS ratio FROM n""",
     "r4_autocorrelation": f"""WITH {I.CELLS}, {KNN}, {I.DIMS}, st AS (SELECT feature, avg(value) AS m, count(*) AS n, var_pop(value) * count(*) AS ss FROM dims GROUP BY 1),
-        s AS (SELECT x.feature, sum(w * (x.value - m) * (y.value - m)) AS zz, sum(w * (x.value - y.value) ** 2) AS dd, sum(w) AS ws FROM edges JOIN dims x ON x.cell_id = src JOIN dims y ON y.cell_id = dst AND y.feature = x.feature JOIN st ON st.feature = x.feature GROUP BY 1)
-        SELECT feature, round(n / ws * zz / ss, 6) AS moran_i, round((n - 1) / (2 * ws) * dd / ss, 6) AS geary_c, round(-1.0 / (n - 1), 6) AS expected_i FROM s JOIN st USING (feature)""",
+        s AS (SELECT x.feature, sum(w * (x.value - m) * (y.value - m)) AS zz, sum(w * (x.value - y.value) ** 2) AS dd, sum(w) AS ws FROM edges JOIN dims x ON x.cell_id = src JOIN dims y ON y.cell_id = dst AND y.feature = x.feature JOIN st ON st.feature = x.feature GROUP BY 1),
+        bw AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges) GROUP BY 1, 2),
+        k AS (SELECT (SELECT sum(w * w) / 2 FROM bw) AS s1, (SELECT sum(o * o) FROM (SELECT sum(w) AS o FROM bw GROUP BY src)) AS s2),
+        v AS (SELECT feature, n / ws * zz / ss AS i, (n - 1) / (2 * ws) * dd / ss AS c, -1.0 / (n - 1) AS e, (CAST(n AS DOUBLE) * n * s1 - n * s2 + 3 * ws * ws) / (ws * ws * (CAST(n AS DOUBLE) * n - 1)) - 1.0 / ((n - 1) * (n - 1)) AS v FROM s JOIN st USING (feature), k),
+        f AS (SELECT *, (i - e) / sqrt(v) AS z FROM v)
+        SELECT feature, round(i, 6) AS moran_i, round(c, 6) AS geary_c, round(e, 6) AS expected_i, round({special.two_sided_sql('z')}, 6) AS pvalue, round(z, 5) AS z FROM f""",
+    "t16_cross_correlations": f"""WITH {I.archetypes_sql()}, {C.WEIGHTS}, {KNN},
+        nb AS (SELECT src AS cell_id, label AS t, archetype_idx, avg(x) AS m FROM edges JOIN cells ON cells.cell_id = dst JOIN ws ON ws.cell_id = dst WHERE label IN ('0', '1') GROUP BY ALL),
+        ab AS (SELECT a.cell_id, a.archetype_idx, a.m AS a, b.m AS b FROM nb a JOIN nb b ON a.cell_id = b.cell_id AND a.archetype_idx = b.archetype_idx AND a.t = '0' AND b.t = '1'),
+        rk AS (SELECT *, rank() OVER (PARTITION BY archetype_idx ORDER BY a) + (count(*) OVER (PARTITION BY archetype_idx, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY archetype_idx ORDER BY b) + (count(*) OVER (PARTITION BY archetype_idx, b) - 1) / 2.0 AS rb FROM ab)
+        SELECT 'archetype_' || archetype_idx AS archetype, round(corr(ra, rb), 6) AS spearman_r, round(avg(a), 6) AS mean_weight_a, round(avg(b), 6) AS mean_weight_b, count(*) AS n_cells FROM rk GROUP BY archetype_idx HAVING count(*) > 50""",
     "r5_boundaries": f"""WITH {I.archetypes_sql()}, {C.WEIGHTS}, {KNN},
         nb AS (SELECT src AS cell_id, label AS t, archetype_idx, avg(x) AS m, count(*) AS n FROM edges JOIN cells ON cells.cell_id = dst JOIN ws ON ws.cell_id = dst WHERE label IN ('0', '1') GROUP BY ALL),
         pq AS (SELECT a.cell_id, a.archetype_idx, a.n AS n_a, b.n AS n_b, a.m / sum(a.m) OVER (PARTITION BY a.cell_id) AS p, b.m / sum(b.m) OVER (PARTITION BY a.cell_id) AS q FROM nb a JOIN nb b ON a.cell_id = b.cell_id AND a.archetype_idx = b.archetype_idx AND a.t = '0' AND b.t = '1'),
