@@ -201,23 +201,48 @@ def pair_distances(archetypes: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b), F.col("i") < F.col("j")).select("i", "j", V.distance(F.col("a"), F.col("b")).alias("distance"))
 
 
-def match_archetypes(true: Sequence[Sequence[float]], found: Sequence[Sequence[float]]) -> list[int]:
-    """For each true archetype the found one, at the least total distance (k up to 10 or so).
+def assignment(cost: np.ndarray) -> list[int]:
+    """For each row a column of its own at the least total cost (rows at most as many as columns).
 
-    A dynamic programme over subsets of the found ones.
+    The Hungarian method: rows join one by one along a shortest augmenting path under reduced costs, whose
+    search takes all columns at a time.
     """
-    cost = [[sum((a - b) ** 2 for a, b in zip(t, f, strict=True)) ** 0.5 for f in found] for t in true]
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for row in cost:
-        step: dict[int, tuple[float, list[int]]] = {}
-        for used, (total, path) in best.items():
-            for j, c in enumerate(row):
-                if not used >> j & 1:
-                    key, new = used | 1 << j, (total + c, [*path, j])
-                    if key not in step or new < step[key]:
-                        step[key] = new
-        best = step
-    return min(best.values())[1]
+    n, m = cost.shape
+    if n > m:
+        raise ValueError("more rows than columns")
+    of_row, of_column = np.zeros(n), np.zeros(m)
+    owner = np.full(m, -1)
+    for row in range(n):
+        reach, came, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        at, base, column = row, 0.0, -1
+        while True:
+            step = base + cost[at] - of_row[at] - of_column
+            better = ~done & (step < reach)
+            reach[better], came[better] = step[better], column
+            column = int(np.where(done, np.inf, reach).argmin())
+            base = reach[column]
+            if owner[column] < 0:
+                break
+            done[column] = True
+            at = owner[column]
+        seen = np.flatnonzero(done)
+        of_row[owner[seen]] += base - reach[seen]
+        of_row[row] += base
+        of_column[seen] -= base - reach[seen]
+        while column >= 0:  # turn the path round
+            before = came[column]
+            owner[column] = owner[before] if before >= 0 else row
+            column = before
+    out = [0] * n
+    for column in np.flatnonzero(owner >= 0).tolist():
+        out[owner[column]] = column
+    return out
+
+
+def match_archetypes(true: Sequence[Sequence[float]], found: Sequence[Sequence[float]]) -> list[int]:
+    """For each true archetype the found one, at the least total distance; there must be as many found ones at least."""
+    a, b = np.array(true, float), np.array(found, float)
+    return assignment(np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)))
 
 
 def recovery(true: Sequence[Sequence[float]], found: Sequence[Sequence[float]], tolerance: float = 0.5) -> dict:

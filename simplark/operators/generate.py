@@ -12,7 +12,7 @@ from simplark.functions import special
 from simplark.functions import vectors as V
 from simplark.operators import archetypes as A
 from simplark.operators import order as O
-from simplark.sources.shared import small
+from simplark.sources.shared import cut, small
 
 
 def dirichlet(k: int, seed: int) -> Column:
@@ -78,6 +78,43 @@ def sample_coordinates(cells: DataFrame, n: int, strategy: str = "uniform", clip
     )
 
 
+def held_out_box(cells: DataFrame, ranges: dict[int, float] | None = None, default: float = 0.3) -> dict[int, tuple[float, float]]:
+    """The lower and upper end in each given dimension of the box around the middle of the cells."""
+    ranges = {0: default, 1: default} if ranges is None else ranges
+    middle = {r.pos: ((r.lo + r.hi) / 2, ranges[r.pos] * (r.hi - r.lo) / 2) for r in bounds(cells) if r.pos in ranges}
+    return {pos: (mid - half, mid + half) for pos, (mid, half) in middle.items()}
+
+
+def mixtures_within(spark: SparkSession, n: int, archetypes: Sequence[Sequence[float]], box: dict[int, tuple[float, float]], seed: int = 0, most: int = 10) -> tuple[DataFrame, dict[str, int]]:
+    """(cell_id, attempt, weights, vec of ``n`` flat Dirichlet mixtures that lie in the box; how many were accepted and rejected until the last).
+
+    Attempts are numbered, and each one's weights come from hashes of its number, so they don't depend on
+    partitions. The first n measure how many are accepted, as many as that asks for are made, at most ``most``
+    times n, and accepted ones are numbered in order. With too few in all of these there are fewer rows.
+    """
+    k, dims = len(archetypes), len(archetypes[0])
+    uniform = lambda i: (F.shiftrightunsigned(F.xxhash64("attempt", F.lit(i), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    inside = F.lit(True)
+    for pos, (low, high) in box.items():
+        inside = inside & F.col("vec")[pos].between(low, high)
+
+    def accepted(attempts: int) -> DataFrame:
+        rows = spark.range(attempts).withColumnRenamed("id", "attempt").withColumn("e", F.array(*[-F.log(uniform(i)) for i in range(k)]))
+        rows = rows.select("attempt", scaled("e").alias("weights"))
+        exact = V.affine(F.col("weights"), [list(c) for c in zip(*archetypes, strict=True)], [0.0] * dims)
+        return rows.withColumn("vec", exact).where(inside)
+
+    first = accepted(n).count()
+    need = min(most * n, math.ceil(1.1 * n * n / max(first, 1) + 10 * math.sqrt(n)) if first < n else n)
+    for attempts in dict.fromkeys((need, most * n)):
+        placed = cut(O.places(accepted(attempts), [], ["attempt"], "cell_id"))
+        if (have := placed.count()) >= n or attempts == most * n:
+            break
+    out = placed.where(F.col("cell_id") < n).select("cell_id", "attempt", "weights", "vec")
+    tried = attempts if have < n else out.agg(F.max("attempt")).first()[0] + 1 if n else 0
+    return out, {"accepted": min(have, n), "rejected": tried - min(have, n)}
+
+
 def specialists(spark: SparkSession, archetype: Sequence[float], n: int, radius: float = 0.1, seed: int = 0) -> DataFrame:
     """cell_id, vec: points uniform in a ball around an archetype."""
     d = len(archetype)
@@ -88,12 +125,9 @@ def specialists(spark: SparkSession, archetype: Sequence[float], n: int, radius:
 
 def volumetric_holdout(cells: DataFrame, ranges: dict[int, float] | None = None, default: float = 0.3) -> DataFrame:
     """The cells with held_out: inside the box around the middle of the given dimensions' ranges."""
-    ranges = {0: default, 1: default} if ranges is None else ranges
     inside = F.lit(True)
-    for r in bounds(cells):
-        if r.pos in ranges:
-            mid, half = (r.lo + r.hi) / 2, ranges[r.pos] * (r.hi - r.lo) / 2
-            inside = inside & F.col("vec")[r.pos].between(mid - half, mid + half)
+    for pos, (low, high) in held_out_box(cells, ranges, default).items():
+        inside = inside & F.col("vec")[pos].between(low, high)
     return cells.withColumn("held_out", inside)
 
 

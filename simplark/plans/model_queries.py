@@ -80,6 +80,13 @@ def n1_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def n1_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many mixtures within the middle of the cells as there are cells."""
+    cells = I.cells(spark, sf_dir)
+    made, tries = N.mixtures_within(spark, cells.count(), I.archetypes(spark, sf_dir), N.held_out_box(cells, {0: 0.6, 1: 0.6}))
+    return made.select("cell_id", "attempt", *[F.col("vec")[i].alias(f"x{i}") for i in (0, 1)], F.lit(tries["rejected"]).alias("rejected"))
+
+
 def n2_specialists(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = I.archetypes(spark, sf_dir)[0]
     return N.specialists(spark, y, I.cells(spark, sf_dir).count()).select("cell_id", (V.distance(F.col("vec"), V.literal(y)) <= 0.1 + 1e-9).alias("inside"))
@@ -167,7 +174,7 @@ def s12_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.generated_table(made, y).select("name", "source", "archetype", F.round("nearest_distance", 6).alias("nearest_distance"))
 
 
-QUERIES = {f.__name__: f for f in (a1_train, a13_hull, a4_weights, a17_inflation, a18_autoencoder, a7_coordinates, c3_search, s3_synthetic, n1_samples, n2_specialists, n5_holdout, n6_gene_space, t17_ks, t18_feature_correlations, j8_nearest, t17_similarity, t17_components, t18_paired, t18_summary, t19_weights, n4_metrics, n7_generate_and_validate, s12_generated)}
+QUERIES = {f.__name__: f for f in (a1_train, a13_hull, a4_weights, a17_inflation, a18_autoencoder, a7_coordinates, c3_search, s3_synthetic, n1_samples, n1_within, n2_specialists, n5_holdout, n6_gene_space, t17_ks, t18_feature_correlations, j8_nearest, t17_similarity, t17_components, t18_paired, t18_summary, t19_weights, n4_metrics, n7_generate_and_validate, s12_generated)}
 
 HALVES = f"{I.CELLS}, re AS (SELECT * FROM cells WHERE CAST(label AS INT) % 2 = 0), ma AS (SELECT * FROM cells WHERE CAST(label AS INT) % 2 = 1)"
 NEAREST = f"""{HALVES}, dd AS (SELECT ma.cell_id AS src, re.cell_id AS dst, round(list_distance(ma.vec, re.vec), 9) AS distance, list_cosine_similarity(ma.vec, re.vec) AS cosine FROM ma, re),
