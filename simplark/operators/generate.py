@@ -168,8 +168,13 @@ def compare_coordinates(real: DataFrame, made: DataFrame) -> DataFrame:
     return ks_two_sample(both.select("generated", F.posexplode("vec").alias("feature", "value")))
 
 
-def generated_table(made: DataFrame, archetypes: Sequence[Sequence[float]], source: str = "generated", share: float = 0.1) -> DataFrame:
-    """Generated cells with their names, source, bins and distances."""
+def generated_table(made: DataFrame, archetypes: Sequence[Sequence[float]], source: str = "generated", share: float = 0.1, weights: str | None = None) -> DataFrame:
+    """Generated cells with their names, source, is_generated, bins and distances; of a column of ``weights`` also the dominant archetype and its weight."""
+    made = cut(made)
     binned = A.labels(A.bins(made, archetypes, share))
     d = A.distance_table(made, archetypes)
-    return made.join(binned, "cell_id").join(d, "cell_id").withColumns({"name": F.concat(F.lit(f"{source}_"), F.col("cell_id").cast("string")), "source": F.lit(source)})
+    out = made.join(binned, "cell_id").join(d, "cell_id").withColumns({"name": F.concat(F.lit(f"{source}_"), F.col("cell_id").cast("string")), "source": F.lit(source), "is_generated": F.lit(True)})
+    if weights is None:
+        return out
+    top = {"max_archetype_weight": F.array_max(weights), "dominant_archetype": F.concat(F.lit("archetype_"), (V.argmax(F.col(weights)) + 1).cast("string"))}
+    return out.withColumns(top)

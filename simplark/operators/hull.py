@@ -268,10 +268,32 @@ class ArchetypeModel(Model):
         return cls(tables.load_model(spark, path)[1]["archetypes"])
 
 
-def inflation_sweep(cells: DataFrame, archetypes: list[list[float]], factors: tuple[float, ...] = (1.0, 1.2, 1.5, 2.0, 3.0)) -> list[tuple[float, float]]:
-    """(factor, r2) of the archetypes moved outwards by each factor; one pass each."""
+def inflation_report(cells: DataFrame, archetypes: list[list[float]], factors: tuple[float, ...] = (1.0, 1.2, 1.5, 2.0, 3.0)) -> DataFrame:
+    """factor, archetype_r2, arch_loss (squared error a number), outside_data_count, mean, min and max_arch_distance of the archetypes moved outwards by each factor.
+
+    All factors share one pass over the cells for the fit, and one each for the cells' centre and their radius around it.
+    """
+    spark = cells.sparkSession
+    rows = cut(cells.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL"))
+    centre = np.array([r.m for r in rows.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()])  # one for each dimension
+    away = F.sqrt(V.squared_distance(F.col("vec"), V.literal(centre.tolist())))
+    n, radius, spread = rows.agg(F.count(F.lit(1)), F.max(away), F.sum(away * away)).first()
+    moved = [np.array(A.inflate(archetypes, f)) for f in factors]
+
+    def run(batches):
+        sse = np.zeros(len(moved))
+        for _, x in matrices(batches):
+            sse += [((x - simplex_weights(x, y) @ y) ** 2).sum() for y in moved]
+        yield found(np.arange(len(moved)), sse)
+
+    sums, _ = gathered(rows, run)
     out = []
-    for f in factors:
-        model = ArchetypeModel(A.inflate(archetypes, f))
-        out.append((f, A.r_squared(model.reconstruct(model.transform(cells))).first().r2))
-    return out
+    for i, (f, y) in enumerate(zip(factors, moved, strict=True)):
+        d = np.sqrt(((y - centre) ** 2).sum(1))
+        out.append((float(f), float(1 - sums[i] / max(spread, 1e-8)), float(sums[i] / (n * len(centre))), int((d > radius + 1e-12).sum()), float(d.mean()), float(d.min()), float(d.max())))
+    return spark.createDataFrame(out, "factor double, archetype_r2 double, arch_loss double, outside_data_count long, mean_arch_distance double, min_arch_distance double, max_arch_distance double")
+
+
+def inflation_sweep(cells: DataFrame, archetypes: list[list[float]], factors: tuple[float, ...] = (1.0, 1.2, 1.5, 2.0, 3.0)) -> list[tuple[float, float]]:
+    """(factor, r2) of the archetypes moved outwards by each factor."""
+    return [(r.factor, r.archetype_r2) for r in inflation_report(cells, archetypes, factors).orderBy("factor").collect()]  # a row each

@@ -61,22 +61,17 @@ def gram(values: DataFrame, names: list[str]) -> np.ndarray:
     at = {f: i for i, f in enumerate(names)}
     cells = values.groupBy("cell_id").agg(F.collect_list("feature").alias("f"), F.collect_list("value").alias("x"))
 
-    def add(batches):
+    def part(pdf: pd.DataFrame) -> np.ndarray:
         total = np.zeros((len(names), len(names)))
-        for pdf in batches:
-            for i in range(0, len(pdf), 512):
-                part = pdf.iloc[i : i + 512]
-                rows = np.zeros((len(part), len(names)))
-                for k, (fs, xs) in enumerate(zip(part["f"], part["x"], strict=True)):
-                    rows[k, [at[f] for f in fs]] = xs
-                total += rows.T @ rows
-        yield pd.DataFrame({"i": range(len(names)), "row": list(total)})
-
-    parts = cells.mapInPandas(add, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x"))
-    out = np.zeros((len(names), len(names)))
-    for r in parts.groupBy("i", "j").agg(F.sum("x").alias("x")).where("x <> 0").toLocalIterator():
-        out[r.i, r.j] = r.x
-    return out
+        for i in range(0, len(pdf), 512):
+            some = pdf.iloc[i : i + 512]
+            rows = np.zeros((len(some), len(names)))
+            for k, (fs, xs) in enumerate(zip(some["f"], some["x"], strict=True)):
+                rows[k, [at[f] for f in fs]] = xs
+            total += rows.T @ rows
+        return total
+
+    return added(cells, part, (len(names), len(names)))
 
 
 def added(rows: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:

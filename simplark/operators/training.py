@@ -23,6 +23,7 @@ from simplark.operators import archetypes as A
 from simplark.operators.hull import ArchetypeModel
 from simplark.operators.model import SAMPLE, Autoencoder, principal_hull, sample_matrix
 from simplark.sources import tables
+from simplark.sources.shared import cut
 
 #: What a step reports, in the order in which tasks add it up.
 METRICS = (
@@ -108,7 +109,7 @@ class AutoencoderEstimator(Estimator):
             raise ValueError("archetypes need at least 3 dimensions and no more archetypes than dimensions")
         start = A.inflate(principal_hull(x, self.k, 50).archetypes.tolist(), self.inflation)
         network = Autoencoder(np.array(start), self.hidden, self.seed, self.rate, **self.options)
-        rows = cells.select("vec").coalesce(self.replicas)
+        rows = cut(cells.select("vec").coalesce(self.replicas))  # each epoch reads it again
         spread = max(total_squares(rows), 1e-8)
         history: list[dict[str, float]] = []
         best, kept, waited = np.inf, network.flat(), 0

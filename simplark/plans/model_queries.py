@@ -40,8 +40,13 @@ def a4_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a17_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.inflation_sweep(I.cells(spark, sf_dir), I.archetypes(spark, sf_dir))
-    return spark.createDataFrame([(float(f), float(r)) for f, r in rows], "factor double, r2 double")
+    return L.inflation_report(I.cells(spark, sf_dir), I.archetypes(spark, sf_dir))
+
+
+def a17_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the moved archetypes lie, beside the cells."""
+    t = L.inflation_report(I.cells(spark, sf_dir), I.archetypes(spark, sf_dir), (1.0, 1.1, 1.5))
+    return t.select("factor", "outside_data_count", *[F.round(c, 6).alias(c) for c in ("mean_arch_distance", "min_arch_distance", "max_arch_distance")])
 
 
 def a18_autoencoder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,12 +174,13 @@ def n7_generate_and_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s12_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many mixtures of the table's archetypes as it has cells."""
     y = I.archetypes(spark, sf_dir)
-    made = N.convex_cells(spark, 300, y, 0.0, 7).select("cell_id", "vec")
-    return N.generated_table(made, y).select("name", "source", "archetype", F.round("nearest_distance", 6).alias("nearest_distance"))
+    made = N.convex_cells(spark, I.cells(spark, sf_dir).count(), y, 0.0, 7).select("cell_id", "vec", "true_weights")
+    return N.generated_table(made, y, weights="true_weights").select("name", "source", "is_generated", "archetype", "dominant_archetype", F.round("max_archetype_weight", 6).alias("max_archetype_weight"), F.round("nearest_distance", 6).alias("nearest_distance"))
 
 
-QUERIES = {f.__name__: f for f in (a1_train, a13_hull, a4_weights, a17_inflation, a18_autoencoder, a7_coordinates, c3_search, s3_synthetic, n1_samples, n1_within, n2_specialists, n5_holdout, n6_gene_space, t17_ks, t18_feature_correlations, j8_nearest, t17_similarity, t17_components, t18_paired, t18_summary, t19_weights, n4_metrics, n7_generate_and_validate, s12_generated)}
+QUERIES = {f.__name__: f for f in (a1_train, a13_hull, a4_weights, a17_inflation, a17_outside, a18_autoencoder, a7_coordinates, c3_search, s3_synthetic, n1_samples, n1_within, n2_specialists, n5_holdout, n6_gene_space, t17_ks, t18_feature_correlations, j8_nearest, t17_similarity, t17_components, t18_paired, t18_summary, t19_weights, n4_metrics, n7_generate_and_validate, s12_generated)}
 
 HALVES = f"{I.CELLS}, re AS (SELECT * FROM cells WHERE CAST(label AS INT) % 2 = 0), ma AS (SELECT * FROM cells WHERE CAST(label AS INT) % 2 = 1)"
 NEAREST = f"""{HALVES}, dd AS (SELECT ma.cell_id AS src, re.cell_id AS dst, round(list_distance(ma.vec, re.vec), 9) AS distance, list_cosine_similarity(ma.vec, re.vec) AS cosine FROM ma, re),
@@ -207,6 +213,11 @@ ORACLE_SQL = {
         r AS (SELECT f.i, sum((c.vec[f.i] - f.fit) ** 2) AS res, var_pop(c.vec[f.i]) * count(*) AS tot, count(*) AS n FROM f JOIN cells c USING (cell_id) GROUP BY 1), u AS (SELECT archetype_idx, avg(x) AS m FROM ws GROUP BY 1)
         SELECT (SELECT count(*) FROM u WHERE m > 0.01) AS n_effective, round(sum(res) / max(n), 6) AS archetypal_loss, round(1 - sum(res) / greatest(sum(tot), 1e-8), 6) AS archetypal_r2, round(sqrt(sum(res) / (max(n) * count(*))), 6) AS rmse,
             (SELECT round(-sum(m * ln(m + 1e-10)), 6) FROM u) AS usage_entropy FROM r""",
+    "a17_outside": f"""WITH {I.archetypes_sql()}, f AS (SELECT unnest([1.0::DOUBLE, 1.1, 1.5]) AS factor), m AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(vec[i]) AS m FROM cells, range(1, 65) t(i) GROUP BY i)),
+        a AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(y[i]) AS m FROM arch, range(1, 65) t(i) GROUP BY i)), r AS (SELECT max(list_distance(vec, c)) AS radius FROM cells, m),
+        y AS (SELECT factor, archetype_idx, list(a.c[i] + factor * (y[i] - a.c[i]) ORDER BY i) AS y FROM f, arch, a, range(1, 65) t(i) GROUP BY 1, 2),
+        d AS (SELECT factor, list_distance(y, m.c) AS d FROM y, m)
+        SELECT factor, count(*) FILTER (d > radius + 1e-12) AS outside_data_count, round(avg(d), 6) AS mean_arch_distance, round(min(d), 6) AS min_arch_distance, round(max(d), 6) AS max_arch_distance FROM d, r GROUP BY factor""",
     # The nearest point of a triangle: inside it, or on the best of its three edges.
     "a4_weights": f"""WITH {I.archetypes_sql(3)}, p AS (SELECT cell_id, vec, (SELECT y FROM arch WHERE archetype_idx = 0) AS a, (SELECT y FROM arch WHERE archetype_idx = 1) AS b, (SELECT y FROM arch WHERE archetype_idx = 2) AS c FROM cells),
         g AS (SELECT *, list_distance(a, b) ** 2 AS uu, list_distance(a, c) ** 2 AS vv, list_distance(b, c) ** 2 AS tt, list_distance(vec, a) ** 2 AS pa, list_distance(vec, b) ** 2 AS pb, list_distance(vec, c) ** 2 AS pc FROM p),
