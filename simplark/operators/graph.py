@@ -150,7 +150,10 @@ def knn_edges(points: DataFrame, k: int = 30) -> DataFrame:
     many dimensions, every point visits every part, which is what comparing all of them takes. Groups
     are bounded: blocks by the size of parts, visitors by slices. Nothing but the pivots passes through the driver.
     """
-    first, bounded, pivots = own_parts(points, k, points.count())
+    n = points.count()
+    if not n:
+        return points.sparkSession.createDataFrame([], "src long, dst long, w double")
+    first, bounded, pivots = own_parts(points, k, n)
     guests = visits(bounded, pivots)
     counts = np.zeros((len(pivots.sizes), int(pivots.blocks.max(initial=1))), np.int64)
     guests = cut(guests)
