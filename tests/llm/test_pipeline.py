@@ -74,9 +74,9 @@ def test_stages_keep_the_columns(spark, folder):
 
 def test_every_operator_is_registered(spark, folder):
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES} and "pipeline" in names
     path, rows, _ = folder
-    for name in ("op1_sentencepiece", "op3_toxicity", "op4_lm_score", "op5_exact_dedup", "op7_token_ids", "op8_sharding", "op9_simhash", "op10_language_id"):
+    for name in ("op1_sentencepiece", "op3_toxicity", "op4_lm_score", "op5_exact_dedup", "op7_token_ids", "op8_sharding", "op9_simhash", "op10_language_id", "op12_licenses", "op13_resample"):
         out = names[name](spark, path)
         assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(i for i, _, _ in rows), name
     assert [r.doc_id for r in names["op6_decontaminate"](spark, path).collect()] == [203]
