@@ -16,9 +16,10 @@ from simplark.operators import order as O
 from simplark.operators.archetypes import CENTRAL
 from simplark.sources.shared import cut, small
 
-#: Points of a part: at least, at most; between them a fiftieth of all. Visitors of a part that meet at a time.
-BLOCK_ROWS = (1_000, 20_000)
-VISITORS = 100_000
+#: Points of a part: at least, at most; between them a sixteenth of all, so that points which visit every part are
+#: sixteen rows each. Visitors of a part that meet at a time.
+BLOCK_ROWS = (500, 20_000)
+VISITORS = 20_000
 TILE = 256
 
 
@@ -86,7 +87,7 @@ class Pivots:
 
 def dealt_parts(points: DataFrame, n: int) -> tuple[DataFrame, Pivots]:
     """(cell_id, vec, part, block) of all points, written, and the pivots: points with the smallest hashes of their ids, about one for each part of the wanted size."""
-    size = min(max(BLOCK_ROWS[0], n // 50), BLOCK_ROWS[1])
+    size = min(max(BLOCK_ROWS[0], n // 16), BLOCK_ROWS[1])
     chosen = points.select("vec", F.xxhash64("cell_id").alias("h"), "cell_id").orderBy("h", "cell_id").limit(max(1, -(-n // size))).select("vec").toPandas()
     pivots = Pivots(rows_of(chosen["vec"]))
 
