@@ -16,15 +16,16 @@ it is there. Spark adds up the tasks' tables and averages their weights by the b
 has a fixed size (a few MB) and is broadcast, and scoring leaves it as it is.
 
 What grows with the corpus are the long contexts, which stay a Spark table. Texts are cut into
-segments where a word begins and the hash of the 16 bytes before it says so (one time in ``ANCHOR``).
+segments behind the first white space after a word where the hash of the last 16 bytes says so (one time
+in ``ANCHOR``): what stands before a place alone decides, so all texts' probabilities add up to one at most.
 A segment is predicted a second time, as a whole, from those 16 bytes (or from being the first of its
 text): by how often the training documents went on so. Both predictions are mixed with a weight that
 depends on how often the context occurred, learned from the training documents, each without itself.
 So a text that repeats what another one has costs next to nothing there, however large the corpus is.
 
-The baseline needs the count of every word. The most frequent words, at most ``FREQUENT`` of them,
-are broadcast; the other words of each document are joined with their counts. Hot contexts and
-segments are broadcast apart.
+The baseline needs the count of every word. The most frequent words, at most ``FREQUENT`` of them and
+``FREQUENT_BYTES`` in all, are broadcast; the other words of each document are joined with their counts.
+Hot words, contexts and segments are broadcast apart.
 
 Defined cases: null counts as the empty text, which has the end token and the end symbol; without
 training documents the model is uniform and every count is zero; a null doc_id isn't learned from
@@ -62,7 +63,8 @@ SCALE = 16
 LEAD = 64
 #: Bytes before a segment, and one in how many words begins one.
 LONG, ANCHOR = 16, 32
-FREQUENT = 500_000
+#: Words whose counts are broadcast, and their bytes.
+FREQUENT, FREQUENT_BYTES = 500_000, 1 << 25
 BLOCK_SLOTS = 1 << 15
 BUCKETS = 33
 RATE = 0.4
@@ -104,9 +106,9 @@ def blocks(texts: list, size: int = BLOCK):
     held, owner, start, total = [], [], [], 0
     for d, raw in enumerate(texts):
         whole = np.frombuffer(raw, np.uint8).astype(np.int16)
-        for at in range(0, max(1, len(whole)), BLOCK):
+        for at in range(0, len(whole) + 1, BLOCK):  # the end alone may be a part: whether one begins depends on what is before it
             lead, body = whole[max(0, at - LEAD) : at], whole[at : at + BLOCK]
-            last = int(at + BLOCK >= len(whole))
+            last = int(at + BLOCK > len(whole))
             held.append(np.concatenate((np.full(5, PAD, np.int16), lead, body, np.full(last, END, np.int16))))
             owner.append(np.concatenate((np.full(5 + len(lead), -1), np.full(len(body) + last, d))))
             begins = np.zeros(len(held[-1]), np.int8)
@@ -145,7 +147,7 @@ class Contexts:
 
     hashed: list[np.ndarray]  # by input, 32 bits
     key: np.ndarray  # one number for a symbol after the same last five bytes and the same word so far
-    anchors: np.ndarray  # where a word begins and the hash of the LONG bytes before it says that a segment does
+    anchors: np.ndarray  # places behind a word and one white space where the hash of the LONG bytes before says that a segment begins
     before: np.ndarray  # that hash
 
     @classmethod
@@ -188,7 +190,7 @@ def stretch(symbols: np.ndarray, lead: int) -> tuple[list[np.ndarray], np.ndarra
     full = mixed_up((sums[lead:n] - sums.take(start)) * down.take(start) + np.uint64(99))
     hashed.append((full >> np.uint64(32)).astype(np.uint32))
     key = mixed_up(path[lead:] * np.uint64(0xFF51AFD7ED558CCD) ^ full) * np.uint64(0xC2B2AE3D27D4EB4F) + s[lead:]
-    begin = np.flatnonzero(~white[1:] & white[:-1]) + 1
+    begin = np.flatnonzero(white[1:-1] & ~white[:-2]) + 2
     begin = begin[(begin >= lead) & (begin >= LONG)]
     before = mixed_up((sums[begin] - sums[begin - LONG]) * down[begin - LONG])
     chosen = before % np.uint64(ANCHOR) == 0
@@ -378,7 +380,8 @@ class MixingModel:
             origin = begin[np.searchsorted(begin, anchors, side="right") - 1]
             inside = (anchors > origin) & (owner.take(anchors) >= 0) & (anchors - origin + np.where(start.take(origin) == 1, LEAD, 0) >= LONG)
             places, which = np.unique(np.concatenate((begin, anchors[inside])), return_index=True)
-            context = np.concatenate((np.where(start[begin] == 2, 0, c.key.take(begin)).astype(np.uint64), c.before[inside])).take(which)
+            cut_off = c.key.take(begin) - (symbols.take(begin) + 1).astype(np.uint64)  # without the symbol itself
+            context = np.concatenate((np.where(start[begin] == 2, np.uint64(0), cut_off), c.before[inside])).take(which)
             up, down = powers(len(symbols))
             hashes = np.where(owner >= 0, c.key * up, np.uint64(0))
             found.append((owner.take(places), context, mixed_up(np.add.reduceat(hashes, places) * down.take(places)), np.add.reduceat(cost, places)))
@@ -541,17 +544,18 @@ def train_mixing(train: DataFrame, text: str, code: Code) -> MixingModel:
 
 
 def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[DataFrame, dict[bytes, int]]:
-    """(the rarer words, the counts of at most ``most`` words that are the most frequent).
+    """(the rarer words, the counts of at most ``most`` words of at most ``FREQUENT_BYTES`` in all that are the most frequent).
 
     The bound between them is a power of 2**(1/8), so a histogram of a few hundred rows finds it.
     """
     level = F.floor(F.log2("c") * 8).cast("int")
-    steps = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()
-    least, held = 1 << 30, 0
+    steps = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word")).alias("size")).orderBy(F.desc("level")).collect()
+    least, held, size = 1 << 30, 0, 0
     for r in steps:
-        if held + r.n > most:
+        held, size = held + r.n, size + r.size
+        if held > most or size > FREQUENT_BYTES:
             break
-        held, least = held + r.n, r.level
+        least = r.level
     top = counts.where(level >= least).toArrow()
     return counts.where(level < least), dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
 
@@ -603,7 +607,9 @@ def score(docs: DataFrame, learn: Column, held_out: Column, key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *arrays], schema.names)
 
     rows = written(shaped.mapInArrow(run, schema))
-    tail = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(rare, "word")
+    tail = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n")
+    met = tail.groupBy("word").agg(F.count(F.lit(1)).alias("texts")).join(rare, "word")  # unseen words end here
+    tail = join_keys(tail, met, ["word"], "texts")
     gained = repeated_segments(rows).select("row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("more_known"), "saved")
     by_row = (
         tail.select("row", (F.col("n") * (F.log10(F.col("c") + 0.5) - unseen)).alias("more"), F.col("n").cast("long").alias("more_known"), F.lit(0.0).alias("saved"))

@@ -1,5 +1,6 @@
 """Encoders, language ID, decontamination, toxicity and language-model scoring."""
 
+import itertools
 import math
 import random
 import zlib
@@ -414,6 +415,52 @@ def test_segments_cover_texts_and_repeat_with_them():
     assert (alone[1] == context[owner == 2]).all() and (alone[2] == segment[owner == 2]).all()
 
 
+def first_segments(model, texts):
+    """How many symbols (with the end) the first segment of each text has: they must cost one each."""
+    owner, _, _, cost = model.segments(texts)
+    return np.rint(cost[np.searchsorted(owner, np.arange(len(texts)))]).astype(int)
+
+
+@pytest.mark.parametrize("block", [3, 1 << 20])
+def test_first_segments_are_a_complete_code(monkeypatch, block):
+    """Over all texts of three letters, first segments by four equally likely symbols add up to one: bytes before a place alone end a segment."""
+    monkeypatch.setattr(lm_score, "LONG", 2)
+    monkeypatch.setattr(lm_score, "ANCHOR", 2)
+    monkeypatch.setattr(lm_score, "BLOCK", block)
+    monkeypatch.setattr(lm_score.blocks, "__defaults__", (block,))
+    model, _ = mixing([b"ab a"] * 4)
+    monkeypatch.setattr(lm_score.MixingModel, "costs", lambda self, symbols, hashed: np.ones(len(symbols)))
+    longest = 7
+    texts = [bytes(t) for n in range(longest + 1) for t in itertools.product(b"ab ", repeat=n)]
+    closed, still = set(), set()
+    for raw, size in zip(texts, first_segments(model, texts), strict=True):
+        if size <= len(raw):
+            closed.add(raw[:size])
+        else:
+            closed.add(raw + b"$")
+            if len(raw) == longest:
+                still.add(raw)  # three letters more may follow it
+    assert any(not s.endswith(b"$") for s in closed)
+    assert sum(4.0 ** -len(s) for s in closed) + 3 * sum(4.0 ** -(longest + 1) for _ in still) == 1
+
+
+def test_probabilities_of_a_small_language(spark, monkeypatch):
+    """After both predictions are mixed, all texts up to six letters have a probability of no more than one."""
+    monkeypatch.setattr(lm_score, "LONG", 2)
+    monkeypatch.setattr(lm_score, "ANCHOR", 1)
+    known = [b"ab a b", b"a  b a", b"b  a  "] * 6
+    model, _ = mixing(known)
+    texts = known + [bytes(t) for n in range(7) for t in itertools.product(b"ab ", repeat=n)]
+    owner, context, segment, cost = model.segments(texts)
+    rows = [(int(o), int(o) < len(known), [(int(c), int(s), float(b))]) for o, c, s, b in zip(owner, context.view(np.int64), segment.view(np.int64), cost, strict=True)]
+    df = spark.createDataFrame(rows, "row long, learned boolean, segments array<struct<context: long, segment: long, bits: float>>")
+    bits = np.bincount(owner, cost, len(texts))
+    for r in lm_score.repeated_segments(df).groupBy("row").agg(F.sum("saved").alias("saved")).collect():
+        bits[r.row] -= r.saved
+    new = slice(len(known), None)
+    assert (2.0 ** -np.bincount(owner, cost, len(texts))[new]).sum() < (2.0 ** -bits[new]).sum() <= 1
+
+
 def test_repeated_texts_cost_less(spark):
     r = random.Random(6)
     words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
