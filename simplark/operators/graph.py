@@ -233,27 +233,6 @@ def neighbourhood_enrichment(edges: DataFrame, labels: DataFrame, label: str = "
     return out.withColumn("z", F.when(F.col("std") > 1e-9, (F.col("n") - F.col("mean")) / F.col("std")))
 
 
-def co_occurrence(points: DataFrame, bands: Sequence[float], label: str = "archetype") -> DataFrame:
-    """band, a, b, ratio: how likely label a is at such a distance from label b, over how likely it is there at all.
-
-    Pairs come from a grid as wide as the largest band: a point meets only those of its own and
-    the eight next squares. Two-dimensional (x, y).
-    """
-    width = float(bands[-1])
-    grid = points.select("cell_id", F.col(label).alias("lab"), "x", "y", F.floor(F.col("x") / width).alias("gx"), F.floor(F.col("y") / width).alias("gy"))
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    near = grid.select("*", steps.alias("s")).select(
-        F.col("cell_id").alias("o_id"), F.col("lab").alias("b"), F.col("x").alias("ox"), F.col("y").alias("oy"), (F.col("gx") + F.col("s.dx")).alias("gx"), (F.col("gy") + F.col("s.dy")).alias("gy")
-    )
-    pairs = grid.join(near, ["gx", "gy"]).where(F.col("cell_id") != F.col("o_id"))
-    d = F.round(F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2), 9)
-    band = F.array_position(F.transform(F.lit([float(b) for b in bands]), lambda e: d <= e), True)
-    counts = pairs.select(band.alias("band"), F.col("lab").alias("a"), "b").where("band > 0").groupBy("band", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy("band"))
-    of_a, of_b = F.sum("n").over(Window.partitionBy("band", "a")), F.sum("n").over(Window.partitionBy("band", "b"))
-    return counts.select((F.col("band") - 1).cast("int").alias("band"), "a", "b", "n", ((F.col("n") / of_b) / (of_a / total)).alias("ratio"))
-
-
 def autocorrelation(edges: DataFrame, values: DataFrame) -> DataFrame:
     """feature, moran_i, geary_c, expected_i, z, pvalue (normal approximation) of long values (cell_id, feature, value)."""
     stats = values.groupBy("feature").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"), (F.var_pop("value") * F.count(F.lit(1))).alias("ss"))

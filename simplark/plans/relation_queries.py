@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from simplark.functions import special
 from simplark.operators import archetypes as A
 from simplark.operators import graph as G
+from simplark.operators import pairs as Q
 from simplark.operators import patterns as P
 from simplark.operators import preprocess as R
 from simplark.operators import shape as H
@@ -116,7 +117,7 @@ def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r3_co_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = G.co_occurrence(plane(spark, sf_dir), [0.02, 0.05, 0.1])
+    t = Q.co_occurrence(plane(spark, sf_dir), [0.02, 0.05, 0.1])
     return t.withColumn("ratio", F.round("ratio", 6))
 
 
