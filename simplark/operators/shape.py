@@ -10,9 +10,21 @@ from pyspark.sql import functions as F
 from simplark.operators import order as O
 
 #: Metrics of which less is better.
-LOWER_IS_BETTER = frozenset({"rmse", "val_rmse", "train_archetypal_loss", "convergence_epoch"})
-#: Other names of the fold metrics.
-METRIC_ALIASES = {"r2": "archetype_r2", "train_r2": "archetype_r2", "rmse": "val_rmse", "validation_rmse": "val_rmse", "loss": "train_archetypal_loss"}
+LOWER_IS_BETTER = frozenset({"rmse", "val_rmse", "train_rmse", "val_mae", "train_mae", "train_archetypal_loss", "convergence_epoch"})
+#: The names under which fold metrics are asked for, and their own.
+METRIC_ALIASES = {
+    "r2": "archetype_r2",
+    "archetype_r2": "archetype_r2",
+    "rmse": "val_rmse",
+    "val_rmse": "val_rmse",
+    "train_rmse": "train_rmse",
+    "mae": "val_mae",
+    "val_mae": "val_mae",
+    "train_mae": "train_mae",
+    "archetypal_loss": "train_archetypal_loss",
+    "train_archetypal_loss": "train_archetypal_loss",
+    "convergence_epoch": "convergence_epoch",
+}
 
 
 def finite(c: str) -> Column:
