@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import copy
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,14 +39,14 @@ def matrix(pdf: pd.DataFrame) -> np.ndarray:
     return np.array(pdf["vec"].tolist(), float).reshape(len(pdf), -1)
 
 
-def epoch_sums(rows: DataFrame, model: Autoencoder, epoch: int, batch: int, seed: int, train: bool = True) -> tuple[int, float, np.ndarray, np.ndarray]:
+def epoch_sums(rows: DataFrame, model: Autoencoder, epoch: int, batch: int, seed: int, train: bool = True, names: Sequence[str] = METRICS) -> tuple[int, float, np.ndarray, np.ndarray]:
     """(rows, squared error of ``model``, averaged metrics and state after each task's steps): one pass over all rows."""
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fixed, own = held.value, copy.deepcopy(held.value)
         own.rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
-        n, sse, sums = 0, 0.0, np.zeros(len(METRICS))
+        n, sse, sums = 0, 0.0, np.zeros(len(names))
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -54,13 +54,13 @@ def epoch_sums(rows: DataFrame, model: Autoencoder, epoch: int, batch: int, seed
             sse += float(((fixed.reconstruct(x) - x) ** 2).sum())
             for part in np.array_split(own.rng.permutation(len(x)), max(1, len(x) // batch)) if train else ():
                 seen = own.step(x[part])
-                sums += len(part) * np.array([seen[m] for m in METRICS])
+                sums += len(part) * np.array([seen[m] for m in names])
             n += len(x)
         if n:
             yield pd.DataFrame({"n": [n], "sse": [sse], "metrics": [sums], "state": [(own.flat() * n).tobytes()]})
 
     def add(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, sse, sums, state = 0, 0.0, np.zeros(len(METRICS)), 0.0
+        n, sse, sums, state = 0, 0.0, np.zeros(len(names)), 0.0
         for pdf in batches:
             n, sse = n + int(pdf["n"].sum()), sse + float(pdf["sse"].sum())
             for m, s in zip(pdf["metrics"], pdf["state"], strict=True):

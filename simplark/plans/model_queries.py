@@ -15,6 +15,7 @@ from simplark.operators import search as X
 from simplark.operators import shape as H
 from simplark.operators import training as T
 from simplark.operators import validate as D
+from simplark.operators import variational as E
 from simplark.plans import core_queries as C
 from simplark.plans import inputs as I
 
@@ -62,6 +63,12 @@ def a7_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("cell_id", "w", "latent", "log_var", V.distance(F.col("vec"), F.col("fitted")).alias("error"))
 
 
+def a23_variational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latent means of all cells by a plain variational autoencoder trained on them, and the error of their reconstruction."""
+    model = E.VariationalEstimator(I.K).fit(I.cells(spark, sf_dir))
+    return model.transform(I.cells(spark, sf_dir)).select("cell_id", "latent", "log_var", "error")
+
+
 def c3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = X.search(I.cells(spark, sf_dir), X.SearchConfig())
     return H.fold_summary(folds, ["config_id", "n_archetypes", "hidden_dims", "inflation"])
@@ -180,7 +187,7 @@ def s12_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.generated_table(made, y, weights="true_weights").select("name", "source", "is_generated", "archetype", "dominant_archetype", F.round("max_archetype_weight", 6).alias("max_archetype_weight"), F.round("nearest_distance", 6).alias("nearest_distance"))
 
 
-QUERIES = {f.__name__: f for f in (a1_train, a13_hull, a4_weights, a17_inflation, a17_outside, a18_autoencoder, a7_coordinates, c3_search, s3_synthetic, n1_samples, n1_within, n2_specialists, n5_holdout, n6_gene_space, t17_ks, t18_feature_correlations, j8_nearest, t17_similarity, t17_components, t18_paired, t18_summary, t19_weights, n4_metrics, n7_generate_and_validate, s12_generated)}
+QUERIES = {f.__name__: f for f in (a1_train, a13_hull, a4_weights, a17_inflation, a17_outside, a18_autoencoder, a7_coordinates, a23_variational, c3_search, s3_synthetic, n1_samples, n1_within, n2_specialists, n5_holdout, n6_gene_space, t17_ks, t18_feature_correlations, j8_nearest, t17_similarity, t17_components, t18_paired, t18_summary, t19_weights, n4_metrics, n7_generate_and_validate, s12_generated)}
 
 HALVES = f"{I.CELLS}, re AS (SELECT * FROM cells WHERE CAST(label AS INT) % 2 = 0), ma AS (SELECT * FROM cells WHERE CAST(label AS INT) % 2 = 1)"
 NEAREST = f"""{HALVES}, dd AS (SELECT ma.cell_id AS src, re.cell_id AS dst, round(list_distance(ma.vec, re.vec), 9) AS distance, list_cosine_similarity(ma.vec, re.vec) AS cosine FROM ma, re),
