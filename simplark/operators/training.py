@@ -78,6 +78,12 @@ def epoch_sums(rows: DataFrame, model: Autoencoder, epoch: int, batch: int, seed
     return n, float(found["sse"][0]), np.array(found["metrics"][0]) / n, np.frombuffer(found["state"][0]) / n
 
 
+def moved(before: np.ndarray, after: np.ndarray) -> dict[str, float]:
+    """How far an epoch moved the archetypes: mean, largest, variance, and each one."""
+    steps = np.linalg.norm(after - before, axis=1)
+    return {"drift": float(steps.mean()), "drift_max": float(steps.max()), "drift_variance": float(steps.var()), **{f"drift_archetype_{i}": float(d) for i, d in enumerate(steps, 1)}}
+
+
 def total_squares(rows: DataFrame) -> float:
     """Squared distances of all values to the mean of their component."""
     by = rows.select(F.posexplode("vec").alias("pos", "x")).groupBy("pos").agg((F.var_pop("x") * F.count("x")).alias("s"))
@@ -129,8 +135,7 @@ class AutoencoderEstimator(Estimator):
                 break
             before = network.effective().copy()
             network.restore(state)
-            drift = float(np.linalg.norm(network.effective() - before, axis=1).mean())
-            history.append({"epoch": epoch, **{m: float(v) for m, v in zip(METRICS, metrics, strict=True)}, "drift": drift, "rate": network.rate})
+            history.append({"epoch": epoch, **{m: float(v) for m, v in zip(METRICS, metrics, strict=True)}, **moved(before, network.effective()), "rate": network.rate})
         network.restore(kept)
         return AutoencoderModel(network, self.hidden, self.options, history)
 

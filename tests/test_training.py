@@ -111,3 +111,14 @@ def test_singular_vectors_against_numpy(spark):
     assert np.allclose(np.abs(got.T @ want), np.eye(3), atol=1e-4)
     with pytest.raises(RuntimeError):
         R.right_vectors(v, 1, rounds=1, tolerance=0.0)
+
+
+def test_drift_of_each_archetype(spark, mixed):
+    """Every epoch reports how far each archetype moved, and the history's own summary of them."""
+    cells, _ = mixed
+    model = T.AutoencoderEstimator(3, epochs=3, hidden=(8,), batch=64).fit(cells)
+    for h in model.history:
+        each = np.array([h[f"drift_archetype_{i}"] for i in (1, 2, 3)])
+        assert np.isclose(h["drift"], each.mean()) and np.isclose(h["drift_max"], each.max()) and np.isclose(h["drift_variance"], each.var()) and (each > 0).all()
+    steps = T.moved(np.zeros((2, 2)), np.array([[3.0, 4.0], [0.0, 0.0]]))
+    assert steps == {"drift": 2.5, "drift_max": 5.0, "drift_variance": 6.25, "drift_archetype_1": 5.0, "drift_archetype_2": 0.0}
