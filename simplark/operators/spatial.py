@@ -21,10 +21,11 @@ from simplark.operators import order as O
 from simplark.sources.shared import cut
 
 ROUNDS = 4
-#: Numbers (cells x features) that travel with tasks; beyond, partners' values are joined.
-HELD = 4_000_000
-#: Edges that a task works on at a time.
-STRETCH = 4096
+#: Numbers (cells x features) that travel with tasks; beyond, blocks of so many meet in pairs, of so many cells at least.
+HELD, LEAST_ROWS = 4_000_000, 16
+#: Edges that a task works on at a time, that are dealt to blocks at a time, and times permutations of a group.
+STRETCH, DEALT, GROUP_EDGES = 1024, 65_536, 4_000_000
+SUMS = "p int, f int, near double, apart double"
 
 
 def mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -83,30 +84,82 @@ def permuted_sums(edges: DataFrame, table: DataFrame, n: int, features: int, per
                 a, b = (i, j) if p < 0 else (partners(i, n, p, seed), partners(j, n, p, seed))
                 yield p, w, values.value[a], values.value[b]
 
-        rows = edges.select("i", "j", "w")
-    else:
+        return totals(edges.select("i", "j", "w").mapInArrow(edge_sums(z_of, permutations, features), SUMS))
+    return totals(dealt_sums(edges, table, n, features, permutations, seed, max(LEAST_ROWS, held // features)))
 
-        def deal(batches):
-            for batch in (b.slice(k, STRETCH) for b in batches for k in range(0, b.num_rows, STRETCH)):
-                own = batch.column(0).to_numpy()
-                for p in range(-1, permutations):
-                    to = own if p < 0 else partners(own, n, p, seed)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(own), p, np.int32)), pa.array(to)], names=["number", "p", "partner"])
 
-        sent = table.select("number").mapInArrow(deal, "number long, p int, partner long")
-        have = cut(sent.join(table.withColumnRenamed("number", "partner"), "partner").select("number", "p", "z"))
-        one = have.select(F.col("number").alias("i"), "p", F.col("z").alias("a"))
-        two = have.select(F.col("number").alias("j"), "p", F.col("z").alias("b"))
-        rows = edges.join(one, "i").join(two, ["j", "p"]).select("p", "w", "a", "b")
+def totals(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("p", "f").agg(F.sum("near").alias("near"), F.sum("apart").alias("apart"))
 
-        def z_of(batch):
-            p, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
-            a, b = (batch.column(c).flatten().to_numpy().reshape(len(p), features) for c in (2, 3))
-            for one in np.unique(p):
-                at = p == one
-                yield int(one), w[at], a[at], b[at]
 
-    return rows.mapInArrow(edge_sums(z_of, permutations, features), "p int, f int, near double, apart double").groupBy("p", "f").agg(F.sum("near").alias("near"), F.sum("apart").alias("apart"))
+def dealt_sums(edges: DataFrame, table: DataFrame, n: int, features: int, permutations: int, seed: int, rows: int) -> DataFrame:
+    """``permuted_sums`` where no task holds the whole table: blocks of ``rows`` cells meet in pairs.
+
+    An edge goes, for each permutation, to the blocks of its two partners: as two packed numbers and a weight, so that
+    values never travel with edges. A group is a pair of blocks and some permutations, about ``GROUP_EDGES`` edges.
+    """
+    blocks = -(-n // rows)
+    chunks = min(permutations + 1, max(1, -(-edges.count() * (permutations + 1) // (GROUP_EDGES * blocks * (blocks + 1) // 2))))
+    each = -(-(permutations + 1) // chunks)
+
+    def stretches(batches):
+        some, size = [], 0
+        for batch in (b.slice(k, DEALT) for b in batches for k in range(0, b.num_rows, DEALT)):
+            some.append(batch)
+            size += batch.num_rows
+            if size >= DEALT:
+                yield pa.Table.from_batches(some)
+                some, size = [], 0
+        if some:
+            yield pa.Table.from_batches(some)
+
+    def deal(batches):
+        for stretch in stretches(batches):
+            i, j, w = (stretch.column(c).to_numpy() for c in range(3))
+            (i, of_i), (j, of_j) = (np.unique(x, return_inverse=True) for x in (i, j))
+            for first in range(-1, permutations, each):
+                for p in range(first, min(first + each, permutations)):
+                    a, b = ((x if p < 0 else partners(x, n, p, seed))[at] for x, at in ((i, of_i), (j, of_j)))
+                    a, b = np.minimum(a, b), np.maximum(a, b)
+                    key = a // rows * blocks + b // rows
+                    order = np.argsort(key, kind="stable")
+                    key, a, b = key[order], (a % rows).astype(np.int32)[order], (b % rows).astype(np.int32)[order]
+                    starts = np.flatnonzero(np.diff(key, prepend=-1))
+                    ends, x = np.append(starts[1:], len(key)), w[order]
+                    one, two = np.divmod(key[starts], blocks)
+                    packed = [[v[s:e].tobytes() for s, e in zip(starts, ends, strict=True)] for v in (a, b, x)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(one, pa.int32()), pa.array(two, pa.int32()), pa.array(np.full(len(starts), (first + 1) // each, np.int32)), pa.array(np.full(len(starts), p, np.int32)), *(pa.array(v, pa.binary()) for v in packed)],
+                        names=["one", "two", "chunk", "p", "a", "b", "w"],
+                    )
+
+    sent = edges.select("i", "j", "w").mapInArrow(deal, "one int, two int, chunk int, p int, a binary, b binary, w binary")
+    block = F.floor(F.col("number") / rows).cast("int")
+    # A block meets itself and all others, as the first or the second of a pair.
+    meets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, block).alias("one"), F.greatest(o, block).alias("two")))
+    held = table.select(F.explode(meets).alias("pair"), block.alias("block"), (F.col("number") - block * rows).cast("int").alias("at"), "z")
+    held = held.select("pair.*", F.explode(F.sequence(F.lit(0), F.lit(-(-(permutations + 1) // each) - 1))).alias("chunk"), "block", "at", "z")
+
+    def meet(key: tuple, values: pa.Table, links: pa.Table) -> pa.Table:
+        one, two = key[0].as_py(), key[1].as_py()
+        z = {k: np.zeros((rows if k < blocks - 1 else n - k * rows, features)) for k in (one, two)}
+        for batch in values.to_batches():
+            own, at, x = batch.column("block").to_numpy(), batch.column("at").to_numpy(), batch.column("z").flatten().to_numpy().reshape(batch.num_rows, features)
+            for k in z:
+                z[k][at[own == k]] = x[own == k]
+        near, apart = np.zeros((permutations + 1, features)), np.zeros((permutations + 1, features))
+        for p, *packed in zip(*(links.column(c) for c in ("p", "a", "b", "w")), strict=True):
+            a, b, w = (np.frombuffer(v.as_buffer(), t) for v, t in zip(packed, (np.int32, np.int32, float), strict=True))
+            for k in range(0, len(w), STRETCH):
+                x, y, s = z[one][a[k : k + STRETCH]], z[two][b[k : k + STRETCH]], w[k : k + STRETCH]
+                near[p.as_py() + 1] += s @ (x * y)
+                apart[p.as_py() + 1] += s @ (x - y) ** 2
+        some = np.unique(links.column("p").to_numpy()) if links.num_rows else np.zeros(0, int)
+        p, f = np.repeat(some, features), np.tile(np.arange(features), len(some))
+        return pa.table({"p": pa.array(p, pa.int32()), "f": pa.array(f, pa.int32()), "near": near[some + 1].ravel(), "apart": apart[some + 1].ravel()})
+
+    keys = ["one", "two", "chunk"]
+    return held.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(meet, SUMS)
 
 
 def permutation_test(edges: DataFrame, values: DataFrame, permutations: int = 100, seed: int = 0, held: int = HELD) -> DataFrame:

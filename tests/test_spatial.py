@@ -50,6 +50,28 @@ def test_permutation_test_equals_numpy(spark, held):
     assert got["f0"].moran_p_sim < 0.05 < got["f1"].moran_p_sim
 
 
+def test_large_tables_permute_without_values_beside_edges(spark):
+    from pathlib import Path
+
+    rng = np.random.default_rng(3)
+    n, perms, features = 300, 40, 8
+    z = rng.normal(size=(n, features))
+    ends = np.column_stack((np.repeat(np.arange(n), 4), rng.integers(0, n, 4 * n)))
+    links = spark.createDataFrame([(int(i), int(j), 1.0 + int(i) % 3) for i, j in ends], "i long, j long, w double").repartition(3)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)], "number long, z array<double>")
+    written = lambda: sum(f.stat().st_size for f in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).rglob("*") if f.is_file())
+    before = written()
+    got = {(r.p, r.f): (r.near, r.apart) for r in Y.permuted_sums(links, table, n, features, perms, 2, held=64 * features).collect()}
+    assert written() - before < 8 * n * perms * features / 10  # the partners' values would be ten times that
+    assert len(got) == (perms + 1) * features
+    w = 1.0 + ends[:, 0] % 3
+    for p in (-1, 0, perms - 1):
+        to = np.arange(n) if p < 0 else Y.partners(np.arange(n), n, p, 2)
+        a, b = z[to[ends[:, 0]]], z[to[ends[:, 1]]]
+        for f in range(features):
+            assert got[p, f] == pytest.approx(((w * a[:, f] * b[:, f]).sum(), (w * (a[:, f] - b[:, f]) ** 2).sum()))
+
+
 def test_cross_correlations_need_more_than_fifty_cells(spark):
     rng = np.random.default_rng(1)
     cells = [(i, "a" if i % 3 == 0 else "b" if i % 3 == 1 else "c") for i in range(90)]
