@@ -38,13 +38,15 @@ def same(a: str, b: str, columns: Sequence[str]) -> Column:
     return reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns], F.lit(True))
 
 
-def kth_values(values: DataFrame, by: Sequence[str], column: str, wanted: DataFrame, rounds: int = 60) -> DataFrame:
+def kth_values(values: DataFrame, by: Sequence[str], column: str, wanted: DataFrame, rounds: int = 60, written: bool = False) -> DataFrame:
     """by, k, value: the k-th smallest value (from 0) of each row of ``wanted`` (by, k: long).
 
-    Values that are null or NaN don't count. Places that a group doesn't have give no row.
+    Values that are null or NaN don't count. Places that a group doesn't have give no row. Values that are ``written``
+    already are read again by each pass instead of being written once more.
     """
     x = F.col(column).cast("double")
-    rows = cut(values.select(*by, x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x")))
+    rows = values.select(*by, x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    rows = rows if written else cut(rows)
     names = [*by, "k"]
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("size"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     asked = wanted.select(*by, F.col("k").cast("long").alias("k")).distinct().alias("w").join(sizes.alias("s"), same("w", "s", by))
@@ -92,13 +94,13 @@ def kth_values(values: DataFrame, by: Sequence[str], column: str, wanted: DataFr
     raise RuntimeError(f"order statistics haven't been found after {rounds} passes")
 
 
-def quantiles(values: DataFrame, by: Sequence[str], column: str, shares: Sequence[float]) -> DataFrame:
+def quantiles(values: DataFrame, by: Sequence[str], column: str, shares: Sequence[float], written: bool = False) -> DataFrame:
     """by, share, value: exact quantiles, between two values in proportion; groups without values give no row."""
     x = F.col(column).cast("double")
     sizes = values.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
     at = cut(sizes.select(*by, F.explode(F.lit([float(s) for s in shares])).alias("share"), "size").select(*by, "share", ((F.col("size") - 1) * F.col("share")).alias("at")))
     lower, upper = F.floor("at"), F.ceil("at")
-    values_at = small(kth_values(values, by, column, at.select(*by, F.explode(F.array(lower, upper)).alias("k"))))
+    values_at = small(kth_values(values, by, column, at.select(*by, F.explode(F.array(lower, upper)).alias("k")), written=written))
     one = at.alias("a").join(values_at.alias("l"), same("a", "l", by) & (F.floor("a.at") == F.col("l.k")))
     both = one.join(values_at.alias("u"), same("a", "u", by) & (F.ceil("a.at") == F.col("u.k")))
     between = F.when(F.col("l.k") == F.col("u.k"), F.col("l.value")).otherwise((F.col("u.k") - F.col("a.at")) * F.col("l.value") + (F.col("a.at") - F.col("l.k")) * F.col("u.value"))
