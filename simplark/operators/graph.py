@@ -20,35 +20,56 @@ from simplark.sources.shared import cut, small
 #: sixteen rows each. Visitors of a part that meet at a time.
 BLOCK_ROWS = (500, 20_000)
 VISITORS = 20_000
-TILE = 256
+#: Rows of either side that are compared at a time.
+TILE = (256, 4096)
 
 
 def near_pairs(left: np.ndarray, ids: np.ndarray, right: np.ndarray, others: np.ndarray, k: int, bound: np.ndarray | None = None) -> pd.DataFrame:
     """src, dst, d: for each left row its k nearest right rows (at most ``bound`` away), itself left out, ties to the smaller id.
 
-    Distances come from matrix products in tiles, and what could be among the nearest is measured again.
+    Distances come from matrix products in tiles of both sides, and what could be among the nearest is measured again.
+    A row's k-th distance so far bounds its next tile, so that most of a tile is compared once and dropped.
     """
-    out = [pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "d": np.zeros(0)})]
+    empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    out = [empty]
     if len(left) and len(right):
         right_squares = (right * right).sum(1)
-        take = min(k, len(right))
-        for at in range(0, len(left), TILE):
-            part, own = left[at : at + TILE], ids[at : at + TILE]
-            squares = (part * part).sum(1)
-            rough = squares[:, None] + right_squares[None, :] - 2 * (part @ right.T)
-            rough[own[:, None] == others[None, :]] = np.inf
-            edge = np.partition(rough, take - 1, axis=1)[:, take - 1]
-            if bound is not None:
-                edge = np.minimum(edge, bound[at : at + TILE] ** 2)
-            # The product form is off by some units of the last place of the squares; distances tie at 9 digits.
-            slack = 1e-12 * (squares + right_squares.max()) + 4e-9 * np.sqrt(np.maximum(np.where(np.isfinite(edge), edge, 0), 0)) + 1e-15
-            r, c = np.nonzero((rough <= (edge + slack)[:, None]) & np.isfinite(rough))
-            d = np.sqrt(((part[r] - right[c]) ** 2).sum(1)).round(9)
-            order = np.lexsort((others[c], d, r))
-            r, c, d = r[order], c[order], d[order]
-            best = np.arange(len(r)) - np.searchsorted(r, r) < k
-            out.append(pd.DataFrame({"src": own[r[best]], "dst": others[c[best]], "d": d[best]}))
-    return pd.concat(out)
+        most = right_squares.max()
+        wide = np.hstack((-2 * right, right_squares[:, None])).T
+        for at in range(0, len(left), TILE[0]):
+            part, own = left[at : at + TILE[0]], ids[at : at + TILE[0]]
+            squares, tall = (part * part).sum(1), np.hstack((part, np.ones((len(part), 1))))
+            edge = np.full(len(part), np.inf) if bound is None else bound[at : at + TILE[0]].astype(float)
+            r, c, d = empty
+            for to in range(0, len(right), TILE[1]):
+                rough = tall @ wide[:, to : to + TILE[1]]
+                width = rough.shape[1]
+                # The product form is off by some units of the last place of the squares; distances tie at 9 digits.
+                slack = 1e-12 * (squares + most) + 1e-15
+                with np.errstate(invalid="ignore"):
+                    top = np.where(np.isfinite(edge), edge**2 + 4e-9 * edge - squares, np.inf)
+                if width > k and not np.isfinite(edge).all():
+                    open_rows = np.flatnonzero(~np.isfinite(edge))
+                    # One more than k, for the row itself.
+                    kth = np.partition(rough[open_rows], k, axis=1)[:, k]
+                    top[open_rows] = kth + 4e-9 * np.sqrt(np.maximum(kth + squares[open_rows], 0))
+                x, y = np.divmod(np.flatnonzero(rough <= (top + slack)[:, None]), width)
+                y = y + to
+                other = own[x] != others[y]
+                x, y = x[other], y[other]
+                new = np.sqrt(((part[x] - right[y]) ** 2).sum(1)).round(9)
+                if not len(new):
+                    continue
+                r, c, d = np.concatenate((r, x)), np.concatenate((c, y)), np.concatenate((d, new))
+                order = np.lexsort((others[c], d, r))
+                r, c, d = r[order], c[order], d[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                last = place == k - 1
+                edge[r[last]] = np.minimum(edge[r[last]], d[last])
+                r, c, d = (v[place < k] for v in (r, c, d))
+            out.append((own[r], others[c], d))
+    src, dst, d = (np.concatenate(v) for v in zip(*out, strict=True))
+    return pd.DataFrame({"src": src, "dst": dst, "d": d})
 
 
 def rows_of(column: pd.Series) -> np.ndarray:
@@ -171,7 +192,7 @@ def knn_edges(points: DataFrame, k: int = 30) -> DataFrame:
     keys = ["part", "block", "slice"]
     second = guests.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInPandas(meet, "src long, dst long, d double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
-    return first.unionByName(second).withColumn("r", rank).where(F.col("r") <= k).select("src", "dst", F.lit(1.0).alias("w"))
+    return cut(first.unionByName(second).withColumn("r", rank).where(F.col("r") <= k).select("src", "dst", F.lit(1.0).alias("w")))
 
 
 def compared_share(points: DataFrame, k: int = 30) -> DataFrame:

@@ -33,6 +33,23 @@ def test_pruned_neighbours_are_exact(spark, kind, monkeypatch):
     assert got == brute(x, k)
 
 
+def test_large_parts_meet_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 8))
+    x[50:80] = x[7]
+    ids = np.arange(len(x))
+    tracemalloc.start()
+    got = G.near_pairs(x[:300], ids[:300], x, ids, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6  # a whole tile of distances to all rows would be 41 MB, and there were several
+    d = np.sqrt(((x[:300, None] - x[None]) ** 2).sum(2)).round(9)
+    d[ids[:300], ids[:300]] = np.inf
+    assert {(r.src, r.dst) for r in got.itertuples()} == {(i, int(j)) for i in range(300) for j in np.lexsort((ids, d[i]))[:5]}
+
+
 def test_clusters_are_pruned(spark, monkeypatch):
     monkeypatch.setattr(G, "BLOCK_ROWS", (50, 50))
     rng = np.random.default_rng(4)
