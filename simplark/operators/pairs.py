@@ -12,6 +12,8 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from simplark.sources.shared import cut
 
 #: A pair of squares opens to its points when they make at most so many pairs; levels at most.
 OPEN_PAIRS, DEPTH = 4096, 40
+#: Pairs of points that a task measures at a time.
+MEASURED = 1 << 17
 SQUARE = ("sx", "sy", "points", "counts", "x0", "x1", "y0", "y1")
 COUNTS = "band int, la int, lb int, once boolean, n long"
 
@@ -81,16 +85,43 @@ def products(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"band": band, "la": la, "lb": lb, "once": once, "n": n[la, lb]})
 
 
-def opened(pairs: DataFrame, places: DataFrame, level: int, edges: Sequence[float]) -> DataFrame:
-    """Pairs by label and band of the points of pairs of squares."""
+def opened(pairs: DataFrame, places: DataFrame, level: int, edges: Sequence[float], n_labels: int) -> DataFrame:
+    """Pairs by label and band of the points of pairs of squares: each row of a task holds the points of two squares, and is counted in place."""
     keys = pairs.select(F.col("a_sx").alias("sx"), F.col("a_sy").alias("sy")).unionByName(pairs.select(F.col("b_sx").alias("sx"), F.col("b_sy").alias("sy"))).distinct()
     at = [F.floor(F.col(c) * float(2**level)).cast("long").alias(s) for c, s in (("qx", "sx"), ("qy", "sy"))]
-    inside = places.select("x", "y", "lab", "n", *at).join(keys, ["sx", "sy"], "left_semi").groupBy("sx", "sy").agg(F.collect_list(F.struct("x", "y", "lab", "n")).alias("held"))
+    lists = [F.col(f"held.{c}").alias(c) for c in ("x", "y", "lab", "n")]
+    inside = places.select("x", "y", "lab", "n", *at).join(keys, ["sx", "sy"], "left_semi").groupBy("sx", "sy").agg(F.collect_list(F.struct("x", "y", "lab", "n")).alias("held")).select("sx", "sy", *lists)
     both = pairs.select("a_sx", "a_sy", "b_sx", "b_sy", "once").join(side(inside, "a"), ["a_sx", "a_sy"]).join(side(inside, "b"), ["b_sx", "b_sy"])
-    points = both.select("once", "b_held", F.explode("a_held").alias("a")).select("once", "a", F.explode("b_held").alias("b"))
-    d = F.round(F.sqrt((F.col("a.x") - F.col("b.x")) ** 2 + (F.col("a.y") - F.col("b.y")) ** 2), 9)
-    found = points.select(band_of(d, edges).alias("band"), F.col("a.lab").alias("la"), F.col("b.lab").alias("lb"), "once", (F.col("a.n") * F.col("b.n")).alias("n")).where("band > 0")
-    return found.groupBy("band", "la", "lb", "once").agg(F.sum("n").alias("n"))
+    bands = np.array(edges)
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(bands) + 1, n_labels, n_labels, 2), np.int64)
+        for batch in batches:
+            once = batch.column("once").to_numpy(zero_copy_only=False)
+            flat = {s: [batch.column(f"{s}_{c}").flatten().to_numpy(zero_copy_only=False) for c in ("x", "y", "lab", "n")] for s in "ab"}
+            sizes = {s: pc.list_value_length(batch.column(f"{s}_x")).to_numpy(zero_copy_only=False).astype(np.int64) for s in "ab"}
+            first = {s: np.cumsum(sizes[s]) - sizes[s] for s in "ab"}
+            # Every point of a's squares, once for a run of so many points of b's: at most ``MEASURED`` pairs at a time.
+            row = np.repeat(np.arange(batch.num_rows), sizes["a"])
+            many = sizes["b"][row]
+            ends = np.cumsum(many)
+            k = 0
+            while k < len(row):
+                to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + MEASURED, "right")))
+                some, reach = row[k:to], many[k:to]
+                for skip in range(0, max(1, int(reach.max(initial=0))), MEASURED) if to == k + 1 else (0,):
+                    length = np.minimum(reach - skip, MEASURED) if to == k + 1 else reach
+                    i = np.repeat(np.arange(k, to), length)
+                    j = np.arange(len(i)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(first["b"][some] + skip, length)
+                    (ax, ay, al, an), (bx, by, bl, bn) = flat["a"], flat["b"]
+                    d = np.sqrt((ax[i] - bx[j]) ** 2 + (ay[i] - by[j]) ** 2).round(9)
+                    at_once = np.ravel_multi_index((np.searchsorted(bands, d), al[i], bl[j], once[row[i]].astype(int)), sums.shape)
+                    np.add.at(sums.ravel(), at_once, an[i] * bn[j])
+                k = to
+        band, la, lb, alone = np.nonzero(sums[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(band + 1, pa.int32()), pa.array(la, pa.int32()), pa.array(lb, pa.int32()), pa.array(alone == 1), pa.array(sums[band, la, lb, alone], pa.int64())], names=["band", "la", "lb", "once", "n"])
+
+    return both.select("once", *[f"{s}_{c}" for s in "ab" for c in ("x", "y", "lab", "n")]).mapInArrow(measure, COUNTS)
 
 
 def co_occurrence(points: DataFrame, bands: Sequence[float], label: str = "archetype", open_pairs: int = OPEN_PAIRS) -> DataFrame:
@@ -119,7 +150,7 @@ def co_occurrence(points: DataFrame, bands: Sequence[float], label: str = "arche
         pairs = cut(judged(first_pairs(found) if rest is None else next_pairs(rest, found), edges))
         whole = pairs.where("from = to").select(F.col("from").alias("band"), "once", "a_counts", "b_counts").mapInPandas(products, COUNTS)
         few = (F.col("a_points") * F.col("b_points") <= open_pairs) | F.lit(level == DEPTH)
-        part = whole.unionByName(opened(pairs.where((F.col("from") != F.col("to")) & few), places, level, edges))
+        part = whole.unionByName(opened(pairs.where((F.col("from") != F.col("to")) & few), places, level, edges, n_labels))
         part = cut(part.groupBy("band", "la", "lb", "once").agg(F.sum("n").alias("n")))
         mirrored = part.where("NOT once").select("band", F.col("lb").alias("la"), F.col("la").alias("lb"), "n")
         counts = counts.unionByName(part.drop("once")).unionByName(mirrored)

@@ -45,3 +45,18 @@ def test_pairs_of_nothing(spark):
     assert pairs.co_occurrence(one, [1.0]).count() == 0
     with pytest.raises(ValueError, match="bands"):
         pairs.co_occurrence(one, [])
+
+
+@pytest.mark.parametrize("measured", [7, 1 << 17])
+def test_points_of_open_squares_are_measured_in_place(spark, monkeypatch, measured):
+    """No row for each pair of points, and the same counts however few pairs a task takes at a time."""
+    monkeypatch.setattr(pairs, "MEASURED", measured)
+    made = []
+    plain = pairs.opened
+    monkeypatch.setattr(pairs, "opened", lambda *a: made.append(plain(*a)) or made[-1])
+    r = np.random.default_rng(6)
+    rows = [("ab"[int(k)], float(x), float(y)) for k, x, y in zip(r.integers(0, 2, 90), *r.uniform(0, 1, (2, 90)))]
+    bands = [0.1, 0.3]
+    found = pairs.co_occurrence(spark.createDataFrame(rows, "archetype string, x double, y double"), bands).collect()
+    assert {(f.band, f.a, f.b): f.n for f in found} == dict(all_pairs(rows, bands))
+    assert made and not any("Generate" in m._jdf.queryExecution().executedPlan().toString() for m in made)
