@@ -12,6 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from simplark.sources.shared import cut
+
 
 def quality(values: DataFrame) -> DataFrame:
     """cell_id, n_features, total."""
@@ -151,8 +153,10 @@ def lsi(values: DataFrame, n_components: int = 50, drop_first: bool = True, dens
 
     Up to ``dense_features`` features the Gramian is added up on Spark and decomposed at once; more go through
     ``right_vectors``, which gives the same vectors within its tolerance. The largest loading of each is positive.
+    The values are made once and written, as are those of TF-IDF, which all passes read.
     """
-    t = tfidf(values)
+    values = cut(values)
+    t = cut(tfidf(values))
     names = [r.feature for r in t.select("feature").distinct().orderBy("feature").limit(dense_features + 1).collect()]
     width = t.select("feature").distinct().count() if len(names) > dense_features else len(names)
     k = max(1, min(n_components, width - 2, t.select("cell_id").distinct().count() - 2))
@@ -160,7 +164,6 @@ def lsi(values: DataFrame, n_components: int = 50, drop_first: bool = True, dens
         _, vectors = np.linalg.eigh(gram(t, names))
         loadings = values.sparkSession.createDataFrame([(f, r.tolist()) for f, r in zip(names, vectors[:, ::-1][:, :k], strict=True)], "feature string, v array<double>")
     else:
-        t = t.checkpoint()
         loadings = right_vectors(t, k).checkpoint()
     sign = loadings.agg(*[F.max_by(F.col("v")[i], F.struct(F.round(F.abs(F.col("v")[i]), 9), "feature")) for i in range(k)]).first()
     turn = [-1.0 if s is not None and s < 0 else 1.0 for s in sign]
