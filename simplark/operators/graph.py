@@ -350,12 +350,17 @@ def fate_probabilities(transitions: DataFrame, terminal: DataFrame, rounds: int
     return krylov_fates(transitions, cut(ends), rounds, tolerance / 1000)
 
 
+def met(cells: DataFrame) -> DataFrame:
+    """``cells`` for joins that are repeated: both sides are shuffled, so no round sends a table of all cells through the driver."""
+    return cells.hint("merge")
+
+
 def leading(edges: DataFrame, ends: DataFrame) -> DataFrame:
     """cell_id of the cells that lead to ``ends``, those included: found backwards, each round from the cells that the last one found."""
     known = new = cut(ends.select("cell_id").distinct())
     while True:
-        back = edges.join(new.withColumnRenamed("cell_id", "dst"), "dst", "left_semi").select(F.col("src").alias("cell_id")).distinct()
-        new = cut(back.join(known, "cell_id", "left_anti"))
+        back = edges.join(met(new.withColumnRenamed("cell_id", "dst")), "dst", "left_semi").select(F.col("src").alias("cell_id")).distinct()
+        new = cut(back.join(met(known), "cell_id", "left_anti"))
         if not new.take(1):
             return known
         known = cut(known.unionByName(new))
@@ -366,23 +371,24 @@ def krylov_fates(transitions: DataFrame, ends: DataFrame, rounds: int, tolerance
 
     A product with the matrix is one join of the edges with the vectors at their ends and a sum by
     start. Scalar products of all lineages come from one row of sums. Each round writes the vectors twice
-    and reads them back; a lineage that has its residual stands still while others go on.
+    and reads them back; a lineage that has its residual stands still while others go on. No join broadcasts
+    the vectors, however few: the driver gets sums and lineages only.
     """
     lineages = [r.lineage for r in ends.select("lineage").distinct().orderBy("lineage").collect()]  # a few
     every = range(len(lineages))
-    edges = cut(transitions.select("src", "dst", "p").join(ends.select(F.col("cell_id").alias("src")), "src", "left_anti"))
-    moving = leading(edges, ends).join(ends, "cell_id", "left_anti")
-    inner = cut(edges.join(moving.withColumnRenamed("cell_id", "src"), "src", "left_semi").join(moving.withColumnRenamed("cell_id", "dst"), "dst", "left_semi"))
-    straight = edges.join(ends.select(F.col("cell_id").alias("dst"), "lineage"), "dst").groupBy("src").agg(*[F.sum(F.when(F.col("lineage") == l, F.col("p")).otherwise(0.0)).alias(f"r{i}") for i, l in enumerate(lineages)])
-    start = moving.join(straight.withColumnRenamed("src", "cell_id"), "cell_id", "left")
+    edges = cut(transitions.select("src", "dst", "p").join(met(ends.select(F.col("cell_id").alias("src"))), "src", "left_anti"))
+    moving = cut(leading(edges, ends).join(met(ends), "cell_id", "left_anti"))
+    inner = cut(edges.join(met(moving.withColumnRenamed("cell_id", "src")), "src", "left_semi").join(met(moving.withColumnRenamed("cell_id", "dst")), "dst", "left_semi"))
+    straight = edges.join(met(ends.select(F.col("cell_id").alias("dst"), "lineage")), "dst").groupBy("src").agg(*[F.sum(F.when(F.col("lineage") == l, F.col("p")).otherwise(0.0)).alias(f"r{i}") for i, l in enumerate(lineages)])
+    start = moving.join(met(straight.withColumnRenamed("src", "cell_id")), "cell_id", "left")
     zero = F.lit(0.0)
     now = cut(start.select("cell_id", *[c for i in every for c in (F.coalesce(f"r{i}", zero).alias(f"r{i}"), F.coalesce(f"r{i}", zero).alias(f"h{i}"), zero.alias(f"x{i}"), zero.alias(f"p{i}"), zero.alias(f"v{i}"))]))
 
     def times(rows: DataFrame, of: str, to: str) -> DataFrame:
         """``rows`` with the product of I - Q and their vectors ``of`` as ``to``."""
         there = rows.select(F.col("cell_id").alias("dst"), *[f"{of}{i}" for i in every])
-        sums = inner.join(there, "dst").groupBy(F.col("src").alias("cell_id")).agg(*[F.sum(F.col("p") * F.col(f"{of}{i}")).alias(f"y{i}") for i in every])
-        return cut(rows.join(sums, "cell_id", "left").select(*[c for c in rows.columns if c not in {f"{to}{i}" for i in every}], *[(F.col(f"{of}{i}") - F.coalesce(f"y{i}", zero)).alias(f"{to}{i}") for i in every]))
+        sums = inner.join(met(there), "dst").groupBy(F.col("src").alias("cell_id")).agg(*[F.sum(F.col("p") * F.col(f"{of}{i}")).alias(f"y{i}") for i in every])
+        return cut(rows.join(met(sums), "cell_id", "left").select(*[c for c in rows.columns if c not in {f"{to}{i}" for i in every}], *[(F.col(f"{of}{i}") - F.coalesce(f"y{i}", zero)).alias(f"{to}{i}") for i in every]))
 
     def products(rows: DataFrame, *pairs: str) -> list[np.ndarray]:
         r = rows.agg(*[F.coalesce(F.sum(F.col(f"{a}{i}") * F.col(f"{b}{i}")), zero) for a, b in pairs for i in every]).first()

@@ -57,3 +57,21 @@ def test_clusters_are_pruned(spark, monkeypatch):
     r = G.compared_share(table(spark, x), 5).first()
     assert r.n == 1000 and r.share < 0.4
     assert G.compared_share(table(spark, rng.normal(size=(200, 32))), 5).first().share <= 1
+
+
+def test_fates_by_joins_broadcast_no_vectors(spark, monkeypatch):
+    n = 6
+    steps = [(i, j, 0.5) for i in range(1, n - 1) for j in (i - 1, i + 1)] + [(0, 0, 1.0), (n - 1, n - 1, 1.0)]
+    ends = spark.createDataFrame([(0, "a"), (n - 1, "b")], "cell_id long, archetype string")
+    plans = []
+
+    def noted(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    cut = G.cut
+    monkeypatch.setattr(G, "cut", noted)
+    got = {(r.cell_id, r.lineage): r.prob for r in G.fate_probabilities(spark.createDataFrame(steps, "src long, dst long, p double"), ends, dense_edges=0).collect()}
+    assert all(abs(got[i, "b"] - i / (n - 1)) < 1e-5 for i in range(1, n))
+    assert len(plans) > 4 and not [p for p in plans if "Broadcast" in p]
