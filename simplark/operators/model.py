@@ -252,7 +252,8 @@ class Autoencoder:
         grad = 2 * (self.y - some[d.argmin(0)]) + 0.5 * ((over > 0).astype(float) - (under > 0))
         return float(loss / k), grad / k, d.min(0)
 
-    def step(self, x: np.ndarray) -> dict[str, float]:
+    def step(self, x: np.ndarray, report: bool = True) -> dict[str, float]:
+        """One step of Adam; the loss and, with ``report``, all other metrics of the batch."""
         held: list = []
         acts, mu, logvar = self.encode(x, held)
         eps = self.rng.normal(size=mu.shape)
@@ -271,7 +272,7 @@ class Autoencoder:
         soft = self.softmax(usage[None])[0]
         regular = float(-np.log(k) - np.log(soft).mean()) / k
         sparse = float((a * np.log(a + 1e-8)).mean())
-        off, d_off, far = self.near_data(x)
+        off, d_off, far = self.near_data(x) if report or self.manifold else (0.0, 0.0, None)
         g_used, g_decoder = a.T @ d_out, []
         if self.decoder:
             first, second = self.decoder
@@ -298,6 +299,8 @@ class Autoencoder:
             back = back @ self.layers[i].w.T
         self.adam([*grads, *heads, gy, *g_norms, *g_decoder])
         total = 0.9 * loss + 0.1 * kl + self.diversity * near.sum() / pairs + self.regularity * regular + self.sparsity * sparse + self.manifold * off
+        if not report:
+            return {"loss": float(total)}
         return {
             "loss": float(total), "rmse": float(loss**0.5), "kld": float(kl), "archetypal_loss": float(loss), "diversity_loss": float(near.sum() / pairs), "regularity_loss": regular, "sparsity_loss": sparse,
             "manifold_loss": off, "archetype_entropy": float(-(usage * np.log(usage + 1e-8)).sum()), "max_archetype_usage": float(usage.max()), "min_archetype_usage": float(usage.min()),

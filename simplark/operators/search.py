@@ -83,7 +83,7 @@ def search_epoch(rows: DataFrame, models: dict[int, tuple[int, Autoencoder]], ep
             for key, (out, net) in own.items():
                 mine = np.flatnonzero(fold != out)
                 for some in np.array_split(net.rng.permutation(mine), max(1, len(mine) // batch)) if len(mine) else ():
-                    loss[key] += len(some) * net.step(x[some])["loss"]
+                    loss[key] += len(some) * net.step(x[some], report=False)["loss"]
                 n[key] += len(mine)
         for key, (_, net) in own.items():
             if n[key]:

@@ -69,3 +69,12 @@ def test_search_of_nothing(spark, cells):
 
 def test_metric_names():
     assert len(H.METRIC_ALIASES) == 11 and set(H.METRIC_ALIASES.values()) == {"archetype_r2", "val_rmse", "train_rmse", "val_mae", "train_mae", "train_archetypal_loss", "convergence_epoch"}
+
+
+def test_steps_without_report_train_alike_and_measure_no_batch(monkeypatch):
+    x = np.random.default_rng(3).normal(size=(40, 5))
+    nets = [Autoencoder(x[:3].copy(), (8,), 1, 3e-3) for _ in range(2)]
+    want = [nets[0].step(x)["loss"] for _ in range(3)]
+    monkeypatch.setattr(Autoencoder, "near_data", None)
+    assert [nets[1].step(x, report=False)["loss"] for _ in range(3)] == want
+    assert (nets[0].flat() == nets[1].flat()).all()
