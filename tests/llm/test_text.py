@@ -500,3 +500,20 @@ def test_lm_without_training_documents(spark):
     out = lm_score.score(docs, F.lit(False), F.lit(True)).collect()
     assert len(out) == 5 and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in out)
     assert lm_score.score(docs.limit(0), F.lit(True), F.lit(False)).count() == 0
+
+
+def test_places_of_unchecked_lookups_are_within_their_tables(monkeypatch):
+    texts = [t.lower().encode() for t in ODD]
+    code = lm_score.Code(*lm_score.huffman(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=257)))
+
+    def learned():
+        learner = lm_score.Learner(code)
+        for _ in range(2):
+            learner.learn(texts)
+        model = lm_score.MixingModel(code, learner.logits, learner.weights, np.linspace(-1, 1, 257 * lm_score.BUCKETS).astype(np.float32))
+        return [*learner.tables, learner.weights, learner.map, model.bits(texts)]
+
+    free = learned()
+    assert lm_score.FREE == "wrap"
+    monkeypatch.setattr(lm_score, "FREE", "raise")
+    assert all((a == b).all() for a, b in zip(free, learned(), strict=True))
