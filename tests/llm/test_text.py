@@ -517,3 +517,29 @@ def test_places_of_unchecked_lookups_are_within_their_tables(monkeypatch):
     assert lm_score.FREE == "wrap"
     monkeypatch.setattr(lm_score, "FREE", "raise")
     assert all((a == b).all() for a, b in zip(free, learned(), strict=True))
+
+
+def test_bits_laid_depth_by_depth_against_a_loop():
+    r = random.Random(8)
+    symbols = np.array([r.choice([97, 98, 99, 99, 101, 200, 256]) for _ in range(300)], np.int16)
+    code = lm_score.Code(*lm_score.huffman(np.bincount(symbols, minlength=257)))
+    hashed = np.array([r.getrandbits(32) for _ in symbols], np.uint32)
+    keys = hashed.astype(np.uint64) << np.uint64(32) | symbols.astype(np.uint64)
+    both = [np.concatenate((x, x[::2])) for x in (keys, hashed, symbols)]
+    dealt = lm_score.Dealt.of(both[0], both[1], code.rank.take(both[2]), 64)
+    assert len(dealt.edges) > 3 and dealt.edges[-1] == len(dealt.begins) == len(set(keys.tolist()))
+    assert sorted(dealt.place.tolist()) == list(range(450)) and sum(np.diff(dealt.begins, append=450) == 2) == 150
+    seen = 0
+    for i, j in dealt.parts(50):
+        at = dealt.first[i:j]
+        some, h = both[2][at], both[1][at]
+        assert 0 < j - i <= 50 and (np.diff(code.rank[some]) >= 0).all()
+        layers = code.layers(some)
+        depths = [d for d in range(code.nodes.shape[1]) for s in some if code.length[s] > d]
+        of = [k for d in range(code.nodes.shape[1]) for k, s in enumerate(some) if code.length[s] > d]
+        assert layers.of_symbols(h).tolist() == h[of].tolist()
+        assert layers.of_nodes(code.bit).tolist() == [code.bits[some[k], d] for k, d in zip(of, depths, strict=True)]
+        assert layers.of_nodes(code.base).tolist() == [code.nodes[some[k], d] * lm_score.BUCKETS for k, d in zip(of, depths, strict=True)]
+        assert layers.sums(np.ones(len(of))).tolist() == [code.length[s] for s in some]
+        seen += j - i
+    assert seen == len(dealt.begins)
