@@ -543,3 +543,17 @@ def test_bits_laid_depth_by_depth_against_a_loop():
         assert layers.sums(np.ones(len(of))).tolist() == [code.length[s] for s in some]
         seen += j - i
     assert seen == len(dealt.begins)
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_known_words_are_told_apart_byte_by_byte(monkeypatch, same):
+    words = [b"a", b"ab", b"ba", b"\xff\x00", b"a" * 300, b"abc"]
+    assert len(set(lm_score.word_hashes(pa.array(words)).tolist())) == len(words)
+    if same:  # as if all hashes met
+        monkeypatch.setattr(lm_score, "word_hashes", lambda w: np.full(len(w), 7, np.uint64))
+    known = lm_score.Known(pa.array(words), np.arange(6.0))
+    asked = pa.array([b"no", *words, b"", b"b", b"abc"], pa.binary())
+    for found in (asked, asked.slice(2)):
+        want = [float(words.index(w)) if w in words else math.nan for w in found.to_pylist()]
+        assert np.array_equal(known.of(found), want, equal_nan=True)
+    assert np.isnan(lm_score.Known(pa.array([], pa.binary()), np.zeros(0)).of(asked)).all() and len(known.of(asked[:0])) == 0
